@@ -162,11 +162,16 @@ def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     else:
         cut = spark.createDataFrame([], "p int, edge long, before double")
     docs = keyed.alias("a").join(plan.alias("q"), same(F.col("a.held"), F.col("q.held"))).select("doc_id", "a.held", "size", "h", "b", "p", "whole", "extra", "source_size", "target").join(F.broadcast(cut), "p", "left")
-    # Rows of the edge bucket alone are ordered, one in BUCKETS of a pattern's documents; the sum is rounded to a
-    # whole document.
+    # Rows of the edge bucket alone are ordered, one in BUCKETS of a pattern's documents.
     inside = docs.where(F.col("b") == F.col("edge"))
     run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("again", F.col("before") + run - F.col("size") / 2 <= F.col("extra"))
-    outside = docs.where(F.col("edge").isNull() | (F.col("b") != F.col("edge"))).withColumn("again", F.col("extra") > 0).withColumn("again", F.when(F.col("edge").isNull(), F.col("again")).otherwise(F.col("b") < F.col("edge")))
+    inside = inside.withColumn("again", F.col("before") + run <= F.col("extra"))
+    outside = docs.where(F.col("edge").isNull() | (F.col("b") != F.col("edge"))).withColumn("again", F.when(F.col("edge").isNull(), F.col("extra") > 0).otherwise(F.col("b") < F.col("edge")))
+    chosen = inside.unionByName(outside)
+    # What is still missing goes to the one document whose size comes nearest to it, ties by hash.
+    gaps = F.broadcast(chosen.groupBy("p").agg((F.first("extra") - F.sum(F.when(F.col("again"), F.col("size")).otherwise(0))).alias("gap")))
+    rest = chosen.join(gaps, "p").withColumn("near", F.when(~F.col("again") & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.floor(F.abs(F.col("gap") - F.col("size"))) * (1 << 20) + F.pmod("h", F.lit(1 << 20))))
+    fill = F.broadcast(rest.groupBy("p").agg(F.min("near").alias("fill")))
+    chosen = rest.join(fill, "p").withColumn("again", F.col("again") | F.coalesce(F.col("near") == F.col("fill"), F.lit(False)))
     copies = F.col("whole") + F.when(F.col("again"), 1).otherwise(0)
-    return inside.unionByName(outside).select("doc_id", F.col("held").alias("sources"), "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    return chosen.select("doc_id", F.col("held").alias("sources"), "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, licenses, lines, mixing, quality, tokens
+from helixframe.llm import decontam, licenses, lines, mixing, quality, setjoin, tokens, toxicity
 from helixframe.session import table
 
 
@@ -41,13 +41,24 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return setjoin.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return lines.digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_token_ids, op6_license_scan, op7_source_mixing, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_token_ids, op6_license_scan, op7_source_mixing, op8_toxicity, op9_jaccard_join, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
