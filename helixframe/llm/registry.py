@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, licenses, lines, mixing, quality, setjoin, tokens, toxicity
+from helixframe.llm import decontam, licenses, lines, mixing, pii, quality, setjoin, tokens, toxicity
 from helixframe.session import table
 
 
@@ -16,6 +16,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
@@ -58,7 +63,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op3_quality_rules, op4_token_ids, op6_license_scan, op7_source_mixing, op8_toxicity, op9_jaccard_join, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_token_ids, op6_license_scan, op7_source_mixing, op8_toxicity, op9_jaccard_join, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
