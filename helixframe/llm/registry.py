@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, licenses, lines, mixing, pii, quality, setjoin, tokens, toxicity
+from helixframe.llm import decontam, licenses, lines, mixing, pii, quality, setjoin, suffixes, tokens, toxicity
 from helixframe.session import table
 
 
@@ -36,6 +36,11 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return suffixes.digest(suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return licenses.summarize(licenses.find_licenses(table(spark, sf_dir, "documents")))
@@ -63,7 +68,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_token_ids, op6_license_scan, op7_source_mixing, op8_toxicity, op9_jaccard_join, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_token_ids, op5_suffix_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_jaccard_join, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
