@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ END_ID = 2
 #: Ids of one block, so that readers hold a few MB.
 BLOCK_IDS = 1 << 20
 #: Distinct pieces that one worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 PARTITION_BYTES = 32 << 20
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
@@ -43,8 +45,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def atoms(piece: str) -> list[str]:
+    """A piece cut further where the pre-tokenizer always cuts: round a line break between two characters that
+    aren't white space, and before a full stop or comma that ends the piece after a letter or digit."""
+    head, line, tail = piece.partition("\n")
+    if line:
+        if head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
+            return [*atoms(head), line, *atoms(tail)]
+    elif len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum():
+        return [piece[:-1], piece[-1]]
+    return [piece]
+
+
+class Pieces(dict):
+    """Ids of pieces, as bytes; a piece not met before is encoded by the library, by its atoms."""
+
+    def __init__(self, tokenizer, code: str):
+        self.tokenizer, self.code = tokenizer, code
+
+    def library(self, text: str) -> bytes:
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= CACHE_PIECES:
+            self.clear()
+        parts = atoms(piece)
+        ids = self.library(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+        self[piece] = ids
+        return ids
+
+
+def _spaces_touch(t: str) -> bool:
+    """Whether some space has white space beside it or ends the text, so that cutting at spaces isn't safe."""
+    if t.replace("\n", "").isprintable():  # then spaces and line breaks are the only white space
+        return "  " in t or " \n" in t or "\n " in t or t.endswith(" ")
+    return "\0" in t or _NEAR_SPACE.search(t) is not None
+
+
 class Encoder:
-    """Texts to ids, as little-endian unsigned 32-bit arrays."""
+    """Texts to ids, as arrays of the narrowest unsigned type that holds the vocabulary."""
 
     def __init__(self, path: str):
         import os
@@ -52,32 +91,25 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
-        self.width = np.uint16 if self.t.get_vocab_size() <= 1 << 16 else np.uint32
-        self.cache: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.width).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        t = Tokenizer.from_file(path)
+        self.width = np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32
+        self.pieces = Pieces(t, "H" if self.width == np.uint16 else "I")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[bytes | None] = [None] * len(texts)
-        whole = [i for i, t in enumerate(texts) if "\0" in t or _NEAR_SPACE.search(t)]
-        for i, ids in zip(whole, self._library([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        cache = self.cache
-        if len(cache) > CACHE_PIECES:
-            cache.clear()
-        for i, t in enumerate(texts):
-            if out[i] is not None:
-                continue
-            pieces = t.replace(" ", "\0 ").split("\0")
-            got = list(map(cache.get, pieces))
-            if None in got:
-                new = list({p for p, g in zip(pieces, got, strict=True) if g is None})
-                cache.update(zip(new, self._library(new), strict=True))
-                got = list(map(cache.__getitem__, pieces))
-            out[i] = b"".join(got)
-        return [np.frombuffer(x, self.width) for x in out]
+        out = []
+        for t in texts:
+            if _spaces_touch(t):
+                ids = self.pieces.library(t)
+            else:
+                ids = b"".join(map(self.pieces.__getitem__, t.replace(" ", "\0 ").split("\0")))
+            out.append(np.frombuffer(ids, self.width))
+        return out
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One for each worker process, so that tasks that follow find its pieces."""
+    return Encoder(path)
 
 
 def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:
@@ -116,7 +148,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text: str, doc_id: str, end_id:
     """(doc_id, n, crc, ids): ids compressed, the end id appended; crc orders rows of equal doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pack = Encoder(tokenizer), zstandard.ZstdCompressor(level=1)
+        enc, pack = encoder(tokenizer), zstandard.ZstdCompressor(level=1)
         end = np.array([end_id], enc.width)
         for b in batches:
             if not b.num_rows:
