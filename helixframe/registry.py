@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from helixframe.plans import catalog, coverage  # noqa: F401  importing a module registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(catalog.SQL)
