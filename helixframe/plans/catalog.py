@@ -38,3 +38,8 @@ def query(sql: str | None = None):
 def rounded(x: Column, digits: int = 4) -> Column:
     """Half up on the binary value, the same in every engine: floor(x * 10^n + 0.5) / 10^n."""
     return F.floor(x * float(10**digits) + 0.5).cast("double") / float(10**digits)
+
+
+def epoch_seconds(column: str) -> Column:
+    """Whole seconds since 1970 of a timestamp without a zone, whatever the session's zone."""
+    return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast({column} as timestamp_ntz))")
