@@ -124,8 +124,7 @@ def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     held = F.coalesce(F.sort_array(F.array_distinct(F.col(source))), F.array(F.lit(None).cast("string"))) if many else F.array(F.col(source))
     sized = materialize(word_counts(df.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), F.col(text).alias("_text")), "_text"), "mix-sizes")
     keyed = sized.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.lit(seed))).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    by_bucket = keyed.groupBy("held", "b").agg(F.sum("size").alias("words"), F.count("*").alias("docs"))
-    patterns = by_bucket.groupBy("held").agg(F.sum("words").alias("words")).limit(MAX_PATTERNS + 1).collect()
+    patterns = keyed.groupBy("held").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(patterns) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
     patterns.sort(key=lambda r: [(x is None, x or "") for x in r.held])
@@ -153,20 +152,22 @@ def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
     # The bucket in which the running total of words passes the extra, by pattern: BUCKETS rows a pattern at most.
     plan = F.broadcast(plan)
     same = lambda a, b: F.to_json(F.struct(a.alias("x"))) == F.to_json(F.struct(b.alias("x")))  # noqa: E731  null-safe on elements
-    edges = by_bucket.alias("a").join(plan.alias("q"), same(F.col("a.held"), F.col("q.held"))).select("p", "b", "words", "extra")
+    docs = keyed.alias("a").join(plan.alias("q"), same(F.col("a.held"), F.col("q.held"))).select("doc_id", "a.held", "size", "h", "b", "p", "whole", "extra", "source_size", "target")
+    # Documents larger than all that is missing can't be taken once more.
+    fits = F.col("size") <= F.col("extra")
     before = F.sum("words").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    edges = edges.withColumn("before", F.coalesce(before, F.lit(0)))
+    edges = docs.where(fits).groupBy("p", "b").agg(F.sum("size").alias("words"), F.first("extra").alias("extra")).withColumn("before", F.coalesce(before, F.lit(0)))
     edge = edges.where((F.col("before") <= F.col("extra")) & (F.col("before") + F.col("words") > F.col("extra"))).groupBy("p").agg(F.min("b").alias("edge"), F.min_by("before", "b").alias("before")).collect()
     if edge:
         cut = spark.createDataFrame([(r.p, r.edge, float(r.before)) for r in edge], "p int, edge long, before double")
     else:
         cut = spark.createDataFrame([], "p int, edge long, before double")
-    docs = keyed.alias("a").join(plan.alias("q"), same(F.col("a.held"), F.col("q.held"))).select("doc_id", "a.held", "size", "h", "b", "p", "whole", "extra", "source_size", "target").join(F.broadcast(cut), "p", "left")
+    docs = docs.join(F.broadcast(cut), "p", "left")
     # Rows of the edge bucket alone are ordered, one in BUCKETS of a pattern's documents.
-    inside = docs.where(F.col("b") == F.col("edge"))
+    inside = docs.where(fits & (F.col("b") == F.col("edge")))
     run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("again", F.col("before") + run <= F.col("extra"))
-    outside = docs.where(F.col("edge").isNull() | (F.col("b") != F.col("edge"))).withColumn("again", F.when(F.col("edge").isNull(), F.col("extra") > 0).otherwise(F.col("b") < F.col("edge")))
+    outside = docs.where(~fits | F.col("edge").isNull() | (F.col("b") != F.col("edge"))).withColumn("again", fits & (F.col("extra") > 0) & F.coalesce(F.col("b") < F.col("edge"), F.lit(True)))
     chosen = inside.unionByName(outside)
     # What is still missing goes to the one document whose size comes nearest to it, ties by hash.
     gaps = F.broadcast(chosen.groupBy("p").agg((F.first("extra") - F.sum(F.when(F.col("again"), F.col("size")).otherwise(0))).alias("gap")))

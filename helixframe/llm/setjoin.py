@@ -35,6 +35,8 @@ SHINGLE = 4
 PERCENT = 85
 #: Bytes of input per bucket of the exchange, and of sets in one block of a component.
 BUCKET_BYTES = 512 << 10
+#: Bytes of text in one shard: fewer shards make fewer packets.
+SHARD_BYTES = 3 << 20
 BLOCK_BYTES = 48 << 20
 #: Light sets have at most so many shared shingles, whatever the cost says.
 MOST_LIGHT = 14
@@ -109,7 +111,7 @@ def _text_packets(bits: int, size: int) -> Callable:
         for b in batches:
             data, offs = utf8(b.column("t"))
             ids = b.column("doc_id").to_pylist()
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SHARD_BYTES):
                 for i2 in range(i, j, 1 << 16):
                     j2 = min(j, i2 + (1 << 16))
                     doc, tok = shingle_sets(data[offs[i2] : offs[j2]], offs[i2 : j2 + 1] - offs[i2], size)

@@ -35,6 +35,8 @@ LENGTH = 100
 GRAM = 24
 MOST_FRAGMENTS = 20_000
 BUCKET_BYTES = 512 << 10
+#: Bytes of text in one shard: fewer shards make fewer packets.
+SHARD_BYTES = 3 << 20
 GROUP_BYTES = 2 << 20
 
 
@@ -100,7 +102,7 @@ def _fragment_packets(bits: int) -> Callable:
             b = b.filter(pc.is_valid(b.column("doc_id")))
             data, offs = utf8(b.column("t"))
             ids = b.column("doc_id").to_numpy()
-            for i, j in chunks(offs):
+            for i, j in chunks(offs, SHARD_BYTES):
                 f = fragments(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 doc = ids[i:j][f["doc"]]
                 order = np.lexsort((f["start"], doc, f["hash"], f["anchor"]))

@@ -34,7 +34,7 @@ END_ID = 2
 #: Ids of one block, so that readers hold a few MB.
 BLOCK_IDS = 1 << 20
 #: Distinct pieces that one worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 700_000
+CACHE_PIECES = 500_000
 PARTITION_BYTES = 32 << 20
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
@@ -71,7 +71,8 @@ class Pieces(dict):
             self.clear()
         parts = atoms(piece)
         ids = self.library(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
-        self[piece] = ids
+        if "\n" not in piece or len(parts) == 1:  # words round a line break seldom meet again
+            self[piece] = ids
         return ids
 
 

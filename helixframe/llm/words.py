@@ -12,7 +12,8 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+#: Bytes of text that are looked at together; arrays of eight bytes for each are the most that a worker holds.
+CHUNK_BYTES = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _C1 = np.uint64(0xBF58476D1CE4E5B9)
 _C2 = np.uint64(0x94D049BB133111EB)
