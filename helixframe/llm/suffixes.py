@@ -36,7 +36,7 @@ GRAM = 24
 MOST_FRAGMENTS = 20_000
 BUCKET_BYTES = 512 << 10
 #: Bytes of text in one shard: fewer shards make fewer packets.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 GROUP_BYTES = 2 << 20
 
 

@@ -28,6 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.words import CACHES
 from helixframe.session import ensure_importable, materialize, scratch_path
 
 END_ID = 2
@@ -109,8 +110,10 @@ class Encoder:
 
 @cache
 def encoder(path: str) -> Encoder:
-    """One for each worker process, so that tasks that follow find its pieces."""
-    return Encoder(path)
+    """One for each worker process, so that tasks that follow find its pieces, until other work needs the memory."""
+    made = Encoder(path)
+    CACHES.append(made.pieces)
+    return made
 
 
 def vbyte_encode(values: np.ndarray) -> tuple[bytes, bytes]:

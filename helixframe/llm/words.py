@@ -19,8 +19,17 @@ _C1 = np.uint64(0xBF58476D1CE4E5B9)
 _C2 = np.uint64(0x94D049BB133111EB)
 
 
+#: Caches that other operators keep in this worker process over their tasks.
+CACHES: list[dict] = []
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; nulls become empty texts."""
+    """Bytes and offsets of a string column; nulls become empty texts.
+
+    A worker that comes here has turned to another operator: caches are given back.
+    """
+    for c in CACHES:
+        c.clear()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string())
