@@ -20,9 +20,9 @@ def cells(lines: DataFrame) -> Column:
 def chip_rows(lines: DataFrame) -> DataFrame:
     """(rsid, contig, pos, genotype) of four- or five-column chip text; a missing genotype is ``--``."""
     c = cells(lines)
-    r = lines.where(~F.trim("value").startswith("#")).select(c.alias("c")).where((F.size("c") >= 4) & F.col("c")[2].rlike(r"^\d+$"))
-    gt = F.upper(F.when(F.size("c") >= 5, F.concat(F.col("c")[3], F.col("c")[4])).otherwise(F.col("c")[3]))
-    return r.select(F.col("c")[0].alias("rsid"), contig_bare(F.col("c")[1]).alias("contig"), F.col("c")[2].cast("long").alias("pos"), F.when(gt.isin(*UNCALLED), "--").otherwise(gt).alias("genotype"))
+    r = lines.where(~F.trim("value").startswith("#")).select(c.alias("c")).where((F.size("c") >= 4) & F.get("c", F.lit(2)).rlike(r"^\d+$"))
+    gt = F.upper(F.when(F.size("c") >= 5, F.concat(F.get("c", F.lit(3)), F.get("c", F.lit(4)))).otherwise(F.get("c", F.lit(3))))
+    return r.select(F.get("c", F.lit(0)).alias("rsid"), contig_bare(F.get("c", F.lit(1))).alias("contig"), F.get("c", F.lit(2)).cast("long").alias("pos"), F.when(gt.isin(*UNCALLED), "--").otherwise(gt).alias("genotype"))
 
 
 def chip_haploid(rows: DataFrame) -> DataFrame:
@@ -47,9 +47,9 @@ def chip_build(lines: DataFrame) -> DataFrame:
 def variant_table(lines: DataFrame) -> DataFrame:
     """(contig, pos, ref, alt, rsid, genotype) of positional or headed text; single bases only, ``.`` is missing."""
     c = cells(lines)
-    r = lines.where(~F.trim("value").startswith("#")).select(c.alias("c")).where((F.size("c") >= 4) & F.col("c")[1].rlike(r"^\d+$"))
+    r = lines.where(~F.trim("value").startswith("#")).select(c.alias("c")).where((F.size("c") >= 4) & F.get("c", F.lit(1)).rlike(r"^\d+$"))
     clean = lambda k: F.when(~F.get("c", F.lit(k)).isin("", "."), F.get("c", F.lit(k)))
-    out = r.select(contig_bare(F.col("c")[0]).alias("contig"), F.col("c")[1].cast("long").alias("pos"), F.upper(F.col("c")[2]).alias("ref"), F.upper(F.col("c")[3]).alias("alt"), clean(4).alias("rsid"), clean(5).alias("genotype"))
+    out = r.select(contig_bare(F.get("c", F.lit(0))).alias("contig"), F.get("c", F.lit(1)).cast("long").alias("pos"), F.upper(F.get("c", F.lit(2))).alias("ref"), F.upper(F.get("c", F.lit(3))).alias("alt"), clean(4).alias("rsid"), clean(5).alias("genotype"))
     return out.where(F.col("ref").isin(*BASES) & F.col("alt").isin(*BASES))
 
 
@@ -73,7 +73,7 @@ def eigenstrat(snp: DataFrame, geno: DataFrame, sample: int) -> DataFrame:
     A digit counts copies of the first allele; anything else is missing and goes.
     """
     c = F.split(F.trim("value"), r"\s+")
-    sites = snp.select("n", c[0].alias("id"), c[1].alias("contig"), c[3].cast("long").alias("pos"), c[4].alias("ref"), c[5].alias("alt"))
+    sites = snp.select("n", F.get(c, F.lit(0)).alias("id"), F.get(c, F.lit(1)).alias("contig"), F.get(c, F.lit(3)).cast("long").alias("pos"), F.get(c, F.lit(4)).alias("ref"), F.get(c, F.lit(5)).alias("alt"))
     digit = geno.select("n", F.substring("value", sample + 1, 1).alias("g")).where(F.col("g").isin("0", "1", "2"))
     j = sites.join(digit, "n")
     a1 = F.when(F.col("g") == "0", F.col("alt")).otherwise(F.col("ref"))
@@ -93,16 +93,16 @@ def marker_values(whole: DataFrame) -> DataFrame:
     wide = (F.size("ls") == 2) & (F.size(part(F.col("ls")[0])) >= 5)
     w = whole.select(ls.alias("ls"))
     a = w.where(wide).select(F.explode(F.arrays_zip(part(F.col("ls")[0]).alias("m"), part(F.col("ls")[1]).alias("v"))).alias("x")).select("x.m", "x.v")
-    b = w.where(~wide).select(F.explode("ls").alias("l")).select(part(F.col("l")).alias("c")).where(F.size("c") >= 2).select(F.col("c")[0], F.col("c")[1])
+    b = w.where(~wide).select(F.explode("ls").alias("l")).select(part(F.col("l")).alias("c")).where(F.size("c") >= 2).select(F.get("c", F.lit(0)), F.get("c", F.lit(1)))
     return a.union(b).toDF("marker", "value").where((F.col("value") != "") & F.col("value").isNotNull() & ~F.lower("marker").isin("marker", "name")).withColumn("marker", F.upper("marker"))
 
 
 def named_panel(lines: DataFrame) -> DataFrame:
     """(name, genotype, verdict) rows of a named SNP panel; prose, the header and other lines don't parse."""
     c = F.split("value", "\t")
-    v = F.lower(F.trim(c[2]))
+    v = F.lower(F.trim(F.get(c, F.lit(2))))
     verdict = F.when(v.startswith("positive"), "positive").when(v.startswith("negative"), "negative").when(v.startswith("no call") | v.startswith("no-call"), "no_call").when(v.startswith("back"), "back_mutated")
-    return lines.where(F.size(c) >= 3).select(F.trim(c[0]).alias("name"), F.trim(c[1]).alias("genotype"), verdict.alias("verdict")).where("verdict is not null and name <> ''")
+    return lines.where(F.size(c) >= 3).select(F.trim(F.get(c, F.lit(0))).alias("name"), F.trim(F.get(c, F.lit(1))).alias("genotype"), verdict.alias("verdict")).where("verdict is not null and name <> ''")
 
 
 def resolve_panel(panel: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def resolve_panel(panel: DataFrame, dictionary: DataFrame) -> DataFrame:
 def bed(lines: DataFrame) -> DataFrame:
     c = F.split("value", "\t")
     ok = ~F.col("value").rlike("^(track|browser|#)") & (F.size(c) >= 3)
-    return lines.where(ok).select(contig_bare(c[0]).alias("contig"), c[1].cast("long").alias("start"), c[2].cast("long").alias("end"), F.get(c, F.lit(3)).alias("name"), F.get(c, F.lit(4)).alias("score"))
+    return lines.where(ok).select(contig_bare(F.get(c, F.lit(0))).alias("contig"), F.get(c, F.lit(1)).cast("long").alias("start"), F.get(c, F.lit(2)).cast("long").alias("end"), F.get(c, F.lit(3)).alias("name"), F.get(c, F.lit(4)).alias("score"))
 
 
 def str_loci(rows: DataFrame, min_period: int = 2) -> DataFrame:
@@ -139,20 +139,20 @@ def telomeres(bands: DataFrame, size: int = 10_000) -> DataFrame:
 def stats_numbers(lines: DataFrame) -> DataFrame:
     """(key, value) of the summary numbers of an alignment statistics report."""
     c = F.split("value", "\t")
-    return lines.where(F.col("value").startswith("SN\t")).select(F.rtrim(F.regexp_replace(c[1], ":$", "")).alias("key"), c[2].try_cast("double").alias("value")).where("value is not null")
+    return lines.where(F.col("value").startswith("SN\t")).select(F.rtrim(F.regexp_replace(F.get(c, F.lit(1)), ":$", "")).alias("key"), F.get(c, F.lit(2)).try_cast("double").alias("value")).where("value is not null")
 
 
 def stats_histogram(lines: DataFrame, kind: str) -> DataFrame:
     """(bin, n) of the report's length (RL) or insert size (IS) histogram."""
     c = F.split("value", "\t")
-    return lines.where(F.col("value").startswith(f"{kind}\t")).groupBy(c[1].cast("int").alias("bin")).agg(F.sum(c[2].cast("long")).alias("n"))
+    return lines.where(F.col("value").startswith(f"{kind}\t")).groupBy(F.get(c, F.lit(1)).cast("int").alias("bin")).agg(F.sum(F.get(c, F.lit(2)).cast("long")).alias("n"))
 
 
 def coverage_table(lines: DataFrame) -> DataFrame:
     """Contig rows of a nine-column coverage report; the breadth is a percentage."""
     c = F.split("value", "\t")
     r = lines.where(~F.col("value").startswith("#") & (F.size(c) >= 9))
-    return r.select(c[0].alias("contig"), (c[2].cast("long") - c[1].cast("long") + 1).alias("length"), c[3].cast("long").alias("reads"), c[4].cast("long").alias("covered"), c[5].cast("double").alias("breadth_percent"), c[6].cast("double").alias("depth"), c[7].cast("double").alias("mean_baseq"), c[8].cast("double").alias("mean_mapq"))
+    return r.select(F.get(c, F.lit(0)).alias("contig"), (F.get(c, F.lit(2)).cast("long") - F.get(c, F.lit(1)).cast("long") + 1).alias("length"), F.get(c, F.lit(3)).cast("long").alias("reads"), F.get(c, F.lit(4)).cast("long").alias("covered"), F.get(c, F.lit(5)).cast("double").alias("breadth_percent"), F.get(c, F.lit(6)).cast("double").alias("depth"), F.get(c, F.lit(7)).cast("double").alias("mean_baseq"), F.get(c, F.lit(8)).cast("double").alias("mean_mapq"))
 
 
 def fasta(whole: DataFrame) -> DataFrame:

@@ -21,11 +21,11 @@ def sam_reads(lines: DataFrame) -> DataFrame:
     """Alignments of SAM text; unmapped reads have a null contig, quality 255 is unknown."""
     c = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("@") & (F.size(c) >= 11))
-    star = lambda k: F.nullif(c[k], F.lit("*"))
+    star = lambda k: F.nullif(F.get(c, F.lit(k)), F.lit("*"))
     tag = F.regexp_extract("value", r"\tSA:Z:([^\t]*)", 1)
     return rows.select(
-        c[0].alias("name"), c[1].cast("int").alias("flags"), star(2).alias("contig"), F.nullif(c[3].cast("long"), F.lit(0)).alias("pos"), F.nullif(c[4].cast("int"), F.lit(255)).alias("mapq"), star(5).alias("cigar"),
-        F.when(c[6] == "=", star(2)).otherwise(star(6)).alias("mate_contig"), F.nullif(c[7].cast("long"), F.lit(0)).alias("mate_pos"), c[8].cast("int").alias("tlen"), star(9).alias("seq"), star(10).alias("quals"), F.nullif(tag, F.lit("")).alias("sa"),
+        F.get(c, F.lit(0)).alias("name"), F.get(c, F.lit(1)).cast("int").alias("flags"), star(2).alias("contig"), F.nullif(F.get(c, F.lit(3)).cast("long"), F.lit(0)).alias("pos"), F.nullif(F.get(c, F.lit(4)).cast("int"), F.lit(255)).alias("mapq"), star(5).alias("cigar"),
+        F.when(F.get(c, F.lit(6)) == "=", star(2)).otherwise(star(6)).alias("mate_contig"), F.nullif(F.get(c, F.lit(7)).cast("long"), F.lit(0)).alias("mate_pos"), F.get(c, F.lit(8)).cast("int").alias("tlen"), star(9).alias("seq"), star(10).alias("quals"), F.nullif(tag, F.lit("")).alias("sa"),
     )
 
 
@@ -60,8 +60,8 @@ def vcf_records(lines: DataFrame) -> DataFrame:
     c = F.split("value", "\t")
     rows = lines.where(~F.col("value").startswith("#") & (F.size(c) >= 5))
     end = F.regexp_extract(F.get(c, F.lit(7)), r"(?:^|;)END=(\d+)", 1)
-    pos = c[1].cast("long")
-    return rows.select(contig_bare(c[0]).alias("contig"), pos.alias("pos"), F.nullif(c[2], F.lit(".")).alias("id"), F.upper(c[3]).alias("ref"), F.upper(c[4]).alias("alt"), F.get(c, F.lit(5)).try_cast("double").alias("qual"), F.get(c, F.lit(6)).alias("filter"), F.when(end != "", end.cast("long")).otherwise(pos + F.length(c[3]) - 1).alias("end"), F.get(c, F.lit(8)).alias("format"), F.get(c, F.lit(9)).alias("sample"))
+    pos = F.get(c, F.lit(1)).cast("long")
+    return rows.select(contig_bare(F.get(c, F.lit(0))).alias("contig"), pos.alias("pos"), F.nullif(F.get(c, F.lit(2)), F.lit(".")).alias("id"), F.upper(F.get(c, F.lit(3))).alias("ref"), F.upper(F.get(c, F.lit(4))).alias("alt"), F.get(c, F.lit(5)).try_cast("double").alias("qual"), F.get(c, F.lit(6)).alias("filter"), F.when(end != "", end.cast("long")).otherwise(pos + F.length(F.get(c, F.lit(3))) - 1).alias("end"), F.get(c, F.lit(8)).alias("format"), F.get(c, F.lit(9)).alias("sample"))
 
 
 def format_field(key: str, format_: str = "format", sample: str = "sample") -> Column:
