@@ -4,9 +4,10 @@
    range. A bucket tells which shingles occur in one document only. A set whose part of shared shingles is below
    the threshold can't link with anything and leaves here; most do. The exchange runs once over documents and once
    over the distinct sets among those that stay, so that exact copies don't keep each other.
-2. Candidate components. The rarest shingles of a set, as many as the prefix filter needs for exactness, tie it to
-   the smallest set holding the same shingle: star edges, never all pairs of a list. Sets that could link share a
-   component, and each set is sent to its component once (to a row and column of blocks if a component is large).
+2. Candidate components. Sets that share one of their rarest shingles, as many as the prefix filter needs for
+   exactness, are tied if sizes and parity bitmaps allow the similarity; a list gives edges that connect its members
+   as all such pairs would, never all pairs. Sets that could link share a component, and each set is sent to its
+   component once (to a row and column of blocks if a component is large).
 3. Heavy-light join inside a component. Light sets enumerate the fixed-size subsets that a linked partner must
    share; heavy sets scan inverted lists and count overlaps. The boundary is the size with the least cost. Links
    are followed breadth first over sets not reached yet, so a dense group costs a few scans, not all its pairs.
@@ -320,6 +321,98 @@ def linked_components(sets: list[np.ndarray], sizes: np.ndarray, percent: int =
     return comp
 
 
+_PREFIX = pa.schema([("g", pa.int32()), ("level", pa.int32()), ("sig", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("bitmap", pa.binary()), ("tokens", pa.binary())])
+_PREFIX_DDL = "g int, level int, sig long, n long, own long, bitmap binary, tokens binary"
+#: Sets of up to so many shingles, and the bits of their bitmaps; a set a little above a limit is on both levels.
+LEVELS = ((1_300, 512), (10_000, 4_096), (80_000, 32_768), (1 << 62, 262_144))
+
+
+def parity_bitmap(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Parity of the shingles that fall on each bit: two bitmaps differ in no more bits than the sets in shingles."""
+    odd = np.bincount((tokens >> np.uint64(20)) % np.uint64(bits), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def most_apart(a, b, percent: int = PERCENT):
+    """Largest symmetric difference of linked sets of sizes a and b."""
+    return a + b - 2 * (-(-percent * (a + b) // (100 + percent)))
+
+
+def _prefixes(groups: int, percent: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: dict[str, list] = {c: [] for c in _PREFIX.names}
+            for n, s, t in zip(b.column("n").to_pylist(), b.column("sig").to_pylist(), b.column("tokens"), strict=True):
+                tok = np.frombuffer(t.as_py(), "<u8")
+                own = n - len(tok)
+                pre = tok[: n - -(-percent * n // 100) + 1 - own]
+                g = (mix(pre) % np.uint64(groups)).astype(np.int64)
+                low = 0
+                for level, (limit, bits) in enumerate(LEVELS):
+                    if low < n and n * percent <= limit * 100:
+                        bitmap = parity_bitmap(tok, bits).tobytes()
+                        for k in np.unique(g).tolist():
+                            for c, x in zip(_PREFIX.names, (k, level, s, n, own, bitmap, pre[g == k].tobytes()), strict=True):
+                                rows[c].append(x)
+                    low = limit
+            if rows["g"]:
+                yield pa.RecordBatch.from_pydict(rows, schema=_PREFIX)
+
+    return run
+
+
+def near_in_list(members: np.ndarray, n: np.ndarray, own: np.ndarray, bitmaps: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Edges that connect the members of a list as all pairs within the bounds would, breadth first."""
+    out, left = [], members
+    while len(left):
+        queue, left = [left[0]], left[1:]
+        while queue and len(left):
+            v = queue.pop()
+            apart = np.bitwise_count(bitmaps[left] ^ bitmaps[v]).sum(1, dtype=np.int64) + own[left] + own[v]
+            ok = apart <= most_apart(n[left], n[v], percent)
+            out.extend((int(v), int(u)) for u in left[ok])
+            queue.extend(left[ok].tolist())
+            left = left[~ok]
+    return out
+
+
+def _near_lists(percent: int) -> Callable:
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(t: pa.Table) -> pa.Table:
+        edges: set[tuple[int, int]] = set()
+        for level in range(len(LEVELS)):
+            rows = t.filter(pa.compute.equal(t.column("level"), level))
+            if not rows.num_rows:
+                continue
+            sig, n, own = (rows.column(c).to_numpy() for c in ("sig", "n", "own"))
+            bitmaps = np.frombuffer(b"".join(rows.column("bitmap").to_pylist()), np.uint64).reshape(len(sig), -1)
+            toks = [np.frombuffer(x.as_py(), "<u8") for x in rows.column("tokens")]
+            owner = np.repeat(np.arange(len(sig)), [len(x) for x in toks])
+            tok = np.concatenate(toks)
+            order = np.argsort(tok, kind="stable")
+            tok, owner = tok[order], owner[order]
+            lead = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+            size = np.diff(np.concatenate((lead, [len(tok)])))
+            # Lists of two at once; copies of one list of members need one look.
+            two = lead[size == 2]
+            x, y = owner[two], owner[two + 1]
+            both = np.unique(x * len(sig) + y)
+            x, y = both // len(sig), both % len(sig)
+            ok = np.bitwise_count(bitmaps[x] ^ bitmaps[y]).sum(1, dtype=np.int64) + own[x] + own[y] <= most_apart(n[x], n[y], percent)
+            edges.update(zip(sig[x[ok]].tolist(), sig[y[ok]].tolist(), strict=True))
+            seen: set[bytes] = set()
+            for k, m in zip(lead[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                members = owner[k : k + m]
+                if (key := members.tobytes()) not in seen:
+                    seen.add(key)
+                    edges.update((int(sig[u]), int(sig[v])) for u, v in near_in_list(members, n, own, bitmaps, percent))
+        a, b = np.array(list(edges), np.int64).reshape(-1, 2).T if edges else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return pa.Table.from_arrays([pa.array(a), pa.array(b)], schema=schema)
+
+    return run
+
+
 def _link(percent: int) -> Callable:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -351,21 +444,11 @@ def jaccard_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     bits2 = max(4, bits - 2)
     sets = materialize(_exchange(distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(_set_packets(bits2), _PACKET_DDL), bits2, percent, parts).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
 
-    # Star edges over the prefix: the rarest shared shingles left after those that no other set has.
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            toks, sigs = [], []
-            for n, s, t in zip(b.column("n").to_pylist(), b.column("sig").to_pylist(), b.column("tokens"), strict=True):
-                own = np.frombuffer(t.as_py(), "<i8")
-                take = n - -(-percent * n // 100) + 1 - (n - len(own))
-                toks.append(own[:take])
-                sigs.append(np.full(min(take, len(own)), s))
-            if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks)), pa.array(np.concatenate(sigs))], names=["token", "sig"])
-
-    posts = sets.select("n", "sig", "tokens").mapInArrow(prefixes, "token long, sig long")
-    rep = posts.groupBy("token").agg(F.min("sig").alias("rep"), F.max("sig").alias("other")).where("rep <> other").select("token", "rep")
-    edges = posts.join(rep, "token").where("sig <> rep").select(F.col("sig").alias("a"), F.col("rep").alias("b")).distinct()
+    # Sets that share one of their rarest shingles, as many as the prefix filter needs, and pass the size and bitmap
+    # bounds. Each set goes to a group once with the shingles that belong there.
+    groups = max(32, parts // 4)
+    packed = sets.select("n", "sig", "tokens").mapInArrow(_prefixes(groups, percent), _PREFIX_DDL)
+    edges = packed.groupBy("g").applyInArrow(_near_lists(percent), "a long, b long").distinct()
     label = connected_components(edges, "near-components")
     label = label.union(label.select("root", "root").distinct())
 
