@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import chunks, table_alnum, utf8, word_hashes, word_spans
+from helixframe.llm.words import chunks, table_alnum, tidied, utf8, word_hashes, word_spans
 from helixframe.session import ensure_importable, materialize
 
 WINDOW = 13
@@ -113,7 +113,7 @@ def build_index(df: DataFrame, text: str, doc_id: str, vocabulary=None) -> DataF
                 yield pa.RecordBatch.from_pydict(row, schema=_SHARD_ARROW)
 
     src = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    return src.mapInArrow(run, _SHARD)
+    return src.mapInArrow(tidied(run), _SHARD)
 
 
 def term_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
@@ -127,7 +127,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
                     total[x] = total.get(x, 0) + n
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
 
-    rows = index.select("terms", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    rows = index.select("terms", "counts").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     wanted = set(vocabulary.view(np.int64).tolist())
     return {int(np.int64(r.term).view(np.uint64)): r.n for r in rows.toLocalIterator() if r.term in wanted}
 
@@ -226,7 +226,7 @@ def match_index(index: DataFrame, block: Block, counts: dict[int, int], window:
                 out = {c: [b.column(c)[k].as_py()] for c in ("doc_ids", "first", "terms", "counts", "postings")}
                 yield pa.RecordBatch.from_pydict(out | {"hits": [hits.tobytes()], "items": [items]}, schema=_SHARD_ARROW)
 
-    return index.mapInArrow(run, _SHARD)
+    return index.mapInArrow(tidied(run), _SHARD)
 
 
 def report(index: DataFrame) -> DataFrame:
@@ -255,7 +255,7 @@ def report(index: DataFrame) -> DataFrame:
                     names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
                 )
 
-    return index.select("doc_ids", "first", "hits", "items").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
+    return index.select("doc_ids", "first", "hits", "items").mapInArrow(tidied(run), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
 
 
 def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:

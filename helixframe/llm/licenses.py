@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import table_alnum, table_lower
+from helixframe.llm.words import table_alnum, table_lower, tidied
 from helixframe.session import ensure_importable
 
 #: The phrases that count as base places, with their labels.
@@ -176,7 +176,7 @@ def find_licenses(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([n for n, _ in got], pa.int64()), pa.array([[dict(zip(keys, p, strict=True)) for p in ps] for _, ps in got], pa.list_(_PLACE))], names=["doc_id", "n_words", "places"])
 
     src = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    return src.mapInArrow(run, "doc_id long, n_words long, places array<struct<kind:string,first:long,words:long,label:string,sure:double>>")
+    return src.mapInArrow(tidied(run), "doc_id long, n_words long, places array<struct<kind:string,first:long,words:long,label:string,sure:double>>")
 
 
 def summarize(found: DataFrame) -> DataFrame:

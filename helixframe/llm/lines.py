@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import mix
+from helixframe.llm.words import mix, tidied
 from helixframe.session import ensure_importable, materialize
 
 MIN_CHARS = 20
@@ -120,7 +120,7 @@ def line_statistics(df: DataFrame, text: str, doc_id: str) -> DataFrame:
                 ids.extend([i] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(np.array(hs, np.uint64).view(np.int64)), pa.array(ids, pa.int64())], names=["h", "doc"])
 
-    found = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, "h long, doc long")
+    found = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(tidied(run), "h long, doc long")
     return found.dropDuplicates(["h", "doc"]).groupBy("h").agg(F.count("*").alias("docs"), F.max("doc").alias("last"))
 
 
@@ -145,7 +145,7 @@ def line_index(stats: DataFrame, n_shards: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"shard": [int(s)], "sizes": [[len(x) for x in bits]], "bits": [b"".join(np.packbits(x).tobytes() for x in bits)], **{k: [v.tobytes()] for k, v in arrays.items()}}, schema=pa.schema([("shard", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), *((k, pa.binary()) for k in arrays)]))
 
     shard = F.expr(f"pmod(shiftrightunsigned(h, 32), {n_shards})")
-    return stats.repartition(max(1, min(n_shards, 512)), shard).mapInArrow(run, "shard long, sizes array<long>, bits binary, fingerprints binary, counts binary, last binary")
+    return stats.repartition(max(1, min(n_shards, 512)), shard).mapInArrow(tidied(run), "shard long, sizes array<long>, bits binary, fingerprints binary, counts binary, last binary")
 
 
 def drop_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id", min_docs: int = MIN_DOCS) -> DataFrame:

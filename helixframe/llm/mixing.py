@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import chunks, table_nonspace, utf8, word_spans
+from helixframe.llm.words import chunks, table_nonspace, tidied, utf8, word_spans
 from helixframe.session import ensure_importable, materialize
 
 SHARE = 1.5
@@ -43,7 +43,7 @@ def word_counts(df: DataFrame, text: str, out: str = "size") -> DataFrame:
             n = np.concatenate(n) if n else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n.astype(np.int64))], names=[*rest, out])
 
-    return df.mapInArrow(run, df.select(*rest, F.lit(0).cast("long").alias(out)).schema)
+    return df.mapInArrow(tidied(run), df.select(*rest, F.lit(0).cast("long").alias(out)).schema)
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> list[float]:

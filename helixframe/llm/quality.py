@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import chunks, gram_hashes, mix, prefix_sums, ranges, span_hashes, table_nonspace, utf8, within_docs, word_hashes, word_spans
+from helixframe.llm.words import chunks, gram_hashes, mix, prefix_sums, ranges, span_hashes, table_nonspace, tidied, utf8, within_docs, word_hashes, word_spans
 from helixframe.session import ensure_importable
 
 SAMPLE_DOCS = 512
@@ -209,7 +209,7 @@ def quality_filter(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
             if kept:
                 yield b.filter(pa.array(np.concatenate(kept)))
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
 
 
 def quality_measures(df: DataFrame, text: str = "text", doc_id: str = "doc_id", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -230,4 +230,4 @@ def quality_measures(df: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 yield pa.RecordBatch.from_arrays([b.column("i").slice(i, j - i), *map(pa.array, got), pa.array(failed), pa.array(kept)], names=["doc_id", *(f.__name__ for f in base), "base_failed", "kept"])
 
     src = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    return src.mapInArrow(run, "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")
+    return src.mapInArrow(tidied(run), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean")

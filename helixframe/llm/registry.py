@@ -12,8 +12,8 @@ from helixframe.session import table
 
 def prepare(spark: SparkSession) -> None:
     """Batches that keep a Python worker's memory at some tens of MB whatever the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.components import connected_components
-from helixframe.llm.words import chunks, gram_hashes, mix, table_nonspace, utf8, within_docs, word_hashes, word_spans
+from helixframe.llm.words import chunks, gram_hashes, mix, table_nonspace, tidied, utf8, within_docs, word_hashes, word_spans
 from helixframe.session import ensure_importable, materialize
 
 SHINGLE = 4
@@ -214,7 +214,7 @@ def _shard_sets(percent: int) -> Callable:
 def _exchange(packets: DataFrame, bits: int, percent: int, parts: int) -> DataFrame:
     # The documents of a shard pass by its own number, so that bucket -1 isn't one key.
     key = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.col("bucket").cast("long"))
-    shared = packets.repartition(parts, key).mapInArrow(_shared_tokens(bits), _SHARED_DDL)
+    shared = packets.repartition(parts, key).mapInArrow(tidied(_shared_tokens(bits)), _SHARED_DDL)
     return shared.groupBy("shard").applyInArrow(_shard_sets(percent), _SET_DDL)
 
 
@@ -435,19 +435,19 @@ def jaccard_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     bits = max(4, min(20, (input_bytes(src) // BUCKET_BYTES).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
-    docs = materialize(_exchange(src.mapInArrow(_text_packets(bits, size), _PACKET_DDL), bits, percent, parts), "sets", codec="uncompressed")
+    docs = materialize(_exchange(src.mapInArrow(tidied(_text_packets(bits, size)), _PACKET_DDL), bits, percent, parts), "sets", codec="uncompressed")
 
     # Exact copies: the smallest document of each distinct set stands for it.
     may = docs.where(F.col("tokens").isNotNull())
     first = may.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     distinct = may.join(first, ["sig", "doc_id"]).dropDuplicates(["sig"])
     bits2 = max(4, bits - 2)
-    sets = materialize(_exchange(distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(_set_packets(bits2), _PACKET_DDL), bits2, percent, parts).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
+    sets = materialize(_exchange(distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(tidied(_set_packets(bits2)), _PACKET_DDL), bits2, percent, parts).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
 
     # Sets that share one of their rarest shingles, as many as the prefix filter needs, and pass the size and bitmap
     # bounds. Each set goes to a group once with the shingles that belong there.
     groups = max(32, parts // 4)
-    packed = sets.select("n", "sig", "tokens").mapInArrow(_prefixes(groups, percent), _PREFIX_DDL)
+    packed = sets.select("n", "sig", "tokens").mapInArrow(tidied(_prefixes(groups, percent)), _PREFIX_DDL)
     edges = packed.groupBy("g").applyInArrow(_near_lists(percent), "a long, b long").distinct()
     label = connected_components(edges, "near-components")
     label = label.union(label.select("root", "root").distinct())

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import chunks, mix, prefix_sums, ranges, span_hashes, utf8
+from helixframe.llm.words import chunks, mix, prefix_sums, ranges, span_hashes, tidied, utf8
 from helixframe.session import ensure_importable, materialize
 
 LENGTH = 100
@@ -386,16 +386,16 @@ def drop_repeated_bytes(df: DataFrame, text: str = "text", doc_id: str = "doc_id
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     bits = max(4, min(20, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
-    packets = docs.mapInArrow(_fragment_packets(bits), _PACKET_DDL)
+    packets = docs.mapInArrow(tidied(_fragment_packets(bits)), _PACKET_DDL)
     key = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.col("bucket").cast("long"))
-    found = materialize(packets.repartition(parts, key).mapInArrow(_bucket_fragments(most), _FOUND_DDL), "fragments")
+    found = materialize(packets.repartition(parts, key).mapInArrow(tidied(_bucket_fragments(most)), _FOUND_DDL), "fragments")
     rows = found.mapInArrow(_unpack, "doc_id long, start int, windows int, anchor long, kind int")
     removed = rows.where(F.col("kind") == REMOVE).select("doc_id", "start", "windows")
 
     asked = found.where(F.col("kind") != REMOVE).agg(F.sum(F.octet_length("windows")).alias("n"), F.max("kind").alias("kind")).first()
     if asked.n:
         wanted = rows.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", (F.col("kind") == ASK_HOT).alias("hot"))).alias("asks"))
-        pieces = docs.join(wanted, "doc_id").mapInArrow(_cut_pieces, "anchor long, hot boolean, doc_id long, start int, windows int, piece binary")
+        pieces = docs.join(wanted, "doc_id").mapInArrow(tidied(_cut_pieces), "anchor long, hot boolean, doc_id long, start int, windows int, piece binary")
         groups = max(parts, asked.n * (LENGTH + 40) // GROUP_BYTES)
         own = pieces.where("not hot").withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
         more = own.groupBy("g").applyInArrow(_suffix_group, "doc_id long, start int, windows int")
@@ -405,7 +405,7 @@ def drop_repeated_bytes(df: DataFrame, text: str = "text", doc_id: str = "doc_id
             more = more.union(each.join(low, "w").where("doc_id <> d or start <> s").select("doc_id", "start", F.lit(1).alias("windows")))
         removed = removed.union(materialize(more, "repeats"))
     cuts = removed.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 7) + F.col("windows").cast("long")).alias("cuts"))
-    return docs.join(cuts, "doc_id", "left").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return docs.join(cuts, "doc_id", "left").mapInArrow(tidied(_apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(df: DataFrame) -> DataFrame:

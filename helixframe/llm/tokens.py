@@ -28,14 +28,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import CACHES
+from helixframe.llm.words import CACHES, tidied
 from helixframe.session import ensure_importable, materialize, scratch_path
 
 END_ID = 2
 #: Ids of one block, so that readers hold a few MB.
 BLOCK_IDS = 1 << 20
 #: Distinct pieces that one worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 PARTITION_BYTES = 32 << 20
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
@@ -161,7 +161,7 @@ def encode_texts(df: DataFrame, tokenizer: str, text: str, doc_id: str, end_id:
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()), pa.array([pack.compress(x.astype(np.uint32 if enc.width == np.uint32 else np.uint16).tobytes()) for x in ids], pa.binary())], names=["doc_id", "n", "crc", "ids"])
 
     src = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
-    return src.mapInArrow(run, "doc_id long, n long, crc long, ids binary")
+    return src.mapInArrow(tidied(run), "doc_id long, n long, crc long, ids binary")
 
 
 def id_counts(encoded: DataFrame, vocab: int, wide: bool) -> np.ndarray:
@@ -177,7 +177,7 @@ def id_counts(encoded: DataFrame, vocab: int, wide: bool) -> np.ndarray:
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], names=["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = encoded.select("ids").mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(vocab, np.int64)
     out[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     return out
@@ -232,7 +232,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str | None = None, te
         if parts:
             yield flush()
 
-    ordered.select("doc_id", "ids").mapInArrow(run, _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
+    ordered.select("doc_id", "ids").mapInArrow(tidied(run), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(np.asarray(by_rank, "<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
     return {"path": path, "vocab": vocab, "ids": int(counts.sum())}
 
@@ -262,7 +262,7 @@ def read_token_files(spark, path: str) -> DataFrame:
                 at = first[row["part"]] + row["before"]
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], pa.int64()), pa.array(at + ends - n), pa.array(n), pa.array([raw[4 * (e - m) : 4 * e] for e, m in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(tidied(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def tokenize(df: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import chunks, mix, prefix_sums, span_hashes, table_alnum, utf8, word_spans
+from helixframe.llm.words import chunks, mix, prefix_sums, span_hashes, table_alnum, tidied, utf8, word_spans
 from helixframe.session import ensure_importable
 
 BITS = 18
@@ -163,7 +163,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column("i").slice(i, j - i), b.column("y").slice(i, j - i), pa.array([t[a:z].astype("<i4").tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["i", "y", "x"])
 
-    got = src.mapInArrow(run, "i long, y int, x binary").limit(2 * rows).toArrow()
+    got = src.mapInArrow(tidied(run), "i long, y int, x binary").limit(2 * rows).toArrow()
     order = np.argsort(got.column("i").to_numpy(), kind="stable") if got.num_rows else np.zeros(0, np.int64)
     sets = [np.frombuffer(x.as_py(), "<i4") for x in got.column("x")]
     sets = [sets[k] for k in order]
@@ -188,5 +188,5 @@ def score(df: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_id
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(s)], names=["doc_id", "score"])
 
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    scored = src.mapInArrow(run, "doc_id long, score double")
+    scored = src.mapInArrow(tidied(run), "doc_id long, score double")
     return scored.select("doc_id", (fold("doc_id") == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
