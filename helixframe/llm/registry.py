@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, licenses, lines, mixing, pii, quality, setjoin, suffixes, tokens, toxicity
+from helixframe.llm import decontam, licenses, lines, mixing, pii, quality, setjoin, sql, suffixes, tokens, toxicity
 from helixframe.session import table
 
 
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": sql.OP2, "op10_line_dedup": sql.OP10}
