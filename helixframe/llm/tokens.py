@@ -34,8 +34,8 @@ from helixframe.session import ensure_importable, materialize, scratch_path
 END_ID = 2
 #: Ids of one block, so that readers hold a few MB.
 BLOCK_IDS = 1 << 20
-#: Distinct pieces that one worker keeps; beyond it the cache starts anew.
-CACHE_PIECES = 300_000
+#: Distinct pieces of one generation; a worker keeps two, and what is met again moves to the younger.
+CACHE_PIECES = 250_000
 PARTITION_BYTES = 32 << 20
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
@@ -62,14 +62,23 @@ class Pieces(dict):
     """Ids of pieces, as bytes; a piece not met before is encoded by the library, by its atoms."""
 
     def __init__(self, tokenizer, code: str):
-        self.tokenizer, self.code = tokenizer, code
+        self.tokenizer, self.code, self.older = tokenizer, code, {}
+
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
 
     def library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
+            older = self.copy()
             self.clear()
+            self.older = older
+        if (ids := self.older.get(piece)) is not None:
+            self[piece] = ids
+            return ids
         parts = atoms(piece)
         ids = self.library(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
         if "\n" not in piece or len(parts) == 1:  # words round a line break seldom meet again
