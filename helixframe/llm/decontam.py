@@ -27,7 +27,7 @@ from helixframe.session import ensure_importable, materialize
 WINDOW = 13
 #: Words of benchmark items that one pass over the index takes.
 BLOCK_WORDS = 1_000_000
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 _SHARD = "doc_ids array<long>, first array<long>, terms binary, counts array<int>, postings binary, hits binary, items array<array<string>>"
 _SHARD_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.list_(pa.int32())), ("postings", pa.binary()), ("hits", pa.binary()), ("items", pa.list_(pa.list_(pa.string())))])
 

@@ -37,7 +37,7 @@ PERCENT = 85
 #: Bytes of input per bucket of the exchange, and of sets in one block of a component.
 BUCKET_BYTES = 512 << 10
 #: Bytes of text in one shard: fewer shards make fewer packets.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 48 << 20
 #: Light sets have at most so many shared shingles, whatever the cost says.
 MOST_LIGHT = 14
