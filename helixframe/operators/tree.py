@@ -65,6 +65,17 @@ def placement_scores(closed: DataFrame, defining: DataFrame, calls: DataFrame) -
     return s.withColumn("score", (F.col("matched") / F.col("expected") + F.col("matched") / F.col("found")) / 2)
 
 
+def first_of_equal_paths(closed: DataFrame, defining: DataFrame) -> DataFrame:
+    """The rows of ``closed`` of each node that is the smallest with its path's positions.
+
+    Nodes with equal positions score alike for every sample, and ties go to the smaller node: the others never win.
+    """
+    on_path = closed.join(defining.select(F.col("node").alias("ancestor"), "pos"), "ancestor")
+    own = on_path.groupBy("node").agg(F.sort_array(F.collect_set("pos")).alias("_set"))
+    first = own.groupBy("_set").agg(F.min("node").alias("node")).select("node")
+    return closed.join(first, "node", "left_semi")
+
+
 def best_nodes(scores: DataFrame, n: int = 1) -> DataFrame:
     w = Window.partitionBy("sample").orderBy(F.desc(F.floor(F.col("score") * 1e9 + 0.5)), F.desc("matched"), "node")
     return scores.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)

@@ -186,7 +186,7 @@ SELECT user_id, ref, alt, ref_n, alt_n, CASE WHEN ref_n + alt_n = 0 THEN 'NoCall
   CASE WHEN ref_n + alt_n = 0 THEN 0.0 ELSE floor(alt_n / (ref_n + alt_n) * 10000 + 0.5) / 10000 END AS af FROM j"""
 )
 def force_call_sites(t: Tables) -> DataFrame:
-    sites = t.customer.where("c_custkey <= 400").select(F.col("c_custkey").alias("user_id"), F.lit("view").alias("ref"), F.lit("click").alias("alt")).distinct()
+    sites = t.customer.select(F.col("c_custkey").alias("user_id"), F.lit("view").alias("ref"), F.lit("click").alias("alt")).distinct()
     return calls.force_calls(sites, calls.base_tally(t.events, ["user_id"], "event_type").drop("depth"), ["user_id"]).withColumn("af", rounded(F.col("af")))
 
 

@@ -11,6 +11,9 @@ CUTS = {
     "pairwise_distance": SUPPLIERS,
     "nearest_members": SUPPLIERS,
     "cluster_components": SUPPLIERS,
+    "fuzzy_kit_match": (" WHERE c_custkey <= 300",),
+    "force_call_sites": (" WHERE c_custkey <= 400",),
+    "tree_score": (" WHERE node < 100000", " WHERE c.node < 100000"),
 }
 
 
