@@ -212,7 +212,7 @@ p AS (SELECT x.user_id, x.event_type AS a, y.event_type AS b FROM a x JOIN a y O
 SELECT o.user_id, a, b, floor(sum(log10((CASE WHEN event_type = a THEN 1 - e ELSE e END + CASE WHEN event_type = b THEN 1 - e ELSE e END) / 2)) * 10000 + 0.5) / 10000 AS loglik FROM o JOIN p USING (user_id) GROUP BY 1, 2, 3"""
 )
 def multiallelic_genotypes(t: Tables) -> DataFrame:
-    g = calls.allele_pairs(t.events.where("user_id % 10 = 0").select("user_id", "event_type"), ["user_id"], "event_type", F.lit(0.05))
+    g = calls.allele_pairs(t.events.select("user_id", "event_type"), ["user_id"], "event_type", F.lit(0.05))
     return g.withColumn("loglik", rounded(F.col("loglik")))
 
 
