@@ -76,13 +76,13 @@ def set_signatures(doc: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     return mix(sums[cut[1:]] - sums[cut[:-1]] + np.diff(cut).astype(np.uint64))
 
 
-def _packets(shard: int, ids: list, sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, tokens: np.ndarray, bits: int) -> pa.RecordBatch:
+def _packets(shard: int, ids: list, sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, tokens: np.ndarray, bits: int, low_bits: int = _LOW_BITS) -> pa.RecordBatch:
     """One packet for each bucket that the shard's tokens reach, and the shard's documents in a packet of bucket -1."""
     bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, doc = bucket[order], doc[order].astype("<u2")
-    low = (tokens[order] >> np.uint64(64 - bits - _LOW_BITS)) & np.uint64((1 << _LOW_BITS) - 1)
-    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    low = (tokens[order] >> np.uint64(64 - bits - low_bits)) & np.uint64((1 << low_bits) - 1)
+    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-low_bits // 8)]
     lead = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
     ends = [*lead[1:].tolist(), len(bucket)]
     rows = {"bucket": [-1], "shard": [shard], "docs": [None], "tokens": [None], "ids": [ids], "sizes": [sizes.astype("<i8").tobytes()], "sigs": [sigs.astype("<u8").tobytes()]}
@@ -122,21 +122,24 @@ def _text_packets(bits: int, size: int) -> Callable:
     return run
 
 
-def _set_packets(bits: int) -> Callable:
+def _set_packets(bits: int, bits2: int) -> Callable:
+    """Packets of sets whose tokens are what an exchange of ``bits`` left of the hashes; no more bits are lost."""
+    width = bits + _LOW_BITS
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _shard_ids()
         for b in batches:
             for i in range(0, b.num_rows, 1 << 12):
                 c = b.slice(i, 1 << 12)
                 sets = [np.frombuffer(x.as_py(), "<u8") for x in c.column("tokens")]
-                tok = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                tok = np.concatenate(sets) << np.uint64(64 - width) if sets else np.zeros(0, np.uint64)
                 doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                yield _packets(next(shards), c.column("doc_id").to_pylist(), c.column("n").to_numpy(), c.column("sig").to_numpy().view(np.uint64), doc, tok, bits)
+                yield _packets(next(shards), c.column("doc_id").to_pylist(), c.column("n").to_numpy(), c.column("sig").to_numpy().view(np.uint64), doc, tok, bits2, width - bits2)
 
     return run
 
 
-def _shared_tokens(bits: int) -> Callable:
+def _shared_tokens(low_bits: int) -> Callable:
     """Of each packet, the tokens that occur in several documents, with how common they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,8 +157,9 @@ def _shared_tokens(bits: int) -> Callable:
             return
         lengths = np.array([len(p[2]) // 2 for p in packets])
         key = np.zeros((int(lengths.sum()), 8), np.uint8)
-        key[:, :5] = np.frombuffer(b"".join(p[3] for p in packets), np.uint8).reshape(-1, 5)
-        key = key.reshape(-1).view("<u8") | np.repeat(np.array([p[0] for p in packets], np.uint64), lengths) << np.uint64(_LOW_BITS)
+        stored = -(-low_bits // 8)
+        key[:, :stored] = np.frombuffer(b"".join(p[3] for p in packets), np.uint8).reshape(-1, stored)
+        key = key.reshape(-1).view("<u8") | np.repeat(np.array([p[0] for p in packets], np.uint64), lengths) << np.uint64(low_bits)
         order = np.argsort(key)
         k = key[order]
         lead = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
@@ -211,10 +215,10 @@ def _shard_sets(percent: int) -> Callable:
     return run
 
 
-def _exchange(packets: DataFrame, bits: int, percent: int, parts: int) -> DataFrame:
+def _exchange(packets: DataFrame, percent: int, parts: int, low_bits: int = _LOW_BITS) -> DataFrame:
     # The documents of a shard pass by its own number, so that bucket -1 isn't one key.
     key = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.col("bucket").cast("long"))
-    shared = packets.repartition(parts, key).mapInArrow(tidied(_shared_tokens(bits)), _SHARED_DDL)
+    shared = packets.repartition(parts, key).mapInArrow(tidied(_shared_tokens(low_bits)), _SHARED_DDL)
     return shared.groupBy("shard").applyInArrow(_shard_sets(percent), _SET_DDL)
 
 
@@ -435,14 +439,14 @@ def jaccard_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     bits = max(4, min(20, (input_bytes(src) // BUCKET_BYTES).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
-    docs = materialize(_exchange(src.mapInArrow(tidied(_text_packets(bits, size)), _PACKET_DDL), bits, percent, parts), "sets", codec="uncompressed")
+    docs = materialize(_exchange(src.mapInArrow(tidied(_text_packets(bits, size)), _PACKET_DDL), percent, parts), "sets", codec="uncompressed")
 
     # Exact copies: the smallest document of each distinct set stands for it.
     may = docs.where(F.col("tokens").isNotNull())
     first = may.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
     distinct = may.join(first, ["sig", "doc_id"]).dropDuplicates(["sig"])
     bits2 = max(4, bits - 2)
-    sets = materialize(_exchange(distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(tidied(_set_packets(bits2)), _PACKET_DDL), bits2, percent, parts).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
+    sets = materialize(_exchange(distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(tidied(_set_packets(bits, bits2)), _PACKET_DDL), percent, parts, bits + _LOW_BITS - bits2).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
 
     # Sets that share one of their rarest shingles, as many as the prefix filter needs, and pass the size and bitmap
     # bounds. Each set goes to a group once with the shingles that belong there.

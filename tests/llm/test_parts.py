@@ -141,6 +141,19 @@ def test_heavy_light_join_equals_brute():
         assert [[comp[i] == comp[j] for j in range(i)] for i in range(len(sets))] == [[find(i) == find(j) for j in range(i)] for i in range(len(sets))]
 
 
+@pytest.mark.parametrize("bits", [4, 10, 13, 20])
+def test_second_exchange_keeps_buckets_and_token_bits(spark, bits):
+    r, bits2 = random.Random(bits), max(4, bits - 2)
+    left = sorted({r.getrandbits(bits + 40) for _ in range(300)} | {7, 8, 9, (1 << bits + 40) - 1})
+    whole = np.array(left, "<u8").tobytes()
+    df = spark.createDataFrame([(k, len(left), k, bytearray(whole)) for k in range(2)], "doc_id long, n long, sig long, tokens binary")
+    packets = df.mapInArrow(setjoin._set_packets(bits, bits2), setjoin._PACKET_DDL)
+    buckets = {x.bucket for x in packets.where("bucket >= 0").select("bucket").distinct().collect()}
+    assert buckets == {t >> bits + 40 - bits2 for t in left}
+    sets = setjoin._exchange(packets, 85, 4, bits + 40 - bits2).collect()
+    assert len(sets) == 2 and all(sorted(np.frombuffer(x.tokens, "<u8").tolist()) == left for x in sets)
+
+
 def test_large_components_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK_BYTES", 2000)
     r = random.Random(9)
