@@ -5,10 +5,10 @@ entities. The corpus then tells which terms give an entity away: for a term t in
 
     disclosure(t, e) = PMI(e; t) / IC(e) = log(P(e | t) / P(e)) / log(1 / P(e)),
 
-the share of the entity's information content that the term reveals. P(e | t) is the number of distinct contexts of
-e that hold t over the number of documents that hold t; P(e) counts the distinct contexts of e over all documents.
-Distinct contexts, so that copies of one document are one piece of evidence. A term above ``GENERALISE`` in
-``MIN_CONTEXTS`` contexts or more is generalised to its class, one above ``REMOVE`` is removed, wherever it occurs.
+the share of the entity's information content that the term reveals. P(e | t) is the number of distinct texts with t
+in a context of e over the number of distinct texts that hold t; P(e) is that of distinct texts with e over all.
+Distinct texts on both sides, so that copies of one document are one piece of evidence. A term above ``GENERALISE`` in
+``MIN_CONTEXTS`` texts or more is generalised to its class, one above ``REMOVE`` is removed, wherever it occurs.
 
 Patterns are written with possessive repetition and start guards: they accept what the plain ones accept, without
 recursion or quadratic search on long runs.
@@ -114,29 +114,31 @@ def words(text: Column) -> Column:
 
 
 def contexts(spanned: DataFrame, text: str) -> DataFrame:
-    """(entity, terms): distinct contexts of each entity, as the sorted distinct words near it."""
+    """(entity, terms): each entity of each row, with the distinct words near its places there."""
     t = F.coalesce(F.col(text), F.lit(""))
     spans = F.concat(*(_entities(k) for k, _, _ in KINDS))
-    hit = spanned.where(F.size(spans) > 0).select(t.alias("t"), F.explode(spans).alias("x"))
+    hit = spanned.where(F.size(spans) > 0).select(F.monotonically_increasing_id().alias("row"), t.alias("t"), F.explode(spans).alias("x"))
     lo = F.greatest(F.col("x.s") - CONTEXT_CHARS, F.lit(0))
     before = words(F.substring("t", lo + 1, F.col("x.s") - lo))
     after = words(F.substring(F.col("t"), F.col("x.e") + 1, F.lit(CONTEXT_CHARS)))
     # The word that the cut may have split is the first of a full window before, the last of one after.
     before = F.when(lo > 0, F.slice(before, 2, 10_000)).otherwise(before)
     near = F.concat(F.reverse(F.slice(F.reverse(before), 1, CONTEXT_WORDS)), F.slice(after, 1, CONTEXT_WORDS))
-    return hit.select(F.col("x.entity").alias("entity"), F.sort_array(F.array_distinct(near)).alias("terms")).distinct()
+    placed = hit.select("row", F.col("x.entity").alias("entity"), F.array_distinct(near).alias("terms"))
+    return placed.groupBy("row", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).drop("row")
 
 
-def disclosing_terms(df: DataFrame, spanned: DataFrame, text: str = "text", generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+def disclosing_terms(df: DataFrame, text: str = "text", generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
     """(term, disclosure): terms that reveal some entity, by the statistics of the whole corpus."""
-    seen = materialize(contexts(spanned, text), "pii-contexts")
+    texts = materialize(df.select(F.coalesce(F.col(text), F.lit("")).alias("text")).distinct(), "pii-texts")
+    seen = materialize(contexts(base_spans(texts), "text"), "pii-contexts")
     entity = seen.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_contexts)
     pairs = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= min_contexts)
     pairs = materialize(pairs.join(entity, "entity"), "pii-pairs")
     if pairs.limit(1).count() == 0:
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
-    n_docs = df.count()
-    terms = df.select(F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    n_docs = texts.count()
+    terms = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     frequent = terms.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_contexts)
     p_e = F.least(F.col("n_e") / n_docs, F.lit(0.5))
     p_et = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
@@ -165,10 +167,9 @@ def term_spans(df: DataFrame, flagged: DataFrame, text: str, key: str) -> DataFr
 def find_personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``df`` with the spans of the four base kinds and of disclosing terms."""
     plain = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    spanned = base_spans(plain)
-    flagged = materialize(disclosing_terms(plain, spanned), "pii-terms")
+    flagged = materialize(disclosing_terms(plain), "pii-terms")
     if flagged.limit(1).count() == 0:
-        return spanned.withColumn("_term", F.array().cast("array<struct<s:int,e:int,d:double>>"))
+        return base_spans(plain).withColumn("_term", F.array().cast("array<struct<s:int,e:int,d:double>>"))
     return base_spans(term_spans(plain, flagged, "text", "doc_id"))
 
 

@@ -215,6 +215,15 @@ def test_disclosing_terms(spark):
     assert "smithers" not in clean[0] and "[email]" in clean[0] and "today" in clean[0] and clean[100] == docs[6][1]
 
 
+def test_copies_and_footers_disclose_alike(spark):
+    docs = [f"note {k} by smithers today: w.smith@mail.example and more text {k * 7}" for k in range(3)] * 300
+    docs += [f"letter {k}x {k * 3} {k * 5}\n" + "so it is as it was then and ever. " * 6 + "Ask for jeeves at bertie@mail.example any day" for k in range(40)]
+    docs += [f"common words today and more text number {k}" for k in range(2000)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    told = {r.term: r.disclosure for r in pii.disclosing_terms(df).collect()}
+    assert told["smithers"] == pytest.approx(1) and told["jeeves"] == pytest.approx(1)
+
+
 @pytest.mark.parametrize("text,wanted", [("9" * 30_000, 0), ("1-" * 30_000 + "1", 0), ("a." * 30_000 + "@b.c", 1), ("+1" + " " * 40_000 + "2", 0)])
 def test_long_runs_do_not_overflow(spark, text, wanted):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
