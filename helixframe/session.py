@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,13 +33,45 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Tables written by the operators that run now, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def settled(name: str) -> Callable:
+    """Of an operator with a narrow result: write the result, then delete the tables that led to it."""
+
+    def wrap(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        @functools.wraps(operator)
+        def run(*args, **kwargs) -> DataFrame:
+            _WRITTEN.append([])
+            try:
+                out = operator(*args, **kwargs)
+            finally:
+                before = _WRITTEN.pop()
+            out = materialize(out, name)
+            for path in before:
+                remove(out.sparkSession, path)
+            return out
+
+        return run
+
+    return wrap
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
