@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.words import chunks, table_alnum, tidied, utf8, word_hashes, word_spans
-from helixframe.session import ensure_importable, materialize
+from helixframe.session import ensure_importable, materialize, settled
 
 WINDOW = 13
 #: Words of benchmark items that one pass over the index takes.
@@ -258,6 +258,7 @@ def report(index: DataFrame) -> DataFrame:
     return index.select("doc_ids", "first", "hits", "items").mapInArrow(tidied(run), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
 
 
+@settled("contamination")
 def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``report`` of every document of ``df`` against every item of ``items``."""
     spark = df.sparkSession

@@ -3,47 +3,54 @@
 Documents are aggregated by membership pattern (the set of sources that hold them). A small graph routes words:
 pattern -> (first copy at cost 0, second copy at cost 1) -> sources -> quota. Successive shortest paths give the
 cheapest routing, so repetition is used only where a quota can't be met otherwise. Then each pattern takes every
-document a whole number of times plus a seeded subset once more, chosen by hash so that reruns agree.
+document a whole number of times plus a seeded subset once more: those up to a cut in the order of a hash, and a few
+that fill what is still missing. Reruns agree.
 
-Edge cases: a null text has size 0; a null source is a source of its own and sorts last; repeated rows are rows;
+Edge cases: a null text has size 0; texts of any length count whole; extra columns of any name pass through; a null source is a source of its own and sorts last; repeated rows are rows;
 an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from helixframe.llm.words import chunks, table_nonspace, tidied, utf8, word_spans
-from helixframe.session import ensure_importable, materialize
+from helixframe.llm.words import chunks, table_nonspace, utf8, word_spans
+from helixframe.session import ensure_importable, materialize, settled
 
 SHARE = 1.5
 MOST_COPIES = 2
 WEIGHTS = (3, 1, 2)
 SEED = 20240
-#: Hash buckets for choosing the seeded subset; only the one bucket at the edge is looked at by rows.
-BUCKETS = 4096
-#: Patterns that the flow is solved for on the driver; more are refused, never dropped.
+#: Bits of a document's place in the seeded order, and bits that one round looks at.
+PLACE_BITS, STEP_BITS = 60, 12
+#: Documents that may fill a pattern's gap after the cut.
+FILL_ROUNDS = 5
+#: Patterns of overlapping sources that the flow is solved for on the driver; more are refused, never dropped.
 MAX_PATTERNS = 20_000
 
 
-def word_counts(df: DataFrame, text: str, out: str = "size") -> DataFrame:
-    """``df`` without its text, with the number of whitespace-separated words."""
-    ensure_importable(df.sparkSession)
-    rest = [c for c in df.columns if c != text]
+class Plan(NamedTuple):
+    """What decides every document's copies: one small row a membership pattern, and the documents that fill gaps."""
+
+    patterns: DataFrame
+    fills: DataFrame
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = utf8(b.column(text))
-            n = [np.diff(word_spans(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], table_nonspace())[2]) for i, j in chunks(offs)]
-            n = np.concatenate(n) if n else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(n.astype(np.int64))], names=[*rest, out])
+def _words(column: Column) -> Column:
+    """Number of whitespace-separated words, whole texts, null counts 0."""
 
-    return df.mapInArrow(tidied(run), df.select(*rest, F.lit(0).cast("long").alias(out)).schema)
+    @F.arrow_udf("long")
+    def count(texts: pa.Array) -> pa.Array:
+        data, offs = utf8(texts)
+        n = [np.diff(word_spans(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], table_nonspace())[2]) for i, j in chunks(offs)]
+        return pa.array(np.concatenate(n).astype(np.int64) if n else np.zeros(0, np.int64))
+
+    return count(column)
 
 
 def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> list[float]:
@@ -114,65 +121,130 @@ def min_cost_flow(supply: list[float], members: list[list[int]], quota: list[flo
     return flow
 
 
-def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies, taken.
-
-    ``source`` may be a string column or an array of strings for documents that several sources hold.
-    """
-    spark = df.sparkSession
+def _described(df: DataFrame, text: str, doc_id: str, source: str, seed: int) -> DataFrame:
+    """(row, doc_id, held, key, size, u): u is a place in [0, 2**60) that doc_id, text and seed give."""
+    ensure_importable(df.sparkSession)
     many = dict(df.dtypes)[source].startswith("array")
     held = F.coalesce(F.sort_array(F.array_distinct(F.col(source))), F.array(F.lit(None).cast("string"))) if many else F.array(F.col(source))
-    sized = materialize(word_counts(df.select(F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), F.col(text).alias("_text")), "_text"), "mix-sizes")
-    keyed = sized.withColumn("h", F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("size"), F.lit(seed))).withColumn("b", F.pmod("h", F.lit(BUCKETS)))
-    patterns = keyed.groupBy("held").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
-    if len(patterns) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
-    patterns.sort(key=lambda r: [(x is None, x or "") for x in r.held])
-    names = sorted({x for r in patterns for x in r.held}, key=lambda x: (x is None, x or ""))
+    place = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), 64 - PLACE_BITS)
+    out = df.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), place.alias("u"), _words(F.col(text)).alias("size"))
+    # Elements may be null, so patterns are compared as text.
+    return out.withColumn("key", F.to_json(F.struct(F.col("held").alias("x"))))
+
+
+def _quotas(spark: SparkSession, sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """(key, whole, extra, source_size, target) of every membership pattern.
+
+    A source without overlap is its own flow: its pattern sends its quota. Only patterns of sources that overlap are
+    routed together, up to ``MAX_PATTERNS`` of them.
+    """
+    found = sized.groupBy("key").agg(F.first("held").alias("held"), F.sum("size").alias("words")).toLocalIterator()
+    patterns = sorted(((r.key, r.held, int(r.words)) for r in found), key=lambda r: [(x is None, x or "") for x in r[1]])
+    names = sorted({x for _, held, _ in patterns for x in held}, key=lambda x: (x is None, x or ""))
     index = {x: i for i, x in enumerate(names)}
-    members = [[index[x] for x in r.held] for r in patterns]
-    supply = [int(r.words) for r in patterns]
+    members = [[index[x] for x in held] for _, held, _ in patterns]
     sizes = [0] * len(names)
-    for words, ms in zip(supply, members, strict=True):
+    for (_, _, words), ms in zip(patterns, members, strict=True):
         for s in ms:
             sizes[s] += words
     quota = targets(sizes, weights, share, most)
-    flow = min_cost_flow([float(x) for x in supply], members, quota, most)
-    sent = [0.0] * len(patterns)
+    shared = {s for ms in members if len(ms) > 1 for s in ms}
+    routed = [k for k, ms in enumerate(members) if shared.intersection(ms)]
+    if len(routed) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} membership patterns of overlapping sources")
+    sent = [min(quota[ms[0]], float(most * words)) for ms, (_, _, words) in zip(members, patterns, strict=True)]
+    for k in routed:
+        sent[k] = 0.0
+    flow = min_cost_flow([float(patterns[k][2]) for k in routed], [members[k] for k in routed], quota, most)
     for (p, _), x in flow.items():
-        sent[p] += x
+        sent[routed[p]] += x
     rows = []
-    for k, r in enumerate(patterns):
-        ratio = sent[k] / supply[k] if supply[k] else 0.0
-        whole = min(int(ratio + 1e-9), most)
-        extra = 0.0 if whole == most else max(0.0, sent[k] - whole * supply[k])
-        rows.append((k, r.held, whole, extra, float(sum(sizes[s] for s in members[k])), float(sum(quota[s] for s in members[k]))))
-    plan = spark.createDataFrame(rows, "p int, held array<string>, whole int, extra double, source_size double, target double")
-
-    # The bucket in which the running total of words passes the extra, by pattern: BUCKETS rows a pattern at most.
-    plan = F.broadcast(plan)
-    same = lambda a, b: F.to_json(F.struct(a.alias("x"))) == F.to_json(F.struct(b.alias("x")))  # noqa: E731  null-safe on elements
-    docs = keyed.alias("a").join(plan.alias("q"), same(F.col("a.held"), F.col("q.held"))).select("doc_id", "a.held", "size", "h", "b", "p", "whole", "extra", "source_size", "target")
-    # Documents larger than all that is missing can't be taken once more.
-    fits = F.col("size") <= F.col("extra")
-    before = F.sum("words").over(Window.partitionBy("p").orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    edges = docs.where(fits).groupBy("p", "b").agg(F.sum("size").alias("words"), F.first("extra").alias("extra")).withColumn("before", F.coalesce(before, F.lit(0)))
-    edge = edges.where((F.col("before") <= F.col("extra")) & (F.col("before") + F.col("words") > F.col("extra"))).groupBy("p").agg(F.min("b").alias("edge"), F.min_by("before", "b").alias("before")).collect()
-    if edge:
-        cut = spark.createDataFrame([(r.p, r.edge, float(r.before)) for r in edge], "p int, edge long, before double")
-    else:
-        cut = spark.createDataFrame([], "p int, edge long, before double")
-    docs = docs.join(F.broadcast(cut), "p", "left")
-    # Rows of the edge bucket alone are ordered, one in BUCKETS of a pattern's documents.
-    inside = docs.where(fits & (F.col("b") == F.col("edge")))
-    run = F.sum("size").over(Window.partitionBy("p").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    inside = inside.withColumn("again", F.col("before") + run <= F.col("extra"))
-    outside = docs.where(~fits | F.col("edge").isNull() | (F.col("b") != F.col("edge"))).withColumn("again", fits & (F.col("extra") > 0) & F.coalesce(F.col("b") < F.col("edge"), F.lit(True)))
-    chosen = inside.unionByName(outside)
-    # What is still missing goes to the one document whose size comes nearest to it, ties by hash.
-    gaps = F.broadcast(chosen.groupBy("p").agg((F.first("extra") - F.sum(F.when(F.col("again"), F.col("size")).otherwise(0))).alias("gap")))
-    rest = chosen.join(gaps, "p").withColumn("near", F.when(~F.col("again") & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.floor(F.abs(F.col("gap") - F.col("size"))) * (1 << 20) + F.pmod("h", F.lit(1 << 20))))
-    fill = F.broadcast(rest.groupBy("p").agg(F.min("near").alias("fill")))
-    chosen = rest.join(fill, "p").withColumn("again", F.col("again") | F.coalesce(F.col("near") == F.col("fill"), F.lit(False)))
-    copies = F.col("whole") + F.when(F.col("again"), 1).otherwise(0)
-    return chosen.select("doc_id", F.col("held").alias("sources"), "size", F.col("source_size").cast("long").alias("source_size"), "target", copies.cast("int").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+    for (key, _, words), ms, x in zip(patterns, members, sent, strict=True):
+        whole = min(int(x / words + 1e-9), most) if words else 0
+        extra = 0.0 if whole == most else max(0.0, x - whole * words)
+        rows.append((key, whole, extra, sum(sizes[s] for s in ms), float(sum(quota[s] for s in ms))))
+    return spark.createDataFrame(rows, "key string, whole int, extra double, source_size long, target double")
+
+
+def _cuts(sized: DataFrame, quotas: DataFrame) -> DataFrame:
+    """``quotas`` with ``cut``, the place up to which documents that fit are taken once more, and their words.
+
+    Twelve bits of the place a round: words are summed by bucket, and the bucket in which the running total passes
+    what is wanted is opened in the next round. No bucket is ever ordered by rows.
+    """
+    state = quotas.withColumn("prefix", F.when(F.col("extra") > 0, F.lit(0).cast("long"))).withColumn("before", F.lit(0).cast("long")).withColumn("cut", F.lit(0).cast("long"))
+    running = F.sum("words").over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    for level in range(PLACE_BITS // STEP_BITS):
+        shift = PLACE_BITS - STEP_BITS * (level + 1)
+        open_ = state.where(F.col("prefix").isNotNull()).select("key", "extra", "prefix", "before")
+        bucket = F.shiftright("u", shift)
+        inside = sized.join(open_, "key").where((F.col("size") <= F.col("extra")) & (F.shiftright("u", shift + STEP_BITS) == F.col("prefix")))
+        sums = inside.groupBy("key", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.first("extra").alias("extra"), F.first("before").alias("before"))
+        sums = sums.withColumn("before", F.col("before") + F.coalesce(running, F.lit(0)))
+        over = F.col("before") + F.col("words") > F.col("extra")
+        edge = F.min_by(F.struct("bucket", "before", "n"), F.when(over, F.col("bucket")))
+        # Without an edge all documents that fit are taken.
+        step = sums.groupBy("key").agg(edge.alias("e"), F.max(F.col("before") + F.col("words")).alias("all"))
+        more = F.col("e.n") > 1
+        step = step.select("key", F.when(more, F.col("e.bucket")).alias("p2"), F.coalesce("e.before", "all").alias("b2"), F.when(F.col("e").isNull(), F.lit(1 << PLACE_BITS)).otherwise(F.shiftleft("e.bucket", shift)).alias("c2"))
+        state = state.join(step, "key", "left").select(*quotas.columns, F.when(F.col("prefix").isNotNull(), F.col("p2")).alias("prefix"), F.coalesce("b2", "before").alias("before"), F.coalesce("c2", "cut").alias("cut"))
+        state = materialize(state, "mix-cuts")
+        if state.where(F.col("prefix").isNotNull()).limit(1).count() == 0:
+            break
+    return state.drop("prefix")
+
+
+def _fills(sized: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(key, u, size, doc_id) of the documents past the cut that fill what is still missing, largest first.
+
+    A round adds the largest document that isn't too large to each pattern; the last one the nearest in size.
+    """
+    gaps = cuts.select("key", "cut", F.col("extra").alias("most"), (F.col("extra") - F.col("before")).alias("gap"))
+    chosen = None
+    for k in range(FILL_ROUNDS):
+        wanted = (F.col("size") > 0) & (F.col("size") <= F.col("most")) & (F.col("u") >= F.col("cut"))
+        rest = sized.join(gaps.where("gap >= 0.5"), "key").where(wanted)
+        if chosen is not None:
+            rest = rest.join(F.broadcast(chosen.select("key", "u", "size")), ["key", "u", "size"], "left_anti")
+        if k < FILL_ROUNDS - 1:
+            rest, order = rest.where("size <= gap"), F.struct("size", "u")
+        else:
+            rest, order = rest.where("abs(gap - size) < gap"), F.struct(-F.abs(F.col("gap") - F.col("size")), "u")
+        more = rest.groupBy("key").agg(F.max_by(F.struct("u", "size", "doc_id"), order).alias("f")).select("key", "f.*")
+        chosen = materialize(more if chosen is None else chosen.union(more), "mix-fills")
+        filled = chosen.groupBy("key").agg(F.sum("size").alias("filled"))
+        gaps = cuts.join(F.broadcast(filled), "key", "left").select("key", "cut", F.col("extra").alias("most"), (F.col("extra") - F.col("before") - F.coalesce("filled", F.lit(0))).alias("gap"))
+    return chosen
+
+
+def _with_copies(described: DataFrame, plan: Plan) -> DataFrame:
+    """``described`` with copies, source_size and target: a map over documents while the plan is small."""
+    fills = plan.fills.select("key", "u", "size", F.lit(True).alias("filled"))
+    out = described.join(plan.patterns, "key").join(fills, ["key", "u", "size"], "left")
+    again = ((F.col("size") <= F.col("extra")) & (F.col("u") < F.col("cut"))) | F.coalesce("filled", F.lit(False))
+    return out.withColumn("copies", (F.col("whole") + F.when(again, 1).otherwise(0)).cast("int"))
+
+
+def _plan(described: DataFrame, weights: tuple[int, ...], share: float, most: int) -> Plan:
+    sized = materialize(described.drop("row"), "mix-sizes")
+    cuts = _cuts(sized, _quotas(described.sparkSession, sized, weights, share, most))
+    return Plan(cuts, _fills(sized, cuts).dropDuplicates(["key", "u", "size"]))
+
+
+@settled("mix")
+def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
+    """Per document: doc_id, sources, size, source_size, target, copies, taken.
+
+    ``source`` may be a string column or an array of strings for documents that several sources hold.
+    """
+    described = _described(df, text, doc_id, source, seed).drop("row")
+    sized = materialize(described, "mix-described")
+    out = _with_copies(sized, _plan(sized, weights, share, most))
+    return out.select("doc_id", F.col("held").alias("sources"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mix_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
+    """The rows of ``df``, as many times as the mix takes each. Texts aren't shuffled."""
+    described = _described(df, text, doc_id, source, seed)
+    out = _with_copies(described, _plan(described, weights, share, most))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("copy > 0").select("row.*")

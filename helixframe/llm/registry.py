@@ -11,9 +11,11 @@ from helixframe.session import table
 
 
 def prepare(spark: SparkSession) -> None:
-    """Batches that keep a Python worker's memory at some tens of MB whatever the texts' lengths."""
+    """Batches that keep a Python worker's memory at some tens of MB whatever the texts' lengths; shuffle files that
+    go when the write that needed them ends."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@
    are followed breadth first over sets not reached yet, so a dense group costs a few scans, not all its pairs.
 
 Edge cases: null or empty texts have no shingles and link with nothing; rows with a null doc_id keep their count and
-get a null component; rows that share a doc_id share a component when their texts do; an empty table gives none.
+get a null component, but link others; rows that share a doc_id share a component when their texts do; texts of any
+length are whole sets; extra columns of any name are left out; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm.components import connected_components
 from helixframe.llm.words import chunks, gram_hashes, mix, table_nonspace, tidied, utf8, within_docs, word_hashes, word_spans
-from helixframe.session import ensure_importable, materialize
+from helixframe.session import ensure_importable, materialize, settled
 
 SHINGLE = 4
 PERCENT = 85
@@ -41,7 +42,6 @@ SHARD_BYTES = 1 << 20
 BLOCK_BYTES = 48 << 20
 #: Light sets have at most so many shared shingles, whatever the cost says.
 MOST_LIGHT = 14
-_LOW_BITS = 40
 
 _PACKET = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("docs", pa.binary()), ("tokens", pa.binary()), ("ids", pa.list_(pa.int64())), ("sizes", pa.binary()), ("sigs", pa.binary())])
 _PACKET_DDL = "bucket int, shard long, docs binary, tokens binary, ids array<long>, sizes binary, sigs binary"
@@ -76,13 +76,16 @@ def set_signatures(doc: np.ndarray, tokens: np.ndarray, n: int) -> np.ndarray:
     return mix(sums[cut[1:]] - sums[cut[:-1]] + np.diff(cut).astype(np.uint64))
 
 
-def _packets(shard: int, ids: list, sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, tokens: np.ndarray, bits: int, low_bits: int = _LOW_BITS) -> pa.RecordBatch:
-    """One packet for each bucket that the shard's tokens reach, and the shard's documents in a packet of bucket -1."""
+def _packets(shard: int, ids: list, sizes: np.ndarray, sigs: np.ndarray, doc: np.ndarray, tokens: np.ndarray, bits: int) -> pa.RecordBatch:
+    """One packet for each bucket that the shard's tokens reach, and the shard's documents in a packet of bucket -1.
+
+    A bucket is the first ``bits`` bits of a token; a packet holds all the others, in whole bytes.
+    """
     bucket = (tokens >> np.uint64(64 - bits)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     bucket, doc = bucket[order], doc[order].astype("<u2")
-    low = (tokens[order] >> np.uint64(64 - bits - low_bits)) & np.uint64((1 << low_bits) - 1)
-    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-low_bits // 8)]
+    low = tokens[order] & np.uint64((1 << 64 - bits) - 1)
+    raw = low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-(64 - bits) // 8)]
     lead = np.flatnonzero(np.diff(bucket, prepend=-1)) if len(bucket) else np.zeros(0, np.int64)
     ends = [*lead[1:].tolist(), len(bucket)]
     rows = {"bucket": [-1], "shard": [shard], "docs": [None], "tokens": [None], "ids": [ids], "sizes": [sizes.astype("<i8").tobytes()], "sigs": [sigs.astype("<u8").tobytes()]}
@@ -122,9 +125,8 @@ def _text_packets(bits: int, size: int) -> Callable:
     return run
 
 
-def _set_packets(bits: int, bits2: int) -> Callable:
-    """Packets of sets whose tokens are what an exchange of ``bits`` left of the hashes; no more bits are lost."""
-    width = bits + _LOW_BITS
+def _set_packets(bits: int) -> Callable:
+    """Packets of sets that an exchange gave."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _shard_ids()
@@ -132,14 +134,14 @@ def _set_packets(bits: int, bits2: int) -> Callable:
             for i in range(0, b.num_rows, 1 << 12):
                 c = b.slice(i, 1 << 12)
                 sets = [np.frombuffer(x.as_py(), "<u8") for x in c.column("tokens")]
-                tok = np.concatenate(sets) << np.uint64(64 - width) if sets else np.zeros(0, np.uint64)
+                tok = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 doc = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-                yield _packets(next(shards), c.column("doc_id").to_pylist(), c.column("n").to_numpy(), c.column("sig").to_numpy().view(np.uint64), doc, tok, bits2, width - bits2)
+                yield _packets(next(shards), c.column("doc_id").to_pylist(), c.column("n").to_numpy(), c.column("sig").to_numpy().view(np.uint64), doc, tok, bits)
 
     return run
 
 
-def _shared_tokens(low_bits: int) -> Callable:
+def _shared_tokens(bits: int) -> Callable:
     """Of each packet, the tokens that occur in several documents, with how common they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,9 +159,9 @@ def _shared_tokens(low_bits: int) -> Callable:
             return
         lengths = np.array([len(p[2]) // 2 for p in packets])
         key = np.zeros((int(lengths.sum()), 8), np.uint8)
-        stored = -(-low_bits // 8)
+        stored = -(-(64 - bits) // 8)
         key[:, :stored] = np.frombuffer(b"".join(p[3] for p in packets), np.uint8).reshape(-1, stored)
-        key = key.reshape(-1).view("<u8") | np.repeat(np.array([p[0] for p in packets], np.uint64), lengths) << np.uint64(low_bits)
+        key = key.reshape(-1).view("<u8") | np.repeat(np.array([p[0] for p in packets], np.uint64), lengths) << np.uint64(64 - bits)
         order = np.argsort(key)
         k = key[order]
         lead = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
@@ -215,10 +217,10 @@ def _shard_sets(percent: int) -> Callable:
     return run
 
 
-def _exchange(packets: DataFrame, percent: int, parts: int, low_bits: int = _LOW_BITS) -> DataFrame:
+def _exchange(packets: DataFrame, percent: int, parts: int, bits: int) -> DataFrame:
     # The documents of a shard pass by its own number, so that bucket -1 isn't one key.
     key = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.col("bucket").cast("long"))
-    shared = packets.repartition(parts, key).mapInArrow(tidied(_shared_tokens(low_bits)), _SHARED_DDL)
+    shared = packets.repartition(parts, key).mapInArrow(tidied(_shared_tokens(bits)), _SHARED_DDL)
     return shared.groupBy("shard").applyInArrow(_shard_sets(percent), _SET_DDL)
 
 
@@ -432,6 +434,7 @@ def _link(percent: int) -> Callable:
     return run
 
 
+@settled("jaccard-classes")
 def jaccard_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``df``."""
     spark = df.sparkSession
@@ -439,14 +442,15 @@ def jaccard_classes(df: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     src = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("t"))
     bits = max(4, min(20, (input_bytes(src) // BUCKET_BYTES).bit_length()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
-    docs = materialize(_exchange(src.mapInArrow(tidied(_text_packets(bits, size)), _PACKET_DDL), percent, parts), "sets", codec="uncompressed")
+    docs = materialize(_exchange(src.mapInArrow(tidied(_text_packets(bits, size)), _PACKET_DDL), percent, parts, bits), "sets", codec="uncompressed")
 
     # Exact copies: the smallest document of each distinct set stands for it.
-    may = docs.where(F.col("tokens").isNotNull())
-    first = may.groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    distinct = may.join(first, ["sig", "doc_id"]).dropDuplicates(["sig"])
+    may = docs.where(F.col("tokens").isNotNull()).withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    first = may.groupBy("sig").agg(F.min("k").alias("k"))
+    distinct = may.join(first, ["sig", "k"]).dropDuplicates(["sig"])
     bits2 = max(4, bits - 2)
-    sets = materialize(_exchange(distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(tidied(_set_packets(bits, bits2)), _PACKET_DDL), percent, parts, bits + _LOW_BITS - bits2).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
+    again = distinct.select("doc_id", "n", "sig", "tokens").mapInArrow(tidied(_set_packets(bits2)), _PACKET_DDL)
+    sets = materialize(_exchange(again, percent, parts, bits2).where(F.col("tokens").isNotNull()), "near-sets", codec="uncompressed")
 
     # Sets that share one of their rarest shingles, as many as the prefix filter needs, and pass the size and bitmap
     # bounds. Each set goes to a group once with the shingles that belong there.

@@ -6,16 +6,19 @@ doc_id and number of ids of each document. Ids are stored as ranks: the id found
 ids take one byte. ``ranks`` is stored beside the blocks. Decoding looks control bytes up in a 256-row table and
 gathers with numpy; no loop runs over ids.
 
-Texts are encoded once, by the tokenizers library. Its pre-tokenizer starts a new piece at every single space that
-stands between two non-space characters, so such texts are cut there and equal pieces are encoded once a worker;
-texts with any other run of white space go to the library whole. ``encode_texts`` is tested against the library.
+Texts are encoded once, by the tokenizers library. Its byte-level pre-tokenizer starts a new piece at every single
+space that stands between two non-space characters, so such texts are cut there and equal pieces are encoded once a
+worker: a word of Latin letters, one piece for sure, by the library's model, anything else by the whole library.
+Texts with any other run of white space, and all texts if the tokenizer isn't of that kind, go to the library whole.
+``encode_texts`` is tested against the library.
 
-Edge cases: null or empty texts give the end id alone; rows with equal doc_id are ordered by their ids, null
+Edge cases: texts of any length are encoded whole; extra columns of any name are left out; null or empty texts give the end id alone; rows with equal doc_id are ordered by their ids, null
 doc_ids come first; an empty table gives no blocks.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -29,14 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.words import CACHES, tidied
-from helixframe.session import ensure_importable, materialize, scratch_path
+from helixframe.session import ensure_importable, remove, scratch_path
 
 END_ID = 2
 #: Ids of one block, so that readers hold a few MB.
 BLOCK_IDS = 1 << 20
 #: Distinct pieces of one generation; a worker keeps two, and what is met again moves to the younger.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 200_000
 PARTITION_BYTES = 32 << 20
+#: Letters below this code point are the same in every version of Unicode.
+LATIN = 0x250
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
 
@@ -63,6 +68,9 @@ class Pieces(dict):
 
     def __init__(self, tokenizer, code: str):
         self.tokenizer, self.code, self.older = tokenizer, code, {}
+        self.model, as_bytes = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
+        self.letters = {ord(c): as_bytes(c)[0][0] for c in map(chr, range(LATIN)) if c.isalpha()}
+        self.letters[ord(" ")] = as_bytes(" a")[0][0][:-1]
 
     def clear(self) -> None:
         super().clear()
@@ -71,6 +79,13 @@ class Pieces(dict):
     def library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def word(self, piece: str) -> bytes | None:
+        """Ids of a word of Latin letters, with or without a space before it; null for other pieces."""
+        body = piece[1:] if piece[:1] == " " else piece
+        if body.isalpha() and max(body) < chr(LATIN):
+            return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
+        return None
+
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_PIECES:
             older = self.copy()
@@ -80,7 +95,10 @@ class Pieces(dict):
             self[piece] = ids
             return ids
         parts = atoms(piece)
-        ids = self.library(piece) if len(parts) == 1 else b"".join(map(self.__getitem__, parts))
+        if len(parts) > 1:
+            ids = b"".join(map(self.__getitem__, parts))
+        elif (ids := self.word(piece)) is None:
+            ids = self.library(piece)
         if "\n" not in piece or len(parts) == 1:  # words round a line break seldom meet again
             self[piece] = ids
         return ids
@@ -104,10 +122,16 @@ class Encoder:
 
         t = Tokenizer.from_file(path)
         self.width = np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32
-        self.pieces = Pieces(t, "H" if self.width == np.uint16 else "I")
+        kind = json.loads(t.to_str())
+        cut = kind["pre_tokenizer"] or {}
+        self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not kind["normalizer"]
+        self.library = t
+        self.pieces = Pieces(t, "H" if self.width == np.uint16 else "I") if self.cuts else {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out = []
+        if not self.cuts:
+            return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.width) for t in texts]
         for t in texts:
             if _spaces_touch(t):
                 ids = self.pieces.library(t)
@@ -204,7 +228,9 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str | None = None, te
     tokenizer = tokenizer or default_tokenizer()
     vocab = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1)
     wide = vocab > 1 << 16
-    encoded = materialize(encode_texts(df, tokenizer, text, doc_id, end_id), "token-ids", codec="uncompressed")
+    raw = f"{path}/encoded"
+    encode_texts(df, tokenizer, text, doc_id, end_id).write.option("compression", "uncompressed").parquet(raw)
+    encoded = spark.read.schema("doc_id long, n long, crc long, ids binary").parquet(raw)
     counts = id_counts(encoded, vocab, wide)
     by_rank = np.argsort(-counts, kind="stable")
     rank = np.empty(vocab, np.uint32)
@@ -243,6 +269,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str | None = None, te
 
     ordered.select("doc_id", "ids").mapInArrow(tidied(run), _BLOCK).write.option("compression", "zstd").parquet(f"{path}/blocks")
     spark.createDataFrame([(np.asarray(by_rank, "<u4").tobytes(),)], "ids binary").coalesce(1).write.parquet(f"{path}/ranks")
+    remove(spark, raw)
     return {"path": path, "vocab": vocab, "ids": int(counts.sum())}
 
 

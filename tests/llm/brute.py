@@ -126,13 +126,13 @@ def licenses(docs):
     return out
 
 
-def shingles(t):
+def shingles(t, size=4):
     w = BLACK.findall(low(t))
-    return frozenset(tuple(w[k : k + 4]) for k in range(len(w) - 3)) if len(w) >= 4 else (frozenset([tuple(w)]) if w else frozenset())
+    return frozenset(tuple(w[k : k + size]) for k in range(len(w) - size + 1)) if len(w) >= size else (frozenset([tuple(w)]) if w else frozenset())
 
 
-def jaccard(docs):
-    sets = [shingles(t) for _, t in docs]
+def jaccard(docs, size=4, percent=85):
+    sets = [shingles(t, size) for _, t in docs]
     ids = [i for i, _ in docs]
     root = list(range(len(docs)))
 
@@ -148,7 +148,7 @@ def jaccard(docs):
     for k, s in enumerate(sets):
         near = Counter(j for g in s for j in by[g] if j < k)
         for j, n in near.items():
-            if 100 * n >= 85 * (len(s) + len(sets[j]) - n):
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
                 root[find(k)] = find(j)
     low_ = {}
     for k, i in enumerate(ids):

@@ -141,19 +141,39 @@ def test_heavy_light_join_equals_brute():
         assert [[comp[i] == comp[j] for j in range(i)] for i in range(len(sets))] == [[find(i) == find(j) for j in range(i)] for i in range(len(sets))]
 
 
-@pytest.mark.parametrize("bits", [4, 10, 13, 20])
-def test_second_exchange_keeps_buckets_and_token_bits(spark, bits):
-    r, bits2 = random.Random(bits), max(4, bits - 2)
-    left = sorted({r.getrandbits(bits + 40) for _ in range(300)} | {7, 8, 9, (1 << bits + 40) - 1})
+@pytest.mark.parametrize("bits", [4, 8, 13, 20])
+def test_exchange_keeps_buckets_and_whole_tokens(spark, bits):
+    r = random.Random(bits)
+    left = sorted({r.getrandbits(64) for _ in range(300)} | {7, 8, 9, (1 << 64) - 1})
     whole = np.array(left, "<u8").tobytes()
     df = spark.createDataFrame([(k, len(left), k, bytearray(whole)) for k in range(2)], "doc_id long, n long, sig long, tokens binary")
-    packets = df.mapInArrow(setjoin._set_packets(bits, bits2), setjoin._PACKET_DDL)
+    packets = df.mapInArrow(setjoin._set_packets(bits), setjoin._PACKET_DDL)
     buckets = {x.bucket for x in packets.where("bucket >= 0").select("bucket").distinct().collect()}
-    assert buckets == {t >> bits + 40 - bits2 for t in left}
-    sets = setjoin._exchange(packets, 85, 4, bits + 40 - bits2).collect()
+    assert buckets == {t >> 64 - bits for t in left}
+    sets = setjoin._exchange(packets, 85, 4, bits).collect()
     assert len(sets) == 2 and all(sorted(np.frombuffer(x.tokens, "<u8").tolist()) == left for x in sets)
 
 
+def test_pairs_just_below_the_threshold_stay_apart(spark):
+    """Both sets of a pair share all their shingles with other documents, so nothing but the similarity parts them."""
+    docs = []
+    for k in range(6):
+        words = [f"{k}w{j}" for j in range(2200)]
+        moved = 162 if k < 3 else 161  # similarity 0.84993 and 0.85079
+        a, b = words[:2000], words[moved : 2000 + moved]
+        parts = (a, b, a[:1000], a[900:1300], b[1000:])
+        docs += [(10 * k + j, " ".join(x)) for j, x in enumerate(parts)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted(tuple(x) for x in setjoin.jaccard_classes(df).collect()) == sorted(brute.jaccard(docs))
+
+
+def test_a_document_without_id_links_others(spark):
+    words = [f"w{k}" for k in range(400)]
+    docs = [(1, " ".join(words[:300])), (None, " ".join(words[22:322])), (3, " ".join(words[44:344]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in setjoin.jaccard_classes(df).collect()} == {1: 1, None: None, 3: 1}
+
+
 def test_large_components_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "BLOCK_BYTES", 2000)
     r = random.Random(9)
