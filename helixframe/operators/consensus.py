@@ -31,7 +31,8 @@ def status(share: Column, n_obs: Column, derived: Column, in_tree: Column) -> Co
     return s.when(n_obs == 1, "SingleSource").when(share >= CONFIRMED_SHARE, "Confirmed").otherwise("Pending")
 
 
-STATUS_ORDER = ("Conflict", "Novel", "SingleSource", "Pending", "Confirmed", "NoCoverage")
+#: Fixed order of display.
+STATUS_ORDER = ("Conflict", "Novel", "Pending", "SingleSource", "Confirmed", "NoCoverage")
 
 
 def status_rank(column: str = "status") -> Column:
@@ -68,11 +69,17 @@ def precedence(rows: DataFrame, key: list[str], rank: Column) -> DataFrame:
     return best.withColumn("warnings", warn).where("_r = _m and value = _v").select(*key, "value", "warnings").distinct()
 
 
-def identity_band(concordance: Column, str_distance: Column | None = None) -> Column:
-    c = F.when(concordance >= 0.95, "Verified").when(concordance >= 0.85, "Likely").when(concordance >= 0.65, "Uncertain").when(concordance >= 0.50, "Unlikely").when(concordance.isNotNull(), "Mismatch")
-    if str_distance is not None:
-        c = c.when(str_distance <= 1, "Likely").when(str_distance <= 4, "Uncertain")
-    return c.otherwise("Unknown")
+def identity_band(concordance: Column, sites: Column, str_distance: Column, str_markers: Column) -> Column:
+    """Whether two sources are one person, by shared genotypes (fixed values); markers only where no site is shared."""
+    snp = concordance.isNotNull() & (sites > 0)
+    c = F.when(snp & (concordance >= 0.95), "VerifiedSame").when(snp & (concordance >= 0.85), "LikelySame").when(snp & (concordance >= 0.65), "Uncertain")
+    c = c.when(snp & (concordance >= 0.50), "LikelyDifferent").when(snp, "VerifiedDifferent")
+    return c.when((str_markers > 0) & (str_distance == 0), "LikelySame").otherwise("Uncertain")
+
+
+def identity_method(concordance: Column, sites: Column, str_markers: Column) -> Column:
+    snp = concordance.isNotNull() & (sites > 0)
+    return F.when(snp & (str_markers > 0), "SNP concordance + Y-STR").when(snp, "SNP concordance").when(str_markers > 0, "Y-STR only").otherwise("no shared data")
 
 
 def marker_consensus(obs: DataFrame, key: list[str], value: str) -> DataFrame:

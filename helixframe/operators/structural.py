@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stutter model: share of exact repeats, and the geometric decay of longer slips.
-NO_STUTTER, DECAY = 0.9, 0.3
+#: Stutter model: share of exact repeats, the geometric decay of longer slips, and the least depth: fixed values.
+NO_STUTTER, DECAY, MIN_DEPTH = 0.9, 0.5, 5
 
 
 def discordant(reads: DataFrame, mean: Column, sd: Column, times: float = 4.0) -> DataFrame:
@@ -73,7 +73,7 @@ def stutter_loglik(observed: Column, allele: Column, no_stutter: float = NO_STUT
     return F.when(d == 0, F.log(F.lit(no_stutter))).otherwise(F.log(F.greatest(slip, F.lit(1e-12))))
 
 
-def str_haploid(obs: DataFrame, by: list[str], copies: str, min_depth: int = 3) -> DataFrame:
+def str_haploid(obs: DataFrame, by: list[str], copies: str, min_depth: int = MIN_DEPTH) -> DataFrame:
     """Likeliest copy number of each locus; ties go to the larger."""
     n = obs.groupBy(*by, F.col(copies).alias("o")).agg(F.count("*").alias("n"))
     cand = n.select(*by, F.col("o").alias("allele"))
@@ -82,7 +82,7 @@ def str_haploid(obs: DataFrame, by: list[str], copies: str, min_depth: int = 3)
     return s.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*by, "allele", "depth")
 
 
-def str_diploid(obs: DataFrame, by: list[str], copies: str, min_depth: int = 3) -> DataFrame:
+def str_diploid(obs: DataFrame, by: list[str], copies: str, min_depth: int = MIN_DEPTH) -> DataFrame:
     """Likeliest pair of copy numbers, each read coming from either with equal chance; ties to the smaller pair."""
     n = obs.groupBy(*by, F.col(copies).alias("o")).agg(F.count("*").alias("n"))
     a, b = n.select(*by, F.col("o").alias("a")), n.select(*by, F.col("o").alias("b"))

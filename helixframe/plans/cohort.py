@@ -39,10 +39,14 @@ def consensus_profile(t: Tables) -> DataFrame:
     return p.withColumn("confidence", rounded(F.col("confidence")))
 
 
-@query(_VOTE + " SELECT variant, status, row_number() OVER (ORDER BY CASE status WHEN 'Conflict' THEN 0 WHEN 'Novel' THEN 1 WHEN 'SingleSource' THEN 2 WHEN 'Pending' THEN 3 WHEN 'Confirmed' THEN 4 ELSE 5 END, variant) AS place FROM s ORDER BY place LIMIT 50")
+@query(_VOTE + " SELECT variant, status, row_number() OVER (ORDER BY CASE status WHEN 'Conflict' THEN 0 WHEN 'Novel' THEN 1 WHEN 'Pending' THEN 2 WHEN 'SingleSource' THEN 3 WHEN 'Confirmed' THEN 4 ELSE 5 END, variant) AS place FROM s")
 def status_order(t: Tables) -> DataFrame:
-    top = _votes(t).select("variant", "status").orderBy(cs.status_rank(), "variant").limit(50)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(cs.status_rank(), "variant")).cast("long"))
+    """Places over all variants: ranked inside each status, after the counts of the statuses before it."""
+    v = _votes(t).select("variant", "status", cs.status_rank().alias("r"))
+    sizes = v.groupBy("r").agg(F.count("*").alias("n"))
+    before = sizes.select("r", (F.sum("n").over(Window.orderBy("r")) - F.col("n")).alias("before"))
+    own = F.row_number().over(Window.partitionBy("r").orderBy("variant"))
+    return v.withColumn("own", own).join(F.broadcast(before), "r").select("variant", "status", (F.col("before") + F.col("own")).alias("place"))
 
 
 @query(
@@ -76,12 +80,15 @@ def provenance_precedence(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT o_custkey AS subject, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 6 END) AS DOUBLE) / (10 * count(*)) AS c, count(*) AS n FROM orders GROUP BY 1)
-SELECT subject, CASE WHEN c >= 0.95 THEN 'Verified' WHEN c >= 0.85 THEN 'Likely' WHEN c >= 0.65 THEN 'Uncertain' WHEN c >= 0.5 THEN 'Unlikely' ELSE 'Mismatch' END AS band FROM a"""
+    """WITH a AS (SELECT o_custkey AS subject, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 10 ELSE 6 END) AS DOUBLE) / (10 * count(*)) AS c, count(*) FILTER (o_orderpriority <> '1-URGENT') AS sites, count(*) FILTER (o_orderstatus = 'P') AS d, count(*) FILTER (o_orderpriority = '2-HIGH') AS m FROM orders GROUP BY 1)
+SELECT subject, CASE WHEN sites > 0 AND c >= 0.95 THEN 'VerifiedSame' WHEN sites > 0 AND c >= 0.85 THEN 'LikelySame' WHEN sites > 0 AND c >= 0.65 THEN 'Uncertain' WHEN sites > 0 AND c >= 0.5 THEN 'LikelyDifferent' WHEN sites > 0 THEN 'VerifiedDifferent' WHEN m > 0 AND d = 0 THEN 'LikelySame' ELSE 'Uncertain' END AS band,
+ CASE WHEN sites > 0 AND m > 0 THEN 'SNP concordance + Y-STR' WHEN sites > 0 THEN 'SNP concordance' WHEN m > 0 THEN 'Y-STR only' ELSE 'no shared data' END AS method FROM a"""
 )
 def identity_bands(t: Tables) -> DataFrame:
-    a = t.orders.groupBy(F.col("o_custkey").alias("subject")).agg((F.sum(F.when(F.col("o_orderstatus") == "F", 10).otherwise(6)) / (10 * F.count("*"))).alias("c"))
-    return a.select("subject", cs.identity_band(F.col("c")).alias("band"))
+    is_ = lambda c, v: F.count_if(F.col(c) == v)
+    c = F.sum(F.when(F.col("o_orderstatus") == "F", 10).otherwise(6)) / (10 * F.count("*"))
+    a = t.orders.groupBy(F.col("o_custkey").alias("subject")).agg(c.alias("c"), F.count_if(F.col("o_orderpriority") != "1-URGENT").alias("sites"), is_("o_orderstatus", "P").alias("d"), is_("o_orderpriority", "2-HIGH").alias("m"))
+    return a.select("subject", cs.identity_band(F.col("c"), F.col("sites"), F.col("d"), F.col("m")).alias("band"), cs.identity_method(F.col("c"), F.col("sites"), F.col("m")).alias("method"))
 
 
 def _markers(t: Tables) -> DataFrame:
@@ -140,14 +147,23 @@ def sex_ratio(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH a AS (SELECT o_custkey AS subject, avg(o_totalprice) / 10000 AS depth, count(*) FILTER (o_orderstatus = 'F') / count(*) AS breadth FROM orders GROUP BY 1)
-SELECT subject, CASE WHEN depth >= 20 AND breadth >= 0.5 THEN 'WGS_HIGH' WHEN breadth >= 0.5 THEN 'WGS_LOW' WHEN breadth >= 0.2 AND depth >= 15 THEN 'EXOME' WHEN breadth > 0 THEN 'TARGETED' ELSE 'CHIP' END AS test_type FROM a"""
+    """WITH a AS (SELECT o_custkey AS subject, sum(CASE WHEN o_orderstatus = 'F' THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) / 40000.0 AS a, sum(CASE WHEN o_orderstatus = 'O' THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) / 30000.0 AS y, sum(CASE WHEN o_orderstatus = 'P' THEN CAST(floor(o_totalprice) AS BIGINT) ELSE 0 END) / 5000.0 AS m FROM orders GROUP BY 1),
+b AS (SELECT *, a > 1 AND subject % 7 <> 0 AS seen FROM a), w AS (SELECT *, CASE WHEN subject % 4 = 2 OR subject % 9 = 0 THEN 'WGS_HIFI' WHEN subject % 4 = 3 THEN 'WGS_NANOPORE' ELSE 'WGS' END AS whole FROM b)
+SELECT subject, CASE WHEN subject % 31 = 0 THEN 'BIG_Y_700' WHEN subject % 13 = 0 THEN CASE WHEN subject % 4 > 0 THEN whole END
+ WHEN y > 1 AND (NOT seen OR a <= 0 OR y > 5 * a) THEN CASE subject % 5 WHEN 1 THEN 'Y_ELITE' WHEN 2 THEN 'Y_PRIME' ELSE 'TARGETED_Y' END
+ WHEN m > 10 AND NOT seen AND y <= 1 THEN 'MT_FULL_SEQUENCE' WHEN seen AND y <= 1 AND a > 50 THEN 'WES' WHEN seen AND a < 5 THEN 'WGS_LOW_PASS' ELSE whole END AS test_type FROM w"""
 )
 def test_type_infer(t: Tables) -> DataFrame:
     from helixframe.functions.bands import test_type
 
-    a = t.orders.groupBy(F.col("o_custkey").alias("subject")).agg((F.avg("o_totalprice") / 10000).alias("depth"), (F.count_if(F.col("o_orderstatus") == "F") / F.count("*")).alias("breadth"))
-    return a.select("subject", test_type(F.col("depth"), F.col("breadth")).alias("test_type"))
+    s = F.col("subject")
+    whole = lambda status: F.sum(F.when(F.col("o_orderstatus") == status, F.floor("o_totalprice")).otherwise(0))
+    a = t.orders.groupBy(F.col("o_custkey").alias("subject")).agg((whole("F") / 40000.0).alias("a"), (whole("O") / 30000.0).alias("y"), (whole("P") / 5000.0).alias("m"))
+    known = F.when(s % 13 != 0, F.col("a"))
+    platform = F.when(s % 4 == 1, "ILLUMINA").when(s % 4 == 2, "PacBio").when(s % 4 == 3, "ont")
+    vendor = F.when(s % 5 == 0, "FamilyTreeDNA").when(s % 5 == 1, "Full Genomes").when(s % 5 == 2, "YSEQ")
+    kind = test_type(known, F.col("y"), F.col("m"), s % 7 != 0, platform, vendor, F.when(s % 9 == 0, 15000).otherwise(150), F.when(s % 31 == 0, "BIG_Y_700"))
+    return a.select("subject", kind.alias("test_type"))
 
 
 @query(

@@ -179,7 +179,7 @@ def het_top_two(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH sites AS (SELECT DISTINCT c_custkey AS user_id, 'view' AS ref, 'click' AS alt FROM customer WHERE c_custkey <= 400),
+    """WITH sites AS (SELECT DISTINCT c_custkey AS user_id, 'view' AS ref, 'click' AS alt FROM customer),
 n AS (SELECT user_id, event_type AS base, count(*) AS n FROM events GROUP BY 1, 2),
 j AS (SELECT s.user_id, ref, alt, CAST(sum(CASE WHEN base = ref THEN n ELSE 0 END) AS BIGINT) AS ref_n, CAST(sum(CASE WHEN base = alt THEN n ELSE 0 END) AS BIGINT) AS alt_n FROM sites s LEFT JOIN n ON n.user_id = s.user_id GROUP BY 1, 2, 3)
 SELECT user_id, ref, alt, ref_n, alt_n, CASE WHEN ref_n + alt_n = 0 THEN 'NoCall' WHEN alt_n > ref_n THEN 'Alternate' WHEN ref_n > alt_n THEN 'Reference' ELSE 'NoCall' END AS state,
@@ -207,7 +207,7 @@ def genotype_likelihood(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT user_id, event_type, 0.05 AS e FROM events WHERE user_id % 10 = 0), a AS (SELECT DISTINCT user_id, event_type FROM o),
+    """WITH o AS (SELECT user_id, event_type, 0.05 AS e FROM events), a AS (SELECT DISTINCT user_id, event_type FROM o),
 p AS (SELECT x.user_id, x.event_type AS a, y.event_type AS b FROM a x JOIN a y ON x.user_id = y.user_id AND x.event_type <= y.event_type)
 SELECT o.user_id, a, b, floor(sum(log10((CASE WHEN event_type = a THEN 1 - e ELSE e END + CASE WHEN event_type = b THEN 1 - e ELSE e END) / 2)) * 10000 + 0.5) / 10000 AS loglik FROM o JOIN p USING (user_id) GROUP BY 1, 2, 3"""
 )

@@ -22,7 +22,7 @@ def _sites(t: Tables) -> DataFrame:
 @query()
 def segment_candidates(t: Tables) -> DataFrame:
     s = _sites(t).withColumn("ibs", F.col("dosage"))
-    return k.ibd_segments(s, ["sample"], gap=20, min_cm=1.0, min_sites=5)
+    return k.ibd_segments(s, ["sample"], window=20, min_cm=1.0, min_sites=5)
 
 
 @query()
@@ -67,13 +67,13 @@ def admixture_em(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH d AS (SELECT o_custkey % 50 AS sample, o_orderkey % 400 AS site, CAST(o_orderkey % 4 - 1 AS INTEGER) AS dosage FROM orders), f AS (SELECT p_partkey AS site, pop, ((p_partkey * pop) % 19 + 1) / 21.0 AS p FROM part, (VALUES (3), (5), (7)) v(pop) WHERE p_partkey < 400),
+    """WITH d AS (SELECT o_custkey % 50 AS sample, o_orderkey % 400 AS site, CAST(o_orderkey % 4 - 1 AS INTEGER) AS dosage FROM orders), f AS (SELECT p_partkey AS site, pop, ((p_partkey * pop) % 19 + 1) / 21.0 AS p FROM part, (VALUES (3), (5), (7)) v(pop)),
 s AS (SELECT sample, pop, count(*) AS sites, sum(ln(CASE WHEN dosage = 0 THEN (1 - p) * (1 - p) WHEN dosage = 1 THEN 2 * p * (1 - p) ELSE p * p END)) AS loglik FROM d JOIN f USING (site) WHERE dosage >= 0 GROUP BY 1, 2), e AS (SELECT *, exp(loglik - max(loglik) OVER (PARTITION BY sample)) AS e FROM s)
 SELECT sample, CAST(pop AS VARCHAR) AS pop, sites, floor(loglik * 1000 + 0.5) / 1000 AS loglik, floor(e / sum(e) OVER (PARTITION BY sample) * 10000 + 0.5) / 10000 AS posterior FROM e"""
 )
 def population_posterior(t: Tables) -> DataFrame:
     d = t.orders.select((F.col("o_custkey") % 50).alias("sample"), (F.col("o_orderkey") % 400).alias("site"), (F.col("o_orderkey") % 4 - 1).cast("int").alias("dosage"))
-    f = t.part.where("p_partkey < 400").select(F.col("p_partkey").alias("site"), F.explode(F.array(*map(F.lit, (3, 5, 7)))).alias("pop")).withColumn("freq", ((F.col("site") * F.col("pop")) % 19 + 1) / 21.0).withColumn("pop", F.col("pop").cast("string"))
+    f = t.part.select(F.col("p_partkey").alias("site"), F.explode(F.array(*map(F.lit, (3, 5, 7)))).alias("pop")).withColumn("freq", ((F.col("site") * F.col("pop")) % 19 + 1) / 21.0).withColumn("pop", F.col("pop").cast("string"))
     r = an.population_posterior(d, f, ["site"])
     return r.select("sample", "pop", "sites", rounded(F.col("loglik"), 3).alias("loglik"), rounded(F.col("posterior")).alias("posterior"))
 
@@ -164,7 +164,7 @@ def dosage_panel_join(t: Tables) -> DataFrame:
     return t.lineitem.where("l_linenumber % 3 <> 0").join(panel, "l_partkey").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 3).cast("int").alias("dosage"))
 
 
-@query("SELECT p_partkey, CASE WHEN l.k IS NULL THEN 0 ELSE l.d END AS dosage FROM part LEFT JOIN (SELECT l_partkey AS k, CASE WHEN max(l_linenumber) > 5 THEN NULL ELSE CAST(max(l_linenumber) % 3 AS INTEGER) END AS d FROM lineitem WHERE l_orderkey % 50 = 1 GROUP BY 1) l ON l.k = p_partkey WHERE l.k IS NULL OR l.d IS NOT NULL")
+@query("SELECT p_partkey, CASE WHEN l.k IS NULL THEN 0 ELSE l.d END AS dosage FROM part LEFT JOIN (SELECT l_partkey AS k, CASE WHEN max(l_linenumber) > 5 THEN NULL ELSE CAST(max(l_linenumber) % 3 AS INTEGER) END AS d FROM lineitem GROUP BY 1) l ON l.k = p_partkey WHERE l.k IS NULL OR l.d IS NOT NULL")
 def hom_ref_fill(t: Tables) -> DataFrame:
     seen = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_linenumber").alias("m"))
     called = seen.select("p_partkey", F.lit(True).alias("present"), F.when(F.col("m") <= 5, (F.col("m") % 3).cast("int")).alias("d"))

@@ -12,14 +12,37 @@ from helixframe.sources import files, sinks, tables, variants
 from helixframe.streaming import events as st
 
 
-@query(
-    """SELECT page_id, CASE WHEN lower(url) LIKE '%.bam' OR lower(url) LIKE '%.cram' THEN 'alignment' WHEN lower(url) LIKE '%.fa' OR lower(url) LIKE '%.fasta' THEN 'mtdna_fasta' WHEN lower(url) LIKE '%.vcf' THEN 'variants' ELSE 'unknown' END AS kind
-FROM (SELECT page_id, url || CASE page_id % 5 WHEN 0 THEN '.BAM' WHEN 1 THEN '.fa' WHEN 2 THEN '.vcf' WHEN 3 THEN '.cram' ELSE '.html' END AS url FROM pages)"""
+#: Names and heads of files with what they are, dealt over the pages.
+_FILES = (
+    ("reads.BAM", "", "alignment"),
+    ("y.g.vcf.gz", "##contig=<ID=chrY,length=9>", "variants"),
+    ("a.g.vcf.gz", "##contig=<ID=chr1,length=9>", "gvcf_call_set"),
+    ("a.vcf", "\t".join(("1", "5", ".", "A", "G", ".", ".", ".", "GT:DP", "0/0:9")), "gvcf_call_set"),
+    ("b.vcf", "\t".join(("1", "5", ".", "A", "G", ".", ".", ".", "GT:DP", "0/1:9")), "variants"),
+    ("kit.csv", "DYS393,13\nDYS390,24\nDYS19,14", "str_profile"),
+    ("kit.txt", "DYS393 thirteen", "unknown"),
+    ("my_str.txt", "one,two", "str_profile"),
+    ("dump.txt", "# 23andMe raw\nrs4477212\t1\t82154\tAA", "chip_data"),
+    ("dump.txt", "rsid,note\n", "unknown"),
+    ("big.csv", '"SNP_Name","Position","On_Haplotree","Ancestral","Derived"', "ftdna_csv_variants"),
+    ("big.csv", "Position,Ancestral,Derived\n5,A,G", "ftdna_csv_variants"),
+    ("cg.tsv", ">locus\tploidy\tallele\tchromosome\tbegin\tend\tvarType\treference\talleleSeq", "master_var"),
+    ("bisdna.txt", "about\nSNPID\tgenotype\tresult", "ysnp_panel"),
+    ("mt.fa", ">chrM", "mtdna_fasta"),
+    ("notes.html", "", "unknown"),
 )
+
+
+@query("SELECT page_id, CASE page_id % 16 " + " ".join(f"WHEN {k} THEN '{f[2]}'" for k, f in enumerate(_FILES)) + " END AS kind FROM pages")
 def file_type_detect(t: Tables) -> DataFrame:
-    k = F.col("page_id") % 5
-    ext = F.when(k == 0, ".BAM").when(k == 1, ".fa").when(k == 2, ".vcf").when(k == 3, ".cram").otherwise(".html")
-    return t.pages.select("page_id", files.file_type(F.concat("url", ext), F.substring("html", 1, 200)).alias("kind"))
+    dealt = t.spark.createDataFrame([(k, n, h) for k, (n, h, _) in enumerate(_FILES)], "k long, name string, head string")
+    j = t.pages.join(F.broadcast(dealt), F.col("page_id") % len(_FILES) == F.col("k"))
+    return j.select("page_id", files.file_type(F.col("name"), F.col("head")).alias("kind"))
+
+
+@query("SELECT doc_id, " + " OR ".join(f"contains(lower(text), '{w}')" for w in files.HEALTH_TERMS) + " AS health FROM documents")
+def health_mentions(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", files.health_topic(F.col("text")).alias("health"))
 
 
 @query(
@@ -95,7 +118,7 @@ def csv_round_trip(t: Tables) -> DataFrame:
 
 @query(
     """WITH o AS (SELECT l_suppkey % 50 AS locus, CAST(10 + l_quantity AS INTEGER) % 6 + 8 AS o FROM lineitem), n AS (SELECT locus, o, count(*) AS n FROM o GROUP BY 1, 2),
-s AS (SELECT a.locus, a.o AS allele, sum(n.n * CASE WHEN n.o = a.o THEN ln(0.9) ELSE ln(greatest((1 - 0.9) * 0.5 * (1 - 0.3) * pow(0.3, abs(n.o - a.o) - 1), 1e-12)) END) AS ll, sum(n.n) AS depth FROM n a JOIN n ON a.locus = n.locus GROUP BY 1, 2)
+s AS (SELECT a.locus, a.o AS allele, sum(n.n * CASE WHEN n.o = a.o THEN ln(0.9) ELSE ln(greatest((1 - 0.9) * 0.5 * (1 - 0.5) * pow(0.5, abs(n.o - a.o) - 1), 1e-12)) END) AS ll, sum(n.n) AS depth FROM n a JOIN n ON a.locus = n.locus GROUP BY 1, 2 HAVING sum(n.n) >= 5)
 SELECT locus, allele, CAST(depth AS BIGINT) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY floor(ll * 1e6 + 0.5) DESC, allele DESC) AS r FROM s) WHERE r = 1"""
 )
 def str_haploid_call(t: Tables) -> DataFrame:
@@ -104,9 +127,9 @@ def str_haploid_call(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT l_suppkey % 50 AS locus, CAST(10 + l_quantity AS INTEGER) % 6 + 8 AS o FROM lineitem WHERE l_orderkey % 20 = 1), n AS (SELECT locus, o, count(*) AS n FROM o GROUP BY 1, 2), p AS (SELECT a.locus, a.o AS a, b.o AS b FROM n a JOIN n b ON a.locus = b.locus AND a.o <= b.o),
-l AS (SELECT p.*, n.n, exp(CASE WHEN o = a THEN ln(0.9) ELSE ln(greatest((1 - 0.9) * 0.5 * (1 - 0.3) * pow(0.3, abs(o - a) - 1), 1e-12)) END) AS pa, exp(CASE WHEN o = b THEN ln(0.9) ELSE ln(greatest((1 - 0.9) * 0.5 * (1 - 0.3) * pow(0.3, abs(o - b) - 1), 1e-12)) END) AS pb FROM p JOIN n USING (locus)),
-s AS (SELECT locus, a, b, sum(n * ln(greatest(0.5 * pa + 0.5 * pb, 1e-12))) AS ll, sum(n) AS depth FROM l GROUP BY 1, 2, 3 HAVING sum(n) >= 3)
+    """WITH o AS (SELECT l_suppkey % 50 AS locus, CAST(10 + l_quantity AS INTEGER) % 6 + 8 AS o FROM lineitem), n AS (SELECT locus, o, count(*) AS n FROM o GROUP BY 1, 2), p AS (SELECT a.locus, a.o AS a, b.o AS b FROM n a JOIN n b ON a.locus = b.locus AND a.o <= b.o),
+l AS (SELECT p.*, n.n, exp(CASE WHEN o = a THEN ln(0.9) ELSE ln(greatest((1 - 0.9) * 0.5 * (1 - 0.5) * pow(0.5, abs(o - a) - 1), 1e-12)) END) AS pa, exp(CASE WHEN o = b THEN ln(0.9) ELSE ln(greatest((1 - 0.9) * 0.5 * (1 - 0.5) * pow(0.5, abs(o - b) - 1), 1e-12)) END) AS pb FROM p JOIN n USING (locus)),
+s AS (SELECT locus, a, b, sum(n * ln(greatest(0.5 * pa + 0.5 * pb, 1e-12))) AS ll, sum(n) AS depth FROM l GROUP BY 1, 2, 3 HAVING sum(n) >= 5)
 SELECT locus, a, b, CAST(depth AS BIGINT) AS depth FROM (SELECT *, row_number() OVER (PARTITION BY locus ORDER BY floor(ll * 1e6 + 0.5) DESC, a, b) AS r FROM s) WHERE r = 1"""
 )
 def str_diploid_call(t: Tables) -> DataFrame:

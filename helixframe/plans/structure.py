@@ -158,7 +158,7 @@ def induced_subtree(t: Tables) -> DataFrame:
 
 @query(
     _TREE
-    + """, def AS (SELECT node, (node * 7) % 97 AS pos FROM edges WHERE node < 100000 UNION SELECT node, (node * 13 + 5) % 97 FROM edges WHERE node < 100000), onpath AS (SELECT DISTINCT c.node, d.pos FROM closed c JOIN def d ON d.node = c.ancestor WHERE c.node < 100000),
+    + """, def AS (SELECT node, (node * 7) % 97 AS pos FROM edges UNION SELECT node, (node * 13 + 5) % 97 FROM edges), onpath AS (SELECT DISTINCT c.node, d.pos FROM closed c JOIN def d ON d.node = c.ancestor),
 x AS (SELECT node, count(*) AS expected FROM onpath GROUP BY 1), calls AS (SELECT DISTINCT o_custkey AS sample, o_orderkey % 97 AS pos FROM orders), rel AS (SELECT * FROM calls WHERE pos IN (SELECT pos FROM def)), f AS (SELECT sample, count(*) AS found FROM rel GROUP BY 1),
 m AS (SELECT sample, node, count(*) AS matched FROM rel JOIN onpath USING (pos) GROUP BY 1, 2), s AS (SELECT sample, node, matched, (matched / expected + matched / found) / 2 AS score FROM m JOIN x USING (node) JOIN f USING (sample))
 SELECT sample, node, matched, floor(score * 10000 + 0.5) / 10000 AS score FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY floor(score * 1e9 + 0.5) DESC, matched DESC, node) AS r FROM s) WHERE r = 1"""
@@ -203,7 +203,7 @@ def lineage_prefix(t: Tables) -> DataFrame:
     return tree.shared_lineage(p, ["p_brand"], "path").withColumn("shared", F.array_join("shared", " "))
 
 
-_PROFILE = "WITH p AS (SELECT l_suppkey AS s, l_partkey % 25 AS m, CAST(max(l_quantity) AS INTEGER) % 4 AS v FROM lineitem WHERE l_suppkey <= 60 GROUP BY 1, 2), d AS (SELECT a.s AS a, b.s AS b, count(*) AS compared, count(*) FILTER (a.v <> b.v) AS differing FROM p a JOIN p b ON a.m = b.m AND a.s < b.s GROUP BY 1, 2)"
+_PROFILE = "WITH p AS (SELECT l_suppkey AS s, l_partkey % 25 AS m, CAST(max(l_quantity) AS INTEGER) % 4 AS v FROM lineitem GROUP BY 1, 2), d AS (SELECT a.s AS a, b.s AS b, count(*) AS compared, count(*) FILTER (a.v <> b.v) AS differing FROM p a JOIN p b ON a.m = b.m AND a.s < b.s GROUP BY 1, 2)"
 
 
 def _pairs(t: Tables) -> DataFrame:
@@ -232,14 +232,14 @@ def cluster_components(t: Tables) -> DataFrame:
 
 @query(
     """WITH s AS (SELECT o_custkey AS pair, CAST(floor(o_totalprice / 4000 + 0.5) AS BIGINT) AS cm FROM orders), g AS (SELECT pair, CAST(sum(cm) AS BIGINT) AS total_cm, count(*) AS segments, max(cm) AS longest_cm FROM s GROUP BY 1)
-SELECT *, CASE WHEN total_cm >= 2300 THEN 'parent-child or full sibling' WHEN total_cm >= 1300 THEN 'second degree' WHEN total_cm >= 575 THEN 'third degree' WHEN total_cm >= 200 THEN 'fourth degree' WHEN total_cm >= 90 THEN 'fifth degree' WHEN total_cm >= 20 THEN 'distant' ELSE 'unrelated' END AS relationship FROM g"""
+SELECT *, CASE WHEN total_cm >= 3400 THEN 'ParentChild' WHEN total_cm >= 2550 THEN 'FullSibling' WHEN total_cm >= 1700 THEN 'Grandparent' WHEN total_cm >= 1200 THEN 'AuntUncle' WHEN total_cm >= 680 THEN 'FirstCousin' WHEN total_cm >= 400 THEN 'FirstCousinOnceRemoved' WHEN total_cm >= 200 THEN 'SecondCousin' WHEN total_cm >= 90 THEN 'SecondCousinOnceRemoved' WHEN total_cm >= 50 THEN 'ThirdCousin' WHEN total_cm >= 25 THEN 'FourthCousin' WHEN total_cm >= 10 THEN 'FifthCousin' WHEN total_cm >= 7 THEN 'Distant' ELSE 'Unknown' END AS relationship FROM g"""
 )
 def match_summary(t: Tables) -> DataFrame:
     return match.match_summary(t.orders.select(F.col("o_custkey").alias("pair"), F.floor(F.col("o_totalprice") / 4000 + 0.5).alias("cm")), ["pair"])
 
 
 @query(
-    """WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment, CAST(floor(c_acctbal) AS BIGINT) AS b FROM customer WHERE c_custkey <= 300)
+    """WITH a AS (SELECT c_custkey, c_nationkey, c_mktsegment, CAST(floor(c_acctbal) AS BIGINT) AS b FROM customer)
 SELECT x.c_custkey AS a, y.c_custkey AS b, floor((CASE WHEN x.c_mktsegment = y.c_mktsegment THEN 0.6 ELSE 0.0 END + CASE WHEN abs(x.b - y.b) % 80 >= 67 AND abs(x.b - y.b) % 3 <= 1 THEN 0.8 WHEN abs(x.b - y.b) % 80 >= 37 AND abs(x.b - y.b) % 3 = 0 THEN 0.7 ELSE 0.0 END) * 1000 + 0.5) / 1000 AS score
 FROM a x JOIN a y ON x.c_nationkey = y.c_nationkey AND x.c_custkey < y.c_custkey"""
 )

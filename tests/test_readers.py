@@ -93,7 +93,7 @@ def test_types_and_expressions(spark):
     assert [r[0] for r in d.select(gt.dosage(F.col("a"), F.col("b"), F.col("r"), F.col("v"))).collect()] == [1, 1, 2, None]
     v = spark.createDataFrame([([1, 2], [1, 3]), ([2, 2], [1, 2]), ([0, 9], [1, 2]), ([1, 2], [1, 2])], "v array<int>, m array<int>")
     assert [r[0] for r in v.select(match.deviation(F.col("v"), F.col("m"))).collect()] == ["Below", "Above", "Differs", None]
-    assert spark.range(1).select(bands.relationship(F.lit(600.0))).first()[0] == "third degree"
+    assert spark.range(1).select(bands.relationship(F.lit(700.0))).first()[0] == "FirstCousin"
     p = spark.range(1).select(ancestry.normal_cdf(F.lit(1.96))).first()[0]
     assert abs(p - 0.9750021) < 1e-6 and abs(ancestry.chi2_survival(3.841459, 1) - 0.05) < 1e-6
 
