@@ -37,23 +37,28 @@ def force_calls(sites: DataFrame, tally: DataFrame, by: list[str]) -> DataFrame:
     return j.withColumn("state", state).withColumn("af", F.when(seen == 0, 0.0).otherwise(F.col("alt_n") / seen))
 
 
-def error_rate(baseq: Column, floor: float = 1e-4) -> Column:
-    return F.greatest(F.pow(F.lit(10.0), -baseq / 10.0), F.lit(floor))
+def error_rate(baseq: Column) -> Column:
+    return F.pow(F.lit(10.0), -baseq / 10.0)
 
 
-def genotype_likelihoods(obs: DataFrame, by: list[str], is_alt: Column, error: Column) -> DataFrame:
-    """log10 likelihoods of 0, 1 and 2 alternate copies, summed over reads."""
-    l0 = F.log10(F.when(is_alt, error).otherwise(1 - error))
-    l2 = F.log10(F.when(is_alt, 1 - error).otherwise(error))
-    return obs.groupBy(*by).agg(F.count("*").alias("depth"), F.count_if(is_alt).alias("alt_depth"), F.sum(l0).alias("l0"), (F.count("*") * F.log10(F.lit(0.5))).alias("l1"), F.sum(l2).alias("l2"))
+def _log_sum(like: Column) -> Column:
+    return F.sum(F.log10(F.greatest(like, F.lit(1e-300))))
+
+
+def genotype_likelihoods(obs: DataFrame, by: list[str], is_alt: Column, error: Column, is_ref: Column | None = None) -> DataFrame:
+    """log10 likelihoods of 0, 1 and 2 alternate copies, summed over reads; a wrong base is one of three."""
+    is_ref = ~is_alt if is_ref is None else is_ref
+    ref = F.when(is_ref, 1 - error).otherwise(error / 3)
+    alt = F.when(is_alt, 1 - error).otherwise(error / 3)
+    return obs.groupBy(*by).agg(F.count("*").alias("depth"), F.count_if(is_alt).alias("alt_depth"), _log_sum(ref).alias("l0"), _log_sum((ref + alt) / 2).alias("l1"), _log_sum(alt).alias("l2"))
 
 
 def genotypes(like: DataFrame) -> DataFrame:
-    """dosage of the likeliest genotype (ties to fewer copies), Phred-scaled likelihoods and quality."""
+    """dosage of the likeliest genotype (ties of scaled likelihoods to fewer copies), those likelihoods, and quality."""
     best = F.greatest("l0", "l1", "l2")
     pl = lambda c: F.least(F.floor(-10 * (F.col(c) - best) + 0.5), F.lit(MAX_PL)).cast("int")
     out = like.withColumn("pl", F.array(pl("l0"), pl("l1"), pl("l2")))
-    dosage = F.when(F.col("l0") == best, 0).when(F.col("l1") == best, 1).otherwise(2)
+    dosage = F.when(F.col("pl")[0] == 0, 0).when(F.col("pl")[1] == 0, 1).otherwise(2)
     return out.withColumn("dosage", dosage).withColumn("gq", F.least(F.sort_array("pl")[1], F.lit(MAX_GQ)))
 
 
@@ -61,7 +66,7 @@ def allele_pairs(obs: DataFrame, by: list[str], allele: str, error: Column) -> D
     """Log likelihood of each pair of a site's alleles: every read supports each pair half by each member."""
     alleles = obs.groupBy(*by).agg(F.sort_array(F.collect_set(allele)).alias("_as"))
     pairs = alleles.select(*by, F.explode("_as").alias("a"), "_as").select(*by, "a", F.explode(F.filter("_as", lambda x: x >= F.col("a"))).alias("b"))
-    side = lambda c: F.when(F.col(allele) == F.col(c), 1 - F.col("_e")).otherwise(F.col("_e"))
+    side = lambda c: F.when(F.col(allele) == F.col(c), 1 - F.col("_e")).otherwise(F.col("_e") / 3)
     j = obs.withColumn("_e", error).join(pairs, by)
     return j.groupBy(*by, "a", "b").agg(F.sum(F.log10((side("a") + side("b")) / 2)).alias("loglik"))
 

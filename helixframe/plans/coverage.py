@@ -191,14 +191,14 @@ def force_call_sites(t: Tables) -> DataFrame:
 
 
 _LIKE = """WITH l AS (SELECT contig, count(*) AS depth, count(*) FILTER (mapq >= 5) AS alt_depth,
-  sum(log10(CASE WHEN mapq >= 5 THEN e ELSE 1 - e END)) AS l0, count(*) * log10(0.5) AS l1, sum(log10(CASE WHEN mapq >= 5 THEN 1 - e ELSE e END)) AS l2
-  FROM (SELECT l_partkey AS contig, CAST(floor(l_discount * 100 + 0.5) AS INTEGER) AS mapq, greatest(pow(10.0, -l_quantity / 10.0), 0.0001) AS e FROM lineitem) GROUP BY 1)"""
+  sum(log10(greatest(CASE WHEN mapq >= 5 THEN e / 3 ELSE 1 - e END, 1e-300))) AS l0, sum(log10(greatest((1 - e + e / 3) / 2, 1e-300))) AS l1, sum(log10(greatest(CASE WHEN mapq >= 5 THEN 1 - e ELSE e / 3 END, 1e-300))) AS l2
+  FROM (SELECT l_partkey AS contig, CAST(floor(l_discount * 100 + 0.5) AS INTEGER) AS mapq, pow(10.0, -l_quantity / 10.0) AS e FROM lineitem) GROUP BY 1)"""
 
 
 @query(
     _LIKE
     + """, p AS (SELECT *, CAST(least(floor(-10 * (l0 - greatest(l0, l1, l2)) + 0.5), 255) AS INTEGER) AS p0, CAST(least(floor(-10 * (l1 - greatest(l0, l1, l2)) + 0.5), 255) AS INTEGER) AS p1, CAST(least(floor(-10 * (l2 - greatest(l0, l1, l2)) + 0.5), 255) AS INTEGER) AS p2 FROM l)
-SELECT contig AS site, depth, alt_depth, p0, p1, p2, CASE WHEN l0 = greatest(l0, l1, l2) THEN 0 WHEN l1 = greatest(l0, l1, l2) THEN 1 ELSE 2 END AS dosage, least(list_sort([p0, p1, p2])[2], 99) AS gq FROM p"""
+SELECT contig AS site, depth, alt_depth, p0, p1, p2, CASE WHEN p0 = 0 THEN 0 WHEN p1 = 0 THEN 1 ELSE 2 END AS dosage, least(list_sort([p0, p1, p2])[2], 99) AS gq FROM p"""
 )
 def genotype_likelihood(t: Tables) -> DataFrame:
     obs = t.lineitem.select(F.col("l_partkey").alias("site"), F.floor(F.col("l_discount") * 100 + 0.5).alias("mapq"), F.col("l_quantity").alias("q"))
@@ -209,7 +209,7 @@ def genotype_likelihood(t: Tables) -> DataFrame:
 @query(
     """WITH o AS (SELECT user_id, event_type, 0.05 AS e FROM events), a AS (SELECT DISTINCT user_id, event_type FROM o),
 p AS (SELECT x.user_id, x.event_type AS a, y.event_type AS b FROM a x JOIN a y ON x.user_id = y.user_id AND x.event_type <= y.event_type)
-SELECT o.user_id, a, b, floor(sum(log10((CASE WHEN event_type = a THEN 1 - e ELSE e END + CASE WHEN event_type = b THEN 1 - e ELSE e END) / 2)) * 10000 + 0.5) / 10000 AS loglik FROM o JOIN p USING (user_id) GROUP BY 1, 2, 3"""
+SELECT o.user_id, a, b, floor(sum(log10((CASE WHEN event_type = a THEN 1 - e ELSE e / 3 END + CASE WHEN event_type = b THEN 1 - e ELSE e / 3 END) / 2)) * 10000 + 0.5) / 10000 AS loglik FROM o JOIN p USING (user_id) GROUP BY 1, 2, 3"""
 )
 def multiallelic_genotypes(t: Tables) -> DataFrame:
     g = calls.allele_pairs(t.events.select("user_id", "event_type"), ["user_id"], "event_type", F.lit(0.05))
