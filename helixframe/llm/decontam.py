@@ -4,11 +4,13 @@
 counted through the whole shard. ``match_index`` takes benchmark windows; in each shard it starts from the posting
 list of the window's rarest term (by the corpus' counts), shifts it by the term's offset and intersects it with the
 shifted lists of the neighbouring terms outwards, until the window is covered or no place is left. Proximity
-matches (the rarest terms of an item within ``slop`` tokens) come from the same lists. Postings never leave their
-shard; only a term count per shard is shuffled, and benchmark items are sent in blocks of bounded size.
+matches (the rarest terms of an item that the corpus has, within ``slop`` tokens) come from the same lists and are
+returned beside the exact ones. Postings never leave their shard; only a term count per shard is shuffled, and
+benchmark items are sent in blocks of bounded size.
 
 Edge cases: null or empty texts and items have no words; an item shorter than the window is one window; repeated
-items or rows each count; an empty table gives an empty table, no items gives no hits.
+items or rows each count; texts of any length are indexed whole; extra columns of any name are left out; an empty
+table gives an empty table, no items gives no hits.
 """
 
 from __future__ import annotations
@@ -28,8 +30,13 @@ WINDOW = 13
 #: Words of benchmark items that one pass over the index takes.
 BLOCK_WORDS = 1_000_000
 SHARD_BYTES = 1 << 20
-_SHARD = "doc_ids array<long>, first array<long>, terms binary, counts array<int>, postings binary, hits binary, items array<array<string>>"
-_SHARD_ARROW = pa.schema([("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.list_(pa.int32())), ("postings", pa.binary()), ("hits", pa.binary()), ("items", pa.list_(pa.list_(pa.string())))])
+#: Tokens within which an item's rarest terms count as a proximity match, and how many terms.
+SLOP, RARE_TERMS = 32, 4
+_SHARD = "shard long, doc_ids array<long>, first array<long>, terms binary, counts array<int>, postings binary"
+_SHARD_ARROW = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("terms", pa.binary()), ("counts", pa.list_(pa.int32())), ("postings", pa.binary())])
+_HITS = "shard long, doc_ids array<long>, first array<long>, hits binary, items array<array<string>>, near array<array<string>>"
+_ITEMS = pa.list_(pa.list_(pa.string()))
+_HITS_ARROW = pa.schema([("shard", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int64())), ("hits", pa.binary()), ("items", _ITEMS), ("near", _ITEMS)])
 
 
 def text_terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,22 +53,29 @@ class Block:
         self.ids, self.terms, self.first = ids, terms, first
         self.vocabulary = np.unique(terms)
 
-    def anchors(self, counts: dict[int, int], window: int) -> list[tuple[int, list[tuple[int, list[int]]]]]:
-        """(item, [(anchor position in the item, its window starts)]): windows grouped by their rarest word."""
-        out = []
+    def anchors(self, counts: dict[int, int], window: int) -> dict[int, list[tuple[int, int, list[int]]]]:
+        """By term: (item, its position there, starts of the windows of which it is the rarest word)."""
+        out: dict[int, list[tuple[int, int, list[int]]]] = {}
         for k in range(len(self.ids)):
             t = self.terms[self.first[k] : self.first[k + 1]].tolist()
-            if not t:
-                continue
             n = min(window, len(t))
             rare = [counts.get(x, 0) for x in t]
             groups: dict[int, list[int]] = {}
-            for s in range(len(t) - n + 1):
-                best = min(range(s, s + n), key=lambda j: (rare[j], j))
-                if all(rare[j] for j in range(s, s + n)):
-                    groups.setdefault(best, []).append(s)
-            if groups:
-                out.append((k, sorted(groups.items(), key=lambda g: rare[g[0]])))
+            for s in range(len(t) - n + 1 if t else 0):
+                if all(rare[s : s + n]):
+                    groups.setdefault(min(range(s, s + n), key=lambda j: (rare[j], j)), []).append(s)
+            for j, starts in groups.items():
+                out.setdefault(t[j], []).append((k, j, starts))
+        return out
+
+    def rarest(self, counts: dict[int, int], most: int) -> dict[int, list[tuple[int, list[int]]]]:
+        """By the rarest term that the corpus has: (item, its ``most`` rarest distinct terms, that one first)."""
+        out: dict[int, list[tuple[int, list[int]]]] = {}
+        for k in range(len(self.ids)):
+            t = dict.fromkeys(self.terms[self.first[k] : self.first[k + 1]].tolist())
+            held = sorted((x for x in t if counts.get(x, 0)), key=counts.__getitem__)[:most]  # ties in the item's order
+            if held:
+                out.setdefault(held[0], []).append((k, held))
         return out
 
 
@@ -86,6 +100,9 @@ def build_index(df: DataFrame, text: str, doc_id: str, vocabulary=None) -> DataF
     """Shards of postings. ``vocabulary`` (a broadcast of sorted term hashes) keeps postings of those terms only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        shard = TaskContext.get().partitionId() << 32
         for b in batches:
             data, offs = utf8(b.column("t"))
             ids = b.column("i").to_pylist()
@@ -109,7 +126,8 @@ def build_index(df: DataFrame, text: str, doc_id: str, vocabulary=None) -> DataF
                 postings = (order + doc).astype(np.int32)
                 lead = np.flatnonzero(np.concatenate(([True], terms[1:] != terms[:-1]))) if len(terms) else np.zeros(0, np.int64)
                 counts = np.diff(np.concatenate((lead, [len(terms)])))
-                row = {"doc_ids": [ids[i:j]], "first": [first], "terms": [terms[lead].tobytes()], "counts": [counts.astype(np.int32)], "postings": [postings.tobytes()], "hits": [b""], "items": [[[] for _ in range(j - i)]]}
+                row = {"shard": [shard], "doc_ids": [ids[i:j]], "first": [first], "terms": [terms[lead].tobytes()], "counts": [counts.astype(np.int32)], "postings": [postings.tobytes()]}
+                shard += 1
                 yield pa.RecordBatch.from_pydict(row, schema=_SHARD_ARROW)
 
     src = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t"))
@@ -137,12 +155,16 @@ class Shard:
 
     def __init__(self, terms: bytes, counts: np.ndarray, postings: bytes):
         self.p = np.frombuffer(postings, np.int32)
-        ends = np.cumsum(counts)
-        self.lists = {int(t): (int(e - n), int(e)) for t, n, e in zip(np.frombuffer(terms, np.uint64), counts, ends, strict=True)}
+        self.terms = np.frombuffer(terms, np.uint64)  # ascending
+        self.ends = np.concatenate(([0], np.cumsum(counts)))
 
     def get(self, term: int) -> np.ndarray:
-        a, b = self.lists.get(term, (0, 0))
-        return self.p[a:b]
+        k = int(np.searchsorted(self.terms, np.uint64(term)))
+        return self.p[self.ends[k] : self.ends[k + 1]] if k < len(self.terms) and self.terms[k] == term else self.p[:0]
+
+    def among(self, wanted: np.ndarray) -> list[int]:
+        """Those of the sorted terms ``wanted`` that the shard holds."""
+        return np.intersect1d(self.terms, wanted, assume_unique=True).tolist()
 
 
 def _among(places: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
@@ -175,62 +197,80 @@ def window_places(shard: Shard, terms: list[int], anchor: int, starts: list[int]
     return np.concatenate(found)
 
 
-def proximity_places(shard: Shard, terms: list[int], rare: list[int], slop: int) -> np.ndarray:
-    """Positions of the first of the ``rare`` terms that have all the others within ``slop`` tokens."""
-    places = shard.get(terms[rare[0]])
-    for j in rare[1:]:
-        other = shard.get(terms[j])
+def proximity_places(shard: Shard, rare: list[int], slop: int, gapped: np.ndarray) -> np.ndarray:
+    """Positions of the first of the ``rare`` terms that have all the others within ``slop`` tokens of their document."""
+    places = shard.get(rare[0])
+    for x in rare[1:]:
+        other = shard.get(x)
         if not len(other) or not len(places):
             return places[:0]
-        at = np.searchsorted(other, places)
-        near = np.minimum(np.abs(other[np.minimum(at, len(other) - 1)] - places), np.abs(other[np.maximum(at - 1, 0)] - places))
-        places = places[near <= slop]
+        doc, at = np.searchsorted(gapped, places, "right"), np.searchsorted(other, places)
+        near = np.zeros(len(places), bool)
+        for k in (np.minimum(at, len(other) - 1), np.maximum(at - 1, 0)):
+            near |= (np.abs(other[k] - places) <= slop) & (np.searchsorted(gapped, other[k], "right") == doc)
+        places = places[near]
     return places
 
 
-def match_index(index: DataFrame, block: Block, counts: dict[int, int], window: int, slop: int | None = None, rare_terms: int = 4) -> DataFrame:
-    """The shards with hit positions and matching items added. ``slop``: proximity matches count instead of exact ones."""
-    sent = index.sparkSession.sparkContext.broadcast((block, block.anchors(counts, window), counts))
+def match_index(index: DataFrame, block: Block, counts: dict[int, int], window: int, slop: int = SLOP, rare_terms: int = RARE_TERMS) -> DataFrame:
+    """Per shard: positions hit by exact windows, and by document the items with windows and those near each other.
+
+    The shard's own terms lead to the windows that may be there: items that it can't hold cost nothing.
+    """
+    anchors, rarest = block.anchors(counts, window), block.rarest(counts, rare_terms)
+    keys = [np.sort(np.array(list(x), np.uint64)) for x in (anchors, rarest)]
+    sent = index.sparkSession.sparkContext.broadcast((block, anchors, rarest, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, anchors, counts = sent.value
+        block, anchors, rarest, keys = sent.value
         for b in batches:
             for k in range(b.num_rows):
-                row = {c: b.column(c)[k] for c in ("terms", "postings", "hits")}
                 first = np.array(b.column("first")[k].as_py(), np.int64)
-                items = b.column("items")[k].as_py()
-                shard = Shard(row["terms"].as_py(), b.column("counts")[k].values.to_numpy(), row["postings"].as_py())
-                marks = [np.frombuffer(row["hits"].as_py(), np.int32)]
+                shard = Shard(b.column("terms")[k].as_py(), b.column("counts")[k].values.to_numpy(), b.column("postings")[k].as_py())
                 gapped = first + np.arange(len(first))
-                for item, groups in anchors:
-                    terms = block.terms[block.first[item] : block.first[item + 1]].tolist()
-                    n = min(window, len(terms))
-                    docs: set[int] = set()
-                    if slop is not None:
-                        rare = sorted(range(len(terms)), key=lambda j: (counts.get(terms[j], 0), j))[:rare_terms]
-                        at = proximity_places(shard, terms, rare, slop)
-                        marks.append(at)
-                        docs.update((np.searchsorted(gapped, at, "right") - 1).tolist())
-                        groups = []
-                    for anchor, starts in groups:
-                        if terms[anchor] not in shard.lists:
-                            continue
-                        at = window_places(shard, terms, anchor, starts, n)
+                marks = [np.zeros(0, np.int32)]
+                items: list[set] = [set() for _ in range(len(first) - 1)]
+                near: list[set] = [set() for _ in range(len(first) - 1)]
+
+                def note(at: np.ndarray, found: list[set], item: int, gapped: np.ndarray = gapped) -> None:
+                    for d in set((np.searchsorted(gapped, at, "right") - 1).tolist()):
+                        found[d].add(block.ids[item])
+
+                for term in shard.among(keys[0]):
+                    for item, anchor, starts in anchors[term]:
+                        terms = block.terms[block.first[item] : block.first[item + 1]].tolist()
+                        n = min(window, len(terms))
+                        at = np.unique(window_places(shard, terms, anchor, starts, n))
                         if len(at):
-                            at = np.unique(at)
                             marks.append((at[:, None] + np.arange(n)).reshape(-1).astype(np.int32))
-                            docs.update((np.searchsorted(gapped, at, "right") - 1).tolist())
-                    for d in docs:
-                        items[d].append(block.ids[item])
+                            note(at, items, item)
+                for term in shard.among(keys[1]):
+                    for item, rare in rarest[term]:
+                        at = proximity_places(shard, rare, slop, gapped)
+                        if len(at):
+                            note(at, near, item)
                 hits = np.unique(np.concatenate(marks)).astype(np.int32)
-                out = {c: [b.column(c)[k].as_py()] for c in ("doc_ids", "first", "terms", "counts", "postings")}
-                yield pa.RecordBatch.from_pydict(out | {"hits": [hits.tobytes()], "items": [items]}, schema=_SHARD_ARROW)
+                out = {"shard": [b.column("shard")[k].as_py()], "doc_ids": [b.column("doc_ids")[k].as_py()], "first": [first], "hits": [hits.tobytes()], "items": [[sorted(x) for x in items]], "near": [[sorted(x) for x in near]]}
+                yield pa.RecordBatch.from_pydict(out, schema=_HITS_ARROW)
+
+    return index.mapInArrow(tidied(run), _HITS)
+
 
-    return index.mapInArrow(tidied(run), _SHARD)
+def merge_hits(hits: DataFrame) -> DataFrame:
+    """One row a shard from those of several blocks of items."""
+
+    def run(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        all_hits = np.unique(np.concatenate([np.frombuffer(r["hits"], np.int32) for r in rows]))
+        both = {c: [[sorted(set().union(*(r[c][d] for r in rows))) for d in range(len(rows[0]["doc_ids"]))]] for c in ("items", "near")}
+        return pa.Table.from_pydict({"shard": [rows[0]["shard"]], "doc_ids": [rows[0]["doc_ids"]], "first": [rows[0]["first"]], "hits": [all_hits.tobytes()], **both}, schema=_HITS_ARROW)
+
+    return hits.groupBy("shard").applyInArrow(run, _HITS)
 
 
 def report(index: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, the matching items sorted as strings, and the digests of the contract."""
+    """Per document: doc_id, n_words, n_hit, the matching items sorted as strings, the digests of the contract, and the
+    number of items whose rarest terms stand near each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +280,7 @@ def report(index: DataFrame) -> DataFrame:
                 gapped = first + np.arange(len(first))
                 n_words = np.diff(first)
                 n_hit = np.diff(np.searchsorted(hits, gapped))
-                items = [sorted(x) for x in b.column("items")[k].as_py()]
+                items = b.column("items")[k].as_py()
                 n_items = np.array([len(x) for x in items], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -251,29 +291,30 @@ def report(index: DataFrame) -> DataFrame:
                         pa.array(items, pa.list_(pa.string())),
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
                         pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
+                        pa.array([len(x) for x in b.column("near")[k].as_py()], pa.int64()),
                     ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated"],
+                    names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "n_near"],
                 )
 
-    return index.select("doc_ids", "first", "hits", "items").mapInArrow(tidied(run), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean")
+    return index.mapInArrow(tidied(run), "doc_id long, n_words long, n_hit long, n_items long, items array<string>, items_sha256 string, contaminated boolean, n_near long")
 
 
 @settled("contamination")
-def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int | None = None, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
     """``report`` of every document of ``df`` against every item of ``items``."""
     spark = df.sparkSession
     ensure_importable(spark)
     blocks = item_blocks(items, item_id, item_text, block_words)
-    found = next(blocks, None)
-    if found is None:
-        return report(build_index(df, text, doc_id, spark.sparkContext.broadcast(np.zeros(0, np.uint64))))
+    found = next(blocks, Block([], np.zeros(0, np.uint64), np.zeros(1, np.int64)))
     following = next(blocks, None)
     if following is None:
         index = materialize(build_index(df, text, doc_id, spark.sparkContext.broadcast(found.vocabulary)), "postings")
         return report(match_index(index, found, term_counts(index, found.vocabulary), window, slop))
-    # Several blocks: one index of every term, which each block passes over in turn, adding to hits and items.
-    index = out = materialize(build_index(df, text, doc_id), "postings")
+    # Several blocks: one index of every term; each block passes over it and writes its hits alone.
+    index = materialize(build_index(df, text, doc_id), "postings")
+    hits = None
     while found is not None:
-        out = materialize(match_index(out, found, term_counts(index, found.vocabulary), window, slop), "matches")
+        more = materialize(match_index(index, found, term_counts(index, found.vocabulary), window, slop), "matches")
+        hits = more if hits is None else hits.union(more)
         found, following = following, next(blocks, None)
-    return report(out)
+    return report(merge_hits(hits))

@@ -2,9 +2,11 @@
 
 Texts are reduced to lower-cased words joined by single spaces, in bytes, so that a phrase matches whatever stands
 between its words; one automaton walks each text once. Places of identifier tags are looked up again in the text
-itself, where the expression that follows is parsed with the precedence with > and > or.
+itself, where the expression that follows on the same line is parsed with the precedence with > and > or; its
+operands are known identifiers, so that prose after a tag gives no label.
 
-Edge cases: null and empty texts have no words, no labels and score 0; repeated rows are scanned alike.
+Edge cases: null and empty texts have no words, no labels and score 0; repeated rows are scanned alike; texts of any
+length are scanned whole in time proportional to them; extra columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -50,28 +52,44 @@ NOTICES = (
 )
 BASE_SURE = 0.95
 TAG = "spdx license identifier"
-_TAG = re.compile(r"SPDX-License-Identifier\s*:\s*([^\r\n]*)", re.IGNORECASE)
-_TOKEN = re.compile(r"\s*(\(|\)|[A-Za-z0-9.+:-]+)")
+#: A tag at the beginning of a word, and what follows it on its line.
+_TAG = re.compile(r"(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
+_TOKEN = re.compile(r"[ \t]*(\(|\)|[A-Za-z0-9.+:-]+)")
 _RANK = {"or": 1, "and": 2, "with": 3}
+#: Identifiers that an operand may be, by family; other words end an expression.
+_KNOWN = re.compile(
+    r"mit(-0|-cmu|-advertising|-feh|-modern-variant|-open-group)?|apache-[12](\.[01])?|0bsd|bsd-[1-4]-clause(-[a-z0-9-]+)?|isc|(a|l)?gpl-[1-3](\.[0-9])?(\+|-only|-or-later)?|gfdl-1\.[1-3](-[a-z-]+)?"
+    r"|mpl-[12]\.[01](-no-copyleft-exception)?|epl-[12]\.0|cddl-1\.[01]|cpl-1\.0|cc0-1\.0|cc-by(-nc)?(-sa|-nd)?-[1-4]\.[05]|cc-pddc|unlicense|zlib(-acknowledgement)?|libpng(-2\.0)?|artistic-[12]\.0(-[a-z0-9]+)?"
+    r"|bsl-1\.0|wtfpl|python-2\.0(\.1)?|psf-2\.0|cnri-python|ofl-1\.[01]|eupl-1\.[0-2]|ms-(pl|rl)|postgresql|openssl|curl|x11|xnet|w3c(-[0-9a-z]+)?|afl-[1-3]\.[0-2]|osl-[1-3]\.[01]|cecill-([12]\.[01]|[abc])"
+    r"|lppl-1\.[0-3][ac]?|vim|ruby|ncsa|upl-1\.0|unicode-(3\.0|dfs-201[56]|tou)|blueoak-1\.0\.0|beerware|hpnd|ijg|intel|ipl-1\.0|json|nasa-1\.3|ntp|odbl-1\.0|odc-by-1\.0|pddl-1\.0|php-3\.0[01]?|qpl-1\.0|sleepycat|tcl"
+    r"|zpl-[12]\.[01]|ecl-[12]\.0|eudatagrid|fair|ftl|icu|imagemagick|info-zip|mulanpsl-[12]\.0|naumen|nokia|oldap-2\.[0-8]|sgi-b-[12]\.[01]|spl-1\.0|vsl-1\.0|watcom-1\.0|xfree86-1\.1|(documentref-[a-z0-9.-]+:)?licenseref-[a-z0-9.-]+"
+)
+#: Identifiers that may follow "with".
+_EXCEPTION = re.compile(r"[a-z0-9.+-]+-exception(-[a-z0-9.]+)*|linux-syscall-note|[a-z0-9.+-]+-linking-exception|addition(ref)?-[a-z0-9.-]+")
 
 
 def parse_expression(text: str) -> list[str] | None:
-    """Postfix form of the longest license expression that ``text`` begins with, None where it holds none."""
+    """Postfix form of the longest license expression that ``text`` begins with, None where it holds none.
+
+    Operands are known identifiers, in lower case; "with" stands between one and an exception. What is recorded at each
+    possible end is how far the output and which operators hold, so the time is in proportion to the text.
+    """
     out: list[str] = []
     ops: list[str] = []
-    best: list[str] | None = None
-    operand, at, depth = True, 0, 0
+    best: tuple[int, tuple[str, ...]] | None = None
+    operand, at, depth, plain = True, 0, 0, False
     while m := _TOKEN.match(text, at):
-        t, low = m[1], m[1].lower()
+        t = m[1].lower()
         if operand:
-            if t == "(":
+            if t == "(" and (not ops or ops[-1] != "with"):
                 ops.append(t)
                 depth += 1
-            elif t == ")" or low in _RANK:
-                break
-            else:
+            elif (_EXCEPTION if ops and ops[-1] == "with" else _KNOWN).fullmatch(t):
+                plain = not (ops and ops[-1] == "with")
                 out.append(t)
                 operand = False
+            else:
+                break
         elif t == ")":
             if not depth:
                 break
@@ -79,39 +97,45 @@ def parse_expression(text: str) -> list[str] | None:
                 out.append(ops.pop())
             ops.pop()
             depth -= 1
-        elif low in _RANK:
-            while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[low]:
+            plain = False
+        elif t in _RANK and (t != "with" or plain):
+            while ops and ops[-1] != "(" and _RANK[ops[-1]] >= _RANK[t]:
                 out.append(ops.pop())
-            ops.append(low)
+            ops.append(t)
             operand = True
         else:
             break
         at = m.end()
         if not operand and not depth:
-            best = out + ops[::-1]
-    return best
+            best = len(out), tuple(reversed(ops))
+    return out[: best[0]] + list(best[1]) if best else None
 
 
-def choices(postfix: list[str]) -> set[frozenset[str]]:
-    """The alternatives that an expression grants, each the set of licenses that hold together."""
-    stack: list[set[frozenset[str]]] = []
+def expression_labels(postfix: list[str]) -> set[str]:
+    """The licenses that an expression names, an exception with its license."""
+    stack: list[str] = []
     for t in postfix:
-        if t not in _RANK:
-            stack.append({frozenset([t.lower()])})
-            continue
-        b, a = stack.pop(), stack.pop()
-        if t == "or":
-            stack.append(a | b)
-        elif t == "and":
-            stack.append({x | y for x in a for y in b})
-        else:
-            stack.append({frozenset(f"{p} with {q}" for p in x for q in y) for x in a for y in b})
-    return stack.pop()
+        if t == "with":
+            exception = stack.pop()
+            stack[-1] += f" with {exception}"
+        elif t not in _RANK:
+            stack.append(t)
+    return set(stack)
 
 
 def allowed(postfix: list[str], accepted: set[str]) -> bool:
     """Whether some alternative needs accepted licenses only."""
-    return any(c <= accepted for c in choices(postfix))
+    stack: list[tuple[str, bool]] = []
+    for t in postfix:
+        if t not in _RANK:
+            stack.append((t, t in accepted))
+            continue
+        (b, yes_b), (a, yes_a) = stack.pop(), stack.pop()
+        if t == "with":
+            stack.append((f"{a} with {b}", f"{a} with {b}" in accepted))
+        else:
+            stack.append(("", yes_a or yes_b if t == "or" else yes_a and yes_b))
+    return stack.pop()[1]
 
 
 def automaton():
@@ -152,12 +176,12 @@ def scan(text: str, machine, table: bytes) -> tuple[int, list[tuple[str, int, in
             else:
                 places.append((kind, seen - n, n, label, sure))
     if tag:
+        first = at = 0
         for m in _TAG.finditer(text):
-            if (post := parse_expression(m[1])) is None:
-                continue
-            first = len(text[: m.start()].encode().translate(table).split())
-            for label in sorted({x for c in choices(post) for x in c}):
-                places.append(("tag", first, 3, label, 1.0))
+            first += len(text[at : m.start()].encode().translate(table).split())
+            at = m.start()
+            if (post := parse_expression(m[1])) is not None:
+                places.extend(("tag", first, 3, label, 1.0) for label in sorted(expression_labels(post)))
     return len(words), places
 
 

@@ -3,16 +3,18 @@
 Every distinct key of a repeated line gets a slot by a minimal perfect hash built per shard (levels of bit arrays;
 keys that collide on a level go to the next one). Slots index compact arrays: a 64-bit fingerprint, the number of
 documents and the largest doc_id. Documents probe the arrays while their text streams by, so texts are never
-shuffled and lines never joined, as long as the arrays fit ``BROADCAST_BYTES``; beyond that, shards are probed in
-several groups of that size, one pass of the texts each.
+shuffled and lines never joined, as long as the arrays fit ``BROADCAST_BYTES``. A larger index stays on the executors:
+the hashes of a batch's lines go, packed, to the shards that may hold them, are probed there, and only the numbers of
+the lines to drop come back to their documents.
 
-Edge cases: null or empty texts are one empty line; rows that share a doc_id count as one document; rows with a
+Edge cases: texts of any length are split whole; extra columns of any name are left out; null or empty texts are one empty line; rows that share a doc_id count as one document; rows with a
 null doc_id hold no keys, their lines go where a key qualifies; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,9 @@ from helixframe.session import ensure_importable, materialize
 
 MIN_CHARS = 20
 MIN_DOCS = 3
-#: Bytes of arrays that one pass holds in each worker.
+#: Bytes of arrays that are sent to every worker; a larger index is probed shard by shard.
 BROADCAST_BYTES = 48 << 20
+ENTRY_BYTES = 28
 SHARD_KEYS = 1 << 16
 GAMMA = 1.6
 _WS = " \t\n\x0b\x0c\r"
@@ -88,10 +91,10 @@ class Shards:
                 bits.append(b)
                 ranks.append(base + np.cumsum(b) - 1)
                 base += int(b.sum())
-            self.shards[r.shard] = (bits, ranks, np.frombuffer(r.fingerprints, np.uint64), np.frombuffer(r.last, np.int64))
+            self.shards[r.shard] = (bits, ranks, np.frombuffer(r.fingerprints, np.uint64), np.frombuffer(r.counts, np.int32), np.frombuffer(r.last, np.int64))
 
-    def last_holder(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, largest doc_id) of each hash."""
+    def last_holder(self, hashes: np.ndarray, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """(found in so many documents, largest doc_id) of each hash."""
         found, last = np.zeros(len(hashes), bool), np.zeros(len(hashes), np.int64)
         shard = (hashes >> np.uint64(32)) % np.uint64(self.n)
         for s in np.unique(shard):
@@ -100,9 +103,9 @@ class Shards:
             mine = np.flatnonzero(shard == s)
             slot = probe_mph(got[0], got[1], hashes[mine])
             ok = slot >= 0
-            ok[ok] = got[2][slot[ok]] == hashes[mine[ok]]
+            ok[ok] = (got[2][slot[ok]] == hashes[mine[ok]]) & (got[3][slot[ok]] >= min_docs)
             found[mine[ok]] = True
-            last[mine[ok]] = got[3][slot[ok]]
+            last[mine[ok]] = got[4][slot[ok]]
         return found, last
 
 
@@ -139,7 +142,7 @@ def line_index(stats: DataFrame, n_shards: int) -> DataFrame:
             mine = np.flatnonzero(shard == s)
             bits, slots = build_mph(h[mine])
             arrays = {}
-            for name, a, kind in (("fingerprints", h[mine], np.uint64), ("counts", docs[mine], np.int64), ("last", last[mine], np.int64)):
+            for name, a, kind in (("fingerprints", h[mine], np.uint64), ("counts", np.minimum(docs[mine], (1 << 31) - 1), np.int32), ("last", last[mine], np.int64)):
                 arrays[name] = np.zeros(len(mine), kind)
                 arrays[name][slots] = a
             yield pa.RecordBatch.from_pydict({"shard": [int(s)], "sizes": [[len(x) for x in bits]], "bits": [b"".join(np.packbits(x).tobytes() for x in bits)], **{k: [v.tobytes()] for k, v in arrays.items()}}, schema=pa.schema([("shard", pa.int64()), ("sizes", pa.list_(pa.int64())), ("bits", pa.binary()), *((k, pa.binary()) for k in arrays)]))
@@ -152,48 +155,97 @@ def drop_repeated_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id
     """(doc_id, n_lines, n_dropped, kept): each document less its lines that a later document repeats."""
     spark = df.sparkSession
     ensure_importable(spark)
+    # Keys below the least number of documents decide nothing and get no slot.
     stats = materialize(line_statistics(df, text, doc_id).where(F.col("docs") >= min_docs), "line-keys")
     n_keys = stats.count()
     n_shards = max(1, -(-n_keys // SHARD_KEYS))
     index = materialize(line_index(stats, n_shards), "line-index")
-    each = max(1, BROADCAST_BYTES // (SHARD_KEYS * 28))
-    groups = [(lo, min(n_shards, lo + each)) for lo in range(0, n_shards, each)]
-    out = df.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"), F.array().cast("array<int>").alias("gone"))
-    for k, (lo, hi) in enumerate(groups):
-        rows = index.where((F.col("shard") >= lo) & (F.col("shard") < hi)).drop("counts").collect()
-        out = out.mapInArrow(_prober(spark.sparkContext.broadcast(rows), n_shards, k + 1 == len(groups)), "doc_id long, n_lines long, n_dropped long, kept string" if k + 1 == len(groups) else "i long, t string, gone array<int>")
-    return out
+    src = df.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    if n_keys * ENTRY_BYTES <= BROADCAST_BYTES:
+        sent = spark.sparkContext.broadcast(index.collect())
+        return src.mapInArrow(_probe_here(sent, n_shards, min_docs), _KEPT)
+    return _probe_there(src, index, n_shards, min_docs)
+
+
+_KEPT = "doc_id long, n_lines long, n_dropped long, kept string"
+
 
+def _line_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, text, line) of every line with a key."""
+    hs, docs, at = [], [], []
+    for d, t in enumerate(texts):
+        for j, line in enumerate(t.split("\n")):
+            if len(line) >= MIN_CHARS and (k := line_key(line)) is not None:
+                hs.append(_hash(k))
+                docs.append(d)
+                at.append(j)
+    return np.array(hs, np.uint64), np.array(docs, np.int64), np.array(at, np.int64)
 
-def _prober(rows, n_shards: int, final: bool):
+
+def _without(ids: list, texts: list[str], gone: list) -> pa.RecordBatch:
+    kept, sizes = [], []
+    for t, g in zip(texts, gone, strict=True):
+        lines = t.split("\n")
+        drop = set(g or ())
+        sizes.append(len(lines))
+        kept.append("\n".join(x for j, x in enumerate(lines) if j not in drop) if drop else t)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array([len(g or ()) for g in gone], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+
+
+def _probe_here(rows, n_shards: int, min_docs: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Shards(rows.value, n_shards)
         for b in batches:
-            ids, texts, gone = b.column("i").to_pylist(), b.column("t").to_pylist(), b.column("gone").to_pylist()
-            split = [t.split("\n") for t in texts]
-            hs, at = [], []
-            for d, ls in enumerate(split):
-                for j, line in enumerate(ls):
-                    if len(line) >= MIN_CHARS and (k := line_key(line)) is not None:
-                        hs.append(_hash(k))
-                        at.append((d, j))
-            found, last = index.last_holder(np.array(hs, np.uint64))
+            ids, texts = b.column("i").to_pylist(), b.column("t").to_pylist()
+            hs, docs, at = _line_hashes(texts)
+            found, last = index.last_holder(hs, min_docs)
+            gone: list[list[int]] = [[] for _ in texts]
             for x in np.flatnonzero(found):
-                d, j = at[x]
-                if ids[d] != last[x]:
-                    gone[d].append(j)
-            if not final:
-                yield pa.RecordBatch.from_arrays([b.column("i"), b.column("t"), pa.array(gone, pa.list_(pa.int32()))], names=["i", "t", "gone"])
-                continue
-            kept = []
-            for t, ls, g in zip(texts, split, gone, strict=True):
-                drop = set(g)
-                kept.append("\n".join(x for j, x in enumerate(ls) if j not in drop) if drop else t)
-            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array([len(x) for x in split], pa.int64()), pa.array([len(x) for x in gone], pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+                if ids[docs[x]] != last[x]:
+                    gone[docs[x]].append(int(at[x]))
+            yield _without(ids, texts, gone)
 
     return run
 
 
+def _probe_there(src: DataFrame, index: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
+    """Hashes meet the shards by equi-join; documents are told apart by doc_id and the hash of their text."""
+    src = src.withColumn("x", F.xxhash64("t"))
+
+    def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, xs = b.column("i").to_pylist(), b.column("x").to_pylist()
+            hs, docs, at = _line_hashes(b.column("t").to_pylist())
+            shard = ((hs >> np.uint64(32)) % np.uint64(n_shards)).astype(np.int64)
+            order = np.argsort(shard, kind="stable")
+            cut = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
+            for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=False):
+                o = order[a:z]
+                yield pa.RecordBatch.from_pydict({"shard": [int(shard[o[0]])], "ids": [[ids[d] for d in docs[o]]], "xs": [[xs[d] for d in docs[o]]], "at": [at[o]], "hashes": [hs[o].tobytes()]}, schema=pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("xs", pa.list_(pa.int64())), ("at", pa.list_(pa.int64())), ("hashes", pa.binary())]))
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            for r in b.to_pylist():
+                if held is None or held[0] != r["shard"]:
+                    held = r["shard"], Shards([SimpleNamespace(**r)], n_shards)
+                found, last = held[1].last_holder(np.frombuffer(r["hashes"], np.uint64), min_docs)
+                hit = [k for k in np.flatnonzero(found).tolist() if r["ids"][k] != last[k]]
+                if hit:
+                    yield pa.RecordBatch.from_pydict({"gi": [r["ids"][k] for k in hit], "gx": [r["xs"][k] for k in hit], "line": [int(r["at"][k]) for k in hit]}, schema=pa.schema([("gi", pa.int64()), ("gx", pa.int64()), ("line", pa.int32())]))
+
+    sent = src.mapInArrow(tidied(packets), "shard long, ids array<long>, xs array<long>, at array<long>, hashes binary")
+    met = sent.join(index.hint("merge"), "shard")
+    gone = met.mapInArrow(tidied(probe), "gi long, gx long, line int").groupBy("gi", "gx").agg(F.collect_set("line").alias("gone"))
+    gone = materialize(gone, "line-drops")
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield _without(*(b.column(c).to_pylist() for c in ("i", "t", "gone")))
+
+    return src.join(gone, F.col("i").eqNullSafe(F.col("gi")) & (F.col("x") == F.col("gx")), "left").select("i", "t", "gone").mapInArrow(drop, _KEPT)
+
+
 def digest(df: DataFrame) -> DataFrame:
     """The kept text as its hash."""
     return df.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))

@@ -13,8 +13,12 @@ Distinct texts on both sides, so that copies of one document are one piece of ev
 Patterns are written with possessive repetition and start guards: they accept what the plain ones accept, without
 recursion or quadratic search on long runs.
 
-Edge cases: null texts count as empty; repeated rows are scanned alike; documents that share a doc_id share the
-terms looked for; an empty table gives an empty table.
+Contexts are the words within 160 characters, at most 8, on either side of an entity: parameters of the method; the
+counts cover all texts whole.
+
+Edge cases: null texts count as empty; repeated rows are scanned alike; rows without a doc_id are told apart by their
+texts; texts of any length are scanned whole; extra columns of any name are left out; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from helixframe.session import materialize
 
 GENERALISE = 0.80
 REMOVE = 0.95
-MIN_CONTEXTS = 3
+MIN_CONTEXTS = 2
 CONTEXT_CHARS = 160
 CONTEXT_WORDS = 8
 #: Bytes of flagged terms, or of their documents' ids, that are sent to all executors; more are joined by shuffle.
@@ -114,10 +118,10 @@ def words(text: Column) -> Column:
 
 
 def contexts(spanned: DataFrame, text: str) -> DataFrame:
-    """(entity, terms): each entity of each row, with the distinct words near its places there."""
+    """(entity, terms): each entity of each of the distinct texts, with the distinct words near its places there."""
     t = F.coalesce(F.col(text), F.lit(""))
     spans = F.concat(*(_entities(k) for k, _, _ in KINDS))
-    hit = spanned.where(F.size(spans) > 0).select(F.monotonically_increasing_id().alias("row"), t.alias("t"), F.explode(spans).alias("x"))
+    hit = spanned.where(F.size(spans) > 0).select(F.xxhash64(t).alias("row"), t.alias("t"), F.explode(spans).alias("x"))
     lo = F.greatest(F.col("x.s") - CONTEXT_CHARS, F.lit(0))
     before = words(F.substring("t", lo + 1, F.col("x.s") - lo))
     after = words(F.substring(F.col("t"), F.col("x.e") + 1, F.lit(CONTEXT_CHARS)))
@@ -138,7 +142,11 @@ def disclosing_terms(df: DataFrame, text: str = "text", generalise: float = GENE
     if pairs.limit(1).count() == 0:
         return pairs.select("term", F.lit(0.0).alias("disclosure"))
     n_docs = texts.count()
+    # Only terms met beside an entity are counted; which they are is sent to the texts while they are few.
+    wanted = pairs.select("term").distinct()
+    size = wanted.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     terms = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
+    terms = terms.join(F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted, "term", "left_semi")
     frequent = terms.groupBy("term").agg(F.count("*").alias("n_t")).where(F.col("n_t") >= min_contexts)
     p_e = F.least(F.col("n_e") / n_docs, F.lit(0.5))
     p_et = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
@@ -147,13 +155,17 @@ def disclosing_terms(df: DataFrame, text: str = "text", generalise: float = GENE
 
 
 def term_spans(df: DataFrame, flagged: DataFrame, text: str, key: str) -> DataFrame:
-    """``df`` with ``_term``: places of the flagged terms that each document holds."""
+    """``df`` with ``_term``: places of the flagged terms that each document holds.
+
+    Documents are told apart by ``key`` and the hash of their text, so that rows without a key aren't one group.
+    """
     size = flagged.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     small = size <= BROADCAST_BYTES
-    held = df.select(key, F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-    held = held.join(F.broadcast(flagged) if small else flagged, "term").groupBy(key).agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("_flagged"))
+    df = df.withColumn("_h", F.xxhash64(text))
+    held = df.select(F.col(key).alias("_key"), F.col("_h").alias("_hash"), F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
+    held = held.join(F.broadcast(flagged) if small else flagged, "term").groupBy("_key", "_hash").agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("_flagged"))
     held = materialize(held, "pii-held")
-    out = df.join(held, df[key].eqNullSafe(held[key]), "left").drop(held[key])
+    out = df.join(held, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left").drop("_key", "_hash", "_h")
     t = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     edge = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 

@@ -74,4 +74,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": sql.OP2, "op10_line_dedup": sql.OP10}
+    return {"op2_decontamination": sql.OP2, "op3_quality_rules": sql.OP3, "op9_jaccard_join": sql.OP9, "op10_line_dedup": sql.OP10}

@@ -12,9 +12,28 @@ dw AS (SELECT doc_id, {_WORDS} AS w FROM documents), sizes AS (SELECT DISTINCT n
 dg AS (SELECT doc_id, n, s, list_slice(w, s, s + n - 1) AS g FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM dw, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, s, dg.n, item FROM dg JOIN win ON dg.n = win.n AND dg.g = win.g),
 pos AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY 1),
+iv AS (SELECT item, row_number() OVER () AS r, w FROM iw WHERE len(w) > 0), it AS (SELECT r, item, word, min(p) AS p FROM (SELECT r, item, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM iv) GROUP BY 1, 2, 3), dp AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM dw),
+tc AS (SELECT word, count(*) AS n FROM dp SEMI JOIN it ON it.word = dp.word GROUP BY 1), rare AS (SELECT r, item, word, k, count(*) OVER (PARTITION BY r) AS m FROM (SELECT it.*, row_number() OVER (PARTITION BY r ORDER BY n, it.p) AS k FROM it JOIN tc ON tc.word = it.word) WHERE k <= 4),
+oc AS (SELECT doc_id, r, item, k, m, dp.p FROM dp JOIN rare ON rare.word = dp.word), nr AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM (SELECT a.doc_id, a.item, a.r, a.p FROM oc a LEFT JOIN oc b ON b.doc_id = a.doc_id AND b.r = a.r AND b.k > 1 AND abs(b.p - a.p) <= 32 WHERE a.k = 1 GROUP BY a.doc_id, a.item, a.r, a.p, a.m HAVING count(DISTINCT b.k) = a.m - 1) GROUP BY 1),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
-SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM dw LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id"""
+SELECT dw.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM dw LEFT JOIN nr ON nr.doc_id = dw.doc_id LEFT JOIN pos ON pos.doc_id = dw.doc_id LEFT JOIN its ON its.doc_id = dw.doc_id"""
+
+_BLACK = r"'[^\x20\x09-\x0D]+'"
+
+OP3 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents), w AS (SELECT r, doc_id, t, regexp_extract_all(t, {_BLACK}) AS w FROM d),
+l AS (SELECT r, line, count(*) AS n FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, {_BLACK}) GROUP BY 1, 2), ls AS (SELECT r, CAST(sum(n) AS BIGINT) AS n_lines, CAST(sum(n - 1) AS BIGINT) AS n_dup FROM l GROUP BY 1),
+g AS (SELECT r, s, list_slice(w, s, s + 2) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS s FROM w WHERE len(w) >= 3)), h AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY r, g) AS c FROM g) WHERE c > 1), m AS (SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest([s, s + 1, s + 2]) AS p FROM h) GROUP BY 1),
+b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines, coalesce(m.n, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
+ length(t) - length(replace(t, '!', '')) AS bang, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS up, length(t) - length(regexp_replace(t, '[A-Za-z]', '', 'g')) AS letters FROM w LEFT JOIN ls ON ls.r = w.r LEFT JOIN m ON m.r = w.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 25 * n_words OR 100 * bang > 50 * n_words OR 100 * up > 60 * letters OR word_chars > 20 * n_words OR 10 * word_chars < 15 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept FROM b"""
+
+OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, {_BLACK}) AS w FROM documents), s AS (SELECT DISTINCT doc_id, md5(array_to_string(g, ' ')) AS g FROM (SELECT doc_id, list_slice(w, k, k + 3) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS k FROM w WHERE len(w) > 0))),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), few AS (SELECT g FROM s GROUP BY 1 HAVING count(*) > 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id SEMI JOIN few ON few.g = a.g GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT two.b, r.root FROM r JOIN two ON two.a = r.node), c AS (SELECT node, min(root) AS component_id FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.node = d.doc_id"""
 
 OP10 = f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
 ky AS (SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),

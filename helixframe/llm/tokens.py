@@ -42,6 +42,9 @@ CACHE_PIECES = 200_000
 PARTITION_BYTES = 32 << 20
 #: Letters below this code point are the same in every version of Unicode.
 LATIN = 0x250
+#: ASCII characters that are neither letters nor digits nor white space.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+MARK_SET = frozenset(MARKS)
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
 
@@ -51,20 +54,21 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def atoms(piece: str) -> list[str]:
-    """A piece cut further where the pre-tokenizer always cuts: round a line break between two characters that
-    aren't white space, and before a full stop or comma that ends the piece after a letter or digit."""
-    head, line, tail = piece.partition("\n")
-    if line:
-        if head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
-            return [*atoms(head), line, *atoms(tail)]
-    elif len(piece) > 1 and piece[-1] in ".," and piece[-2].isalnum():
-        return [piece[:-1], piece[-1]]
-    return [piece]
+def cut_text(t: str) -> list[str] | None:
+    """Pieces of a text at its spaces, and at its line breaks if it has no other white space; None if some space has
+    white space beside it or ends the text, so that cutting there isn't safe."""
+    if t.replace("\n", "").isprintable():  # then spaces and line breaks are the only white space
+        if "  " in t or " \n" in t or "\n " in t or t.endswith(" "):
+            return None
+        t = t.replace(" ", "\0 ")
+        if "\n" in t and "\n\n" not in t and t[0] != "\n" and t[-1] != "\n":
+            t = t.replace("\n", "\0\n\0")
+        return t.split("\0")
+    return None if "\0" in t or _NEAR_SPACE.search(t) else t.replace(" ", "\0 ").split("\0")
 
 
 class Pieces(dict):
-    """Ids of pieces, as bytes; a piece not met before is encoded by the library, by its atoms."""
+    """Ids of pieces, as bytes; a piece not met before is encoded by the library, by its parts."""
 
     def __init__(self, tokenizer, code: str):
         self.tokenizer, self.code, self.older = tokenizer, code, {}
@@ -82,7 +86,7 @@ class Pieces(dict):
     def word(self, piece: str) -> bytes | None:
         """Ids of a word of Latin letters, with or without a space before it; null for other pieces."""
         body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha() and max(body) < chr(LATIN):
+        if body.isalpha() and (body.isascii() or max(body) < chr(LATIN)):
             return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
         return None
 
@@ -91,24 +95,23 @@ class Pieces(dict):
             older = self.copy()
             self.clear()
             self.older = older
-        if (ids := self.older.get(piece)) is not None:
-            self[piece] = ids
-            return ids
-        parts = atoms(piece)
-        if len(parts) > 1:
-            ids = b"".join(map(self.__getitem__, parts))
-        elif (ids := self.word(piece)) is None:
+        if (ids := self.older.get(piece)) is None and (ids := self.word(piece)) is None and (ids := self.parts(piece)) is None:
             ids = self.library(piece)
-        if "\n" not in piece or len(parts) == 1:  # words round a line break seldom meet again
+        if "\n" not in piece or len(piece) == 1:  # words round a line break seldom meet again
             self[piece] = ids
         return ids
 
-
-def _spaces_touch(t: str) -> bool:
-    """Whether some space has white space beside it or ends the text, so that cutting at spaces isn't safe."""
-    if t.replace("\n", "").isprintable():  # then spaces and line breaks are the only white space
-        return "  " in t or " \n" in t or "\n " in t or t.endswith(" ")
-    return "\0" in t or _NEAR_SPACE.search(t) is not None
+    def parts(self, piece: str) -> bytes | None:
+        """Ids of a piece that the pre-tokenizer always cuts further: before the ASCII marks that end it after a letter
+        or digit, and round a line break between two characters that aren't white space; null for other pieces."""
+        if piece[-1:] in MARK_SET:
+            body = piece.rstrip(MARKS)
+            if body and body[-1].isalnum() and body[-1] < chr(LATIN):
+                return self[body] + self[piece[len(body) :]]
+        head, line, tail = piece.partition("\n")
+        if line and head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
+            return self[head] + self[line] + self[tail]
+        return None
 
 
 class Encoder:
@@ -126,6 +129,7 @@ class Encoder:
         cut = kind["pre_tokenizer"] or {}
         self.cuts = cut.get("type") == "ByteLevel" and cut.get("use_regex") and not cut.get("add_prefix_space") and not kind["normalizer"]
         self.library = t
+        self.added = [x["content"] for x in kind["added_tokens"]]
         self.pieces = Pieces(t, "H" if self.width == np.uint16 else "I") if self.cuts else {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -133,10 +137,8 @@ class Encoder:
         if not self.cuts:
             return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.width) for t in texts]
         for t in texts:
-            if _spaces_touch(t):
-                ids = self.pieces.library(t)
-            else:
-                ids = b"".join(map(self.pieces.__getitem__, t.replace(" ", "\0 ").split("\0")))
+            pieces = None if any(x in t for x in self.added) else cut_text(t)
+            ids = self.pieces.library(t) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
             out.append(np.frombuffer(ids, self.width))
         return out
 

@@ -153,7 +153,8 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     ensure_importable(df.sparkSession)
     known = labels.select(F.col(doc_id).cast("long").alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & (fold("i") != 0)).groupBy("i").agg(F.max("y").alias("y"))
     known = known.orderBy(F.xxhash64("i"), "i").limit(rows)
-    src = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(known), "i")
+    # One text a doc_id, the least, so that reruns train on the same rows whatever is repeated.
+    src = df.select(F.col(doc_id).cast("long").alias("i"), F.coalesce(F.col(text), F.lit("")).alias("t")).join(F.broadcast(known), "i").groupBy("i").agg(F.min("t").alias("t"), F.max("y").alias("y"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,7 +164,7 @@ def train(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([b.column("i").slice(i, j - i), b.column("y").slice(i, j - i), pa.array([t[a:z].astype("<i4").tobytes() for a, z in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], names=["i", "y", "x"])
 
-    got = src.mapInArrow(tidied(run), "i long, y int, x binary").limit(2 * rows).toArrow()
+    got = src.mapInArrow(tidied(run), "i long, y int, x binary").toArrow()
     order = np.argsort(got.column("i").to_numpy(), kind="stable") if got.num_rows else np.zeros(0, np.int64)
     sets = [np.frombuffer(x.as_py(), "<i4") for x in got.column("x")]
     sets = [sets[k] for k in order]

@@ -183,3 +183,139 @@ def targets(sizes):
         if not over:
             return [2.0 * sizes[i] if i in capped else unit * w[i] for i in range(len(sizes))]
         capped |= over
+
+
+def personal_spans(docs):
+    """(kind, start, end, text) by document, by kind as listed, then start."""
+    out = []
+    for _, t in docs:
+        spans = []
+        for kind, r in KINDS:
+            for m in r.finditer(t or ""):
+                digits = re.sub("[^0-9]", "", m[0])
+                ok = {"email": True, "ip": kind == "ip" and all(len(x.lstrip("0")) <= 3 and int(x.lstrip("0") or 0) <= 255 for x in m[0].split(".")), "card": 13 <= len(digits) <= 19 and luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+                if ok:
+                    spans.append((kind, m.start(), m.end(), m[0]))
+        out.append(spans)
+    return out
+
+
+def disclosures(docs, generalise=0.80, least=2):
+    """Terms that reveal an entity: counts over distinct texts, contexts of 160 characters and 8 words a side."""
+    from math import log2
+
+    texts = sorted({t or "" for _, t in docs})
+    n_e, n_et, n_t = Counter(), Counter(), Counter()
+    for t, spans in zip(texts, personal_spans([(None, t) for t in texts]), strict=True):
+        n_t.update(set(ALNUM.findall(low(t))))
+        near = defaultdict(set)
+        for kind, s, e, v in spans:
+            lo = max(s - 160, 0)
+            before = ALNUM.findall(low(t[lo:s]))
+            near[f"{kind}:{v.lower()}"].update(before[lo > 0 :][-8:] + ALNUM.findall(low(t[e : e + 160]))[:8])
+        for entity, terms in near.items():
+            n_e[entity] += 1
+            n_et.update((entity, x) for x in terms)
+    told = {}
+    for (entity, term), k in n_et.items():
+        if k >= least and n_e[entity] >= least and n_t[term] >= least:
+            p = min(n_e[entity] / len(texts), 0.5)
+            told[term] = max(told.get(term, 0), log2(min(k / n_t[term], 1) / p) / -log2(p))
+    return {t: d for t, d in told.items() if d >= generalise}
+
+
+def all_spans(docs):
+    """(doc_id, spans) with the spans of disclosing terms last."""
+    told, out = disclosures(docs), []
+    for (i, t), base in zip(docs, personal_spans(docs), strict=True):
+        terms = [(m.start(), m.end()) for m in ALNUM.finditer(low(t)) if m[0] in told]
+        out.append((i, ",".join([f"{k}:{s}:{e}" for k, s, e, _ in base] + [f"term:{s}:{e}" for s, e in terms])))
+    return out
+
+
+def verdicts(docs):
+    """(doc_id, kept) by all quality rules."""
+    out = []
+    for (i, t), m in zip(docs, measures(docs), strict=True):
+        t = t or ""
+        _, words, chars, symbols, dup, _, failed = m
+        lines = sum(bool(BLACK.search(x)) for x in t.split("\n"))
+        upper, letters = (len(re.findall(x, t)) for x in ("[A-Z]", "[A-Za-z]"))
+        bad = 100 * symbols > 25 * words or 100 * t.count("!") > 50 * words or 100 * upper > 60 * letters or chars > 20 * words or 10 * chars < 15 * words or 100 * dup > 60 * lines
+        out.append((i, not failed and not bad))
+    return out
+
+
+def expression(tokens, known, exception):
+    """Labels of a license expression that all the tokens make up, None if they don't; by recursive descent."""
+
+    def clause(k):
+        if k < len(tokens) and tokens[k] == "(":
+            found = either(k + 1)
+            return (found[0], found[1] + 1) if found and found[1] < len(tokens) and tokens[found[1]] == ")" else None
+        if k >= len(tokens) or not known(tokens[k]):
+            return None
+        if k + 2 < len(tokens) and tokens[k + 1] == "with" and exception(tokens[k + 2]):
+            return {f"{tokens[k]} with {tokens[k + 2]}"}, k + 3
+        return {tokens[k]}, k + 1
+
+    def chain(part, word):
+        def parse(k):
+            found = part(k)
+            while found and found[1] < len(tokens) and tokens[found[1]] == word:
+                more = part(found[1] + 1)
+                if not more:
+                    return found
+                found = found[0] | more[0], more[1]
+            return found
+
+        return parse
+
+    either = chain(chain(clause, "and"), "or")
+    found = either(0)
+    return found[0] if found and found[1] == len(tokens) else None
+
+
+def license_labels(docs):
+    """(doc_id, labels, score) by phrases in the words and tags in the text."""
+    from helixframe.llm import licenses as lic
+
+    out = []
+    for i, t in docs:
+        t = t or ""
+        flat, labels, missed = f" {' '.join(ALNUM.findall(low(t)))} ", set(), 1.0
+        for phrase, label, sure in [(p, x, lic.BASE_SURE) for p, x in lic.BASE_PHRASES] + list(lic.NOTICES):
+            n = len(re.findall(f"(?= {phrase} )", flat))
+            if n:
+                labels.add(label)
+                missed *= (1 - sure) ** n
+        for line in re.findall(r"(?i)SPDX-License-Identifier[ \t]*:[ \t]*([^\r\n]*)", t):
+            m = re.match(r"(?:[ \t]*(?:\(|\)|[A-Za-z0-9.+:-]+))*", line)
+            tokens = [x.lower() for x in re.findall(r"\(|\)|[A-Za-z0-9.+:-]+", m[0])]
+            for n in range(len(tokens), 0, -1):
+                if (found := expression(tokens[:n], lambda x: lic._KNOWN.fullmatch(x), lambda x: lic._EXCEPTION.fullmatch(x))) is not None:
+                    labels |= found
+                    missed = 0.0
+                    break
+        out.append((i, ",".join(sorted(labels)), round(1 - missed, 9)))
+    return out
+
+
+def machine_scores(docs, m):
+    """(doc_id, score) of a factorization machine, pair by pair."""
+    import numpy as np
+
+    from helixframe.llm.toxicity import BITS, LONG, PREFIXES
+    from helixframe.llm.words import hash_word, mix
+
+    out = []
+    for i, t in docs:
+        slots = set()
+        for w in ALNUM.findall(low(t)):
+            b = w.encode()
+            hs = [hash_word(b)] + [int(mix(np.array([hash_word(b[:k])], np.uint64) + np.uint64(k))[0]) for k in PREFIXES if len(b) >= max(LONG, k + 1)]
+            slots |= {int(m.slot[h >> 64 - BITS]) for h in hs} - {-1}
+        s = sorted(slots)
+        z = m.bias + sum(m.weight[a] for a in s) + sum(float(m.factor[a] @ m.factor[b]) for k, a in enumerate(s) for b in s[:k])
+        out.append((i, 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))))
+    return out

@@ -27,13 +27,29 @@ def test_op1(spark, folder, rows):
     check(got(spark, folder, "op1", ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256"]), brute.pii(docs(rows)))
 
 
+def test_op1_spans(spark, folder, rows):
+    check(got(spark, folder, "op1", ["doc_id", "spans"]), brute.all_spans(docs(rows)))
+
+
+def test_op1_terms_among_real_documents(spark, tmp_path):
+    """Names that stand beside one address in several documents are found there, and nothing else is."""
+    real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    own = [(10_000 + k, f"{(t or '')[:400]}\nAsk for mrs quillfeather at desk{k % 2}@mail.example about {k}") for k, (_, t) in enumerate(real[:6])]
+    own += [(20_000, "Later mrs Quillfeather spoke.")]
+    spark.createDataFrame(real + own, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    found = got(spark, str(tmp_path), "op1", ["doc_id", "spans"])
+    check(found, brute.all_spans(real + own))
+    terms = {i: s for i, s in found if "term:" in s}
+    assert set(terms) >= {i for i, _ in own} and terms[20_000] == "term:6:9,term:10:22"
+
+
 def test_op2(spark, folder, rows, items):
     check(got(spark, folder, "op2", ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]), brute.contamination(docs(rows), items))
 
 
 def test_op3(spark, folder, rows):
     check(got(spark, folder, "op3", ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]), brute.measures(docs(rows)))
-    assert Q["op3"](spark, folder).where("base_failed and kept").count() == 0
+    check(got(spark, folder, "op3", ["doc_id", "kept"]), brute.verdicts(docs(rows)))
 
 
 def test_op4(spark, folder, rows):
@@ -48,7 +64,9 @@ def test_op5(spark, folder, rows):
 
 def test_op6(spark, folder, rows):
     check(got(spark, folder, "op6", ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]), brute.licenses(docs(rows)))
-    for r in Q["op6"](spark, folder).collect():
+    found = Q["op6"](spark, folder).collect()
+    check(Counter((r.doc_id, r.labels, round(r.score, 9)) for r in found), brute.license_labels(docs(rows)))
+    for r in found:
         assert 0 <= r.score <= 1
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
         assert r.labels == ",".join(sorted(set(filter(None, r.labels.split(",")))))
@@ -89,6 +107,19 @@ def test_op8(spark, folder, rows):
         assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
 
 
+def test_op8_scores(spark, folder, rows):
+    from helixframe.llm import toxicity
+
+    df, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    m = toxicity.train(df, labels)
+    again = toxicity.train(df.repartition(7), labels)
+    assert (m.slot == again.slot).all() and (m.weight == again.weight).all() and (m.factor == again.factor).all() and m.bias == again.bias
+    short = [d for d in docs(rows) if len(d[1] or "") < 20_000]
+    want = Counter((i, round(x, 6)) for i, x in brute.machine_scores(short, m))
+    found = Counter((r.doc_id, round(r.score, 6)) for r in toxicity.score(spark.createDataFrame(short, "doc_id long, text string"), m).collect())
+    check(found, want)
+
+
 def test_op9(spark, folder, rows):
     check(got(spark, folder, "op9", ["doc_id", "n_shingles", "component_id"]), brute.jaccard(docs(rows)))
 

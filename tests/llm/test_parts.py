@@ -1,6 +1,7 @@
 """The methods' parts on small inputs, against plain versions."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -69,19 +70,20 @@ def test_perfect_hash():
     assert (lines.probe_mph(bits, ranks, keys) == slots).all()
 
 
-def test_line_index_in_several_passes(spark, monkeypatch):
-    docs = [(i, "\n".join(f"this is common line number {k}" for k in range(i, i + 40))) for i in range(30)]
+def test_line_index_on_the_executors(spark, monkeypatch):
+    docs = [(i, "\n".join(f"this is common line number {k}" for k in range(i, i + 40))) for i in range(30)] + [(3, "other text"), (None, "this is common line number 20\nx"), (None, None)]
     monkeypatch.setattr(lines, "SHARD_KEYS", 8)
     monkeypatch.setattr(lines, "BROADCAST_BYTES", 8 * 28 * 2)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert sorted(tuple(r) for r in lines.digest(lines.drop_repeated_lines(df)).collect()) == sorted(brute.line_dedup(docs))
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(r) for r in lines.digest(lines.drop_repeated_lines(df)).collect()), key=key) == sorted(brute.line_dedup(docs), key=key)
 
 
 def test_benchmark_in_several_blocks(spark, rows, items):
     docs = [(r[0], r[1]) for r in rows]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.find_contamination(df, it, block_words=20).drop("items").collect()
+    found = decontam.find_contamination(df, it, block_words=20).drop("items", "n_near").collect()
     key = lambda x: tuple(map(str, x))
     assert sorted((tuple(r) for r in found), key=key) == sorted(brute.contamination(docs, items), key=key)
 
@@ -89,18 +91,37 @@ def test_benchmark_in_several_blocks(spark, rows, items):
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "red some green words blue"), (2, "red " + "x " * 40 + "green blue"), (3, "red green")], "doc_id long, text string")
     it = spark.createDataFrame([(9, "blue green red")], "item_id long, text string")
-    found = {r.doc_id: r.n_items for r in decontam.find_contamination(df, it, slop=8).collect()}
-    assert found == {1: 1, 2: 0, 3: 0}
+    found = {r.doc_id: (r.n_items, r.n_near) for r in decontam.find_contamination(df, it, slop=8).collect()}
+    assert found == {1: (0, 1), 2: (0, 0), 3: (0, 0)}
+
+
+def test_proximity_with_a_word_that_the_corpus_lacks(spark):
+    df = spark.createDataFrame([(1, "red green words blue"), (2, "red green"), (3, "blue x x")], "doc_id long, text string")
+    it = spark.createDataFrame([(9, "blue never red")], "item_id long, text string")
+    assert {r.doc_id: r.n_near for r in decontam.find_contamination(df, it, slop=8).collect()} == {1: 1, 2: 0, 3: 0}
 
 
 def test_expressions():
     parse = licenses.parse_expression
-    assert parse("MIT OR Apache-2.0 AND BSD") == ["MIT", "Apache-2.0", "BSD", "and", "or"]
-    assert parse("(MIT OR GPL-2.0+) AND X and some words") == ["MIT", "GPL-2.0+", "or", "X", "and", "some", "and"]
-    assert parse("GPL-2.0 WITH Classpath-exception-2.0 */") == ["GPL-2.0", "Classpath-exception-2.0", "with"]
-    assert parse("and MIT") is None and parse("") is None and parse("((MIT") is None
-    assert licenses.allowed(parse("GPL OR (MIT AND BSD)"), {"mit", "bsd"})
-    assert not licenses.allowed(parse("GPL AND MIT"), {"mit"})
+    assert parse("MIT OR Apache-2.0 AND BSD-3-Clause") == ["mit", "apache-2.0", "bsd-3-clause", "and", "or"]
+    assert parse("(MIT OR GPL-2.0+) AND ISC and some words") == ["mit", "gpl-2.0+", "or", "isc", "and"]
+    assert parse("GPL-2.0 WITH Classpath-exception-2.0 */") == ["gpl-2.0", "classpath-exception-2.0", "with"]
+    assert parse("GPL-2.0 WITH MIT") == ["gpl-2.0"] and parse("(MIT) WITH LLVM-exception") == ["mit"]
+    assert parse("and MIT") is None and parse("") is None and parse("((MIT") is None and parse("header should be") is None
+    assert licenses.expression_labels(parse("GPL-2.0 WITH Classpath-exception-2.0 OR MIT")) == {"gpl-2.0 with classpath-exception-2.0", "mit"}
+    assert licenses.allowed(parse("GPL-2.0 OR (MIT AND ISC)"), {"mit", "isc"})
+    assert not licenses.allowed(parse("GPL-2.0 AND MIT"), {"mit"})
+
+
+def test_many_clauses_and_tags_take_little_time(spark):
+    began = time.perf_counter()
+    many = " AND ".join("(MIT OR ISC)" for _ in range(20_000))
+    assert licenses.expression_labels(licenses.parse_expression(many)) == {"mit", "isc"} and licenses.allowed(licenses.parse_expression(many), {"isc"})
+    text = "some words before SPDX-License-Identifier: MIT\n" * 5_000 + "SPDX-License-Identifier:\nimport os\n" + "( " * 50_000
+    n, places = licenses.scan(text, licenses.automaton(), licenses.word_table())
+    assert sum(p[0] == "tag" for p in places) == 5_000 and {p[3] for p in places} == {"mit"}
+    assert [p[1] for p in places if p[0] == "tag"][:3] == [3, 10, 17]
+    assert time.perf_counter() - began < 20
 
 
 def test_flow_uses_overlap_and_repeats_last():
