@@ -93,17 +93,17 @@ def active_windows(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS ({_CIG}), ev AS (SELECT read, contig, pos + lead AS anchor, kind, len, CASE WHEN kind = 'I' THEN substr('ACGTTGCAACGTTGCAACGTTGCA', lead + 1, len) END AS bases, pos AS s, pos + lead + CASE WHEN kind = 'D' THEN len ELSE 0 END + 5 AS e FROM x),
-tg AS (SELECT contig, p_partkey AS pos, p_partkey + 1 AS anchor, 'D' AS kind, 1 + p_size % 3 AS len FROM part, (VALUES ('A'), ('N'), ('R')) v(contig)),
+    f"""WITH x AS (SELECT * REPLACE ('k' || (read // 10) % 500 AS contig) FROM ({_CIG})), ev AS (SELECT read, contig, pos + lead AS anchor, kind, len, CASE WHEN kind = 'I' THEN substr('ACGTTGCAACGTTGCAACGTTGCA', lead + 1, len) END AS bases, pos AS s, pos + lead + CASE WHEN kind = 'D' THEN len ELSE 0 END + 5 AS e FROM x),
+tg AS (SELECT 'k' || c AS contig, p_partkey AS pos, p_partkey + 1 AS anchor, 'D' AS kind, 1 + p_size % 3 AS len FROM part, range(500) v(c)),
 j AS (SELECT tg.contig, tg.pos, ev.anchor = tg.anchor AND ev.kind = 'D' AND ev.len = tg.len AS hit, ev.anchor = tg.anchor AS here, ev.e >= tg.pos + tg.len AS reach FROM tg JOIN ev ON ev.contig = tg.contig AND tg.pos BETWEEN ev.s AND ev.e),
-g AS (SELECT contig, pos, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT here AND reach) AS spanning FROM j GROUP BY 1, 2) SELECT * FROM g WHERE matched + spanning >= 2 AND matched > spanning AND matched >= 0.5 * (matched + spanning)"""
+g AS (SELECT contig, pos, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT here AND reach) AS spanning FROM j GROUP BY 1, 2) SELECT * FROM g WHERE matched + spanning >= 1 AND matched > spanning AND matched >= 0.5 * (matched + spanning)"""
 )
 def indel_confirm(t: Tables) -> DataFrame:
-    ev = dn.indel_events(_reads(t))
+    ev = dn.indel_events(_reads(t).withColumn("contig", F.concat(F.lit("k"), (F.floor(F.col("read") / 10) % 500).cast("string"))))
     spans = ev.select("read", "contig", F.col("pos").alias("start"), (F.col("anchor") + F.when(F.col("kind") == "D", F.col("length")).otherwise(0) + 5).alias("end"))
     p = F.col("p_partkey")
-    targets = t.part.select(F.explode(F.array(*map(F.lit, "ANR"))).alias("contig"), p.alias("pos"), (p + 1).alias("anchor"), F.lit("D").alias("kind"), (1 + F.col("p_size") % 3).alias("length"), F.lit(None).cast("string").alias("bases"))
-    return dn.confirm_indels(targets, spans, ev.select("read", "contig", "anchor", "kind", "length", "bases"), 2)
+    targets = t.part.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(499)), lambda c: F.concat(F.lit("k"), c.cast("string")))).alias("contig"), p.alias("pos"), (p + 1).alias("anchor"), F.lit("D").alias("kind"), (1 + F.col("p_size") % 3).alias("length"), F.lit(None).cast("string").alias("bases"))
+    return dn.confirm_indels(targets, spans, ev.select("read", "contig", "anchor", "kind", "length", "bases"), 1)
 
 
 @query(
