@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.session import scratch_path
@@ -23,6 +23,19 @@ def tumbling(events: DataFrame, width: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def sliding(events: DataFrame, width: str, step: str, late: str) -> DataFrame:
+    """Counts and sums by overlapping windows; in append mode a window comes out once, when nothing can change it."""
+    return events.withWatermark("ts", late).groupBy(F.window("ts", width, step).alias("window")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+def folders_stream(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """Event folders as one stream, a file a batch, in the order in which the files were written."""
+    common = folders[0].rsplit("/", 1)[0]
+    schema = spark.read.parquet(folders[0]).schema
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(common)
+    return s.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)))"))
+
+
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 
@@ -50,6 +63,70 @@ def drain(spark: SparkSession, stream: DataFrame, mode: str = "append", name: st
     return rows.where(F.col("epoch") == last).drop("epoch")
 
 
+def drain_updates(spark: SparkSession, stream: DataFrame, key: list[str], name: str) -> DataFrame:
+    """Run a stream in update mode: each batch writes the rows it changed, readers take the newest of each key."""
+    out = scratch_path(spark, name)
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/rows/epoch={epoch}")
+
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(f"{out}/rows")
+    last = rows.groupBy(*key).agg(F.max("epoch").alias("epoch"))
+    return rows.join(last, [*key, "epoch"]).drop("epoch")
+
+
+def outbox_round(rows: DataFrame, outcome: Column, now: int, key: str) -> DataFrame:
+    """One attempt at every pending row that is due: sent, failed for good, or due again after its backoff.
+
+    ``rows``: key, status, attempts, due (seconds). ``outcome`` is ok, transient or permanent by row.
+    """
+    from helixframe.operators.relational import backoff
+
+    due = (F.col("status") == "PENDING") & (F.col("due") <= now)
+    status = F.when(due & (outcome == "ok"), "SENT").when(due & (outcome == "permanent"), "FAILED").otherwise(F.col("status"))
+    again = due & (outcome == "transient")
+    return rows.select(key, status.alias("status"), (F.col("attempts") + F.when(due, 1).otherwise(0)).alias("attempts"), F.when(again, now + backoff(F.col("attempts") + 1)).otherwise(F.col("due")).alias("due"))
+
+
+def deliver_with_retries(stream: DataFrame, path: str, key: str, outcome: Column, rounds: int = 64) -> DataFrame:
+    """An outbox that resends: rows of all batches, each kept under its number, are tried until none is pending.
+
+    A round takes every due row at once; time moves to the earliest row that waits. Each round writes the outbox anew,
+    so a lost driver goes on from the last whole round.
+    """
+    spark = stream.sparkSession
+
+    def keep(df: DataFrame, epoch: int) -> None:
+        df.dropDuplicates([key]).write.mode("overwrite").parquet(f"{path}/in/epoch={epoch}")
+
+    stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    rows = spark.read.parquet(f"{path}/in").select(key).distinct().select(key, F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("due"))
+    now = 0
+    for k in range(rounds):
+        outbox_round(rows, outcome, now, key).write.mode("overwrite").parquet(f"{path}/out/{k}")
+        rows = spark.read.parquet(f"{path}/out/{k}")
+        wait = rows.where("status = 'PENDING'").agg(F.min("due")).first()[0]
+        if wait is None:
+            break
+        now = wait
+    return rows
+
+
+def progress(query) -> dict:
+    """How far a streaming query is: batch, rows in, rows a second, the watermark, and whether it is active."""
+    p = query.lastProgress or {}
+    return {"batch": p.get("batchId"), "rows": p.get("numInputRows"), "rate": p.get("processedRowsPerSecond"), "watermark": (p.get("eventTime") or {}).get("watermark"), "active": query.isActive}
+
+
+def cancel(spark: SparkSession, name: str) -> bool:
+    """Stop the active query of a name; whether there was one."""
+    found = [q for q in spark.streams.active if q.name == name]
+    for q in found:
+        q.stop()
+    return bool(found)
+
+
 def deliver(stream: DataFrame, path: str, state: str, send: Callable[[DataFrame], DataFrame], key: str):
     """An outbox: each batch is sent once by key; ``send`` returns the rows with ``ok``; failures wait with backoff.
 
