@@ -181,10 +181,10 @@ def fit_components(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np
     def gram(batches):
         total, n = np.zeros((d, d)), 0
         for b in batches:
-            for v in b[vector]:
-                x = np.asarray(v, float) - means
-                total += np.outer(x, x)
-                n += 1
+            if len(b):
+                x = np.stack(b[vector].to_numpy()).astype(float) - means
+                total += x.T @ x
+                n += len(x)
         yield pd.DataFrame({"g": [total.ravel().tolist()], "n": [n]})
 
     parts = rows.select(vector).mapInPandas(gram, "g array<double>, n long")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+MOST_TIERS, STRETCHES = 1000, 64
 CONFLICT_SHARE, CONFIRMED_SHARE = 0.30, 0.70
 MILLIONTHS = 1e6
 
@@ -104,10 +105,18 @@ def tuple_stats(obs: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def share_below(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Percentage of a group's rows that are strictly below each row: ties share the rank of the first."""
-    w = Window.partitionBy(group)
-    below = F.rank().over(w.orderBy(value)) - 1
-    return rows.withColumn("percentile", below * 100.0 / F.count(value).over(w))
+    """Percentage of a group's rows that are strictly below each row: ties share the rank of the first.
+
+    A group is cut into stretches of values by approximate quantiles, so that no task sorts a whole group; ranks are
+    exact, as equal values share a stretch and stretches are counted.
+    """
+    splits = rows.groupBy(group).agg(F.percentile_approx(value, [k / STRETCHES for k in range(1, STRETCHES)], 1000).alias("_s"), F.count(value).alias("_n"))
+    r = rows.join(splits, group).withColumn("_k", F.size(F.filter("_s", lambda s: s < F.col(value)))).drop("_s")
+    sizes = r.groupBy(group, "_k").agg(F.count(value).alias("_m"))
+    before = F.coalesce(F.sum("_m").over(Window.partitionBy(group).orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    r = r.join(sizes.select(group, "_k", before.alias("_before")), [group, "_k"])
+    below = F.col("_before") + F.rank().over(Window.partitionBy(group, "_k").orderBy(value)) - 1
+    return r.withColumn("percentile", below * 100.0 / F.col("_n")).select(*rows.columns, "percentile")
 
 
 def precision_recall(matched: Column, left: Column, right: Column) -> tuple[Column, Column, Column]:
@@ -120,9 +129,13 @@ def precision_recall(matched: Column, left: Column, right: Column) -> tuple[Colu
 def tier_membership(profiles: DataFrame, tiers: DataFrame, key: list[str], full: float = 0.9, partial: float = 0.8) -> DataFrame:
     """The largest tier of which a profile has ``full`` of the markers; else the one that overlaps it by ``partial``.
 
-    ``profiles``: key, markers array; ``tiers``: tier, size int, tier_markers array (cumulative); a small table.
+    ``profiles``: key, markers array; ``tiers``: tier, tier_markers array (cumulative), at most ``MOST_TIERS`` rows.
     """
-    j = profiles.join(F.broadcast(tiers))
+    known = tiers.select("tier", "tier_markers").limit(MOST_TIERS + 1).collect()
+    if len(known) > MOST_TIERS:
+        raise ValueError(f"more than {MOST_TIERS} tiers")
+    each = F.array(*(F.struct(F.lit(r.tier).alias("tier"), F.array(*map(F.lit, r.tier_markers)).alias("tier_markers")) for r in known))
+    j = profiles.withColumn("_t", F.explode(each)).select(*profiles.columns, "_t.*")
     hit = F.size(F.array_intersect("markers", "tier_markers"))
     j = j.withColumn("overlap", hit / F.size("tier_markers")).withColumn("ok", F.when(F.col("overlap") >= full, 2).when(F.col("overlap") >= partial, 1).otherwise(0))
     best = F.max_by(F.struct("tier", "overlap", "ok"), F.struct("ok", F.size("tier_markers")))

@@ -104,3 +104,31 @@ def expected_depth_z(counts: DataFrame, key: list[str], n: str) -> DataFrame:
     """Deviation of each bin's count from its group's mean, in Poisson standard deviations."""
     e = F.avg(n).over(Window.partitionBy(*key))
     return counts.withColumn("expected", e).withColumn("z", (F.col(n) - F.col("expected")) / F.sqrt(F.greatest(F.col("expected"), F.lit(1.0))))
+
+
+def base_overlap(called: DataFrame, truth: DataFrame, key: list[str], width: int) -> DataFrame:
+    """(key, called, truth, shared, sensitivity, precision) in bases, of closed intervals merged beforehand."""
+    length = F.sum(F.col("end") - F.col("start") + 1)
+    a, b = (merge_intervals(x, key, "start", "end").drop("parts") for x in (called, truth))
+    pairs = overlapping_pairs(a, b, key, "start", "end", width)
+    shared = pairs.groupBy(*key).agg(F.sum(overlap_length(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))).alias("shared"))
+    j = a.groupBy(*key).agg(length.alias("called")).join(b.groupBy(*key).agg(length.alias("truth")), key, "full_outer").join(shared, key, "left").na.fill(0, ["called", "truth", "shared"])
+    share = lambda whole: F.when(F.col(whole) > 0, F.col("shared") / F.col(whole))
+    return j.withColumn("sensitivity", share("truth")).withColumn("precision", share("called"))
+
+
+#: Bases at either end of a chromosome that count as its telomeres: a fixed value.
+TELOMERE = 10_000
+
+
+def annotate_bands(points: DataFrame, bands: DataFrame, chrom: str, pos: str = "pos", width: int = 1 << 16) -> DataFrame:
+    """1-based points with their band, and whether they lie in the centromere (all acen bands) or a telomere.
+
+    ``bands``: chrom, start, end (half open, from 0), band, acen.
+    """
+    whole = bands.groupBy(chrom).agg(F.max("end").alias("_len"), F.min(F.when(F.col("acen"), F.col("start"))).alias("_cs"), F.max(F.when(F.col("acen"), F.col("end"))).alias("_ce"))
+    p = points.withColumn("_z", F.col(pos) - 1)
+    j = point_in_interval(p, bands.select(chrom, F.col("start").alias("_s"), (F.col("end") - 1).alias("_e"), "band"), [chrom], "_z", "_s", "_e", width, "left").drop("_s", "_e")
+    j = j.join(whole, chrom)
+    z = F.col("_z")
+    return j.withColumn("in_centromere", F.coalesce((z >= F.col("_cs")) & (z < F.col("_ce")), F.lit(False))).withColumn("in_telomere", (z < TELOMERE) | (z >= F.col("_len") - TELOMERE)).drop("_z", "_len", "_cs", "_ce")

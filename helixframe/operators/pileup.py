@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 UNMAPPED, SECONDARY, QC_FAIL, DUPLICATE, SUPPLEMENTARY = 0x4, 0x100, 0x200, 0x400, 0x800
 COVERAGE_MASK = UNMAPPED | SECONDARY | QC_FAIL | DUPLICATE | SUPPLEMENTARY
 MAX_DEPTH_BIN = 255
+#: Positions that one task looks at together.
+BLOCK = 1 << 16
 MISSING_MAPQ = 255
 #: States in the order in which they are decided.
 STATES = ("REF_N", "NO_COVERAGE", "POOR_MAPPING_QUALITY", "LOW_COVERAGE", "EXCESSIVE_COVERAGE", "CALLABLE")
@@ -131,11 +133,18 @@ def state_counts(states: DataFrame) -> DataFrame:
 
 
 def state_intervals(states: DataFrame, min_run: int = 1, state: str = "CALLABLE") -> DataFrame:
-    """Runs of adjacent positions in one state, of at least ``min_run``: gaps and islands."""
-    w = Window.partitionBy("contig").orderBy("pos")
-    isle = F.col("pos") - F.row_number().over(w)
-    runs = states.where(F.col("state") == state).select("contig", "pos", isle.alias("_isle"))
-    return runs.groupBy("contig", "_isle").agg(F.min("pos").alias("start"), F.max("pos").alias("end"), F.count("*").alias("length")).where(F.col("length") >= min_run).drop("_isle")
+    """Runs of adjacent positions in one state, of at least ``min_run``: gaps and islands.
+
+    Runs are found inside blocks of positions, so that no task sorts a contig, and stitched where they meet.
+    """
+    own = states.where(F.col("state") == state).select("contig", "pos", F.floor(F.col("pos") / BLOCK).alias("_b"))
+    isle = F.col("pos") - F.row_number().over(Window.partitionBy("contig", "_b").orderBy("pos"))
+    runs = own.withColumn("_isle", isle).groupBy("contig", "_b", "_isle").agg(F.min("pos").alias("start"), F.max("pos").alias("end"))
+    w = Window.partitionBy("contig").orderBy("start")
+    new = F.when(F.col("start") == F.lag("end").over(w) + 1, 0).otherwise(1)
+    joined = runs.withColumn("_new", new).withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = joined.groupBy("contig", "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).withColumn("length", F.col("end") - F.col("start") + 1)
+    return out.where(F.col("length") >= min_run).drop("_run")
 
 
 def read_metrics(reads: DataFrame) -> DataFrame:

@@ -46,12 +46,21 @@ def segment_calls(segments: DataFrame, bin_size: int) -> DataFrame:
 def merge_evidence(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFrame:
     """Each call of ``a`` (id, contig, kind, start, end) with the first overlapping call of ``b`` not taken by an earlier one.
 
-    Overlaps come from a binned join; the greedy choice runs over the few overlaps of one contig and kind.
+    Overlaps come from a binned join; the greedy choice runs over the few overlaps of one stretch of calls that touch.
     """
     from helixframe.operators.intervals import overlapping_pairs
     from helixframe.operators.kernels import grouped
 
-    pairs = overlapping_pairs(a, b, ["contig", "kind"], "start", "end", width).select("contig", "kind", "a_id", "b_id", "a_start", "b_start")
+    pairs = overlapping_pairs(a, b, ["contig", "kind"], "start", "end", width)
+    # Calls of both kinds that touch are one stretch; a choice in one stretch can't change another.
+    w = Window.partitionBy("contig", "kind").orderBy("start", "end")
+    both = a.select("contig", "kind", "start", "end").union(b.select("contig", "kind", "start", "end"))
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    heads = both.withColumn("_r", reach).where(F.col("_r").isNull() | (F.col("start") > F.col("_r"))).select("contig", "kind", F.col("start").alias("stretch")).distinct()
+    marks = heads.select("contig", "kind", F.col("stretch").alias("at"), "stretch", F.lit(None).cast(pairs.select(F.struct("*")).schema[0].dataType).alias("p"))
+    rows = pairs.select("contig", "kind", F.col("a_start").alias("at"), F.lit(None).cast("long").alias("stretch"), F.struct("*").alias("p")).unionByName(marks.withColumn("stretch", F.col("stretch").cast("long")))
+    at = Window.partitionBy("contig", "kind").orderBy("at", F.col("p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    pairs = rows.withColumn("stretch", F.last("stretch", ignorenulls=True).over(at)).where("p is not null").select("contig", "kind", "stretch", "p.a_id", "p.b_id", "p.a_start", "p.b_start")
 
     def kernel(g):
         used, out = set(), []
@@ -63,7 +72,7 @@ def merge_evidence(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFrame
 
         return pd.DataFrame({"a_id": [x for x, _ in out], "b_id": [y for _, y in out]})
 
-    return grouped(pairs, ["contig", "kind"], kernel, "a_id long, b_id long")
+    return grouped(pairs, ["contig", "kind", "stretch"], kernel, "a_id long, b_id long")
 
 
 def stutter_loglik(observed: Column, allele: Column, no_stutter: float = NO_STUTTER, decay: float = DECAY) -> Column:
@@ -100,7 +109,10 @@ def spanning_copies(bases: DataFrame, loci: DataFrame, flank: int = 5) -> DataFr
     read as the query distance between its flanks; a flank with a missing base rejects the read.
     """
     lo, hi = F.col("start") - flank, F.col("end") + flank
-    j = bases.select("name", F.col("contig"), F.col("ref_pos"), "query_index").join(F.broadcast(loci), "contig").where(F.col("ref_pos").between(lo, hi))
+    from helixframe.operators.intervals import point_in_interval
+
+    wide = loci.withColumn("_lo", lo).withColumn("_hi", hi)
+    j = point_in_interval(bases.select("name", "contig", "ref_pos", "query_index"), wide, ["contig"], "ref_pos", "_lo", "_hi", 256)
     left = F.col("ref_pos") < F.col("start")
     right = F.col("ref_pos") > F.col("end")
     g = j.groupBy("name", "locus", "period").agg(F.count_if(left).alias("l"), F.count_if(right).alias("r"), F.max(F.when(left, F.col("query_index"))).alias("q0"), F.min(F.when(right, F.col("query_index"))).alias("q1"))

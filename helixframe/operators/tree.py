@@ -1,7 +1,7 @@
 """Lineage trees: closure, paths, placement, roll-up, induced subtrees and components.
 
 The closure is built by doubling: round k knows ancestors up to 2^k steps away, so its number of joins is the
-logarithm of the depth. Each round is one equi-join of small rows and is written out when the tree is large.
+logarithm of the depth. Rounds go on until nothing is new; each is written out, so that plans don't grow.
 """
 
 from __future__ import annotations
@@ -9,22 +9,31 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DOUBLINGS = 16
+from helixframe.session import materialize
 
 
 def closure(edges: DataFrame, node: str = "node", parent: str = "parent", depth_hint: int | None = None) -> DataFrame:
-    """(node, ancestor, steps) with each node its own ancestor at 0 steps. ``edges`` has one row a node, roots null."""
+    """(node, ancestor, steps) with each node its own ancestor at 0 steps. ``edges`` has one row a node, roots null.
+
+    ``depth_hint``, where the depth is known, gives one plan without writes. A cycle is an error.
+    """
     known = edges.where(F.col(parent).isNotNull()).select(F.col(node).alias("node"), F.col(parent).alias("ancestor"), F.lit(1).alias("steps"))
-    reach = 1
-    for _ in range(MAX_DOUBLINGS):
+    if depth_hint is None:
+        known = materialize(known, "closure")
+    reach, nodes = 1, None
+    while depth_hint is None or reach < depth_hint:
         far = known.where(F.col("steps") == reach).select(F.col("node").alias("n2"), F.col("ancestor").alias("mid"))
         up = known.select(F.col("node").alias("mid"), F.col("ancestor").alias("a2"), F.col("steps").alias("s2"))
         more = far.join(up, "mid").select(F.col("n2").alias("node"), F.col("a2").alias("ancestor"), (F.col("s2") + reach).alias("steps"))
-        known, reach = known.union(more), reach * 2
-        if depth_hint is not None and reach >= depth_hint:
-            break
-        if depth_hint is None and more.limit(1).count() == 0:
-            break
+        reach *= 2
+        if depth_hint is None:
+            more = materialize(more, "closure")
+            if more.limit(1).count() == 0:
+                break
+            nodes = edges.count() if nodes is None else nodes
+            if reach > 2 * nodes:
+                raise ValueError("the edges hold a cycle")
+        known = known.union(more)
     self_ = edges.select(F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("steps"))
     return self_.union(known)
 
@@ -115,24 +124,20 @@ def shared_lineage(rows: DataFrame, key: list[str], path: str) -> DataFrame:
     return g.select(*key, "paths", F.slice("_lo", F.lit(1), common_prefix(F.col("_lo"), F.col("_hi"))).alias("shared"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root): smallest node reachable over ``edges`` (a, b), by hooking to the least neighbour and jumping.
 
-    Labels are written to the shared folder each round.
+    Labels are written to the shared folder each round, until a round changes none.
     """
-    from helixframe.session import materialize
-
     both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
     both = materialize(both, "edges")
     label = both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
-    before = None
-    for _ in range(rounds):
+    before, state = None, ()
+    while state != before:
+        before = state
         near = both.join(label.select(F.col("node").alias("b"), F.col("root").alias("r")), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("m"))
         step = label.join(near, "node", "left").select("node", F.least("root", "m").alias("root"))
         up = step.select(F.col("node").alias("root"), F.col("root").alias("up"))
         label = materialize(step.join(up, "root", "left").select("node", F.least("root", "up").alias("root")), "labels")
         state = label.agg(F.sum(F.xxhash64("node", "root").cast("decimal(38,0)"))).first()[0]
-        if state == before:
-            return label
-        before = state
-    raise RuntimeError("components did not settle")
+    return label

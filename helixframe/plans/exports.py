@@ -103,6 +103,99 @@ def truth_keys(t: Tables) -> DataFrame:
     return ge.truth_keys(t.part.select(line.alias("value"))).select("contig", F.col("pos").cast("int").alias("pos"), "ref", "alt")
 
 
+# ---- liftover, panels and builders
+
+
+@query("SELECT 't' || CAST(k AS VARCHAR) AS contig, CASE WHEN s = 'p' THEN 1000000 + st ELSE 3000000 - (st + len) END AS start, CASE WHEN s = 'p' THEN 1000000 + st + len ELSE 3000000 - st END AS \"end\", p_partkey AS locus FROM (SELECT p_partkey, p_partkey % 5 AS k, CASE WHEN p_partkey % 2 = 0 THEN 'p' ELSE 'm' END AS s, CASE WHEN p_partkey % 9 = 0 THEN 999990 ELSE p_partkey * 3 END AS st, p_size AS len FROM part) WHERE st + len <= 1000000")
+def interval_lift(t: Tables) -> DataFrame:
+    from helixframe.sources import variants
+
+    p = F.col("p_partkey")
+    start = F.when(p % 9 == 0, F.lit(999_990)).otherwise(p * 3).cast("long")
+    rows = t.part.select(F.concat((p % 5).cast("string"), F.when(p % 2 == 0, "p").otherwise("m")).alias("contig"), start.alias("start"), (start + F.col("p_size")).alias("end"), p.alias("locus"))
+    blocks = [(f"{k}{s}", 0, 1_000_000, f"t{k}", 1_000_000 if s == "p" else 2_000_000, "+" if s == "p" else "-") for k in range(5) for s in "pm"]
+    return variants.lift_intervals(rows, t.spark.createDataFrame(blocks, "contig string, start long, end long, t_contig string, t_start long, strand string"))
+
+
+@query("SELECT o_orderkey, 'rs' || p_partkey AS rsid, p_partkey * 10 AS panel_pos FROM orders JOIN part ON p_partkey * 7 = o_orderkey AND p_partkey % 3 > 0")
+def panel_rekey(t: Tables) -> DataFrame:
+    from helixframe.sources import variants
+
+    p = F.col("p_partkey")
+    locus = F.when(p % 3 > 0, F.struct(F.lit("1").alias("contig"), (p * 7).alias("pos")))
+    panel = t.part.select(F.concat(F.lit("rs"), p.cast("string")).alias("rsid"), F.lit("1").alias("contig"), (p * 10).alias("pos"), locus.alias("grch38"))
+    sites = t.orders.select("o_orderkey", F.lit("1").alias("contig"), F.col("o_orderkey").alias("pos"))
+    return variants.rekey(sites, panel, "grch38").select("o_orderkey", "rsid", "panel_pos")
+
+
+@query("WITH a AS (SELECT l_partkey AS site, count(*) FILTER (l_linenumber <> 3) AS c FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), b AS (SELECT l_partkey AS site, count(*) FILTER (l_linenumber <> 2) AS c FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT a.site, a.c + b.c AS called, floor((a.c + b.c) / 24 * 10000 + 0.5) / 10000 AS call_rate FROM a JOIN b ON a.site = b.site WHERE (a.c + b.c) / 24 >= 0.5")
+def common_sites(t: Tables) -> DataFrame:
+    from helixframe.sources import variants
+
+    m = lambda flag, none: t.lineitem.where(F.col("l_returnflag") == flag).select(F.col("l_partkey").alias("site"), F.when(F.col("l_linenumber") == none, -1).otherwise(1).alias("dosage"))
+    return variants.common_sites([m("A", 3), m("R", 2)], ["site"], [12, 12], 0.5).withColumn("call_rate", rounded(F.col("call_rate")))
+
+
+_BANDS = "b AS (SELECT p_brand AS chrom, p_size * 20000 AS s, (p_size + 1) * 20000 AS e, 'q' || p_size AS band, p_size BETWEEN 20 AND 23 AS acen FROM (SELECT DISTINCT p_brand, p_size FROM part)), c AS (SELECT chrom, max(e) AS len, min(s) FILTER (acen) AS cs, max(e) FILTER (acen) AS ce FROM b GROUP BY 1)"
+
+
+@query(f"WITH {_BANDS}, p AS (SELECT p_partkey, p_brand AS chrom, p_partkey * 977 % 1020000 AS z FROM part) SELECT p_partkey, coalesce(z >= cs AND z < ce, false) AS in_centromere, z < 10000 OR z >= len - 10000 AS in_telomere, band FROM p JOIN c ON c.chrom = p.chrom LEFT JOIN b ON b.chrom = p.chrom AND z >= s AND z < e")
+def region_annotation(t: Tables) -> DataFrame:
+    from helixframe.operators import intervals as iv
+
+    b = t.part.select(F.col("p_brand").alias("chrom"), "p_size").distinct()
+    bands = b.select("chrom", (F.col("p_size") * 20_000).alias("start"), ((F.col("p_size") + 1) * 20_000).alias("end"), F.concat(F.lit("q"), F.col("p_size").cast("string")).alias("band"), F.col("p_size").between(20, 23).alias("acen"))
+    pts = t.part.select("p_partkey", F.col("p_brand").alias("chrom"), (F.col("p_partkey") * 977 % 1_020_000 + 1).alias("pos"))
+    return iv.annotate_bands(pts, bands, "chrom").select("p_partkey", "in_centromere", "in_telomere", "band")
+
+
+@query(
+    """WITH x AS (SELECT o_custkey AS sample, o_orderkey * 37 % 20000 AS s, o_orderkey * 37 % 20000 + 500 AS e, o_orderkey % 2 AS side FROM orders), i AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY sample, side ORDER BY s, e) AS k FROM (SELECT *, max(e) OVER (PARTITION BY sample, side ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM x)),
+m AS (SELECT sample, side, min(s) AS s, max(e) AS e FROM i GROUP BY sample, side, k), z AS (SELECT sample, CAST(sum(CASE WHEN side = 0 THEN e - s + 1 ELSE 0 END) AS BIGINT) AS called, CAST(sum(CASE WHEN side = 1 THEN e - s + 1 ELSE 0 END) AS BIGINT) AS truth FROM m GROUP BY 1),
+o AS (SELECT a.sample, CAST(sum(least(a.e, b.e) - greatest(a.s, b.s) + 1) AS BIGINT) AS shared FROM m a JOIN m b ON a.sample = b.sample AND a.side = 0 AND b.side = 1 AND a.s <= b.e AND b.s <= a.e GROUP BY 1)
+SELECT z.sample, called, truth, coalesce(shared, 0) AS shared, CASE WHEN truth > 0 THEN floor(coalesce(shared, 0) / truth * 10000 + 0.5) / 10000 END AS sensitivity, CASE WHEN called > 0 THEN floor(coalesce(shared, 0) / called * 10000 + 0.5) / 10000 END AS "precision" FROM z LEFT JOIN o ON o.sample = z.sample"""
+)
+def segment_overlap_score(t: Tables) -> DataFrame:
+    from helixframe.operators import intervals as iv
+
+    o = F.col("o_orderkey")
+    x = t.orders.select(F.col("o_custkey").alias("sample"), (o * 37 % 20_000).alias("start"), (o * 37 % 20_000 + 500).alias("end"), (o % 2).alias("side"))
+    s = iv.base_overlap(x.where("side = 0").drop("side"), x.where("side = 1").drop("side"), ["sample"], 1024)
+    return s.withColumn("sensitivity", rounded(F.col("sensitivity"))).withColumn("precision", rounded(F.col("precision")))
+
+
+@query(
+    """WITH f AS (SELECT p_partkey AS site, p_partkey % 41 / 100.0 AS afr, p_size / 50.0 AS other, p_partkey % 5 AS d FROM part) SELECT site, CASE WHEN d IN (0, 1) THEN 'Neanderthal' WHEN d = 2 THEN 'Denisovan' ELSE 'SharedArchaic' END AS class FROM f WHERE afr <= 0.05 AND other >= 0.2 AND d < 4"""
+)
+def archaic_panel_build(t: Tables) -> DataFrame:
+    """Sites rare in the outgroup, common elsewhere and carried by some archaic genome, with their class."""
+    from helixframe.functions.rules import diagnostic_class
+
+    k = F.col("p_partkey")
+    d = k % 5
+    none = F.lit(None).cast("int")
+    calls = F.when(d < 2, F.array(F.lit(2), none, F.lit(1), F.lit(0))).when(d == 2, F.array(F.lit(0), none, none, F.lit(1))).when(d == 3, F.array(F.lit(1), F.lit(0), none, F.lit(2))).otherwise(F.array(F.lit(0), F.lit(0), none, F.lit(0)))
+    f = t.part.select(k.alias("site"), (k % 41 / 100.0).alias("afr"), (F.col("p_size") / 50.0).alias("other"), calls.alias("calls"))
+    carried = F.exists("calls", lambda c: F.coalesce(c > 0, F.lit(False)))
+    return f.where((F.col("afr") <= 0.05) & (F.col("other") >= 0.2) & carried).select("site", diagnostic_class(F.col("calls")).alias("class"))
+
+
+@query("WITH r AS (SELECT p_brand AS chrom, p_size * 1000 AS pos, min(p_partkey % 300) AS raw FROM part GROUP BY 1, 2) SELECT chrom, pos, max(raw) OVER (PARTITION BY chrom ORDER BY pos) AS cm, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS place FROM r")
+def genetic_map_build(t: Tables) -> DataFrame:
+    """One row a position in order, centimorgans never falling."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("chrom").orderBy("pos")
+    r = t.part.groupBy(F.col("p_brand").alias("chrom"), (F.col("p_size") * 1000).alias("pos")).agg(F.min(F.col("p_partkey") % 300).alias("raw"))
+    return r.select("chrom", "pos", F.max("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cm"), (F.row_number().over(w) - 1).cast("long").alias("place"))
+
+
+@query("SELECT p_brand AS asset, count(*) AS rows, sha256(string_agg(p_partkey || ':' || p_size, ',' ORDER BY p_partkey)) AS checksum FROM part GROUP BY 1")
+def panel_manifest(t: Tables) -> DataFrame:
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_size"))), lambda r: F.concat_ws(":", r["p_partkey"].cast("string"), r["p_size"].cast("string")))
+    return t.part.groupBy(F.col("p_brand").alias("asset")).agg(F.count("*").alias("rows"), F.sha2(F.array_join(rows, ",").cast("binary"), 256).alias("checksum"))
+
+
 # ---- streams
 
 

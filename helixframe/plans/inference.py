@@ -16,47 +16,47 @@ def _sites(t: Tables) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     hour = (epoch_seconds("ts") / 3600).cast("long")
     dosage = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
-    return t.events.select((F.col("user_id") % 40).alias("sample"), "event_id", epoch_seconds("ts").alias("pos"), hour.alias("hour"), dosage.cast("int").alias("dosage"), "value").withColumn("cm", (F.col("pos") % 10_000_000) / 20_000.0)
+    return t.events.select((F.col("user_id") % 10).alias("sample"), F.floor(hour / 360).alias("contig"), "event_id", epoch_seconds("ts").alias("pos"), hour.alias("hour"), dosage.cast("int").alias("dosage"), "value").withColumn("cm", (F.col("pos") % 10_000_000) / 20_000.0)
 
 
 @query()
 def segment_candidates(t: Tables) -> DataFrame:
     s = _sites(t).withColumn("ibs", F.col("dosage"))
-    return k.ibd_segments(s, ["sample"], window=20, min_cm=1.0, min_sites=5)
+    return k.ibd_segments(s, ["sample", "contig"], window=20, min_cm=1.0, min_sites=5)
 
 
 @query()
 def cnv_segments(t: Tables) -> DataFrame:
-    b = _sites(t).groupBy("sample", F.col("hour").alias("bin")).agg(F.count("*").alias("n"))
-    return k.depth_segments(iv.expected_depth_z(b, ["sample"], "n"), ["sample"], 1, 1)
+    b = _sites(t).groupBy("sample", "contig", F.col("hour").alias("bin")).agg(F.count("*").alias("n"))
+    return k.depth_segments(iv.expected_depth_z(b, ["sample", "contig"], "n"), ["sample", "contig"], 1, 1)
 
 
 @query()
 def anchored_clusters(t: Tables) -> DataFrame:
-    return k.cluster_positions(_sites(t), ["sample"], "pos", 36_000, 2)
+    return k.cluster_positions(_sites(t), ["sample", "contig"], "pos", 36_000, 2)
 
 
 @query()
 def roh_hmm(t: Tables) -> DataFrame:
     s = _sites(t).withColumn("het", F.col("dosage") == 1).withColumn("freq", (F.col("event_id") % 50 + 1) / 60.0)
-    return k.roh_segments(s, ["sample"], 3)
+    return k.roh_segments(s, ["sample", "contig"], 3)
 
 
 @query()
 def archaic_hmm(t: Tables) -> DataFrame:
-    b = _sites(t).groupBy("sample", F.col("hour").alias("window")).agg(F.count("*").alias("n"))
-    return k.poisson_segments(b, ["sample"], (0.4, 2.0))
+    b = _sites(t).groupBy("sample", "contig", F.col("hour").alias("window")).agg(F.count("*").alias("n"))
+    return k.poisson_segments(b, ["sample", "contig"], (0.4, 2.0))
 
 
 @query()
 def site_match_hmm(t: Tables) -> DataFrame:
-    return k.match_segments(_sites(t).withColumn("carried", F.col("value") > 60), ["sample"], 0.9, 3, 100)
+    return k.match_segments(_sites(t).withColumn("carried", F.col("hour") % 48 < 4), ["sample", "contig"], 0.9, 3, 100)
 
 
 @query()
 def paint_viterbi(t: Tables) -> DataFrame:
     s = _sites(t).withColumn("freqs", F.array(*((F.col("event_id") % m + 1) / (m + 1.0) for m in (7, 11, 13))))
-    return k.paint_segments(s, ["sample"], 1e-5, 3)
+    return k.paint_segments(s, ["sample", "contig"], 1e-5, 3)
 
 
 @query()
@@ -175,3 +175,42 @@ def hom_ref_fill(t: Tables) -> DataFrame:
 @query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 30 AND l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10)")
 def anti_known(t: Tables) -> DataFrame:
     return t.lineitem.where("l_quantity > 30").select("l_partkey").distinct().join(t.part.where("p_size > 10").select(F.col("p_partkey").alias("l_partkey")), "l_partkey", "left_anti")
+
+
+def _haplotypes(t: Tables) -> DataFrame:
+    """Parts as sites of 24 haplotypes from three populations, whose alleles follow the population in stretches."""
+    k = F.col("p_partkey")
+    alleles = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.pmod(F.xxhash64(k, h % 3), F.lit(2)).cast("int"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.concat(F.lit("P"), (h % 3).cast("string")))
+    return t.part.select((k % 2).alias("contig"), (k * 1000).alias("pos"), (k / 20.0).alias("cm"), alleles.alias("alleles"), labels.alias("labels"))
+
+
+def _panel_dosages(t: Tables) -> DataFrame:
+    """Suppliers as samples: one side copies a population for a stretch of sites, the other the next one."""
+    k, s = F.col("l_partkey"), F.col("l_suppkey")
+    side = lambda shift: F.pmod(F.xxhash64(k, F.pmod(s + F.floor(k / 60) + shift, F.lit(3)).cast("int")), F.lit(2))
+    return t.lineitem.select(s.alias("sample"), (k % 2).alias("contig"), (k * 1000).alias("pos"), (side(0) + side(1)).cast("int").alias("dosage")).distinct()
+
+
+@query()
+def phase_haplotypes(t: Tables) -> DataFrame:
+    return k.phase_samples(_panel_dosages(t), _haplotypes(t), beam=16, donors=8)
+
+
+@query()
+def local_ancestry(t: Tables) -> DataFrame:
+    return k.local_ancestry(k.phase_samples(_panel_dosages(t), _haplotypes(t), beam=16, donors=8), _haplotypes(t), 1.0)
+
+
+@query(
+    """WITH d AS (SELECT o_custkey % 50 AS subject, o_orderkey % 3 AS source, o_orderkey % 400 AS site, CAST(o_orderkey % 4 - 1 AS INTEGER) AS dosage FROM orders), f AS (SELECT p_partkey AS site, pop, ((p_partkey * pop) % 19 + 1) / 21.0 AS p FROM part, (VALUES (3), (5), (7)) v(pop)),
+s AS (SELECT subject, source, pop, floor(sum(ln(CASE WHEN dosage = 0 THEN (1 - p) * (1 - p) WHEN dosage = 1 THEN 2 * p * (1 - p) ELSE p * p END)) * 1000000 + 0.5) AS ll FROM d JOIN f USING (site) WHERE dosage >= 0 GROUP BY 1, 2, 3), b AS (SELECT subject, source, arg_max(CAST(pop AS VARCHAR), (ll, CAST(pop AS VARCHAR))) AS pop FROM s GROUP BY 1, 2)
+SELECT subject, count(*) AS sources, count(DISTINCT pop) = 1 AS stable, min(pop) AS pop FROM b GROUP BY 1"""
+)
+def ancestry_stability(t: Tables) -> DataFrame:
+    """Whether all sources of a subject give one population."""
+    d = t.orders.select(F.struct((F.col("o_custkey") % 50).alias("subject"), (F.col("o_orderkey") % 3).alias("source")).alias("sample"), (F.col("o_orderkey") % 400).alias("site"), (F.col("o_orderkey") % 4 - 1).cast("int").alias("dosage"))
+    f = t.part.select(F.col("p_partkey").alias("site"), F.explode(F.array(*map(F.lit, (3, 5, 7)))).alias("pop")).withColumn("freq", ((F.col("site") * F.col("pop")) % 19 + 1) / 21.0).withColumn("pop", F.col("pop").cast("string"))
+    r = an.population_posterior(d, f, ["site"])
+    best = r.groupBy("sample").agg(F.max_by("pop", F.struct(F.floor(F.col("loglik") * 1e6 + 0.5).alias("k"), "pop")).alias("pop"))
+    return best.groupBy(F.col("sample.subject").alias("subject")).agg(F.count("*").alias("sources"), (F.count_distinct("pop") == 1).alias("stable"), F.min("pop").alias("pop"))

@@ -67,14 +67,14 @@ def denovo_diploid(t: Tables) -> DataFrame:
     return dn.diploid_variants(_tally(t), _reference(t))
 
 
-_CIG = "SELECT l_orderkey * 10000000 + l_linenumber * 1000000 + l_partkey AS read, l_returnflag AS contig, l_partkey AS pos, 5 + CAST(l_quantity AS BIGINT) % 7 AS lead, 1 + l_suppkey % 3 AS len, CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END AS kind FROM lineitem"
+_CIG = "SELECT l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS read, l_returnflag AS contig, l_partkey AS pos, 5 + CAST(l_quantity AS BIGINT) % 7 AS lead, 1 + l_suppkey % 3 AS len, CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END AS kind FROM lineitem"
 
 
 def _reads(t: Tables) -> DataFrame:
     lead, n = 5 + F.col("l_quantity").cast("long") % 7, 1 + F.col("l_suppkey") % 3
     kind = F.when(F.col("l_linenumber") % 2 == 0, "I").otherwise("D")
     cigar = F.concat(lead.cast("string"), F.lit("M"), n.cast("string"), kind, F.lit("6M"))
-    return t.lineitem.select((F.col("l_orderkey") * 10_000_000 + F.col("l_linenumber") * 1_000_000 + F.col("l_partkey")).alias("read"), F.col("l_returnflag").alias("contig"), F.col("l_partkey").alias("pos"), cigar.alias("cigar"), F.lit("ACGTTGCAACGTTGCAACGTTGCA").alias("seq"))
+    return t.lineitem.select((F.col("l_orderkey").cast("long") * 10_000_000_000 + F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 1000 + F.col("l_suppkey") % 1000).alias("read"), F.col("l_returnflag").alias("contig"), F.col("l_partkey").alias("pos"), cigar.alias("cigar"), F.lit("ACGTTGCAACGTTGCAACGTTGCA").alias("seq"))
 
 
 @query(f"SELECT read, contig, pos + lead AS anchor, kind, CAST(len AS INTEGER) AS length, CASE WHEN kind = 'I' THEN substr('ACGTTGCAACGTTGCAACGTTGCA', lead + 1, len) END AS bases FROM ({_CIG})")
@@ -93,13 +93,13 @@ def active_windows(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH x AS (SELECT * REPLACE ('k' || (read // 10000000) % 500 AS contig) FROM ({_CIG})), ev AS (SELECT read, contig, pos + lead AS anchor, kind, len, CASE WHEN kind = 'I' THEN substr('ACGTTGCAACGTTGCAACGTTGCA', lead + 1, len) END AS bases, pos AS s, pos + lead + CASE WHEN kind = 'D' THEN len ELSE 0 END + 5 AS e FROM x),
+    f"""WITH x AS (SELECT * REPLACE ('k' || (read // 10000000000) % 500 AS contig) FROM ({_CIG})), ev AS (SELECT read, contig, pos + lead AS anchor, kind, len, CASE WHEN kind = 'I' THEN substr('ACGTTGCAACGTTGCAACGTTGCA', lead + 1, len) END AS bases, pos AS s, pos + lead + CASE WHEN kind = 'D' THEN len ELSE 0 END + 5 AS e FROM x),
 tg AS (SELECT 'k' || c AS contig, p_partkey AS pos, p_partkey + 1 AS anchor, 'D' AS kind, 1 + p_size % 3 AS len FROM part, range(500) v(c)),
 j AS (SELECT tg.contig, tg.pos, ev.anchor = tg.anchor AND ev.kind = 'D' AND ev.len = tg.len AS hit, ev.anchor = tg.anchor AS here, ev.e >= tg.pos + tg.len AS reach FROM tg JOIN ev ON ev.contig = tg.contig AND tg.pos BETWEEN ev.s AND ev.e),
 g AS (SELECT contig, pos, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT here AND reach) AS spanning FROM j GROUP BY 1, 2) SELECT * FROM g WHERE matched + spanning >= 1 AND matched > spanning AND matched >= 0.5 * (matched + spanning)"""
 )
 def indel_confirm(t: Tables) -> DataFrame:
-    ev = dn.indel_events(_reads(t).withColumn("contig", F.concat(F.lit("k"), (F.floor(F.col("read") / 10_000_000) % 500).cast("string"))))
+    ev = dn.indel_events(_reads(t).withColumn("contig", F.concat(F.lit("k"), (F.expr("read div 10000000000") % 500).cast("string"))))
     spans = ev.select("read", "contig", F.col("pos").alias("start"), (F.col("anchor") + F.when(F.col("kind") == "D", F.col("length")).otherwise(0) + 5).alias("end"))
     p = F.col("p_partkey")
     targets = t.part.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(499)), lambda c: F.concat(F.lit("k"), c.cast("string")))).alias("contig"), p.alias("pos"), (p + 1).alias("anchor"), F.lit("D").alias("kind"), (1 + F.col("p_size") % 3).alias("length"), F.lit(None).cast("string").alias("bases"))

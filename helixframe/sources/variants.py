@@ -6,7 +6,7 @@ opened by Spark), so scans stay splittable and column pruning and filters apply
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import contig_bare
@@ -114,7 +114,10 @@ def derived_snvs(records: DataFrame, min_dp: int = 4, min_gq: int = 20, min_af:
 
 def depth_outliers(calls: DataFrame, times: float = 3.0, least: int = 20) -> DataFrame:
     """Calls at most ``times`` the upper median depth; too few calls aren't judged."""
-    m = calls.agg(F.sort_array(F.collect_list("dp")).alias("d")).select(F.size("d").alias("n"), F.get("d", F.floor(F.size("d") / 2).cast("int")).alias("median"))
+    h = calls.where(F.col("dp").isNotNull()).groupBy("dp").agg(F.count("*").alias("k"))
+    run = F.sum("k").over(Window.orderBy("dp").rowsBetween(Window.unboundedPreceding, 0))  # one row a depth
+    h = h.withColumn("_run", run).join(F.broadcast(h.agg(F.sum("k").alias("n"))))
+    m = h.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.min(F.when(F.col("_run") > F.floor(F.col("n") / 2), F.col("dp"))).alias("median"))
     return calls.join(F.broadcast(m)).where((F.col("n") < least) | F.col("dp").isNull() | (F.col("dp") <= times * F.col("median"))).drop("n", "median")
 
 
@@ -136,3 +139,40 @@ def lift(points: DataFrame, blocks: DataFrame, width: int = 1 << 16) -> DataFram
     at = F.when(minus, F.col("t_start") + (F.col("end") - F.col("pos"))).otherwise(F.col("t_start") + (F.col("pos") - F.col("start")))
     single = (F.length("ref") == 1) & (F.length("alt") == 1)
     return j.where(~minus | single).select(F.col("t_contig").alias("contig"), at.alias("pos"), flip("ref").alias("ref"), flip("alt").alias("alt"))
+
+
+def lift_intervals(rows: DataFrame, blocks: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Closed intervals whose both ends lie in one chain block, on the target; on the minus strand the ends change places.
+
+    ``rows`` keep their other columns; intervals that no block holds whole are left out.
+    """
+    j = point_in_interval(rows.withColumnRenamed("end", "stop").withColumnRenamed("start", "begin"), blocks, ["contig"], "begin", "start", "end", width).where(F.col("stop") <= F.col("end"))
+    minus = F.col("strand") == "-"
+    low = F.when(minus, F.col("t_start") + (F.col("end") - F.col("stop"))).otherwise(F.col("t_start") + (F.col("begin") - F.col("start")))
+    rest = [c for c in rows.columns if c not in ("contig", "start", "end")]
+    return j.select(F.col("t_contig").alias("contig"), low.alias("start"), (low + F.col("stop") - F.col("begin")).alias("end"), *rest)
+
+
+def lift_records(records: DataFrame, blocks: DataFrame, reference: DataFrame, rank: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """Lifted records whose reference base is the target's, in the order of the target's contigs.
+
+    ``reference``: contig, pos, base; ``rank``: contig, rank. Sorting is by range, so it spreads over tasks.
+    """
+    lifted = lift(records, blocks, width)
+    kept = lifted.join(reference, ["contig", "pos"]).where(F.substring(F.upper("ref"), 1, 1) == F.upper("base")).drop("base")
+    return kept.join(F.broadcast(rank.limit(100_000)), "contig").orderBy("rank", "pos").drop("rank")
+
+
+def rekey(sites: DataFrame, panel: DataFrame, build: str) -> DataFrame:
+    """Sites of one build with the panel's own locus: ``panel`` has rsid, contig, pos and a struct of loci by build."""
+    own = panel.select(F.col(f"{build}.contig").alias("contig"), F.col(f"{build}.pos").alias("pos"), "rsid", F.col("contig").alias("panel_contig"), F.col("pos").alias("panel_pos"))
+    return sites.join(own, ["contig", "pos"])
+
+
+def common_sites(matrices: list[DataFrame], site: list[str], samples: list[int], call_rate: float) -> DataFrame:
+    """Sites of all sample matrices (site, dosage) with enough calls over all samples; ``samples``: how many each has."""
+    out = None
+    for m in matrices:
+        calls = m.groupBy(*site).agg(F.count_if(F.col("dosage") >= 0).alias("called"))
+        out = calls if out is None else out.join(calls.withColumnRenamed("called", "_more"), site).withColumn("called", F.col("called") + F.col("_more")).drop("_more")
+    return out.withColumn("call_rate", F.col("called") / sum(samples)).where(F.col("call_rate") >= call_rate)

@@ -15,9 +15,4 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_rows_equal_sql(spark, db, name):
-    assert differences(spark, db, name, registry.queries()[name], registry.oracle_sql()[name], SF) in ("", "no rows")
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
-def test_rows_only(spark, name):
-    registry.queries()[name](spark, SF).count()
+    assert differences(spark, db, name, registry.queries()[name], registry.oracle_sql()[name], SF) == ""
