@@ -7,19 +7,17 @@ from pyspark.sql import functions as F
 
 from helixframe.session import materialize
 
-MAX_ROUNDS = 60
-
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a long, b long) but the roots; root is the smallest node reachable.
 
     Each round is written to the shared folder. Hot nodes meet only in partial aggregates and in joins that AQE may
-    split. Null nodes are dropped; no edges give no rows.
+    split. Null nodes are dropped; repeated edges and columns of other names count for nothing; no edges give no rows.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = materialize(now, name)
     before = None
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round brings some node nearer to its root
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state.n == 0 or (state.n, state.h) == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -30,4 +28,3 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
         now = materialize(small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    raise RuntimeError("components did not settle")
