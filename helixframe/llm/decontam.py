@@ -147,7 +147,7 @@ def term_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
 
     rows = index.select("terms", "counts").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     wanted = set(vocabulary.view(np.int64).tolist())
-    return {int(np.int64(r.term).view(np.uint64)): r.n for r in rows.toLocalIterator() if r.term in wanted}
+    return {int(np.int64(r.term).view(np.uint64)): r.n for r in rows.collect() if r.term in wanted}
 
 
 class Shard:

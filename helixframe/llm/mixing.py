@@ -138,7 +138,7 @@ def _quotas(spark: SparkSession, sized: DataFrame, weights: tuple[int, ...], sha
     A source without overlap is its own flow: its pattern sends its quota. Only patterns of sources that overlap are
     routed together, up to ``MAX_PATTERNS`` of them.
     """
-    found = sized.groupBy("key").agg(F.first("held").alias("held"), F.sum("size").alias("words")).toLocalIterator()
+    found = sized.groupBy("key").agg(F.first("held").alias("held"), F.sum("size").alias("words")).collect()
     patterns = sorted(((r.key, r.held, int(r.words)) for r in found), key=lambda r: [(x is None, x or "") for x in r[1]])
     names = sorted({x for _, held, _ in patterns for x in held}, key=lambda x: (x is None, x or ""))
     index = {x: i for i, x in enumerate(names)}
