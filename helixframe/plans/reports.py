@@ -170,14 +170,14 @@ def donor_private_variants(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH o AS (SELECT l_suppkey AS subject, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_partkey % 3 = 0 THEN ' ' ELSE 'm' || (l_partkey % 40) END AS name, l_partkey AS pos, l_returnflag AS source, l_linestatus AS base, substr('ACGT', CAST(l_orderkey % 4 + 1 AS BIGINT), 1) AS anc, substr('ACGT', CAST((l_orderkey + 1) % 4 + 1 AS BIGINT), 1) AS der FROM lineitem),
+    """WITH o AS (SELECT l_suppkey AS subject, l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 1000 + l_suppkey % 1000 AS seq, CASE WHEN l_partkey % 3 = 0 THEN ' ' ELSE 'm' || (l_partkey % 40) END AS name, l_partkey AS pos, l_returnflag AS source, l_linestatus AS base, substr('ACGT', CAST(l_orderkey % 4 + 1 AS BIGINT), 1) AS anc, substr('ACGT', CAST((l_orderkey + 1) % 4 + 1 AS BIGINT), 1) AS der FROM lineitem),
 g AS (SELECT *, CASE WHEN trim(name) = '' THEN '@' || pos ELSE upper(trim(name)) END AS grp FROM o)
 SELECT subject, grp AS "group", arg_min(name, (trim(name) = '', seq)) AS name, arg_min(pos, (trim(name) = '', seq)) AS pos, arg_min(anc, (trim(name) = '', seq)) AS ancestral, arg_min(der, (trim(name) = '', seq)) AS derived, string_agg(source || ':' || base, ',' ORDER BY seq, source, base) AS sources FROM g GROUP BY 1, 2"""
 )
 def observed_profile(t: Tables) -> DataFrame:
     letter = lambda x: F.substring(F.lit("ACGT"), (x % 4 + 1).cast("int"), F.lit(1))
     p, o = F.col("l_partkey"), F.col("l_orderkey")
-    obs = t.lineitem.select(F.col("l_suppkey").alias("subject"), (o * 10 + F.col("l_linenumber")).alias("seq"), F.when(p % 3 == 0, " ").otherwise(F.concat(F.lit("m"), (p % 40).cast("string"))).alias("name"), p.alias("pos"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("base"), letter(o).alias("ancestral"), letter(o + 1).alias("derived"))
+    obs = t.lineitem.select(F.col("l_suppkey").alias("subject"), (o * 10_000_000_000 + F.col("l_linenumber").cast("long") * 1_000_000_000 + p * 1000 + F.col("l_suppkey") % 1000).alias("seq"), F.when(p % 3 == 0, " ").otherwise(F.concat(F.lit("m"), (p % 40).cast("string"))).alias("name"), p.alias("pos"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("base"), letter(o).alias("ancestral"), letter(o + 1).alias("derived"))
     return rp.observed_profile(obs, ["subject"]).withColumn("sources", F.array_join("sources", ","))
 
 
