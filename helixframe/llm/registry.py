@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.llm import decontam, licenses, lines, mixing, pii, quality, setjoin, sql, suffixes, tokens, toxicity
+from helixframe.llm import decontam, fim, funnels, licenses, lines, mixing, passages, pii, quality, setjoin, sql, suffixes, tokens, toxicity
 from helixframe.session import table
 
 
@@ -69,9 +69,50 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(lines.drop_repeated_lines(table(spark, sf_dir, "documents")))
 
 
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return passages.digest(passages.drop_repeated_passages(table(spark, sf_dir, "documents")))
+
+
+def op12_funnels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")  # short rows
+    return funnels.count_funnels(table(spark, sf_dir, "clicks"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return fim.digest(fim.fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+QUERIES = (
+    op1_pii,
+    op2_decontamination,
+    op3_quality_rules,
+    op4_token_ids,
+    op5_suffix_dedup,
+    op6_license_scan,
+    op7_source_mixing,
+    op8_toxicity,
+    op9_jaccard_join,
+    op10_line_dedup,
+    op11_passage_dedup,
+    op12_funnels,
+    op13_fill_in_middle,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_decontamination, op3_quality_rules, op4_token_ids, op5_suffix_dedup, op6_license_scan, op7_source_mixing, op8_toxicity, op9_jaccard_join, op10_line_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": sql.OP2, "op3_quality_rules": sql.OP3, "op9_jaccard_join": sql.OP9, "op10_line_dedup": sql.OP10}
+    return {
+        "op2_decontamination": sql.OP2,
+        "op3_quality_rules": sql.OP3,
+        "op9_jaccard_join": sql.OP9,
+        "op10_line_dedup": sql.OP10,
+        "op11_passage_dedup": sql.OP11,
+        "op12_funnels": sql.OP12,
+        "op13_fill_in_middle": sql.OP13,
+    }

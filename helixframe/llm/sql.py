@@ -40,3 +40,50 @@ ky AS (SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '
 q AS (SELECT key, max(doc_id) AS last FROM ky WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (last IS NOT NULL AND last <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (last IS NULL OR last = doc_id), '')) AS kept_sha256
 FROM ky LEFT JOIN q USING (key) GROUP BY doc_id"""
+
+OP11 = f"""WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), {_BLACK}) AS w FROM documents),
+g AS (SELECT doc_id, r, s, md5(array_to_string(list_slice(w, s, s + 12), ' ')) AS g
+ FROM (SELECT doc_id, r, w, unnest(range(1, len(w) - 11)) AS s FROM w WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+h AS (SELECT r, s FROM (SELECT doc_id, r, s, min(doc_id) OVER (PARTITION BY g) AS low FROM g) WHERE doc_id > low),
+gone AS (SELECT DISTINCT r, unnest(range(s, s + 13)) AS p FROM h),
+p AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+k AS (SELECT p.r, count(gone.p) AS n_removed, string_agg(word, ' ' ORDER BY p.p) FILTER (gone.p IS NULL) AS kept
+ FROM p LEFT JOIN gone ON gone.r = p.r AND gone.p = p.p GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k ON k.r = w.r"""
+
+
+def _step(k: int) -> str:
+    return f"""x{k} AS (SELECT s.*, e.ts AS stop FROM s{k - 1} s ASOF LEFT JOIN e ON e.client_id = s.client_id AND e.kind = s.no AND s.t{k - 1} < e.ts),
+y{k} AS (SELECT x.*, e.ts AS t{k} FROM x{k} x ASOF JOIN e ON e.client_id = x.client_id AND e.kind = x.k{k} AND x.t{k - 1} < e.ts),
+s{k} AS (SELECT * EXCLUDE (stop) FROM y{k} WHERE t{k} - t{k - 1} <= INTERVAL 15 MINUTE AND (stop IS NULL OR stop > t{k})),
+m{k} AS (SELECT funnel, client_id, any_value(n) AS n, max(d) FILTER (r = (n + 1) // 2) AS t FROM
+ (SELECT funnel, client_id, d, row_number() OVER (PARTITION BY funnel, client_id ORDER BY d) AS r, count(*) OVER (PARTITION BY funnel, client_id) AS n
+  FROM (SELECT funnel, client_id, epoch_us(t{k}) - epoch_us(t{k - 1}) AS d FROM s{k})) GROUP BY 1, 2)"""
+
+
+OP12 = f"""WITH e AS (SELECT DISTINCT client_id, kind, ts FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND ts IS NOT NULL),
+f(funnel, k1, k2, k3, k4, no) AS (VALUES ('A', 'view', 'click', 'view', 'purchase', 'error'),
+ ('B', 'signup', 'view', 'click', 'purchase', 'error'), ('C', 'click', 'click', 'purchase', 'view', 'signup')),
+s1 AS (SELECT f.*, e.client_id, e.ts AS t1 FROM e JOIN f ON e.kind = f.k1),
+m1 AS (SELECT funnel, client_id, count(*) AS n FROM s1 GROUP BY 1, 2),
+{_step(2)},
+{_step(3)},
+{_step(4)},
+a AS (SELECT m1.funnel, m1.client_id, m1.n AS n1, coalesce(m2.n, 0) AS n2, coalesce(m3.n, 0) AS n3, coalesce(m4.n, 0) AS n4, m2.t AS t2, m3.t AS t3, m4.t AS t4,
+ CAST(CASE WHEN m4.n > 0 THEN 4 WHEN m3.n > 0 THEN 3 WHEN m2.n > 0 THEN 2 ELSE 1 END AS INTEGER) AS deepest
+ FROM m1 LEFT JOIN m2 USING (funnel, client_id) LEFT JOIN m3 USING (funnel, client_id) LEFT JOIN m4 USING (funnel, client_id))
+SELECT *, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM a"""
+
+_HEX = "CAST(CAST('0x' || substr(h, {}, 8) AS UBIGINT) AS BIGINT)"
+_NL = "chr(10)"
+
+OP13 = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, string_split(t, {_NL}) AS l, length(t) - length(replace(t, {_NL}, '')) AS nl FROM d),
+c AS (SELECT *, nl + CASE WHEN t <> '' AND NOT suffix(t, {_NL}) THEN 1 ELSE 0 END AS n FROM u),
+k AS (SELECT *, least({_HEX.format(1)} % (n + 1), {_HEX.format(9)} % (n + 1)) AS a, greatest({_HEX.format(1)} % (n + 1), {_HEX.format(9)} % (n + 1)) AS b,
+ t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_HEX.format(17)} % 100 >= 100 AS plain, {_HEX.format(25)} % 100 < 50 AS rear FROM c),
+p AS (SELECT *, length(array_to_string(list_slice(l, 1, a), {_NL}) || CASE WHEN a BETWEEN 1 AND nl THEN {_NL} ELSE '' END) AS x,
+ length(array_to_string(list_slice(l, 1, b), {_NL}) || CASE WHEN b BETWEEN 1 AND nl THEN {_NL} ELSE '' END) AS y FROM k),
+o AS (SELECT *, substring(t, 1, x) AS pre, substring(t, x + 1, y - x) AS mid, substring(t, y + 1) AS suf FROM p)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN rear THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN x END AS prefix_chars, CASE WHEN NOT plain THEN y - x END AS middle_chars,
+ sha256(CASE WHEN plain THEN t WHEN rear THEN '<S>' || suf || '<P>' || pre || '<M>' || mid ELSE '<P>' || pre || '<S>' || suf || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM o"""

@@ -319,3 +319,72 @@ def machine_scores(docs, m):
         z = m.bias + sum(m.weight[a] for a in s) + sum(float(m.factor[a] @ m.factor[b]) for k, a in enumerate(s) for b in s[:k])
         out.append((i, 1 / (1 + np.exp(-max(-30.0, min(30.0, z))))))
     return out
+
+
+def passages(docs, length=13):
+    words = [BLACK.findall(t or "") for _, t in docs]
+    least = {}
+    for (i, _), w in zip(docs, words, strict=True):
+        for k in range(len(w) - length + 1 if i is not None else 0):
+            g = tuple(w[k : k + length])
+            least[g] = min(i, least.get(g, i))
+    out = []
+    for (i, _), w in zip(docs, words, strict=True):
+        gone = set()
+        for k in range(len(w) - length + 1 if i is not None else 0):
+            if least[tuple(w[k : k + length])] < i:
+                gone.update(range(k, k + length))
+        out.append((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
+    return out
+
+
+FUNNELS = {
+    "A": (("view", "click", "view", "purchase"), "error"),
+    "B": (("signup", "view", "click", "purchase"), "error"),
+    "C": (("click", "click", "purchase", "view"), "signup"),
+}
+
+
+def funnels(clicks):
+    """Rows of (client, kind, microseconds)."""
+    streams = defaultdict(lambda: defaultdict(set))
+    for c, k, t in clicks:
+        if None not in (c, k, t):
+            streams[c][k].add(t)
+    out = []
+    for name, (steps, excluded) in FUNNELS.items():
+        for c, kinds in streams.items():
+            n, times = [0] * 4, [[], [], []]
+            for at in kinds[steps[0]]:
+                n[0] += 1
+                for k, kind in enumerate(steps[1:]):
+                    later = [t for t in kinds[kind] if t > at]
+                    to = min(later, default=None)
+                    if to is None or to - at > 900_000_000 or any(at < x <= to for x in kinds[excluded]):
+                        break
+                    n[k + 1] += 1
+                    times[k].append(to - at)
+                    at = to
+            if n[0]:
+                out.append((name, c, *n, max(k + 1 for k in range(4) if n[k]), *(sorted(x)[-(-50 * len(x) // 100) - 1] if x else None for x in times)))
+    depth = Counter((r[0], r[6]) for r in out)
+    return [(*r, depth[r[0], r[6]]) for r in out]
+
+
+def fill(docs, rate=100, suffix_first=50):
+    out = []
+    for i, t in docs:
+        t = t or ""
+        units = re.findall(r"[^\n]*\n|[^\n]+", t)
+        h = hashlib.sha256(f"7:{'' if i is None else i}".encode()).hexdigest()
+        h = [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
+        n = len(units)
+        a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+        p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+        if not t or any(x in t for x in ("<P>", "<S>", "<M>")) or h[2] % 100 >= rate:
+            out.append((i, n, "plain", None, None, sha(t), sha(t)))
+        elif h[3] % 100 < suffix_first:
+            out.append((i, n, "spm", len(p), len(m), sha(f"<S>{s}<P>{p}<M>{m}"), sha(t)))
+        else:
+            out.append((i, n, "psm", len(p), len(m), sha(f"<P>{p}<S>{s}<M>{m}"), sha(t)))
+    return out

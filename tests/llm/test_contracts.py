@@ -1,5 +1,6 @@
 """Every contract against brute force on awkward documents, and on no documents."""
 
+import datetime
 from collections import Counter, defaultdict
 
 import pytest
@@ -128,6 +129,22 @@ def test_op10(spark, folder, rows):
     check(got(spark, folder, "op10", ["doc_id", "n_lines", "n_dropped", "kept_sha256"]), brute.line_dedup(docs(rows)))
 
 
+def test_op11(spark, folder, rows):
+    check(got(spark, folder, "op11", ["doc_id", "n_words", "n_removed", "kept_sha256"]), brute.passages(docs(rows)))
+
+
+def test_op12(spark, folder, clicks):
+    start = datetime.datetime(1970, 1, 1)
+    plain = [(c, k, None if t is None else (t - start) // datetime.timedelta(microseconds=1)) for c, k, t in clicks]
+    columns = ["funnel", "client_id", *(f"n{k}" for k in (1, 2, 3, 4)), "deepest", "t2", "t3", "t4", "same_depth"]
+    check(got(spark, folder, "op12", columns), brute.funnels(plain))
+
+
+def test_op13(spark, folder, rows):
+    columns = ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"]
+    check(got(spark, folder, "op13", columns), brute.fill(docs(rows)))
+
+
 @pytest.mark.parametrize("op", sorted(Q))
 def test_empty(spark, empty, op):
     assert Q[op](spark, empty).collect() == []
