@@ -10,11 +10,16 @@
 3. Suffix sorting of these. Groups of fragments are laid end to end; suffixes smaller than their successors are
    sorted directly, the others induced from them by one scan over the buckets of first bytes; adjacent common
    prefixes of LENGTH bytes or more show the repeated windows. An anchor with more than ``MOST_FRAGMENTS`` different
-   fragments would make one group too large; its windows are compared by two 64-bit hashes in a grouped aggregate.
+   fragments would make one group too large; its windows are compared by a 128-bit digest in a grouped aggregate, with
+   the same result.
+
+Fragments of one anchor count as equal where their 64-bit hashes are; beyond that, bytes are compared.
 
 Edge cases: null texts are empty; texts under LENGTH bytes lose nothing; rows with a null doc_id are left whole and
 remove nothing elsewhere; rows that share a doc_id are one place in the order, so none removes from another what
-starts at the same offset; an empty table gives an empty table.
+starts at the same offset, and what one loses is told from what another does by the text's hash; extra columns of any
+name are left out; a text is looked at whole, so a worker needs some thirty times the size of the longest; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -73,10 +78,10 @@ def fragments(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: in
     return {"doc": doc, "start": start - offs[doc], "windows": count, "anchor": h[a[lead]], "hash": whole}
 
 
-_PACKET = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("anchors", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("windows", pa.binary())])
-_PACKET_DDL = "bucket int, shard long, anchors binary, hashes binary, docs binary, starts binary, windows binary"
-_FOUND = pa.schema([("kind", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary()), ("windows", pa.binary())])
-_FOUND_DDL = "kind int, anchors binary, docs binary, starts binary, windows binary"
+_PACKET = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), ("anchors", pa.binary()), ("hashes", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("windows", pa.binary())])
+_PACKET_DDL = "bucket int, shard long, anchors binary, hashes binary, docs binary, keys binary, starts binary, windows binary"
+_FOUND = pa.schema([("kind", pa.int32()), ("anchors", pa.binary()), ("docs", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("windows", pa.binary())])
+_FOUND_DDL = "kind int, anchors binary, docs binary, keys binary, starts binary, windows binary"
 REMOVE, ASK, ASK_HOT = 0, 1, 2
 _LOW_BITS = 40
 
@@ -91,6 +96,14 @@ def _from_low(raw: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _at_least_place(anchors: np.ndarray, hashes: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of fragments in order: which is the first of its equals, and which lie at a later place than that."""
+    new = np.ones(len(anchors), bool)
+    new[1:] = (anchors[1:] != anchors[:-1]) | (hashes[1:] != hashes[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(anchors)), 0))
+    return new, ~new & ((docs != docs[lead]) | (starts != starts[lead]))
+
+
 def _fragment_packets(bits: int) -> Callable:
     """Packets of the first of equal fragments by bucket; one packet of bucket -1 with what is removed already."""
 
@@ -101,31 +114,32 @@ def _fragment_packets(bits: int) -> Callable:
         for b in batches:
             b = b.filter(pc.is_valid(b.column("doc_id")))
             data, offs = utf8(b.column("t"))
-            ids = b.column("doc_id").to_numpy()
+            ids, xs = b.column("doc_id").to_numpy(), b.column("x").to_numpy()
             for i, j in chunks(offs, SHARD_BYTES):
                 f = fragments(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                doc = ids[i:j][f["doc"]]
-                order = np.lexsort((f["start"], doc, f["hash"], f["anchor"]))
-                a, h, doc, start, w = f["anchor"][order], f["hash"][order], doc[order], f["start"][order], f["windows"][order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
-                lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-                later = ~new & ((doc != doc[lead]) | (start != start[lead]))
+                doc, key = ids[i:j][f["doc"]], xs[i:j][f["doc"]]
+                order = np.lexsort((key, f["start"], doc, f["hash"], f["anchor"]))
+                a, h, doc, key, start, w = f["anchor"][order], f["hash"][order], doc[order], key[order], f["start"][order], f["windows"][order]
+                _, later = _at_least_place(a, h, doc, start)
+                # Rows that are equal in all say the same once.
+                again = np.zeros(len(a), bool)
+                again[1:] = (a[1:] == a[:-1]) & (h[1:] == h[:-1]) & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1]) & (key[1:] == key[:-1])
                 rows: dict[str, list] = {c: [] for c in _PACKET.names}
 
-                def put(bucket: int, m, rows=rows, a=a, h=h, doc=doc, start=start, w=w, shard=shard) -> None:
+                def put(bucket: int, m, rows=rows, a=a, h=h, doc=doc, key=key, start=start, w=w, shard=shard) -> None:
                     rows["bucket"].append(bucket)
                     rows["shard"].append(shard)
                     rows["anchors"].append(_low_bytes(a[m] >> np.uint64(64 - bits - _LOW_BITS), 5) if bucket >= 0 else None)
-                    rows["hashes"].append(_low_bytes(h[m], 6) if bucket >= 0 else None)
+                    rows["hashes"].append(h[m].astype("<u8").tobytes() if bucket >= 0 else None)
                     rows["docs"].append(doc[m].astype("<i8").tobytes())
+                    rows["keys"].append(key[m].astype("<i8").tobytes())
                     rows["starts"].append(start[m].astype("<i4").tobytes())
                     rows["windows"].append(w[m].astype(np.uint8).tobytes())
 
-                if later.any():
-                    put(-1, later)
+                if (later & ~again).any():
+                    put(-1, later & ~again)
                 # Anchors are sorted, so buckets are ranges; in each, documents ascend to compress well.
-                keep = np.flatnonzero(new)
+                keep = np.flatnonzero(~later & ~again)
                 bucket = (a[keep] >> np.uint64(64 - bits)).astype(np.int64)
                 keep = keep[np.lexsort((start[keep], doc[keep], bucket))]
                 cut = np.searchsorted(bucket, np.arange((1 << bits) + 1))
@@ -138,51 +152,56 @@ def _fragment_packets(bits: int) -> Callable:
     return run
 
 
-def _found_rows(kind: int, anchors: np.ndarray, docs: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for i in range(0, len(docs), 1 << 16):
+_CUT = (("docs", "<i8"), ("keys", "<i8"), ("starts", "<i4"), ("windows", np.uint8))
+
+
+def _found_rows(kind: int, anchors: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(arrays[0]), 1 << 16):
         m = slice(i, i + (1 << 16))
-        yield pa.RecordBatch.from_pydict({"kind": [kind], "anchors": [anchors[m].astype("<u8").tobytes()], "docs": [docs[m].astype("<i8").tobytes()], "starts": [starts[m].astype("<i4").tobytes()], "windows": [windows[m].tobytes()]}, schema=_FOUND)
+        row = {"kind": [kind], "anchors": [anchors[m].astype("<u8").tobytes()]}
+        yield pa.RecordBatch.from_pydict(row | {c: [x[m].astype(t).tobytes()] for (c, t), x in zip(_CUT, arrays, strict=True)}, schema=_FOUND)
 
 
 def _bucket_fragments(most: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, hashes, docs, starts, windows = [], [], [], [], []
+        anchors, hashes, cuts = [], [], []
         for b in batches:
             for r in b.to_pylist():
-                d, s, w = np.frombuffer(r["docs"], "<i8"), np.frombuffer(r["starts"], "<i4"), np.frombuffer(r["windows"], np.uint8)
+                own = [np.frombuffer(r[c], t) for c, t in _CUT]
                 if r["bucket"] < 0:
-                    yield from _found_rows(REMOVE, np.zeros(0, np.uint64), d, s, w)
+                    yield from _found_rows(REMOVE, np.zeros(0, np.uint64), *own)
                     continue
-                key.append(_from_low(r["anchors"], 5) | np.uint64(r["bucket"]) << np.uint64(_LOW_BITS))
-                hashes.append(_from_low(r["hashes"], 6))
-                docs.append(d)
-                starts.append(s)
-                windows.append(w)
-        if not key:
+                anchors.append(_from_low(r["anchors"], 5) | np.uint64(r["bucket"]) << np.uint64(_LOW_BITS))
+                hashes.append(np.frombuffer(r["hashes"], "<u8"))
+                cuts.append(own)
+        if not anchors:
             return
-        a, h, d, s, w = map(np.concatenate, (key, hashes, docs, starts, windows))
-        order = np.lexsort((s, d, h, a))
-        a, h, d, s, w = a[order], h[order], d[order], s[order], w[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (h[1:] != h[:-1])
-        lead = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-        later = ~new & ((d != d[lead]) | (s != s[lead]))
-        yield from _found_rows(REMOVE, np.zeros(0, np.uint64), d[later], s[later], w[later])
-        first = np.flatnonzero(new)
-        _, inverse, kinds = np.unique(a[first], return_inverse=True, return_counts=True)
-        several = kinds[inverse]
-        for kind, m in ((ASK, (several > 1) & (several <= most)), (ASK_HOT, several > most)):
-            yield from _found_rows(kind, a[first[m]], d[first[m]], s[first[m]], w[first[m]])
+        a, h = np.concatenate(anchors), np.concatenate(hashes)
+        d, x, s, w = (np.concatenate(c) for c in zip(*cuts, strict=True))
+        del anchors, hashes, cuts
+        order = np.lexsort((x, s, d, h, a))
+        a, h, d, x, s, w = a[order], h[order], d[order], x[order], s[order], w[order]
+        new, later = _at_least_place(a, h, d, s)
+        yield from _found_rows(REMOVE, np.zeros(0, np.uint64), d[later], x[later], s[later], w[later])
+        # Fragments by anchor: those with equals at the least place are asked for alike.
+        group = np.cumsum(np.concatenate(([True], a[1:] != a[:-1]))) - 1
+        several = np.bincount(group, weights=new).astype(np.int64)[group]
+        for kind, m in ((ASK, ~later & (several > 1) & (several <= most)), (ASK_HOT, ~later & (several > most))):
+            yield from _found_rows(kind, a[m], d[m], x[m], s[m], w[m])
 
     return run
 
 
+_CUT_DDL = "doc_id long, x long, start int, windows int"
+
+
 def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for r in b.to_pylist():
-            d = np.frombuffer(r["docs"], "<i8")
+            d, x, s, w = (np.frombuffer(r[c], t) for c, t in _CUT)
             a = np.frombuffer(r["anchors"], "<i8") if r["kind"] else np.zeros(len(d), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(np.frombuffer(r["starts"], "<i4")), pa.array(np.frombuffer(r["windows"], np.uint8).astype(np.int32)), pa.array(a), pa.array(np.full(len(d), r["kind"], np.int32))], names=["doc_id", "start", "windows", "anchor", "kind"])
+            arrays = [pa.array(d), pa.array(x), pa.array(s), pa.array(w.astype(np.int32)), pa.array(a), pa.array(np.full(len(d), r["kind"], np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "x", "start", "windows", "anchor", "kind"])
 
 
 _SYMBOLS = 7  # of 9 bits in one 64-bit key
@@ -283,7 +302,7 @@ def common_prefixes(order: np.ndarray, keys: np.ndarray, cap: int = LENGTH) -> n
 
 
 def repeated_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """(document, start) of the windows of ``pieces`` that an earlier place of another piece holds too."""
+    """(piece, start in its document) of the windows of ``pieces`` that an earlier place of another piece holds too."""
     sizes = np.array([len(p) + 1 for p in pieces])
     at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     raw = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
@@ -300,57 +319,65 @@ def repeated_windows(pieces: list[bytes], docs: np.ndarray, starts: np.ndarray,
     doc, start = docs[own], starts[own] + order - at[own]
     shared = same.copy()
     shared[:-1] |= same[1:]
-    doc, start, group = doc[shared], start[shared], group[shared]
+    own, doc, start, group = own[shared], doc[shared], start[shared], group[shared]
     rank = np.lexsort((start, doc, group))
-    doc, start, group = doc[rank], start[rank], group[rank]
+    own, doc, start, group = own[rank], doc[rank], start[rank], group[rank]
     head = np.ones(len(group), bool)
     head[1:] = group[1:] != group[:-1]
     lead = np.maximum.accumulate(np.where(head, np.arange(len(group)), 0)) if len(group) else np.zeros(0, np.int64)
     gone = (doc != doc[lead]) | (start != start[lead])
-    return doc[gone], start[gone]
+    return own[gone], start[gone]
 
 
-def _as_ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive starts in one document, each start once."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    head = np.ones(len(doc), bool)
-    new = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
+def _as_ranges(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive starts in one row, each start once."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    head = np.ones(len(row), bool)
+    new = (row[1:] != row[:-1]) | (start[1:] > start[:-1] + 1)
     head[1:] = new
     # No run exceeds 100 windows, so that a run packs into seven bits.
-    first = np.maximum.accumulate(np.where(head, np.arange(len(doc)), 0)) if len(doc) else np.zeros(0, np.int64)
+    first = np.maximum.accumulate(np.where(head, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
     head |= (start - start[first]) % 100 == 0
-    head[1:] &= (start[1:] != start[:-1]) | (doc[1:] != doc[:-1])
+    head[1:] &= (start[1:] != start[:-1]) | (row[1:] != row[:-1])
     lead = np.flatnonzero(head)
-    last = np.concatenate((lead[1:] - 1, [len(doc) - 1])) if len(lead) else lead
-    return doc[lead], start[lead], start[last] - start[lead] + 1
+    last = np.concatenate((lead[1:] - 1, [len(row) - 1])) if len(lead) else lead
+    return row[lead], start[lead], start[last] - start[lead] + 1
 
 
-_RANGES = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
+_RANGES = pa.schema([("doc_id", pa.int64()), ("x", pa.int64()), ("start", pa.int32()), ("windows", pa.int32())])
 
 
 def _suffix_group(t: pa.Table) -> pa.Table:
     pieces = [x.as_py() for x in t.column("piece")]
-    d, s, w = _as_ranges(*repeated_windows(pieces, t.column("doc_id").to_numpy(), t.column("start").to_numpy().astype(np.int64), t.column("windows").to_numpy().astype(np.int64)))
-    return pa.Table.from_arrays([pa.array(d), pa.array(s.astype(np.int32)), pa.array(w.astype(np.int32))], schema=_RANGES)
+    docs, keys = t.column("doc_id").to_numpy(), t.column("x").to_numpy()
+    starts, windows = (t.column(c).to_numpy().astype(np.int64) for c in ("start", "windows"))
+    piece, start = repeated_windows(pieces, docs, starts, windows)
+    # Pieces of one row are one row again.
+    rows, row = np.unique(np.stack((docs, keys)), axis=1, return_inverse=True)
+    r, s, w = _as_ranges(row.reshape(-1)[piece], start)
+    return pa.Table.from_arrays([pa.array(rows[0][r]), pa.array(rows[1][r]), pa.array(s.astype(np.int32)), pa.array(w.astype(np.int32))], schema=_RANGES)
+
+
+_PIECE = pa.schema([("anchor", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("x", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("piece", pa.binary())])
+_PIECE_DDL = "anchor long, hot boolean, doc_id long, x long, start int, windows int, piece binary"
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("anchor", pa.int64()), ("hot", pa.bool_()), ("doc_id", pa.int64()), ("start", pa.int32()), ("windows", pa.int32()), ("piece", pa.binary())])
     for b in batches:
-        for d, t, asks in zip(b.column("doc_id").to_pylist(), b.column("t").to_pylist(), b.column("asks").to_pylist(), strict=True):
+        for d, x, t, asks in zip(*(b.column(c).to_pylist() for c in ("doc_id", "x", "t", "asks")), strict=True):
             raw = t.encode()
-            # Of rows that share a doc_id with another text, a place past the end is the other's.
-            own = [x for x in asks if x["start"] + x["windows"] - 1 + LENGTH <= len(raw)]
-            rows = {"anchor": [x["anchor"] for x in own], "hot": [x["hot"] for x in own], "doc_id": [d] * len(own), "start": [x["start"] for x in own], "windows": [x["windows"] for x in own], "piece": [raw[x["start"] : x["start"] + x["windows"] - 1 + LENGTH] for x in own]}
-            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+            rows = {c: [y[c] for y in asks] for c in ("anchor", "hot", "start", "windows")}
+            rows |= {"doc_id": [d] * len(asks), "x": [x] * len(asks), "piece": [raw[y["start"] : y["start"] + y["windows"] - 1 + LENGTH] for y in asks]}
+            yield pa.RecordBatch.from_pydict(rows, schema=_PIECE)
 
 
 def _hash_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("w", pa.binary()), ("doc_id", pa.int64()), ("x", pa.int64()), ("start", pa.int32())])
     for b in batches:
-        for d, s, w, p in zip(b.column("doc_id").to_pylist(), b.column("start").to_pylist(), b.column("windows").to_pylist(), b.column("piece").to_pylist(), strict=True):
-            own = [p[k : k + LENGTH] for k in range(w)]
-            yield pa.RecordBatch.from_pydict({"w": [hashlib.blake2b(x, digest_size=16).digest() for x in own], "doc_id": [d] * w, "start": [s + k for k in range(w)]}, schema=pa.schema([("w", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32())]))
+        for d, x, s, w, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "x", "start", "windows", "piece")), strict=True):
+            own = [hashlib.blake2b(p[k : k + LENGTH], digest_size=16).digest() for k in range(w)]
+            yield pa.RecordBatch.from_pydict({"w": own, "doc_id": [d] * w, "x": [x] * w, "start": [s + k for k in range(w)]}, schema=schema)
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,28 +411,33 @@ def drop_repeated_bytes(df: DataFrame, text: str = "text", doc_id: str = "doc_id
     spark = df.sparkSession
     ensure_importable(spark)
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    bits = max(4, min(20, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
+    bits = max(4, min(64 - _LOW_BITS, (input_bytes(docs) // BUCKET_BYTES).bit_length()))
+    docs = docs.withColumn("x", F.xxhash64("t"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
     packets = docs.mapInArrow(tidied(_fragment_packets(bits)), _PACKET_DDL)
     key = F.when(F.col("bucket") < 0, F.col("shard")).otherwise(F.col("bucket").cast("long"))
     found = materialize(packets.repartition(parts, key).mapInArrow(tidied(_bucket_fragments(most)), _FOUND_DDL), "fragments")
-    rows = found.mapInArrow(_unpack, "doc_id long, start int, windows int, anchor long, kind int")
-    removed = rows.where(F.col("kind") == REMOVE).select("doc_id", "start", "windows")
+    rows = found.mapInArrow(_unpack, _CUT_DDL + ", anchor long, kind int")
+    removed = rows.where(F.col("kind") == REMOVE).select("doc_id", "x", "start", "windows")
 
     asked = found.where(F.col("kind") != REMOVE).agg(F.sum(F.octet_length("windows")).alias("n"), F.max("kind").alias("kind")).first()
     if asked.n:
-        wanted = rows.where(F.col("kind") != REMOVE).groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "anchor", (F.col("kind") == ASK_HOT).alias("hot"))).alias("asks"))
-        pieces = docs.join(wanted, "doc_id").mapInArrow(tidied(_cut_pieces), "anchor long, hot boolean, doc_id long, start int, windows int, piece binary")
+        ask = F.struct("start", "windows", "anchor", (F.col("kind") == ASK_HOT).alias("hot"))
+        wanted = rows.where(F.col("kind") != REMOVE).groupBy("doc_id", "x").agg(F.collect_set(ask).alias("asks"))
+        pieces = docs.join(wanted, ["doc_id", "x"]).mapInArrow(tidied(_cut_pieces), _PIECE_DDL)
         groups = max(parts, asked.n * (LENGTH + 40) // GROUP_BYTES)
         own = pieces.where("not hot").withColumn("g", F.pmod(F.xxhash64("anchor"), F.lit(groups)))
-        more = own.groupBy("g").applyInArrow(_suffix_group, "doc_id long, start int, windows int")
+        more = own.groupBy("g").applyInArrow(_suffix_group, _CUT_DDL)
         if asked.kind == ASK_HOT:
-            each = materialize(pieces.where("hot").mapInArrow(_hash_windows, "w binary, doc_id long, start int"), "windows")
-            low = each.groupBy("w").agg(F.min("doc_id").alias("d"), F.min_by("start", "doc_id").alias("s"), F.count("*").alias("n")).where("n > 1")
-            more = more.union(each.join(low, "w").where("doc_id <> d or start <> s").select("doc_id", "start", F.lit(1).alias("windows")))
+            each = materialize(pieces.where("hot").mapInArrow(_hash_windows, "w binary, doc_id long, x long, start int"), "windows")
+            place = F.struct("doc_id", "start")
+            low = each.groupBy("w").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select("w", "least")
+            more = more.union(each.join(low, "w").where(place != F.col("least")).select("doc_id", "x", "start", F.lit(1).alias("windows")))
         removed = removed.union(materialize(more, "repeats"))
-    cuts = removed.groupBy("doc_id").agg(F.collect_list(F.shiftleft(F.col("start").cast("long"), 7) + F.col("windows").cast("long")).alias("cuts"))
-    return docs.join(cuts, "doc_id", "left").mapInArrow(tidied(_apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    cuts = removed.groupBy(F.col("doc_id").alias("gi"), F.col("x").alias("gx"))
+    cuts = cuts.agg(F.collect_set(F.shiftleft(F.col("start").cast("long"), 7) + F.col("windows").cast("long")).alias("cuts"))
+    whole = docs.join(cuts, (F.col("doc_id") == F.col("gi")) & (F.col("x") == F.col("gx")), "left").select("doc_id", "t", "cuts")
+    return whole.mapInArrow(tidied(_apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digest(df: DataFrame) -> DataFrame:

@@ -53,6 +53,19 @@ def test_hot_fragments_go_the_other_way(spark):
     assert sorted(tuple(x) for x in found) == sorted(brute.repeats(docs))
 
 
+@pytest.mark.parametrize("most", [1, 20_000])
+def test_repeats_inside_the_first_document_and_rows_that_share_an_id(spark, most):
+    r = random.Random(12)
+    w = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    passage, other = w(100), w(300)
+    docs = [(1, w(30) + passage + w(50) + passage + w(20) + passage + passage)] + [(k, w(40) + passage + w(60)) for k in range(2, 8)]
+    docs += [(20, other), (25, w(300)), (25, other + w(100)), (25, other[:150] + w(100)), (25, other[:150] + w(100)), (26, other), (26, other), (None, other)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = suffixes.digest(suffixes.drop_repeated_bytes(df, most=most)).collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted((tuple(x) for x in found), key=key) == sorted(brute.repeats(docs), key=key)
+
+
 def test_sliding_min():
     x = np.random.default_rng(1).integers(0, 99, 50)
     for w in (1, 2, 7, 16, 23):
