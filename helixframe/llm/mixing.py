@@ -6,8 +6,9 @@ cheapest routing, so repetition is used only where a quota can't be met otherwis
 document a whole number of times plus a seeded subset once more: those up to a cut in the order of a hash, and a few
 that fill what is still missing. Reruns agree.
 
-Edge cases: a null text has size 0; texts of any length count whole; extra columns of any name pass through; a null source is a source of its own and sorts last; repeated rows are rows;
-an empty table gives an empty table.
+Edge cases: a null text has size 0; texts of any length count whole; extra columns of any name pass through; a null source
+is a source of its own and sorts last; repeated rows are rows, each with a place of its own in the order, so that a mix
+takes as many of them as fit; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ SHARE = 1.5
 MOST_COPIES = 2
 WEIGHTS = (3, 1, 2)
 SEED = 20240
-#: Bits of a document's place in the seeded order, and bits that one round looks at.
-PLACE_BITS, STEP_BITS = 60, 12
+#: Bits of a document's place in the seeded order, those of them that tell equal rows apart, and bits of one round.
+PLACE_BITS, OWN_BITS, STEP_BITS = 60, 24, 12
+#: Rows of patterns, cuts or fills that are sent to all executors; more are joined by shuffle.
+BROADCAST_ROWS = 50_000
 #: Documents that may fill a pattern's gap after the cut.
 FILL_ROUNDS = 5
 #: Patterns of overlapping sources that the flow is solved for on the driver; more are refused, never dropped.
@@ -122,11 +125,13 @@ def min_cost_flow(supply: list[float], members: list[list[int]], quota: list[flo
 
 
 def _described(df: DataFrame, text: str, doc_id: str, source: str, seed: int) -> DataFrame:
-    """(row, doc_id, held, key, size, u): u is a place in [0, 2**60) that doc_id, text and seed give."""
+    """(row, doc_id, held, key, size, u): u is a place in [0, 2**60) that doc_id, text and seed give, to its last bits,
+    which tell equal rows apart by where they are read. The result is written before it is used, so they hold."""
     ensure_importable(df.sparkSession)
     many = dict(df.dtypes)[source].startswith("array")
     held = F.coalesce(F.sort_array(F.array_distinct(F.col(source))), F.array(F.lit(None).cast("string"))) if many else F.array(F.col(source))
-    place = F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), 64 - PLACE_BITS)
+    place = F.shiftleft(F.shiftrightunsigned(F.xxhash64(F.col(doc_id), F.col(text), F.lit(seed)), 64 - PLACE_BITS + OWN_BITS), OWN_BITS)
+    place = place + F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.lit(seed)), 64 - OWN_BITS)
     out = df.select(F.struct("*").alias("row"), F.col(doc_id).cast("long").alias("doc_id"), held.alias("held"), place.alias("u"), _words(F.col(text)).alias("size"))
     # Elements may be null, so patterns are compared as text.
     return out.withColumn("key", F.to_json(F.struct(F.col("held").alias("x"))))
@@ -194,6 +199,11 @@ def _cuts(sized: DataFrame, quotas: DataFrame) -> DataFrame:
     return state.drop("prefix")
 
 
+def _sent(df: DataFrame) -> DataFrame:
+    """``df``, for a broadcast join if it is small enough."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def _fills(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     """(key, u, size, doc_id) of the documents past the cut that fill what is still missing, largest first.
 
@@ -203,9 +213,9 @@ def _fills(sized: DataFrame, cuts: DataFrame) -> DataFrame:
     chosen = None
     for k in range(FILL_ROUNDS):
         wanted = (F.col("size") > 0) & (F.col("size") <= F.col("most")) & (F.col("u") >= F.col("cut"))
-        rest = sized.join(gaps.where("gap >= 0.5"), "key").where(wanted)
+        rest = sized.join(_sent(gaps.where("gap >= 0.5")), "key").where(wanted)
         if chosen is not None:
-            rest = rest.join(F.broadcast(chosen.select("key", "u", "size")), ["key", "u", "size"], "left_anti")
+            rest = rest.join(_sent(chosen.select("key", "u", "size")), ["key", "u", "size"], "left_anti")
         if k < FILL_ROUNDS - 1:
             rest, order = rest.where("size <= gap"), F.struct("size", "u")
         else:
@@ -213,22 +223,22 @@ def _fills(sized: DataFrame, cuts: DataFrame) -> DataFrame:
         more = rest.groupBy("key").agg(F.max_by(F.struct("u", "size", "doc_id"), order).alias("f")).select("key", "f.*")
         chosen = materialize(more if chosen is None else chosen.union(more), "mix-fills")
         filled = chosen.groupBy("key").agg(F.sum("size").alias("filled"))
-        gaps = cuts.join(F.broadcast(filled), "key", "left").select("key", "cut", F.col("extra").alias("most"), (F.col("extra") - F.col("before") - F.coalesce("filled", F.lit(0))).alias("gap"))
+        missing = F.col("extra") - F.col("before") - F.coalesce("filled", F.lit(0))
+        gaps = cuts.join(filled, "key", "left").select("key", "cut", F.col("extra").alias("most"), missing.alias("gap"))
     return chosen
 
 
 def _with_copies(described: DataFrame, plan: Plan) -> DataFrame:
     """``described`` with copies, source_size and target: a map over documents while the plan is small."""
     fills = plan.fills.select("key", "u", "size", F.lit(True).alias("filled"))
-    out = described.join(plan.patterns, "key").join(fills, ["key", "u", "size"], "left")
+    out = described.join(_sent(plan.patterns), "key").join(_sent(fills), ["key", "u", "size"], "left")
     again = ((F.col("size") <= F.col("extra")) & (F.col("u") < F.col("cut"))) | F.coalesce("filled", F.lit(False))
     return out.withColumn("copies", (F.col("whole") + F.when(again, 1).otherwise(0)).cast("int"))
 
 
-def _plan(described: DataFrame, weights: tuple[int, ...], share: float, most: int) -> Plan:
-    sized = materialize(described.drop("row"), "mix-sizes")
-    cuts = _cuts(sized, _quotas(described.sparkSession, sized, weights, share, most))
-    return Plan(cuts, _fills(sized, cuts).dropDuplicates(["key", "u", "size"]))
+def _plan(sized: DataFrame, weights: tuple[int, ...], share: float, most: int) -> Plan:
+    cuts = _cuts(sized, _quotas(sized.sparkSession, sized, weights, share, most))
+    return Plan(cuts, _fills(sized, cuts))
 
 
 @settled("mix")
@@ -237,14 +247,14 @@ def mix_sources(df: DataFrame, text: str = "text", doc_id: str = "doc_id", sourc
 
     ``source`` may be a string column or an array of strings for documents that several sources hold.
     """
-    described = _described(df, text, doc_id, source, seed).drop("row")
-    sized = materialize(described, "mix-described")
+    sized = materialize(_described(df, text, doc_id, source, seed).drop("row"), "mix-described")
     out = _with_copies(sized, _plan(sized, weights, share, most))
     return out.select("doc_id", F.col("held").alias("sources"), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_documents(df: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source", seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES) -> DataFrame:
-    """The rows of ``df``, as many times as the mix takes each. Texts aren't shuffled."""
-    described = _described(df, text, doc_id, source, seed)
-    out = _with_copies(described, _plan(described, weights, share, most))
+    """The rows of ``df``, as many times as the mix takes each. Texts are written once, and not shuffled while no more
+    than ``BROADCAST_ROWS`` membership patterns hold them."""
+    described = materialize(_described(df, text, doc_id, source, seed), "mix-rows")
+    out = _with_copies(described, _plan(described.drop("row"), weights, share, most))
     return out.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies")))).where("copy > 0").select("row.*")

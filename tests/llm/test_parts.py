@@ -144,6 +144,24 @@ def test_flow_uses_overlap_and_repeats_last():
     assert abs(flow[1, 0]) < 1e-6
 
 
+@pytest.mark.parametrize("sizes", [[(1000, 10)], [(50, 10), (20, 20)], [(700, 3), (1, 5000), (900, 7)]])
+def test_equal_rows_are_taken_as_many_as_fit(spark, sizes):
+    docs = [(k, "w " * n, "a", "b") for k, (m, n) in enumerate(sizes) for _ in range(m)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, u string").repartition(4)
+    r = mixing.mix_sources(df).collect()
+    total = sum(m * n for m, n in sizes)
+    assert len(r) == len(docs) and abs(sum(x.taken for x in r) - 1.5 * total) <= 5 and {x.copies for x in r} <= {1, 2}
+    rows = mixing.mix_documents(df)
+    assert rows.columns == df.columns and abs(sum(len(x.text.split()) for x in rows.collect()) - 1.5 * total) <= 5
+
+
+def test_many_sources_are_joined_by_shuffle(spark, monkeypatch):
+    df = spark.createDataFrame([(k, "w " * (k % 7 + 1), f"s{k % 40}") for k in range(2000)], "doc_id long, text string, source string")
+    want = sorted(tuple(x) for x in mixing.mix_sources(df.coalesce(1)).drop("sources").collect())
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    assert sorted(tuple(x) for x in mixing.mix_sources(df.coalesce(1)).drop("sources").collect()) == want
+
+
 def test_overlapping_sources(spark):
     df = spark.createDataFrame([(k, "w " * 10, ["a"] if k % 2 else ["a", "b"]) for k in range(40)], "doc_id long, text string, source array<string>")
     r = mixing.mix_sources(df).collect()
