@@ -33,6 +33,7 @@ REMOVE = 0.95
 MIN_CONTEXTS = 2
 CONTEXT_CHARS = 160
 CONTEXT_WORDS = 8
+BLOCK_CHARS = 1024
 #: Bytes of flagged terms, or of their documents' ids, that are sent to all executors; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
@@ -48,21 +49,48 @@ KINDS = (
 _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
-def located(text: Column, pattern: Column | str) -> Column:
-    """Matches of a pattern with their places in code points: pieces between matches give the distances."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    gaps = F.split(text, pattern, -1) if isinstance(pattern, str) else F.split(text, p, F.lit(-1))
-    pairs = F.arrays_zip(gaps.alias("g"), found.alias("v"))
-    none = F.array().cast(_SPAN)
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once: expressions inside lambdas aren't shared otherwise."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_totals(x: Column, levels: int = 3, block: int = 64) -> Column:
+    """Sum of each element of an array of integers and all before it, in time that grows as its length.
+
+    Sums of blocks first, their own running totals, then each block's beginning: no growing array is copied.
+    """
+
+    def beginning(y: Column, end: Column) -> Column:
+        return F.aggregate(F.slice(y, F.lit(1), end), F.lit(0), lambda a, v: a + v)
+
+    def short(y: Column, before: Column) -> Column:
+        return F.transform(y, lambda _, i: before + beginning(y, i + 1))
+
+    if levels == 1:
+        return _let(x, lambda y: short(y, F.lit(0)))
+
+    def blocks(y: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(y) - 1) / block).cast("int")), lambda k: F.slice(y, k * block + 1, F.lit(block)))
+        return _let(parts, within)
+
+    def within(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, v: a + v))
+        both = F.arrays_zip(parts.alias("p"), sums.alias("n"), running_totals(sums, levels - 1, block).alias("t"))
+        return F.flatten(F.transform(both, lambda z: short(z["p"], z["t"] - z["n"])))
+
+    return _let(x, lambda y: F.when(F.size(y) <= block, short(y, F.lit(0))).otherwise(blocks(y)))
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = (start + F.coalesce(F.length(x["v"]), F.lit(0))).cast("int")
-        more = F.concat(acc["out"], F.array(F.struct(start.cast("int").alias("s"), end.alias("e"), x["v"].alias("v"))))
-        return F.struct(end.alias("at"), F.when(x["v"].isNull(), acc["out"]).otherwise(more).alias("out"))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+def located(text: Column, pattern: str) -> Column:
+    """Matches of a pattern with their places in code points: lengths of matches and of what lies between add up."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, v: F.length(g) + F.length(v))
+        span = lambda v, end: F.struct((end - F.length(v)).cast("int").alias("s"), end.cast("int").alias("e"), v.alias("v"))
+        return F.zip_with(found, running_totals(sizes), span)
+
+    return _let(found, lambda f: F.when(F.size(f) > 0, placed(f)).otherwise(F.array().cast(_SPAN)))
 
 
 def luhn(digits: Column) -> Column:
@@ -112,24 +140,41 @@ def base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     return df
 
 
+def _lower(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def words(text: Column) -> Column:
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(lower, F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(_lower(text), F.lit(WORD), F.lit(0))
 
 
 def contexts(spanned: DataFrame, text: str) -> DataFrame:
-    """(entity, terms): each entity of each of the distinct texts, with the distinct words near its places there."""
+    """(entity, terms): each entity of each of the distinct texts, with the distinct words near its places there.
+
+    Contexts are cut from blocks of the text, so that neither a text is walked once an entity nor carried beside each.
+    """
     t = F.coalesce(F.col(text), F.lit(""))
     spans = F.concat(*(_entities(k) for k, _, _ in KINDS))
-    hit = spanned.where(F.size(spans) > 0).select(F.xxhash64(t).alias("row"), t.alias("t"), F.explode(spans).alias("x"))
-    lo = F.greatest(F.col("x.s") - CONTEXT_CHARS, F.lit(0))
-    before = words(F.substring("t", lo + 1, F.col("x.s") - lo))
-    after = words(F.substring(F.col("t"), F.col("x.e") + 1, F.lit(CONTEXT_CHARS)))
-    # The word that the cut may have split is the first of a full window before, the last of one after.
-    before = F.when(lo > 0, F.slice(before, 2, 10_000)).otherwise(before)
-    near = F.concat(F.reverse(F.slice(F.reverse(before), 1, CONTEXT_WORDS)), F.slice(after, 1, CONTEXT_WORDS))
-    placed = hit.select("row", F.col("x.entity").alias("entity"), F.array_distinct(near).alias("terms"))
-    return placed.groupBy("row", "entity").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms")).drop("row")
+    blocks = F.regexp_extract_all(t, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+    def piece(b: Column, lo: Column, size: Column) -> Column:
+        """Code points from ``lo`` on; ``size`` is no more than a block."""
+        k = F.floor(lo / BLOCK_CHARS).cast("int")
+        two = F.concat(F.get(b, k), F.coalesce(F.get(b, k + 1), F.lit("")))
+        return F.coalesce(F.substring(two, lo - k * BLOCK_CHARS + 1, size), F.lit(""))
+
+    def near(b: Column, x: Column) -> Column:
+        lo = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
+        before, after = words(piece(b, lo, x["s"] - lo)), words(piece(b, x["e"], F.lit(CONTEXT_CHARS)))
+        # The word that the cut may have split is the first of a full window before, the last of one after.
+        before = F.when(lo > 0, F.slice(before, 2, 10_000)).otherwise(before)
+        terms = F.concat(F.reverse(F.slice(F.reverse(before), 1, CONTEXT_WORDS)), F.slice(after, 1, CONTEXT_WORDS))
+        return F.struct(x["entity"].alias("entity"), F.array_distinct(terms).alias("terms"))
+
+    hit = spanned.where(F.size(spans) > 0)
+    placed = hit.select(F.xxhash64(t).alias("row"), F.explode(_let(blocks, lambda b: F.transform(spans, lambda x: near(b, x)))).alias("x"))
+    each = placed.groupBy("row", F.col("x.entity").alias("entity"))
+    return each.agg(F.array_distinct(F.flatten(F.collect_list("x.terms"))).alias("terms")).drop("row")
 
 
 def disclosing_terms(df: DataFrame, text: str = "text", generalise: float = GENERALISE, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
@@ -160,20 +205,15 @@ def term_spans(df: DataFrame, flagged: DataFrame, text: str, key: str) -> DataFr
     Documents are told apart by ``key`` and the hash of their text, so that rows without a key aren't one group.
     """
     size = flagged.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
-    small = size <= BROADCAST_BYTES
+    terms = F.broadcast(flagged) if size <= BROADCAST_BYTES else flagged
     df = df.withColumn("_h", F.xxhash64(text))
-    held = df.select(F.col(key).alias("_key"), F.col("_h").alias("_hash"), F.explode(F.array_distinct(words(F.coalesce(F.col(text), F.lit(""))))).alias("term"))
-    held = held.join(F.broadcast(flagged) if small else flagged, "term").groupBy("_key", "_hash").agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("_flagged"))
+    # Every word with its place meets the flagged terms: one pass, however many terms a text holds.
+    each = df.select(F.col(key).alias("_key"), F.col("_h").alias("_hash"), F.explode(located(_lower(F.coalesce(F.col(text), F.lit(""))), WORD)).alias("x"))
+    each = each.select("_key", "_hash", F.col("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).join(terms, "term")
+    held = each.groupBy("_key", "_hash").agg(F.sort_array(F.collect_set(F.struct("s", "e", F.col("disclosure").alias("d")))).alias("_term"))
     held = materialize(held, "pii-held")
     out = df.join(held, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left").drop("_key", "_hash", "_h")
-    t = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    edge = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-
-    def places(x: Column) -> Column:
-        found = located(t, F.concat(F.lit(rf"(?<!{edge})\Q"), x["term"], F.lit(rf"\E(?!{edge})")))
-        return F.transform(found, lambda y: F.struct(y["s"].alias("s"), y["e"].alias("e"), x["disclosure"].alias("d")))
-
-    return out.withColumn("_term", F.array_sort(F.coalesce(F.flatten(F.transform("_flagged", places)), F.array().cast("array<struct<s:int,e:int,d:double>>")))).drop("_flagged")
+    return out.withColumn("_term", F.coalesce("_term", F.array().cast("array<struct<s:int,e:int,d:double>>")))
 
 
 def find_personal_data(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -1,10 +1,12 @@
 """The methods' parts on small inputs, against plain versions."""
 
+import itertools
 import random
 import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import components, decontam, licenses, lines, mixing, pii, quality, setjoin, suffixes, tokens, toxicity
 from tests.llm import brute
@@ -287,6 +289,24 @@ def test_disclosing_terms(spark):
     assert "smithers" not in clean[0] and "[email]" in clean[0] and "today" in clean[0] and clean[100] == docs[6][1]
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 129, 4096, 4097, 5000])
+def test_running_totals(spark, n):
+    x = [k * k % 17 for k in range(n)]
+    df = spark.createDataFrame([(x,)], "x array<int>")
+    assert df.select(pii.running_totals(F.col("x")).alias("y")).first().y == list(itertools.accumulate(x))
+
+
+def test_long_texts_of_numbers_take_time_as_their_length(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(str(10_000 + k) for k in range(n)))], "doc_id long, text string")
+        began = time.perf_counter()
+        assert pii.base_spans(df).select(F.size("_card").alias("n")).first().n == 0
+        return time.perf_counter() - began
+
+    seconds(40_000)
+    assert seconds(40_000) < 10 and seconds(160_000) < 30
+
+
 def test_copies_and_footers_disclose_alike(spark):
     docs = [f"note {k} by smithers today: w.smith@mail.example and more text {k * 7}" for k in range(3)] * 300
     docs += [f"letter {k}x {k * 3} {k * 5}\n" + "so it is as it was then and ever. " * 6 + "Ask for jeeves at bertie@mail.example any day" for k in range(40)]
