@@ -33,7 +33,7 @@ REMOVE = 0.95
 MIN_CONTEXTS = 2
 CONTEXT_CHARS = 160
 CONTEXT_WORDS = 8
-BLOCK_CHARS = 1024
+BLOCK_CHARS = 256
 #: Bytes of flagged terms, or of their documents' ids, that are sent to all executors; more are joined by shuffle.
 BROADCAST_BYTES = 32 << 20
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]++"
@@ -165,10 +165,14 @@ def contexts(spanned: DataFrame, text: str) -> DataFrame:
 
     def near(b: Column, x: Column) -> Column:
         lo = F.greatest(x["s"] - CONTEXT_CHARS, F.lit(0))
-        before, after = words(piece(b, lo, x["s"] - lo)), words(piece(b, x["e"], F.lit(CONTEXT_CHARS)))
-        # The word that the cut may have split is the first of a full window before, the last of one after.
-        before = F.when(lo > 0, F.slice(before, 2, 10_000)).otherwise(before)
-        terms = F.concat(F.reverse(F.slice(F.reverse(before), 1, CONTEXT_WORDS)), F.slice(after, 1, CONTEXT_WORDS))
+        after = F.slice(words(piece(b, x["e"], F.lit(CONTEXT_CHARS))), 1, CONTEXT_WORDS)
+
+        def last(before: Column) -> Column:
+            # The word that the cut may have split is the first of a full window before, the last of one after.
+            whole = F.greatest(F.size(before) - F.when(lo > 0, 1).otherwise(0), F.lit(0))
+            return F.slice(before, F.size(before) - F.least(whole, F.lit(CONTEXT_WORDS)) + 1, F.lit(CONTEXT_WORDS))
+
+        terms = F.concat(_let(words(piece(b, lo, x["s"] - lo)), last), after)
         return F.struct(x["entity"].alias("entity"), F.array_distinct(terms).alias("terms"))
 
     hit = spanned.where(F.size(spans) > 0)
