@@ -5,8 +5,8 @@ counted through the whole shard. ``match_index`` takes benchmark windows; in eac
 list of the window's rarest term (by the corpus' counts), shifts it by the term's offset and intersects it with the
 shifted lists of the neighbouring terms outwards, until the window is covered or no place is left. Proximity
 matches (the rarest terms of an item that the corpus has, within ``slop`` tokens) come from the same lists and are
-returned beside the exact ones. Postings never leave their shard; only a term count per shard is shuffled, and
-benchmark items are sent in blocks of bounded size.
+returned beside the exact ones. Postings never leave their shard; only a term count per shard is shuffled. Benchmark
+items are sent in blocks of bounded bytes; of the counts, those of a block's own terms come to the driver.
 
 Edge cases: null or empty texts and items have no words; an item shorter than the window is one window; repeated
 items or rows each count; texts of any length are indexed whole; extra columns of any name are left out; an empty
@@ -27,8 +27,8 @@ from helixframe.llm.words import chunks, table_alnum, tidied, utf8, word_hashes,
 from helixframe.session import ensure_importable, materialize, settled
 
 WINDOW = 13
-#: Words of benchmark items that one pass over the index takes.
-BLOCK_WORDS = 1_000_000
+#: Bytes of benchmark items that one pass over the index takes; a longer item is a block of its own.
+BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 20
 #: Tokens within which an item's rarest terms count as a proximity match, and how many terms.
 SLOP, RARE_TERMS = 32, 4
@@ -79,19 +79,19 @@ class Block:
         return out
 
 
-def item_blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[Block]:
-    """Items in blocks of about ``block_words`` words, streamed through the driver a block at a time."""
+def item_blocks(items: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[Block]:
+    """Items in blocks of at most ``block_bytes`` bytes, streamed through the driver a block at a time."""
     ids: list = []
     texts: list[str] = []
     size = 0
     rows = items.select(F.col(item_id).cast("string").alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     for r in rows.toLocalIterator():
-        ids.append(r.i)
-        texts.append(r.t)
-        size += r.t.count(" ") + 1
-        if size >= block_words:
+        if ids and size + len(r.t.encode()) > block_bytes:
             yield Block(ids, *text_terms(pa.array(texts)))
             ids, texts, size = [], [], 0
+        ids.append(r.i)
+        texts.append(r.t)
+        size += len(r.t.encode())
     if ids:
         yield Block(ids, *text_terms(pa.array(texts)))
 
@@ -134,20 +134,26 @@ def build_index(df: DataFrame, text: str, doc_id: str, vocabulary=None) -> DataF
     return src.mapInArrow(tidied(run), _SHARD)
 
 
-def term_counts(index: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
-    """Postings of each of the vocabulary's terms over all shards; no larger than the vocabulary."""
+def term_counts(index: DataFrame, vocabulary=None) -> DataFrame:
+    """(term, n): postings of each term over all shards, or of those in ``vocabulary`` (a broadcast of sorted hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
         for b in batches:
-            for t, c in zip(b.column("terms"), b.column("counts"), strict=True):
-                for x, n in zip(np.frombuffer(t.as_py(), np.int64).tolist(), c.as_py(), strict=True):
-                    total[x] = total.get(x, 0) + n
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["term", "n"])
+            terms = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in b.column("terms")] or [np.zeros(0, np.uint64)])
+            n = np.concatenate([x.values.to_numpy() for x in b.column("counts")] or [np.zeros(0, np.int32)])
+            if vocabulary is not None:
+                own = np.isin(terms, vocabulary.value)
+                terms, n = terms[own], n[own]
+            terms, at = np.unique(terms, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(np.bincount(at, weights=n, minlength=len(terms)).astype(np.int64))], names=["term", "n"])
+
+    rows = index.select("terms", "counts").mapInArrow(tidied(run), "term long, n long")
+    return rows.groupBy("term").agg(F.sum("n").alias("n"))
+
 
-    rows = index.select("terms", "counts").mapInArrow(tidied(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    wanted = set(vocabulary.view(np.int64).tolist())
-    return {int(np.int64(r.term).view(np.uint64)): r.n for r in rows.collect() if r.term in wanted}
+def _by_term(counts: DataFrame) -> dict[int, int]:
+    """Counts of no more terms than one block has."""
+    return {int(np.int64(r.term).view(np.uint64)): r.n for r in counts.collect()}
 
 
 class Shard:
@@ -212,10 +218,11 @@ def proximity_places(shard: Shard, rare: list[int], slop: int, gapped: np.ndarra
     return places
 
 
-def match_index(index: DataFrame, block: Block, counts: dict[int, int], window: int, slop: int = SLOP, rare_terms: int = RARE_TERMS) -> DataFrame:
+def match_index(index: DataFrame, block: Block, counts: dict[int, int], window: int, slop: int = SLOP, rare_terms: int = RARE_TERMS, alone: bool = True) -> DataFrame:
     """Per shard: positions hit by exact windows, and by document the items with windows and those near each other.
 
-    The shard's own terms lead to the windows that may be there: items that it can't hold cost nothing.
+    The shard's own terms lead to the windows that may be there: items that it can't hold cost nothing. Unless ``alone``,
+    a shard in which nothing is found has no row, and none repeats the shard's documents.
     """
     anchors, rarest = block.anchors(counts, window), block.rarest(counts, rare_terms)
     keys = [np.sort(np.array(list(x), np.uint64)) for x in (anchors, rarest)]
@@ -250,22 +257,26 @@ def match_index(index: DataFrame, block: Block, counts: dict[int, int], window:
                         if len(at):
                             note(at, near, item)
                 hits = np.unique(np.concatenate(marks)).astype(np.int32)
-                out = {"shard": [b.column("shard")[k].as_py()], "doc_ids": [b.column("doc_ids")[k].as_py()], "first": [first], "hits": [hits.tobytes()], "items": [[sorted(x) for x in items]], "near": [[sorted(x) for x in near]]}
+                if not (alone or any(items) or any(near)):
+                    continue
+                out = {"shard": [b.column("shard")[k].as_py()], "hits": [hits.tobytes()], "items": [[sorted(x) for x in items]], "near": [[sorted(x) for x in near]]}
+                out |= {"doc_ids": [b.column("doc_ids")[k].as_py() if alone else None], "first": [first if alone else None]}
                 yield pa.RecordBatch.from_pydict(out, schema=_HITS_ARROW)
 
     return index.mapInArrow(tidied(run), _HITS)
 
 
-def merge_hits(hits: DataFrame) -> DataFrame:
-    """One row a shard from those of several blocks of items."""
+def merge_hits(index: DataFrame, hits: DataFrame) -> DataFrame:
+    """One row a shard, of its documents and of what all blocks of items have found there."""
 
     def run(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
         all_hits = np.unique(np.concatenate([np.frombuffer(r["hits"], np.int32) for r in rows]))
-        both = {c: [[sorted(set().union(*(r[c][d] for r in rows))) for d in range(len(rows[0]["doc_ids"]))]] for c in ("items", "near")}
-        return pa.Table.from_pydict({"shard": [rows[0]["shard"]], "doc_ids": [rows[0]["doc_ids"]], "first": [rows[0]["first"]], "hits": [all_hits.tobytes()], **both}, schema=_HITS_ARROW)
+        both = {c: [[sorted(set().union(*(r[c][d] for r in rows))) for d in range(len(rows[0][c]))]] for c in ("items", "near")}
+        return pa.Table.from_pydict({"shard": [rows[0]["shard"]], "doc_ids": [None], "first": [None], "hits": [all_hits.tobytes()], **both}, schema=_HITS_ARROW)
 
-    return hits.groupBy("shard").applyInArrow(run, _HITS)
+    found = hits.groupBy("shard").applyInArrow(run, _HITS).select("shard", "hits", "items", "near")
+    return index.select("shard", "doc_ids", "first").join(found, "shard", "left")
 
 
 def report(index: DataFrame) -> DataFrame:
@@ -276,11 +287,12 @@ def report(index: DataFrame) -> DataFrame:
         for b in batches:
             for k in range(b.num_rows):
                 first = np.array(b.column("first")[k].as_py(), np.int64)
-                hits = np.frombuffer(b.column("hits")[k].as_py(), np.int32)
+                hits = np.frombuffer(b.column("hits")[k].as_py() or b"", np.int32)
                 gapped = first + np.arange(len(first))
                 n_words = np.diff(first)
                 n_hit = np.diff(np.searchsorted(hits, gapped))
-                items = b.column("items")[k].as_py()
+                none: list = [[]] * len(n_words)
+                items, near = b.column("items")[k].as_py() or none, b.column("near")[k].as_py() or none
                 n_items = np.array([len(x) for x in items], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -291,7 +303,7 @@ def report(index: DataFrame) -> DataFrame:
                         pa.array(items, pa.list_(pa.string())),
                         pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]),
                         pa.array((n_hit > 0) & (20 * n_hit >= n_words)),
-                        pa.array([len(x) for x in b.column("near")[k].as_py()], pa.int64()),
+                        pa.array([len(x) for x in near], pa.int64()),
                     ],
                     names=["doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256", "contaminated", "n_near"],
                 )
@@ -300,21 +312,25 @@ def report(index: DataFrame) -> DataFrame:
 
 
 @settled("contamination")
-def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, block_words: int = BLOCK_WORDS) -> DataFrame:
+def find_contamination(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = SLOP, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``report`` of every document of ``df`` against every item of ``items``."""
     spark = df.sparkSession
     ensure_importable(spark)
-    blocks = item_blocks(items, item_id, item_text, block_words)
+    blocks = item_blocks(items, item_id, item_text, block_bytes)
     found = next(blocks, Block([], np.zeros(0, np.uint64), np.zeros(1, np.int64)))
     following = next(blocks, None)
     if following is None:
-        index = materialize(build_index(df, text, doc_id, spark.sparkContext.broadcast(found.vocabulary)), "postings")
-        return report(match_index(index, found, term_counts(index, found.vocabulary), window, slop))
-    # Several blocks: one index of every term; each block passes over it and writes its hits alone.
+        words = spark.sparkContext.broadcast(found.vocabulary)
+        index = materialize(build_index(df, text, doc_id, words), "postings")
+        return report(match_index(index, found, _by_term(term_counts(index, words)), window, slop))
+    # Several blocks: one index of every term, counted once; each block passes over it and writes its hits alone.
     index = materialize(build_index(df, text, doc_id), "postings")
+    counts = materialize(term_counts(index), "term-counts")
     hits = None
     while found is not None:
-        more = materialize(match_index(index, found, term_counts(index, found.vocabulary), window, slop), "matches")
+        words = spark.createDataFrame(pa.table({"term": found.vocabulary.view(np.int64)}))
+        own = _by_term(counts.join(F.broadcast(words), "term"))
+        more = materialize(match_index(index, found, own, window, slop, alone=False), "matches")
         hits = more if hits is None else hits.union(more)
         found, following = following, next(blocks, None)
-    return report(merge_hits(hits))
+    return report(merge_hits(index, hits))

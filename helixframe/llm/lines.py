@@ -4,11 +4,13 @@ Every distinct key of a repeated line gets a slot by a minimal perfect hash buil
 keys that collide on a level go to the next one). Slots index compact arrays: a 64-bit fingerprint, the number of
 documents and the largest doc_id. Documents probe the arrays while their text streams by, so texts are never
 shuffled and lines never joined, as long as the arrays fit ``BROADCAST_BYTES``. A larger index stays on the executors:
-the hashes of a batch's lines go, packed, to the shards that may hold them, are probed there, and only the numbers of
-the lines to drop come back to their documents.
+the hashes of a batch's lines go, packed, to a task that holds the arrays of their shard, once for all packets that come
+there, and only the numbers of the lines to drop come back to their documents. Every shard's arrays are sent to
+``SALTS`` tasks, so that a line of very many documents doesn't lead them all to one.
 
-Edge cases: texts of any length are split whole; extra columns of any name are left out; null or empty texts are one empty line; rows that share a doc_id count as one document; rows with a
-null doc_id hold no keys, their lines go where a key qualifies; an empty table gives an empty table.
+Edge cases: texts of any length are split whole; extra columns of any name are left out; null or empty texts are one
+empty line; rows that share a doc_id count as one document; rows with a null doc_id hold no keys, their lines go where a
+key qualifies; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ MIN_DOCS = 3
 BROADCAST_BYTES = 48 << 20
 ENTRY_BYTES = 28
 SHARD_KEYS = 1 << 16
+#: Tasks among which the packets of one shard are dealt.
+SALTS = 16
 GAMMA = 1.6
 _WS = " \t\n\x0b\x0c\r"
 
@@ -208,12 +212,23 @@ def _probe_here(rows, n_shards: int, min_docs: int):
     return run
 
 
+_ASKED = pa.schema([("shard", pa.int64()), ("salt", pa.int32()), ("ids", pa.list_(pa.int64())), ("xs", pa.list_(pa.int64())), ("at", pa.list_(pa.int64())), ("hashes", pa.binary())])
+_ASKED_DDL = "shard long, salt int, ids array<long>, xs array<long>, at array<long>, hashes binary"
+_INDEX = ("sizes", "bits", "fingerprints", "counts", "last")
+_DROPS = pa.schema([("gi", pa.int64()), ("gx", pa.int64()), ("line", pa.int32())])
+
+
 def _probe_there(src: DataFrame, index: DataFrame, n_shards: int, min_docs: int) -> DataFrame:
-    """Hashes meet the shards by equi-join; documents are told apart by doc_id and the hash of their text."""
+    """Packets of hashes and a shard's arrays meet in one sorted partition, the arrays first; documents are told apart by
+    doc_id and the hash of their text."""
     src = src.withColumn("x", F.xxhash64("t"))
 
     def packets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        salt = TaskContext.get().partitionId()
         for b in batches:
+            salt += 1
             ids, xs = b.column("i").to_pylist(), b.column("x").to_pylist()
             hs, docs, at = _line_hashes(b.column("t").to_pylist())
             shard = ((hs >> np.uint64(32)) % np.uint64(n_shards)).astype(np.int64)
@@ -221,21 +236,35 @@ def _probe_there(src: DataFrame, index: DataFrame, n_shards: int, min_docs: int)
             cut = np.flatnonzero(np.diff(shard[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
             for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(order)], strict=False):
                 o = order[a:z]
-                yield pa.RecordBatch.from_pydict({"shard": [int(shard[o[0]])], "ids": [[ids[d] for d in docs[o]]], "xs": [[xs[d] for d in docs[o]]], "at": [at[o]], "hashes": [hs[o].tobytes()]}, schema=pa.schema([("shard", pa.int64()), ("ids", pa.list_(pa.int64())), ("xs", pa.list_(pa.int64())), ("at", pa.list_(pa.int64())), ("hashes", pa.binary())]))
+                row = {"shard": [int(shard[o[0]])], "salt": [salt % SALTS], "ids": [[ids[d] for d in docs[o]]], "xs": [[xs[d] for d in docs[o]]]}
+                yield pa.RecordBatch.from_pydict(row | {"at": [at[o]], "hashes": [hs[o].tobytes()]}, schema=_ASKED)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, shards = None, None
         for b in batches:
-            for r in b.to_pylist():
-                if held is None or held[0] != r["shard"]:
-                    held = r["shard"], Shards([SimpleNamespace(**r)], n_shards)
-                found, last = held[1].last_holder(np.frombuffer(r["hashes"], np.uint64), min_docs)
-                hit = [k for k in np.flatnonzero(found).tolist() if r["ids"][k] != last[k]]
-                if hit:
-                    yield pa.RecordBatch.from_pydict({"gi": [r["ids"][k] for k in hit], "gx": [r["xs"][k] for k in hit], "line": [int(r["at"][k]) for k in hit]}, schema=pa.schema([("gi", pa.int64()), ("gx", pa.int64()), ("line", pa.int32())]))
-
-    sent = src.mapInArrow(tidied(packets), "shard long, ids array<long>, xs array<long>, at array<long>, hashes binary")
-    met = sent.join(index.hint("merge"), "shard")
+            for k in range(b.num_rows):
+                shard = b.column("shard")[k].as_py()
+                if b.column("bits")[k].is_valid:
+                    held = shard
+                    shards = Shards([SimpleNamespace(shard=shard, **{c: b.column(c)[k].as_py() for c in _INDEX})], n_shards)
+                    continue
+                if held != shard:
+                    continue  # no key of this shard is held often enough
+                hashes = np.frombuffer(b.column("hashes")[k].as_buffer(), np.uint64)
+                found, last = shards.last_holder(hashes, min_docs)
+                hit = np.flatnonzero(found)
+                own = b.column("ids")[k].values.take(pa.array(hit))
+                gone = pa.compute.fill_null(pa.compute.not_equal(own, pa.array(last[hit])), True).to_numpy(zero_copy_only=False)
+                hit = pa.array(hit[gone])
+                if len(hit):
+                    columns = [b.column(c)[k].values.take(hit) for c in ("ids", "xs", "at")]
+                    yield pa.RecordBatch.from_arrays([columns[0], columns[1], columns[2].cast(pa.int32())], schema=_DROPS)
+
+    sent = src.mapInArrow(tidied(packets), _ASKED_DDL)
+    arrays = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = sent.unionByName(arrays, allowMissingColumns=True)
+    # Null hashes, those of the arrays' rows, sort first.
+    met = met.repartition("shard", "salt").sortWithinPartitions("shard", "salt", F.col("hashes").isNotNull())
     gone = met.mapInArrow(tidied(probe), "gi long, gx long, line int").groupBy("gi", "gx").agg(F.collect_set("line").alias("gone"))
     gone = materialize(gone, "line-drops")
 

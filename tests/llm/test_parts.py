@@ -94,13 +94,23 @@ def test_line_index_on_the_executors(spark, monkeypatch):
     assert sorted((tuple(r) for r in lines.digest(lines.drop_repeated_lines(df)).collect()), key=key) == sorted(brute.line_dedup(docs), key=key)
 
 
-def test_benchmark_in_several_blocks(spark, rows, items):
+def test_benchmark_in_several_blocks(spark, rows, items, monkeypatch):
     docs = [(r[0], r[1]) for r in rows]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     it = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.find_contamination(df, it, block_words=20).drop("items", "n_near").collect()
+    taken = []
+    monkeypatch.setattr(decontam, "_by_term", lambda counts, plain=decontam._by_term: taken.append(plain(counts)) or taken[-1])
+    found = decontam.find_contamination(df, it, block_bytes=12).drop("items", "n_near").collect()
     key = lambda x: tuple(map(str, x))
     assert sorted((tuple(r) for r in found), key=key) == sorted(brute.contamination(docs, items), key=key)
+    # What came to the driver are counts of each block's own words.
+    assert len(taken) > 1 and all(len(x) <= 12 for x in taken)
+
+
+def test_blocks_of_items_are_bounded_in_bytes(spark):
+    it = spark.createDataFrame([(k, "a\nb\n" * 40) for k in range(9)] + [(10, "long " * 200), (11, None)], "item_id long, text string")
+    blocks = list(decontam.item_blocks(it, "item_id", "text", 500))
+    assert [len(b.ids) for b in blocks] == [3, 3, 3, 1]
 
 
 def test_proximity(spark):
