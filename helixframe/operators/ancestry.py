@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.kernels import grouped
+from helixframe.operators.scan import WIDTH, Running, position_block, running
 
 BLOCK = 5_000_000
 
@@ -195,3 +196,14 @@ def fit_components(rows: DataFrame, vector: str, k: int) -> tuple[np.ndarray, np
     load = vectors[:, order].T
     sign = np.sign(load[np.arange(len(order)), np.abs(load).argmax(1)])
     return means, load * sign[:, None], values[order]
+
+
+def genetic_map(points: DataFrame, chrom: str, pos: str, cm: str, width: int = WIDTH) -> DataFrame:
+    """(chrom, pos, cm, place): one row a position, centimorgans that never fall, numbered from 0 in each contig.
+
+    The least value of a position counts; the greatest so far and the number are scans over blocks of positions.
+    """
+    one = points.groupBy(chrom, pos).agg(F.min(cm).alias("_cm"))
+    wanted = [Running(cm, F.col("_cm"), "max"), Running("place", F.lit(1).cast("long"), "sum")]
+    found = running(one, [chrom], [pos], wanted, position_block(F.col(pos), width))
+    return found.select(chrom, pos, cm, (F.col("place") - 1).alias("place"))

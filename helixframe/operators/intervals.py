@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.scan import WIDTH, islands
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
     """Points with every closed interval that holds them; ``how``: inner, left, left_semi or left_anti."""
@@ -37,12 +38,9 @@ def overlap_length(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
     return F.greatest(F.least(e1, e2) - F.greatest(s1, s2) + 1, F.lit(0))
 
 
-def merge_intervals(rows: DataFrame, key: list[str], start: str, end: str, gap: int = 0) -> DataFrame:
-    """Union of intervals that overlap, touch or lie at most ``gap`` apart."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0))
-    r = r.withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def merge_intervals(rows: DataFrame, key: list[str], start: str, end: str, gap: int = 0, width: int = WIDTH) -> DataFrame:
+    """Union of intervals that overlap, touch or lie at most ``gap`` apart, by blocks of ``width`` positions."""
+    r = islands(rows.where(F.col(start).isNotNull()), key, start, end, gap, width)
     return r.groupBy(*key, "_isle").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("parts")).drop("_isle")
 
 
@@ -52,9 +50,7 @@ def covered_length(merged: DataFrame, key: list[str], start: str, end: str) -> D
 
 def merge_nearby(rows: DataFrame, key: list[str], start: str, end: str, gap: int, weight: str, values: list[str]) -> DataFrame:
     """Segments of one key at most ``gap`` apart become one, values averaged by weight."""
-    w = Window.partitionBy(*key).orderBy(start, end)
-    before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    r = rows.withColumn("_new", F.when(before.isNull() | (F.col(start) - before > gap), 1).otherwise(0)).withColumn("_isle", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = islands(rows.where(F.col(start).isNotNull()), key, start, end, gap)
     means = [(F.sum(F.col(v) * F.col(weight)) / F.sum(weight)).alias(v) for v in values]
     return r.groupBy(*key, "_isle").agg(F.min(start).alias(start), F.max(end).alias(end), F.sum(weight).alias(weight), *means).drop("_isle")
 

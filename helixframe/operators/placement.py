@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import complement, palindromic
+from helixframe.operators.nested import nested_sets, within
+from helixframe.operators.scan import numbered
 from helixframe.session import materialize
 
 #: Call of an insertion or deletion that is carried, and of one that isn't: fixed values.
@@ -153,25 +155,25 @@ def child_evidence(nodes: DataFrame, loci: DataFrame, found: DataFrame, ends: Da
     return rows.groupBy("sample", "terminal", "child").agg(is_("Derived").alias("derived"), is_("Ancestral").alias("ancestral"), is_("NoCall").alias("no_call"))
 
 
-def preorder(nodes: DataFrame, closed: DataFrame) -> DataFrame:
+def preorder(nodes: DataFrame) -> DataFrame:
     """(node, depth, place): pre-order with children by name, then id; the place counts from 1 over the whole forest."""
-    names = nodes.select(F.col("node").alias("ancestor"), "name")
-    key = F.sort_array(F.collect_list(F.struct((-F.col("steps")).alias("k"), F.col("name"), F.col("ancestor").alias("id"))))
-    path = closed.join(names, "ancestor").groupBy("node").agg(F.max("steps").alias("depth"), F.transform(key, lambda s: F.struct(s["name"].alias("name"), s["id"].alias("id"))).alias("path"))
-    return path.withColumn("place", F.row_number().over(Window.orderBy("path"))).select("node", "depth", "place")
+    labels = nested_sets(nodes.select("node", "parent", "name"), ["name", "node"])
+    return labels.select("node", "depth", (F.col("entry") + 1).cast("int").alias("place"))
 
 
-def subtree_report(nodes: DataFrame, closed: DataFrame, loci: DataFrame, found: DataFrame, root: int, sample: int, max_depth: int | None = None) -> DataFrame:
+def subtree_report(nodes: DataFrame, loci: DataFrame, found: DataFrame, root: int, sample: int, max_depth: int | None = None) -> DataFrame:
     """(place, node, parent, name, pos, state): markers of the subtree in pre-order; ``max_depth`` 0 is the root alone."""
-    inside = closed.where(F.col("ancestor") == root)
+    labels = materialize(nested_sets(nodes.select("node", "parent", "name"), ["name", "node"]), "labels")
+    top = labels.where(F.col("node") == root).select(F.col("entry").alias("_from"), F.col("exit").alias("_to"), F.col("depth").alias("_depth"))
+    inside = labels.join(F.broadcast(top), within(F.col("entry"), F.col("_from"), F.col("_to")))  # one row
     if max_depth is not None:
-        inside = inside.where(F.col("steps") <= max_depth)
-    below = closed.join(inside.select("node"), "node", "left_semi").join(inside.select(F.col("node").alias("ancestor")), "ancestor", "left_semi")
-    order = preorder(nodes, below).select("node", "place")
+        inside = inside.where(F.col("depth") - F.col("_depth") <= max_depth)
+    order = numbered(inside.select("node", "entry"), [], ["entry"]).select("node", "place")
     parents = nodes.select(F.col("node").alias("parent"), F.col("name").alias("parent_name"))
     rows = order.join(nodes.select("node", "parent", F.col("name").alias("node_name")), "node").join(parents, "parent", "left").join(loci, "node")
     said = found.where(F.col("sample") == sample).select("node", "pos", "state")
-    return rows.join(said, ["node", "pos"], "left").select("place", F.col("node_name").alias("node"), F.coalesce("parent_name", F.lit("")).alias("parent"), "name", "pos", F.coalesce("state", F.lit("NoCall")).alias("state"))
+    shown = ("place", F.col("node_name").alias("node"), F.coalesce("parent_name", F.lit("")).alias("parent"), "name", "pos", F.coalesce("state", F.lit("NoCall")).alias("state"))
+    return rows.join(said, ["node", "pos"], "left").select(*shown)
 
 
 def normalize_polarity(loci: DataFrame, reference: DataFrame) -> DataFrame:

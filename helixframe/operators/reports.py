@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixframe.operators.scan import numbered
+
 
 def first_fresh(artifacts: DataFrame, wanted: dict[str, str]) -> DataFrame:
     """(subject, one struct a kind): payload and alignment of the first alignment with a current artifact of the kind.
@@ -79,11 +81,11 @@ def marker_chart(values: DataFrame, groups: DataFrame, order: DataFrame) -> Data
     v = values.join(groups, "subject")
     n = v.groupBy("haplogroup", "marker", "value").agg(F.count("*").alias("n"))
     s = n.groupBy("haplogroup", "marker").agg(F.min("value").alias("low"), F.max("value").alias("high"), F.max_by("value", F.struct("n", (-F.col("value")).alias("k"))).alias("mode"), F.sum("n").alias("members"))
-    names = groups.select("haplogroup").distinct().join(F.broadcast(order), "haplogroup", "left")
+    names = groups.select("haplogroup").distinct().join(order, "haplogroup", "left")
     unplaced = F.when(F.col("haplogroup").isNull(), 0).when(F.col("rank").isNotNull(), 1).otherwise(2)
-    place = F.row_number().over(Window.orderBy(unplaced, "rank", "haplogroup"))
-    placed = names.withColumn("place", place).select(F.col("haplogroup").alias("h"), "place", F.coalesce("depth", F.lit(0)).alias("depth"))
-    return s.join(F.broadcast(placed), F.col("haplogroup").eqNullSafe(F.col("h"))).drop("h")
+    placed = numbered(names.withColumn("_unplaced", unplaced), [], ["_unplaced", "rank", "haplogroup"])
+    placed = placed.select(F.col("haplogroup").alias("h"), "place", F.coalesce("depth", F.lit(0)).alias("depth"))
+    return s.join(placed, F.col("haplogroup").eqNullSafe(F.col("h"))).drop("h")
 
 
 def deviations(values: DataFrame, chart: DataFrame, groups: DataFrame) -> DataFrame:

@@ -31,10 +31,6 @@ def call_quality(support: Column, mapq: Column) -> Column:
     return F.least(5 * support + 0.5 * mapq, F.lit(99.0))
 
 
-def confidence(pe: Column, sr: Column, depth: Column) -> Column:
-    return 0.3 * pe.cast("int") + 0.4 * sr.cast("int") + 0.3 * depth.cast("int")
-
-
 def segment_calls(segments: DataFrame, bin_size: int) -> DataFrame:
     """Depth segments as calls: quality, interval of confidence, zygosity and signed length."""
     z, l2 = F.abs("mean_z"), F.col("log2")
@@ -72,7 +68,8 @@ def merge_evidence(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFrame
 
         return pd.DataFrame({"a_id": [x for x, _ in out], "b_id": [y for _, y in out]})
 
-    return grouped(pairs, ["contig", "kind", "stretch"], kernel, "a_id long, b_id long")
+    kinds = (dict(x.dtypes)["id"] for x in (a, b))
+    return grouped(pairs, ["contig", "kind", "stretch"], kernel, "a_id {}, b_id {}".format(*kinds))
 
 
 def stutter_loglik(observed: Column, allele: Column, no_stutter: float = NO_STUTTER, decay: float = DECAY) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.ancestry import genetic_map
 from helixframe.plans.catalog import Tables, query, rounded
 from helixframe.session import scratch_path
 from helixframe.sources import genealogy as ge
@@ -183,11 +184,8 @@ def archaic_panel_build(t: Tables) -> DataFrame:
 @query("WITH r AS (SELECT p_brand AS chrom, p_size * 1000 AS pos, min(p_partkey % 300) AS raw FROM part GROUP BY 1, 2) SELECT chrom, pos, max(raw) OVER (PARTITION BY chrom ORDER BY pos) AS cm, row_number() OVER (PARTITION BY chrom ORDER BY pos) - 1 AS place FROM r")
 def genetic_map_build(t: Tables) -> DataFrame:
     """One row a position in order, centimorgans never falling."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("chrom").orderBy("pos")
-    r = t.part.groupBy(F.col("p_brand").alias("chrom"), (F.col("p_size") * 1000).alias("pos")).agg(F.min(F.col("p_partkey") % 300).alias("raw"))
-    return r.select("chrom", "pos", F.max("raw").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("cm"), (F.row_number().over(w) - 1).cast("long").alias("place"))
+    points = t.part.select(F.col("p_brand").alias("chrom"), (F.col("p_size") * 1000).alias("pos"), (F.col("p_partkey") % 300).alias("cm"))
+    return genetic_map(points, "chrom", "pos", "cm")
 
 
 @query("SELECT p_brand AS asset, count(*) AS rows, sha256(string_agg(p_partkey || ':' || p_size, ',' ORDER BY p_partkey)) AS checksum FROM part GROUP BY 1")

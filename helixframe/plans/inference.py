@@ -164,9 +164,11 @@ def dosage_panel_join(t: Tables) -> DataFrame:
     return t.lineitem.where("l_linenumber % 3 <> 0").join(panel, "l_partkey").select("l_orderkey", "l_partkey", (F.col("l_linenumber") % 3).cast("int").alias("dosage"))
 
 
-@query("SELECT p_partkey, CASE WHEN l.k IS NULL THEN 0 ELSE l.d END AS dosage FROM part LEFT JOIN (SELECT l_partkey AS k, CASE WHEN max(l_linenumber) > 5 THEN NULL ELSE CAST(max(l_linenumber) % 3 AS INTEGER) END AS d FROM lineitem GROUP BY 1) l ON l.k = p_partkey WHERE l.k IS NULL OR l.d IS NOT NULL")
+@query("SELECT p_partkey, CASE WHEN l.k IS NULL THEN 0 ELSE l.d END AS dosage FROM part LEFT JOIN (SELECT l_partkey AS k, CASE WHEN max(l_linenumber) > 5 THEN NULL ELSE CAST(max(l_linenumber) % 3 AS INTEGER) END AS d FROM lineitem WHERE l_quantity >= 49 AND l_discount > 0.08 GROUP BY 1) l ON l.k = p_partkey WHERE l.k IS NULL OR l.d IS NOT NULL")
 def hom_ref_fill(t: Tables) -> DataFrame:
-    seen = t.lineitem.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_linenumber").alias("m"))
+    """Sites without a call of enough depth are taken as the reference's; calls that failed are left out."""
+    deep = t.lineitem.where("l_quantity >= 49 and l_discount > 0.08")
+    seen = deep.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.max("l_linenumber").alias("m"))
     called = seen.select("p_partkey", F.lit(True).alias("present"), F.when(F.col("m") <= 5, (F.col("m") % 3).cast("int")).alias("d"))
     j = t.part.select("p_partkey").join(called, "p_partkey", "left").where("present is null or d is not null")
     return j.select("p_partkey", F.when(F.col("present").isNull(), 0).otherwise(F.col("d")).alias("dosage"))

@@ -156,7 +156,7 @@ def branch_report(t: Tables) -> DataFrame:
     """The whole tree's report for the first sample."""
     f = _Forest(t)
     first = f.calls.agg(F.min("sample")).first()[0]
-    return pl.subtree_report(f.nodes, f.closed, f.loci, f.found, 1, first)
+    return pl.subtree_report(f.nodes, f.loci, f.found, 1, first)
 
 
 @query(
@@ -166,7 +166,7 @@ SELECT node, depth, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS place
 )
 def tree_preorder(t: Tables) -> DataFrame:
     f = _Forest(t)
-    return pl.preorder(f.nodes, f.closed)
+    return pl.preorder(f.nodes)
 
 
 @query(_TREE + ", r AS (SELECT name, CASE WHEN node % 4 = 0 THEN derived ELSE ancestral END AS ra, CASE WHEN node % 4 = 0 THEN ancestral ELSE derived END AS rd FROM loci WHERE node % 3 = 0) SELECT node, l.name, pos, CASE WHEN ra = derived THEN derived ELSE ancestral END AS ancestral, CASE WHEN ra = derived THEN ancestral ELSE derived END AS derived, coalesce(ra = derived, false) AS turned FROM loci l LEFT JOIN r ON r.name = l.name")

@@ -165,7 +165,7 @@ def marker_convention(t: Tables) -> DataFrame:
     return t.lineitem.select("l_orderkey", "l_linenumber", r.marker_name(locus).alias("marker"), value.alias("value"), status.alias("status"))
 
 
-@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'AFR' WHEN 1 THEN 'EUR' WHEN 2 THEN 'EUR' WHEN 3 THEN 'WHG' WHEN 4 THEN 'OCE' END AS super, CASE p_partkey % 6 WHEN 0 THEN 'African' WHEN 1 THEN 'European' WHEN 2 THEN 'European' WHEN 3 THEN 'WHG' WHEN 4 THEN 'Oceanian' END AS name FROM part")
+@query("SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'AFR' WHEN 1 THEN 'EUR' WHEN 2 THEN 'EUR' WHEN 3 THEN 'WHG' WHEN 4 THEN 'OCE' END AS super, CASE p_partkey % 6 WHEN 0 THEN 'African' WHEN 1 THEN 'European' WHEN 2 THEN 'European' WHEN 3 THEN 'Western Hunter-Gatherer' WHEN 4 THEN 'Oceanian' END AS name FROM part")
 def population_rollup(t: Tables) -> DataFrame:
     code = F.get(F.array(*map(F.lit, ("YRI", "EUR", "TSI", "WHG", "OCE", "XXX"))), (F.col("p_partkey") % 6).cast("int"))
     return t.part.select("p_partkey", r.population_super(code).alias("super"), r.population_name(r.population_super(code)).alias("name"))

@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.operators.regions import overlaps, reference_length
 from helixframe.session import ensure_importable
 
 EVERY = 10_000
 BASES, OPS = "=ACMGRSVTWYHKDBN", "MIDNSHP=X"
 SCHEMA = "name string, flags int, contig string, pos long, mapq int, cigar string, mate_contig string, mate_pos long, tlen int, seq string, quals string, sa string"
-INDEX = "place long, contig string, pos long"
+INDEX = "place long, contig string, pos long, reach long"
 
 
 def _open(path: str):
@@ -98,7 +99,8 @@ def read_header(path: str) -> tuple[str, list[tuple[str, int]], int]:
 
 
 def build_index(spark: SparkSession, path: str, every: int = EVERY) -> DataFrame:
-    """(place, contig, pos) of records from which a reader may begin; null contig for the unmapped tail."""
+    """(place, contig, pos, reach) of records from which a reader may begin: the first position of the stretch that begins
+    there, and the last one that a read of it covers; null contig for the unmapped tail."""
     ensure_importable(spark)
     _, contigs, first = read_header(path)
 
@@ -114,15 +116,23 @@ def build_index(spark: SparkSession, path: str, every: int = EVERY) -> DataFrame
                             break
                         ref, pos = struct.unpack_from("<ii", r)
                         if n % every == 0 or ref != last:
-                            rows.append((place, contigs[ref][0] if ref >= 0 else None, pos + 1 if ref >= 0 else None))
+                            rows.append([place, contigs[ref][0] if ref >= 0 else None, pos + 1 if ref >= 0 else None, None])
+                        if ref >= 0:
+                            rows[-1][3] = max(rows[-1][3] or 0, pos + covered(r))
                         n, last = n + 1, ref
-                out = pd.DataFrame(rows, columns=["place", "contig", "pos"])
-                out["pos"] = out["pos"].astype("Int64")
-                yield out
+                out = pd.DataFrame(rows, columns=["place", "contig", "pos", "reach"])
+                yield out.astype({"pos": "Int64", "reach": "Int64"})
 
     return spark.createDataFrame([(path,)], "path string").coalesce(1).mapInPandas(run, INDEX)
 
 
+def covered(r: bytes) -> int:
+    """Reference bases of a record, one at least."""
+    n_name, n_ops = r[8], struct.unpack_from("<H", r, 12)[0]
+    ops = struct.unpack_from(f"<{n_ops}I", r, 32 + n_name)
+    return max(1, sum(x >> 4 for x in ops if OPS[x & 15] in "MDN=X"))
+
+
 def _supplementary(aux: bytes) -> str | None:
     sizes = {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}
     k = 0
@@ -176,12 +186,12 @@ def decode(r: bytes, contigs: list[tuple[str, int]], columns: list[str]) -> list
     return out
 
 
-def _stretches(spark: SparkSession, places: list[int], path: str, columns: list[str] | None) -> DataFrame:
+def _stretches(spark: SparkSession, stretches: list[tuple[int, int]], path: str, columns: list[str] | None) -> DataFrame:
     ensure_importable(spark)
     contigs = read_header(path)[1]
     kinds = dict(x.strip().split(" ") for x in SCHEMA.split(","))
     wanted = columns or list(kinds)
-    cuts = [(path, a, b) for a, b in zip(places, places[1:], strict=False)]
+    cuts = [(path, a, b) for a, b in stretches]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -205,25 +215,29 @@ def read_bam(spark: SparkSession, path: str, index: DataFrame | None = None, col
     """All reads; without an index the file is one stretch. ``columns`` are all that is decoded."""
     first = read_header(path)[2]
     places = sorted({first, *(r.place for r in index.select("place").collect())}) if index is not None else [first]
-    return _stretches(spark, [*places, -1], path, columns)
+    return _stretches(spark, list(zip(places, [*places[1:], -1], strict=True)), path, columns)
 
 
 def read_region(spark: SparkSession, path: str, index: DataFrame, contig: str, start: int, end: int, columns: list[str] | None = None) -> DataFrame:
-    """Reads that begin in a region: only the stretches of the index that may hold them are opened."""
-    rows = sorted(((r.place, r.contig, r.pos) for r in index.collect()), key=lambda r: r[0])
-    cuts = [r[0] for r in rows] + [-1]
-    own = [k for k, r in enumerate(rows) if r[1] == contig]
-    keep = [k for k in own if rows[k][2] <= end and (k + 1 not in own or rows[k + 1][2] >= start)]
-    need = list(dict.fromkeys([*(columns or [x.strip().split(" ")[0] for x in SCHEMA.split(",")]), "contig", "pos"]))
-    places = [cuts[k] for k in keep] + [cuts[keep[-1] + 1]] if keep else []
-    found = _stretches(spark, places, path, need).where((F.col("contig") == contig) & F.col("pos").between(start, end))
+    """Reads that overlap a region: only the stretches of the index that may hold them are opened.
+
+    A read that begins before the region and reaches into it is one of them: stretches are told by how far they reach.
+    """
+    from pyspark.sql import Window
+
+    ends = index.withColumn("next", F.lead("place", 1, -1).over(Window.orderBy("place")))  # one row a stretch
+    may = ends.where((F.col("contig") == contig) & (F.col("pos") <= end) & (F.col("reach") >= start))
+    cuts = [(r.place, r.next) for r in may.select("place", "next").collect()]
+    need = list(dict.fromkeys([*(columns or [x.strip().split(" ")[0] for x in SCHEMA.split(",")]), "contig", "pos", "cigar"]))
+    found = _stretches(spark, cuts, path, need).where(F.col("contig") == contig)
+    found = found.where(overlaps(F.col("pos"), F.col("pos") + reference_length(F.col("cigar")) - 1, F.lit(start), F.lit(end)))
     return found.select(*(columns or need))
 
 
 def read_unmapped(spark: SparkSession, path: str, index: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The tail of reads without a contig."""
     tail = index.where(F.col("contig").isNull()).agg(F.min("place")).first()[0]
-    return _stretches(spark, [tail, -1] if tail is not None else [], path, columns)
+    return _stretches(spark, [(tail, -1)] if tail is not None else [], path, columns)
 
 
 def scan_into(reads: DataFrame, sink, group: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions.genotype import contig_bare
 from helixframe.operators.intervals import point_in_interval
+from helixframe.operators.regions import overlaps, reference_length
 
 
 def read_lines(spark, path: str) -> DataFrame:
@@ -30,8 +31,8 @@ def sam_reads(lines: DataFrame) -> DataFrame:
 
 
 def region(reads: DataFrame, contig: str, start: int, end: int) -> DataFrame:
-    """Reads that begin in a region: a pushed-down filter where the table is sorted by position."""
-    return reads.where((F.col("contig") == contig) & F.col("pos").between(start, end))
+    """Reads that overlap a region, also those that begin before it; contig and last position reach the scan."""
+    return reads.where((F.col("contig") == contig) & overlaps(F.col("pos"), F.col("pos") + reference_length(F.col("cigar")) - 1, F.lit(start), F.lit(end)))
 
 
 def unmapped(reads: DataFrame) -> DataFrame:

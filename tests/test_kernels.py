@@ -1,5 +1,6 @@
 """Sequential kernels and fits against plain versions on seeded rows, and their queries against the kernels by group."""
 
+import itertools
 import math
 import random
 from collections import defaultdict
@@ -266,3 +267,91 @@ def test_realignment_and_rescue(spark):
 @pytest.mark.parametrize("name", ["segment_candidates", "cnv_segments", "anchored_clusters", "roh_hmm", "archaic_hmm", "site_match_hmm", "paint_viterbi", "admixture_em", "overlap_greedy", "candidate_branches", "deep_ancestry", "phase_haplotypes", "local_ancestry"])
 def test_queries_give_rows(spark, name):
     assert registry.queries()[name](spark, SF).count() > 0
+
+
+def likeliest(start, trans, emit):
+    """Path and per-site posteriors by listing all paths; ``trans`` is one matrix a step, all in plain probabilities."""
+    n, k = len(emit), len(start)
+    weight = {}
+    for path in itertools.product(range(k), repeat=n):
+        p = start[path[0]] * emit[0][path[0]]
+        for i in range(1, n):
+            p *= trans[i - 1][path[i - 1]][path[i]] * emit[i][path[i]]
+        weight[path] = p
+    best = max(weight, key=weight.get)
+    total = sum(weight.values())
+    return list(best), [[sum(w for path, w in weight.items() if path[i] == s) / total for s in range(k)] for i in range(n)]
+
+
+def test_homozygosity_equals_listing_all_paths():
+    rng = np.random.default_rng(21)
+    for _ in range(5):
+        n = 9
+        freq, het, cm = rng.uniform(0.05, 0.95, n), rng.random(n) < 0.3, np.cumsum(rng.uniform(0.1, 40, n))
+        trans = kernels.switch_matrix(np.diff(cm), 0.02, 2)
+        emit = [[2 * f * (1 - f) if h else 1 - 2 * f * (1 - f), 0.002 if h else 0.998] for f, h in zip(freq, het, strict=True)]
+        path, post = likeliest([0.9, 0.1], trans, emit)
+        states, got = kernels.roh_states(freq, het, cm)
+        assert states.tolist() == path and np.allclose(got, [p[1] for p in post])
+
+
+def test_homozygous_segments_of_a_frame(spark):
+    rows = [("s", k * 1000, k * 0.5, 0.5, not 20 <= k < 50) for k in range(70)]
+    df = spark.createDataFrame([r for r in rows if r[4] or 20 <= r[1] // 1000 < 50], "sample string, pos long, cm double, freq double, het boolean")
+    got = kernels.roh_segments(df, ["sample"], 5).collect()
+    assert [(r.start, r.end, r.sites) for r in got] == [(20_000, 49_000, 30)] and got[0].posterior > 0.9
+
+
+def test_site_matches_equal_listing_all_paths():
+    rng = np.random.default_rng(22)
+    for _ in range(5):
+        n = 9
+        carried, pos = rng.random(n) < 0.4, np.cumsum(rng.integers(100, 40_000, n))
+        back = min(max(carried.sum() / n, 0.001), 0.5)
+        high = min(4.5 * back, 0.999)
+        emit = [[q if c else 1 - q for q in (back, high)] for c in carried]
+        _, post = likeliest([0.98, 0.02], kernels.switch_matrix(np.diff(pos), 1e-5, 2), emit)
+        assert np.allclose(kernels.match_posterior(carried, carried.sum(), n, pos), [p[1] for p in post])
+
+
+def test_matching_segments_of_a_frame(spark):
+    rows = [("s", 1000 * k, 100 <= k < 140 or k % 25 == 0) for k in range(300)]
+    got = kernels.match_segments(spark.createDataFrame(rows, "sample string, pos long, carried boolean"), ["sample"], 0.9, 16, 5000).collect()
+    assert len(got) == 1 and abs(got[0].start - 100_000) <= 2000 and abs(got[0].end - 139_000) <= 2000 and got[0].carried >= 38
+
+
+def test_copy_number_segments_by_hand(spark):
+    z = [0, 3, 1.5, 1, 2, 2, 0.5, 0, 0, 2.4, 0, -2.6, -1.3, 0, -1.3, -1.3, 0, 0, 0, 9]
+    # A seed of 3 grows over one low bin, as two of the next three hold; the tail is cut back to the last that holds.
+    assert kernels.cnv_segments(np.array(z)) == [(1, 5, 1), (11, 15, -1), (19, 19, 1)]
+    rows = [("s", k, float(x), 10.0 + 5 * x, 10.0) for k, x in enumerate(z)]
+    got = kernels.depth_segments(spark.createDataFrame(rows, "sample string, bin long, z double, n double, expected double"), ["sample"], 100, 200).orderBy("start").collect()
+    assert [(r.start, r.end, r.kind, r.bins) for r in got] == [(100, 600, "DUP", 5), (1100, 1600, "DEL", 5)]
+    assert got[0].mean_z == pytest.approx(np.mean(z[1:6])) and got[0].log2 == pytest.approx(np.mean(np.log2(np.maximum((10 + 5 * np.array(z[1:6])), 0.5) / 10)))
+
+
+@pytest.mark.parametrize("diploid", [True, False])
+def test_painting_equals_listing_all_paths(diploid):
+    rng = np.random.default_rng(23)
+    n, k = 6, 3
+    for _ in range(4):
+        freqs, pos = rng.uniform(0.02, 0.98, (n, k)), np.cumsum(rng.integers(1000, 90_000, n)).astype(float)
+        states = [(a, b) for a in range(k) for b in range(a, k)] if diploid else [(a,) for a in range(k)]
+        dosage = rng.integers(0, 3 if diploid else 2, n)
+        emit = []
+        for i in range(n):
+            row = []
+            for s in states:
+                f = [freqs[i, a] for a in s]
+                two = [(1 - f[0]) * (1 - f[-1]), f[0] * (1 - f[-1]) + f[-1] * (1 - f[0]), f[0] * f[-1]]
+                row.append(two[dosage[i]] if diploid else (f[0] if dosage[i] else 1 - f[0]))
+            emit.append(row)
+        m = len(states)
+        path, _ = likeliest([1 / m] * m, kernels.switch_matrix(np.diff(pos), 1e-5, m), emit)
+        assert kernels.paint(dosage, freqs, pos, 1e-5, diploid).tolist() == path
+
+
+def test_switch_matrix_stays_with_the_distance():
+    got = kernels.switch_matrix(np.array([0.0, 3.0]), 0.5, 3)
+    assert np.allclose(got[0], np.eye(3)) and np.allclose(got.sum(2), 1)
+    assert got[1][0][0] == pytest.approx(np.exp(-1.5)) and got[1][0][1] == pytest.approx((1 - np.exp(-1.5)) / 2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import bands, rules
 from helixframe.operators import consensus, placement
-from helixframe.sources import alignments, files, genealogy
+from helixframe.sources import alignments, files, genealogy, variants
 from helixframe.streaming import events
 
 
@@ -62,7 +62,11 @@ def test_binary_alignments(spark, bam):
     assert parts.columns == ["name", "pos", "seq"] and sorted(map(str, parts.collect())) == sorted(str(x) for x in alignments.read_bam(spark, bam).select("name", "pos", "seq").collect())
     assert parts.rdd.getNumPartitions() == 6
     got = alignments.read_region(spark, bam, index, "chr1", 35, 85, ["name"]).collect()
-    assert sorted(x.name for x in got) == ["r4", "r5", "r6", "r7", "r8"]
+    # r3 begins at 31 and covers five bases.
+    assert sorted(x.name for x in got) == ["r3", "r4", "r5", "r6", "r7", "r8"]
+    assert [x.name for x in alignments.read_region(spark, bam, index, "chr1", 36, 40, ["name"]).collect()] == []
+    assert [x.name for x in alignments.read_region(spark, bam, index, "chr1", 85, 90, ["name"]).collect()] == ["r8"]
+    assert sorted(x.name for x in variants.region(alignments.read_bam(spark, bam), "chr1", 35, 41).collect()) == ["r3", "r4"]
     assert alignments.read_region(spark, bam, index, "chrX", 1, 9).count() == 0
     assert [x.name for x in alignments.read_unmapped(spark, bam, index).collect()] == ["u"]
 
