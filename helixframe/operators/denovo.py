@@ -11,9 +11,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.operators.batched import align_batch, batches_of_cells, hmm_batch
 from helixframe.operators.calls import BASES, haploid_call, top_two
 from helixframe.operators.intervals import merge_intervals
-from helixframe.operators.kernels import align_global, grouped, pair_hmm
+from helixframe.operators.kernels import grouped
 from helixframe.operators.pileup import cigar_ops
 
 #: Quality that a counted base stands for, and the reads that an alternate needs: fixed values.
@@ -167,20 +168,21 @@ def active_windows(evidence: DataFrame, min_reads: int = 2, pad: int = 10) -> Da
 def realign(pieces: DataFrame) -> DataFrame:
     """(read, contig, ref_pos, base, quality) of pieces of reads aligned anew to the reference of their window.
 
-    ``pieces``: read, contig, start, ref (the window's bases), bases, quals (array). Pieces are aligned one by one.
+    ``pieces``: read, contig, start, ref (the window's bases), bases, quals (array). A batch of pieces is aligned at once,
+    along the diagonals of all their tables.
     """
 
     def run(frames):
         for f in frames:
-            out = []
-            for r in f.itertuples():
-                ops = align_global(r.bases, r.ref)[1]
-                p, q = r.start, 0
-                for op in ops:
-                    if op == "M":
-                        out.append((r.read, r.contig, p, r.bases[q], int(r.quals[q])))
-                    p, q = p + (op != "I"), q + (op != "D")
-            yield pd.DataFrame(out, columns=["read", "contig", "ref_pos", "base", "quality"])
+            for part in batches_of_cells(f["bases"].str.len().to_numpy(), f["ref"].str.len().to_numpy()):
+                g = f.iloc[part]
+                _, piece, query, target = align_batch(g["bases"].tolist(), g["ref"].tolist())
+                ends = np.cumsum([len(x) for x in g["quals"]])
+                place = (ends - [len(x) for x in g["quals"]])[piece] + query
+                bases = np.array(list("".join(g["bases"])), dtype=object)
+                quals = np.concatenate([np.asarray(x, np.int64) for x in g["quals"]] or [np.zeros(0, np.int64)])
+                out = {c: g[c].to_numpy()[piece] for c in ("read", "contig")}
+                yield pd.DataFrame({**out, "ref_pos": g["start"].to_numpy()[piece] + target, "base": bases[place], "quality": quals[place]})
 
     return pieces.select("read", "contig", "start", "ref", "bases", "quals").mapInPandas(run, "read string, contig string, ref_pos long, base string, quality int")
 
@@ -189,25 +191,27 @@ def rescue(candidates: DataFrame, reads: DataFrame, min_odds: float = RESCUE_ODD
     """(contig, pos, depth, alt_depth, log_odds, derived) of sites with two alleles, by whole reads.
 
     ``candidates``: contig, pos, alt, start, ref (the window's bases); ``reads``: contig, pos (of the candidate),
-    fragment, bases, quals. One read a fragment, the longest, is scored against both haplotypes by a pair HMM; reads
-    that fit neither don't vote. One candidate's reads are bounded by the depth at its window.
+    fragment, bases, quals. One read a fragment, the longest, is scored against both haplotypes by a pair HMM, a batch of
+    reads at once; reads that fit neither don't vote. Sites are sums over reads: none is one task's group.
     """
-    j = reads.join(candidates, ["contig", "pos"])
-
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        first = g.iloc[0]
-        off = int(first["pos"] - first["start"])
-        other = first["ref"][:off] + first["alt"] + first["ref"][off + 1 :]
-        odds = depth = alt = 0.0
-        g = g.assign(n=g["bases"].str.len()).sort_values(["fragment", "n", "bases"], ascending=[True, False, True]).drop_duplicates("fragment")
-        for r in g.itertuples():
-            quals = np.asarray(r.quals, float)
-            a, b = (pair_hmm(r.bases, quals, h) * np.log(10) for h in (first["ref"], other))
-            if max(a, b) >= min_loglik:
-                odds, depth, alt = odds + b - a, depth + 1, alt + (b > a)
-        return pd.DataFrame([(first["contig"], int(first["pos"]), int(depth), int(alt), float(odds), bool(odds > min_odds and alt >= min_fragments))], columns=["contig", "pos", "depth", "alt_depth", "log_odds", "derived"])
-
-    return grouped(j, ["contig", "pos"], kernel, "contig string, pos long, depth long, alt_depth long, log_odds double, derived boolean")
+    longest = F.max_by(F.struct("bases", "quals"), F.struct(F.length("bases"), "bases"))
+    one = reads.groupBy("contig", "pos", "fragment").agg(longest.alias("r")).select("contig", "pos", "r.bases", "r.quals")
+    j = one.join(candidates, ["contig", "pos"]).select("contig", "pos", "bases", "quals", "ref", "alt", (F.col("pos") - F.col("start")).cast("int").alias("off"))
+
+    def run(frames):
+        for f in frames:
+            n, m = f["bases"].str.len().to_numpy(), f["ref"].str.len().to_numpy()
+            for part in batches_of_cells(n, m):
+                g = f.iloc[part]
+                other = [h[:o] + x + h[o + 1 :] for h, x, o in zip(g["ref"], g["alt"], g["off"], strict=True)]
+                a, b = (hmm_batch(g["bases"].tolist(), g["quals"].tolist(), list(h)) * np.log(10) for h in (g["ref"], other))
+                yield pd.DataFrame({"contig": g["contig"], "pos": g["pos"], "a": a, "b": b})
+
+    scored = j.mapInPandas(run, "contig string, pos long, a double, b double")
+    fits = F.greatest("a", "b") >= min_loglik
+    odds, alt = F.sum(F.when(fits, F.col("b") - F.col("a")).otherwise(0.0)), F.count_if(fits & (F.col("b") > F.col("a")))
+    g = scored.groupBy("contig", "pos").agg(F.count_if(fits).alias("depth"), alt.alias("alt_depth"), odds.alias("log_odds"))
+    return g.withColumn("derived", (F.col("log_odds") > min_odds) & (F.col("alt_depth") >= min_fragments))
 
 
 def molecule_lengths(reads: DataFrame, order: list[str], most: int = 50_000) -> DataFrame:

@@ -168,7 +168,8 @@ def stream_dedup(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, value > 20 AS ok, CASE WHEN value > 20 THEN NULL ELSE 120 END AS retry_after FROM events WHERE event_type = 'purchase'")
 def stream_outbox(t: Tables) -> DataFrame:
-    out = scratch_path(t.spark, "outbox")
-    s = st.event_stream(t.spark, f"{t.sf_dir}/events.parquet").where("event_type = 'purchase'")
-    st.deliver(s, f"{out}/sent", f"{out}/state", lambda d: d.withColumn("ok", F.col("value") > 20), "event_id").awaitTermination()
-    return t.spark.read.parquet(f"{out}/sent").select("event_id", "ok", F.col("retry_after").cast("int").alias("retry_after"))
+    """One round of an outbox: what isn't delivered waits as long as its backoff says."""
+    s = st.event_stream(t.spark, f"{t.sf_dir}/events.parquet").where("event_type = 'purchase'").select("event_id", "value")
+    rows = st.drain(t.spark, s, "append", "outbox").select("*", F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(0).alias("due"))
+    sent = st.outbox_round(rows, F.when(F.col("value") > 20, "ok").otherwise("transient"), 0, "event_id")
+    return sent.select("event_id", (F.col("status") == "SENT").alias("ok"), F.when(F.col("status") == "PENDING", F.col("due").cast("int")).alias("retry_after"))

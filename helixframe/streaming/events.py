@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixframe.session import scratch_path
@@ -45,6 +43,39 @@ def first_seen(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
+#: Reference positions behind the front within which a read may still be met as a duplicate: a fixed value.
+LOOK_BACK = 1000
+
+
+def first_of_place(reads: DataFrame, place: str, signature: list[str], look_back: int = LOOK_BACK) -> DataFrame:
+    """The first read of each signature, in a stream of reads that come nearly in the order of their places.
+
+    A place (running on over contigs) is the event time, one second a position: what lies more than ``look_back``
+    positions behind the front of the batches before is too late to be judged and left out, and a signature's state goes
+    when the front has passed its place by as much. ``signature`` holds the place, so duplicates lie at one place.
+    """
+    # The front begins at 0, so places begin above it.
+    placed = reads.withColumn("_at", F.timestamp_seconds(F.col(place) + look_back + 1))
+    return placed.withWatermark("_at", f"{look_back} seconds").dropDuplicatesWithinWatermark(signature).drop("_at")
+
+
+def first_of_place_in_batches(batches: list[DataFrame], place: str, signature: list[str], look_back: int = LOOK_BACK) -> DataFrame:
+    """What ``first_of_place`` keeps of these batches, by one window: the batch form that tests hold it against.
+
+    The front that a batch goes by is the greatest place, less the look-back, of all batches but the one before it: a
+    front that a batch has moved holds from the next but one.
+    """
+    rows = None
+    for k, b in enumerate(batches):
+        rows = b.withColumn("_batch", F.lit(k)) if rows is None else rows.unionByName(b.withColumn("_batch", F.lit(k)))
+    fronts = rows.groupBy("_batch").agg(F.max(place).alias("_front"))
+    before = Window.orderBy("_batch").rowsBetween(Window.unboundedPreceding, -2)  # one row a batch
+    fronts = fronts.withColumn("_front", F.max("_front").over(before) - look_back)
+    judged = rows.join(F.broadcast(fronts), "_batch").where(F.col("_front").isNull() | (F.col(place) > F.col("_front")))
+    first = F.row_number().over(Window.partitionBy(*signature).orderBy("_batch"))
+    return judged.withColumn("_n", first).where("_n = 1").drop("_n", "_front", "_batch")
+
+
 def drain(spark: SparkSession, stream: DataFrame, mode: str = "append", name: str = "stream") -> DataFrame:
     """Run a stream over what is there, into a shared folder, and read it back."""
     out = scratch_path(spark, name)
@@ -89,11 +120,11 @@ def outbox_round(rows: DataFrame, outcome: Column, now: int, key: str) -> DataFr
     return rows.select(key, status.alias("status"), (F.col("attempts") + F.when(due, 1).otherwise(0)).alias("attempts"), F.when(again, now + backoff(F.col("attempts") + 1)).otherwise(F.col("due")).alias("due"))
 
 
-def deliver_with_retries(stream: DataFrame, path: str, key: str, outcome: Column, rounds: int = 64) -> DataFrame:
+def deliver_with_retries(stream: DataFrame, path: str, key: str, outcome: Column, most: int | None = None) -> DataFrame:
     """An outbox that resends: rows of all batches, each kept under its number, are tried until none is pending.
 
     A round takes every due row at once; time moves to the earliest row that waits. Each round writes the outbox anew,
-    so a lost driver goes on from the last whole round.
+    so a lost driver goes on from the last whole round. Rows that still wait after ``most`` rounds are an error.
     """
     spark = stream.sparkSession
 
@@ -102,14 +133,13 @@ def deliver_with_retries(stream: DataFrame, path: str, key: str, outcome: Column
 
     stream.writeStream.option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     rows = spark.read.parquet(f"{path}/in").select(key).distinct().select(key, F.lit("PENDING").alias("status"), F.lit(0).alias("attempts"), F.lit(0).cast("long").alias("due"))
-    now = 0
-    for k in range(rounds):
+    now, k = 0, 0
+    while now is not None:
+        if most is not None and k >= most:
+            raise RuntimeError(f"rows are still pending after {most} rounds")
         outbox_round(rows, outcome, now, key).write.mode("overwrite").parquet(f"{path}/out/{k}")
         rows = spark.read.parquet(f"{path}/out/{k}")
-        wait = rows.where("status = 'PENDING'").agg(F.min("due")).first()[0]
-        if wait is None:
-            break
-        now = wait
+        now, k = rows.where("status = 'PENDING'").agg(F.min("due")).first()[0], k + 1
     return rows
 
 
@@ -125,17 +155,3 @@ def cancel(spark: SparkSession, name: str) -> bool:
     for q in found:
         q.stop()
     return bool(found)
-
-
-def deliver(stream: DataFrame, path: str, state: str, send: Callable[[DataFrame], DataFrame], key: str):
-    """An outbox: each batch is sent once by key; ``send`` returns the rows with ``ok``; failures wait with backoff.
-
-    Batches are written under their number, so a batch that is replayed overwrites itself.
-    """
-    from helixframe.operators.relational import backoff
-
-    def step(df: DataFrame, epoch: int) -> None:
-        sent = send(df.dropDuplicates([key])).withColumn("retry_after", F.when(~F.col("ok"), backoff(F.lit(1))))
-        sent.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
-
-    return stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(step).start()
