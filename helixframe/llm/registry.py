@@ -110,6 +110,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_decontamination": sql.OP2,
         "op3_quality_rules": sql.OP3,
+        "op5_suffix_dedup": sql.OP5,
         "op9_jaccard_join": sql.OP9,
         "op10_line_dedup": sql.OP10,
         "op11_passage_dedup": sql.OP11,

@@ -29,6 +29,17 @@ b AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_c
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 25 * n_words OR 100 * bang > 50 * n_words OR 100 * up > 60 * letters OR word_chars > 20 * n_words OR 10 * word_chars < 15 * n_words OR 100 * n_dup_lines > 60 * n_lines) AS kept FROM b"""
 
+OP5 = """WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t FROM documents), x AS (SELECT r, doc_id, hex(encode(t)) AS h FROM d),
+g AS (SELECT r, doc_id, s, md5_number(substring(h, 2 * s + 1, 200)) AS g FROM (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 99, 0))) AS s FROM x WHERE doc_id IS NOT NULL)),
+w AS (SELECT r, s FROM (SELECT r, s, doc_id, first_value(doc_id) OVER o AS d1, first_value(s) OVER o AS s1 FROM g WINDOW o AS (PARTITION BY g ORDER BY doc_id, s)) WHERE (doc_id, s) <> (d1, s1)),
+e AS (SELECT r, s, lag(s) OVER (PARTITION BY r ORDER BY s) AS before FROM w),
+i AS (SELECT r, s, sum(CASE WHEN before IS NULL OR s > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY r ORDER BY s ROWS UNBOUNDED PRECEDING) AS isle FROM e),
+c AS (SELECT r, min(s) AS lo, max(s) + 100 AS hi FROM i GROUP BY r, isle),
+k AS (SELECT r, count(*) AS n_spans, sum(hi - lo) AS n_removed, list(lo ORDER BY lo) AS los, list(hi ORDER BY lo) AS his FROM c GROUP BY r)
+SELECT doc_id, length(h) // 2 AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+ sha256(unhex(CASE WHEN k.r IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(los) + 1), lambda j: substring(h, 2 * (CASE WHEN j = 0 THEN 0 ELSE his[j] END) + 1, 2 * ((CASE WHEN j = len(los) THEN length(h) // 2 ELSE los[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE his[j] END)))), '') END)) AS kept_sha256
+FROM x LEFT JOIN k ON k.r = x.r"""
+
 OP9 = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOW}, {_BLACK}) AS w FROM documents), s AS (SELECT DISTINCT doc_id, md5(array_to_string(g, ' ')) AS g FROM (SELECT doc_id, list_slice(w, k, k + 3) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS k FROM w WHERE len(w) > 0))),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), few AS (SELECT g FROM s GROUP BY 1 HAVING count(*) > 1), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id SEMI JOIN few ON few.g = a.g GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)), two AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
