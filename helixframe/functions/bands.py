@@ -84,9 +84,3 @@ def roh_pattern(f_roh: Column, total: Column, short: Column, long: Column) -> Co
 
 def confidence_band(x: Column) -> Column:
     return F.when(x >= 0.9, "high").when(x >= 0.6, "moderate").otherwise("low")
-
-
-def coverage_phrase(depth: Column, target: Column) -> Column:
-    whole = F.when(depth >= 25, "excellent").when(depth >= 10, "good").when(depth >= 4, "limited").otherwise("poor")
-    other = F.when(depth >= 10, "good").when(depth >= 3, "limited").otherwise("poor")
-    return F.when(target == "whole", whole).otherwise(other)

@@ -17,12 +17,17 @@ def cells(lines: DataFrame) -> Column:
     return F.transform(F.split(v, F.when(v.contains("\t"), F.lit("\t")).otherwise(F.lit(","))), lambda x: F.trim(x))
 
 
+def _beside(lines: DataFrame) -> list[str]:
+    """Columns that readers pass on: where a line comes from, for one."""
+    return [c for c in lines.columns if c != "value"]
+
+
 def chip_rows(lines: DataFrame) -> DataFrame:
     """(rsid, contig, pos, genotype) of four- or five-column chip text; a missing genotype is ``--``."""
     c = cells(lines)
-    r = lines.where(~F.trim("value").startswith("#")).select(c.alias("c")).where((F.size("c") >= 4) & F.get("c", F.lit(2)).rlike(r"^\d+$"))
+    r = lines.where(~F.trim("value").startswith("#")).select(*_beside(lines), c.alias("c")).where((F.size("c") >= 4) & F.get("c", F.lit(2)).rlike(r"^\d+$"))
     gt = F.upper(F.when(F.size("c") >= 5, F.concat(F.get("c", F.lit(3)), F.get("c", F.lit(4)))).otherwise(F.get("c", F.lit(3))))
-    return r.select(F.get("c", F.lit(0)).alias("rsid"), contig_bare(F.get("c", F.lit(1))).alias("contig"), F.get("c", F.lit(2)).cast("long").alias("pos"), F.when(gt.isin(*UNCALLED), "--").otherwise(gt).alias("genotype"))
+    return r.select(*_beside(lines), F.get("c", F.lit(0)).alias("rsid"), contig_bare(F.get("c", F.lit(1))).alias("contig"), F.get("c", F.lit(2)).cast("long").alias("pos"), F.when(gt.isin(*UNCALLED), "--").otherwise(gt).alias("genotype"))
 
 
 def chip_haploid(rows: DataFrame) -> DataFrame:
@@ -47,9 +52,9 @@ def chip_build(lines: DataFrame) -> DataFrame:
 def variant_table(lines: DataFrame) -> DataFrame:
     """(contig, pos, ref, alt, rsid, genotype) of positional or headed text; single bases only, ``.`` is missing."""
     c = cells(lines)
-    r = lines.where(~F.trim("value").startswith("#")).select(c.alias("c")).where((F.size("c") >= 4) & F.get("c", F.lit(1)).rlike(r"^\d+$"))
+    r = lines.where(~F.trim("value").startswith("#")).select(*_beside(lines), c.alias("c")).where((F.size("c") >= 4) & F.get("c", F.lit(1)).rlike(r"^\d+$"))
     clean = lambda k: F.when(~F.get("c", F.lit(k)).isin("", "."), F.get("c", F.lit(k)))
-    out = r.select(contig_bare(F.get("c", F.lit(0))).alias("contig"), F.get("c", F.lit(1)).cast("long").alias("pos"), F.upper(F.get("c", F.lit(2))).alias("ref"), F.upper(F.get("c", F.lit(3))).alias("alt"), clean(4).alias("rsid"), clean(5).alias("genotype"))
+    out = r.select(*_beside(lines), contig_bare(F.get("c", F.lit(0))).alias("contig"), F.get("c", F.lit(1)).cast("long").alias("pos"), F.upper(F.get("c", F.lit(2))).alias("ref"), F.upper(F.get("c", F.lit(3))).alias("alt"), clean(4).alias("rsid"), clean(5).alias("genotype"))
     return out.where(F.col("ref").isin(*BASES) & F.col("alt").isin(*BASES))
 
 
@@ -195,8 +200,3 @@ def deepest_marker(rows: DataFrame) -> DataFrame:
     """For each marker the row of most depth, the first by value on ties."""
     w = Window.partitionBy("marker").orderBy(F.desc("depth"), "value")
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
-
-
-def entity_text(x: Column) -> Column:
-    """Cell text with the common HTML entities read."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(x, "&gt;", ">"), "&darr;", "↓"), "&amp;", "&"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from helixframe import registry
 from helixframe.operators import batched
 from helixframe.operators.kernels import align_global, pair_hmm
-from helixframe.sources import feed, preflight
+from helixframe.sources import feed, ingest, preflight
 from helixframe.streaming import events
 
 SF = "/root/testdata/sf0.001"
@@ -199,3 +199,41 @@ def test_sketches_merge_like_the_whole(spark):
     assert abs(got.id_distinct - len({i for _, _, i in rows})) < 4000 / 15
     few = preflight.merged(parts.where("part < 3"), [], ["x"], ["id"]).first()
     assert few.rows == sum(p < 3 for p, _, _ in rows)
+
+
+def test_files_are_ingested_once(spark, tmp_path):
+    import os
+
+    folder = tmp_path / "in" / "a"
+    folder.mkdir(parents=True)
+    chip = "# 23andMe\nrs1234567\t1\t100\tAG\nrs2345678\t2\t200\t--\nbroken line\n"
+    (folder / "one_23andme.txt").write_text(chip)
+    (folder / "two_23andme.txt").write_text(chip)
+    (folder / "none_23andme.txt").write_text("# 23andMe rs1234567 chip\nrs1\tx\ty\tAG\nrs2345678\tx\ty\tAG\nrs3345678\tx\ty\tAG\n")
+    (folder / "notes.md").write_text("hello\n")
+    store = ingest.Store(spark, str(tmp_path / "store"))
+    assert store.rows("chip_data") is None
+    name = lambda r: r.path.rsplit("/", 1)[1]
+    got = {name(r): (r.outcome, r.rows) for r in store.ingest(str(tmp_path / "in")).collect()}
+    assert got == {"one_23andme.txt": ("Imported", 2), "two_23andme.txt": ("Duplicate", 0), "none_23andme.txt": ("Empty", 0), "notes.md": ("Unrecognised", 0)}
+    # Bytes that change behind the same size and time aren't looked at: a second run reads nothing.
+    kept = os.stat(folder / "one_23andme.txt")
+    (folder / "one_23andme.txt").write_text(chip.replace("AG", "CT"))
+    os.utime(folder / "one_23andme.txt", ns=(kept.st_atime_ns, kept.st_mtime_ns))
+    assert store.ingest(str(tmp_path / "in")).count() == 0 and store.manifest().count() == 4
+    (folder / "three_23andme.txt").write_text(chip.replace("100", "150"))
+    (folder / "four_23andme.txt").write_text(chip)
+    assert {name(r): r.outcome for r in store.ingest(str(tmp_path / "in")).collect()} == {"three_23andme.txt": "Imported", "four_23andme.txt": "Duplicate"}
+    rows = store.rows("chip_data")
+    assert sorted((name(r), r.rsid, r.pos, r.genotype) for r in rows.collect()) == [("one_23andme.txt", "rs1234567", 100, "AG"), ("one_23andme.txt", "rs2345678", 200, "--"), ("three_23andme.txt", "rs1234567", 150, "AG"), ("three_23andme.txt", "rs2345678", 200, "--")]
+
+
+def test_a_run_lost_before_its_manifest_is_run_again(spark, tmp_path, monkeypatch):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x_23andme.txt").write_text("rs1234567\t1\t100\tAG\nrs1234568\t1\t101\tAG\nrs1234569\t1\t102\tAG\n")
+    store = ingest.Store(spark, str(tmp_path / "store"), {"chip_data": lambda lines: (_ for _ in ()).throw(OSError("gone"))})
+    with pytest.raises(OSError):
+        store.ingest(str(tmp_path / "in"))
+    again = ingest.Store(spark, str(tmp_path / "store"))
+    assert again.manifest().count() == 0
+    assert [r.rows for r in again.ingest(str(tmp_path / "in")).collect()] == [3] and again.rows("chip_data").count() == 3
