@@ -237,3 +237,37 @@ def test_a_run_lost_before_its_manifest_is_run_again(spark, tmp_path, monkeypatc
     again = ingest.Store(spark, str(tmp_path / "store"))
     assert again.manifest().count() == 0
     assert [r.rows for r in again.ingest(str(tmp_path / "in")).collect()] == [3] and again.rows("chip_data").count() == 3
+
+
+def test_components_on_a_basis_equal_a_plain_fit(spark):
+    from helixframe.operators import components
+
+    r = np.random.default_rng(8)
+    n, m, k = 24, 60, 3
+    group = np.arange(n) % 3
+    freq = r.uniform(0.1, 0.9, (3, m))
+    dosage = r.binomial(2, freq[group])
+    dosage[r.random((n, m)) < 0.1] = -1
+    dosage[:, 7] = -1
+    basis = np.arange(n) % 4 > 0
+    called = dosage >= 0
+    mean = np.array([dosage[basis & called[:, j], j].mean() if (basis & called[:, j]).any() else 0.0 for j in range(m)])
+    x = np.where(called, dosage - mean, 0.0)
+    u, s, vt = np.linalg.svd(x[basis], full_matrices=False)
+    v = vt[:k].T
+    v *= np.where(np.take_along_axis(v, np.abs(v).argmax(0)[None], 0)[0] < 0, -1, 1)
+    sites = int(called.any(0).sum())
+    want = x @ v
+    want[~basis] *= (sites / called[~basis].sum(1))[:, None]
+    rows = [(j, i, int(dosage[i, j])) for i in range(n) for j in range(m)] + [(3, n, -1), (4, n, None)]
+    df = spark.createDataFrame(rows, "site long, sample long, dosage int").repartition(4)
+    f = components.fit(df, spark.createDataFrame([(int(i),) for i in np.flatnonzero(basis)], "sample long"), k)
+    assert np.allclose(f.values, s[:k] ** 2, rtol=1e-7)
+    got = {x.sample: (x.basis, x.pc1, x.pc2, x.pc3) for x in f.coordinates.collect()}
+    assert sorted(got) == list(range(n))
+    assert np.allclose([got[i][1:] for i in range(n)], want, atol=1e-3) and [got[i][0] for i in range(n)] == basis.tolist()
+    load = {x.site: (x.mean, x.v1, x.v2, x.v3) for x in f.sites.collect()}
+    assert np.allclose([load[j] for j in sorted(load)], np.column_stack((mean, v))[called.any(0)], atol=1e-4)
+    c = {x.group: (x.n, x.mean1, x.var2) for x in components.centroids(f.coordinates, spark.createDataFrame([(int(i), int(group[i])) for i in range(n)], "sample long, group int"), k).collect()}
+    for g in range(3):
+        assert c[g][0] == (group == g).sum() and c[g][1] == pytest.approx(want[group == g, 0].mean(), abs=1e-3) and c[g][2] == pytest.approx(want[group == g, 1].var(ddof=1), abs=1e-2)
