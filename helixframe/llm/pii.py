@@ -54,7 +54,7 @@ def _let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def running_totals(x: Column, levels: int = 3, block: int = 64) -> Column:
+def running_totals(x: Column, levels: int = 5, block: int = 16) -> Column:
     """Sum of each element of an array of integers and all before it, in time that grows as its length.
 
     Sums of blocks first, their own running totals, then each block's beginning: no growing array is copied.
@@ -211,12 +211,18 @@ def term_spans(df: DataFrame, flagged: DataFrame, text: str, key: str) -> DataFr
     size = flagged.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
     terms = F.broadcast(flagged) if size <= BROADCAST_BYTES else flagged
     df = df.withColumn("_h", F.xxhash64(text))
-    # Every word with its place meets the flagged terms: one pass, however many terms a text holds.
-    each = df.select(F.col(key).alias("_key"), F.col("_h").alias("_hash"), F.explode(located(_lower(F.coalesce(F.col(text), F.lit(""))), WORD)).alias("x"))
+    said = F.coalesce(F.col(text), F.lit(""))
+    some = df.select(F.col(key).alias("_key"), F.col("_h").alias("_hash"), F.explode(F.array_distinct(words(said))).alias("term"))
+    holders = materialize(some.join(terms, "term", "left_semi").select("_key", "_hash").distinct(), "pii-holders")
+    few = holders.count() * 24 <= BROADCAST_BYTES
+    holds = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash"))
+    own = df.join(F.broadcast(holders) if few else holders, holds, "left_semi")
+    # There every word with its place meets the flagged terms: one pass, however many terms a text holds.
+    each = own.select(F.col(key).alias("_key"), F.col("_h").alias("_hash"), F.explode(located(_lower(said), WORD)).alias("x"))
     each = each.select("_key", "_hash", F.col("x.v").alias("term"), F.col("x.s").alias("s"), F.col("x.e").alias("e")).join(terms, "term")
     held = each.groupBy("_key", "_hash").agg(F.sort_array(F.collect_set(F.struct("s", "e", F.col("disclosure").alias("d")))).alias("_term"))
     held = materialize(held, "pii-held")
-    out = df.join(held, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_h") == F.col("_hash")), "left").drop("_key", "_hash", "_h")
+    out = df.join(held, holds, "left").drop("_key", "_hash", "_h")
     return out.withColumn("_term", F.coalesce("_term", F.array().cast("array<struct<s:int,e:int,d:double>>")))
 
 
