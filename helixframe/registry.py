@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from helixframe.plans import catalog, cohort, coverage, exports, inference, io, matching, placement, reports, rules, structure, upkeep, variants  # noqa: F401  importing a module registers its queries
+from helixframe.plans import catalog, cohort, coverage, exports, inference, io, matching, placement, reports, rules, sources, structure, upkeep, variants  # noqa: F401  importing a module registers its queries
 
 
 def queries() -> dict:

@@ -6,7 +6,7 @@ from helixframe import registry
 from tests.compare import database, differences
 
 SF = "/root/testdata/sf0.01"
-NAMES = ("near_profiles", "marker_clusters", "breakpoint_calls", "region_reads", "nested_rollup", "shared_lineage_depth", "hom_ref_fill", "pairwise_distance", "nearest_members", "cluster_components", "fuzzy_kit_match", "force_call_sites", "tree_score", "multiallelic_genotypes", "str_diploid_call")
+NAMES = ("near_profiles", "marker_clusters", "breakpoint_calls", "region_reads", "nested_rollup", "shared_lineage_depth", "hom_ref_fill", "pairwise_distance", "nearest_members", "cluster_components", "fuzzy_kit_match", "force_call_sites", "identity_checks", "callset_outcomes", "tree_score", "multiallelic_genotypes", "str_diploid_call")
 
 
 @pytest.fixture(scope="module")
