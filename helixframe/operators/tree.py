@@ -60,29 +60,26 @@ def induced_subtree(closed: DataFrame, terminals: DataFrame) -> DataFrame:
 
 
 def placement_scores(closed: DataFrame, defining: DataFrame, calls: DataFrame) -> DataFrame:
-    """Score of each sample at each node it touches: the mean of recall and precision of the path's positions.
+    """Scores of each sample's candidates: the mean of recall and precision of the path's positions.
 
     ``defining``: node, pos; ``calls``: sample, pos of derived calls. A path's positions are those of all its nodes.
+    Only nodes where a call meets a position that no node above has are candidates: below one, until the next, a path
+    matches the same calls and expects no fewer positions. Of nodes with equal paths the smallest stands for all.
+    So no node that could be ``best_nodes``' first is left out, for paths of up to 20,000 positions (scores are compared
+    in billionths), and samples don't meet all nodes below those that they touch.
     """
-    on_path = closed.join(defining.select(F.col("node").alias("ancestor"), "pos"), "ancestor").select("node", "pos").distinct()
-    expected = on_path.groupBy("node").agg(F.count("*").alias("expected"))
+    at = defining.select(F.col("node").alias("ancestor"), "pos")
+    on_path = closed.join(at, "ancestor").groupBy("node", "pos").agg(F.max("steps").alias("steps"))
+    sets = on_path.groupBy("node").agg(F.sort_array(F.collect_set("pos")).alias("_set"), F.array_sort(F.collect_set(F.when(F.col("steps") == 0, F.col("pos")))).alias("_new"))
+    # Equal paths differ in where their positions come from; a candidate is one whichever of its nodes brings the call.
+    path = sets.groupBy("_set").agg(F.min("node").alias("node"), F.array_distinct(F.flatten(F.collect_set("_new"))).alias("_new"))
     mine = calls.select("sample", "pos").distinct()
     relevant = mine.join(defining.select("pos").distinct(), "pos", "left_semi")
-    found = relevant.groupBy("sample").agg(F.count("*").alias("found"))
-    m = relevant.join(on_path, "pos").groupBy("sample", "node").agg(F.count("*").alias("matched"))
-    s = m.join(expected, "node").join(found, "sample")
-    return s.withColumn("score", (F.col("matched") / F.col("expected") + F.col("matched") / F.col("found")) / 2)
-
-
-def first_of_equal_paths(closed: DataFrame, defining: DataFrame) -> DataFrame:
-    """The rows of ``closed`` of each node that is the smallest with its path's positions.
-
-    Nodes with equal positions score alike for every sample, and ties go to the smaller node: the others never win.
-    """
-    on_path = closed.join(defining.select(F.col("node").alias("ancestor"), "pos"), "ancestor")
-    own = on_path.groupBy("node").agg(F.sort_array(F.collect_set("pos")).alias("_set"))
-    first = own.groupBy("_set").agg(F.min("node").alias("node")).select("node")
-    return closed.join(first, "node", "left_semi")
+    found = relevant.groupBy("sample").agg(F.collect_set("pos").alias("_calls"))
+    touched = relevant.join(path.select("node", F.explode("_new").alias("pos")), "pos").select("sample", "node").distinct()
+    s = touched.join(path.select("node", "_set"), "node").join(found, "sample")
+    s = s.withColumn("matched", F.size(F.array_intersect("_set", "_calls")).cast("long")).withColumn("expected", F.size("_set")).withColumn("found", F.size("_calls"))
+    return s.select("sample", "node", "matched", "expected", "found", ((F.col("matched") / F.col("expected") + F.col("matched") / F.col("found")) / 2).alias("score"))
 
 
 def best_nodes(scores: DataFrame, n: int = 1) -> DataFrame:
