@@ -90,8 +90,12 @@ def gvcf_derived_snvs(t: Tables) -> DataFrame:
 def chain_lift(t: Tables) -> DataFrame:
     p = F.col("p_partkey")
     pts = t.part.select(F.concat((p % 5).cast("string"), F.when(p % 2 == 0, "p").otherwise("m")).alias("contig"), p.alias("pos"), F.lit("A").alias("ref"), F.lit("G").alias("alt"))
-    rows = [(f"{k}{s}", 0, 1_000_000, f"t{k}", 1_000_000 if s == "p" else 2_000_000, "+" if s == "p" else "-") for k in range(5) for s in "pm"]
-    return variants.lift(pts, t.spark.createDataFrame(rows, "contig string, start long, end long, t_contig string, t_start long, strand string"))
+    # Blocks reach as far as the positions do: one row of the greatest.
+    names = [(f"{k}{s}", f"t{k}", "+" if s == "p" else "-") for k in range(5) for s in "pm"]
+    last = t.part.agg(F.coalesce(F.max(p), F.lit(0)).alias("end"))
+    blocks = t.spark.createDataFrame(names, "contig string, t_contig string, strand string").crossJoin(F.broadcast(last))
+    t_start = F.when(F.col("strand") == "+", 1_000_000).otherwise(3_000_000 - F.col("end"))
+    return variants.lift(pts, blocks.select("contig", F.lit(0).cast("long").alias("start"), "end", "t_contig", t_start.alias("t_start"), "strand"))
 
 
 @query("SELECT 'rs' || p_partkey AS rsid, CAST(p_partkey % 22 + 1 AS VARCHAR) AS contig, p_partkey * 100 AS pos, CASE p_partkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'C' ELSE 'G' END AS a1, 'T' AS a2 FROM part WHERE p_partkey % 4 <> 3")

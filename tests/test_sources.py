@@ -175,3 +175,11 @@ def test_outbox_rounds(spark):
     outcome = F.when(F.col("id") == 1, "ok").when(F.col("id") == 3, "permanent").otherwise("transient")
     got = {r.id: (r.status, r.attempts, r.due) for r in events.outbox_round(rows, outcome, 10, "id").collect()}
     assert got == {1: ("SENT", 1, 0), 2: ("PENDING", 1, 50), 3: ("FAILED", 1, 0), 4: ("SENT", 1, 0), 5: ("PENDING", 3, 490)}
+
+
+def test_chains_reach_as_far_as_the_parts(spark):
+    from helixframe.plans import io
+
+    t = type("T", (), {"spark": spark, "part": spark.createDataFrame([(4,), (7,), (1_500_000,), (1_500_001,)], "p_partkey long")})()
+    got = sorted((r.contig, r.pos, r.ref, r.alt) for r in io.chain_lift(t).collect())
+    assert got == [("t0", 2_500_000, "A", "G"), ("t1", 1_499_999, "T", "C"), ("t2", 2_999_993, "T", "C"), ("t4", 1_000_004, "A", "G")]
