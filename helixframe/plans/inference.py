@@ -146,7 +146,7 @@ def normal_percentile_side(t: Tables) -> DataFrame:
     s = t.customer.groupBy("c_nationkey").agg(F.avg("c_acctbal").alias("m"), F.stddev_pop("c_acctbal").alias("sd"))
     p = an.normal_percentile(F.col("c_acctbal"), F.col("m"), F.col("sd"), F.lit(500))
     j = t.customer.join(s, "c_nationkey").withColumn("p", p)
-    return j.select("c_custkey", F.when(F.col("p") > 50.0001, "above").when(F.col("p") < 49.9999, "below").when(F.col("p").isNotNull(), "mean").alias("side"))
+    return j.select("c_custkey", F.when(F.col("p") > 50, "above").when(F.col("p") < 50, "below").when(F.col("p").isNotNull(), "mean").alias("side"))
 
 
 @query(
