@@ -42,34 +42,39 @@ def segment_calls(segments: DataFrame, bin_size: int) -> DataFrame:
 def merge_evidence(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFrame:
     """Each call of ``a`` (id, contig, kind, start, end) with the first overlapping call of ``b`` not taken by an earlier one.
 
-    Overlaps come from a binned join; the greedy choice runs over the few overlaps of one stretch of calls that touch.
+    Calls that touch are one stretch, found by scans over blocks of positions; a choice in one stretch can't change
+    another. Within a stretch both sides run once, in the order of their starts: a call of ``b`` that is taken, or ends
+    before the present call of ``a`` begins, is never met again, so what is left of ``b`` always begins at one place.
+    No pair is listed: the work is in proportion to the calls, however many of them overlap.
     """
-    from helixframe.operators.intervals import overlapping_pairs
     from helixframe.operators.kernels import grouped
+    from helixframe.operators.scan import islands
 
-    pairs = overlapping_pairs(a, b, ["contig", "kind"], "start", "end", width)
-    # Calls of both kinds that touch are one stretch; a choice in one stretch can't change another.
-    w = Window.partitionBy("contig", "kind").orderBy("start", "end")
-    both = a.select("contig", "kind", "start", "end").union(b.select("contig", "kind", "start", "end"))
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    heads = both.withColumn("_r", reach).where(F.col("_r").isNull() | (F.col("start") > F.col("_r"))).select("contig", "kind", F.col("start").alias("stretch")).distinct()
-    marks = heads.select("contig", "kind", F.col("stretch").alias("at"), "stretch", F.lit(None).cast(pairs.select(F.struct("*")).schema[0].dataType).alias("p"))
-    rows = pairs.select("contig", "kind", F.col("a_start").alias("at"), F.lit(None).cast("long").alias("stretch"), F.struct("*").alias("p")).unionByName(marks.withColumn("stretch", F.col("stretch").cast("long")))
-    at = Window.partitionBy("contig", "kind").orderBy("at", F.col("p").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    pairs = rows.withColumn("stretch", F.last("stretch", ignorenulls=True).over(at)).where("p is not null").select("contig", "kind", "stretch", "p.a_id", "p.b_id", "p.a_start", "p.b_start")
+    import pandas as pd
 
-    def kernel(g):
-        used, out = set(), []
-        for r in g.sort_values(["a_start", "a_id", "b_start", "b_id"], kind="stable").itertuples():
-            if ("a", r.a_id) not in used and ("b", r.b_id) not in used:
-                used |= {("a", r.a_id), ("b", r.b_id)}
-                out.append((r.a_id, r.b_id))
-        import pandas as pd
-
-        return pd.DataFrame({"a_id": [x for x, _ in out], "b_id": [y for _, y in out]})
+    ids = [dict(x.dtypes)["id"] for x in (a, b)]
+    none = F.lit(None)
+    x = a.select("contig", "kind", "start", "end", F.col("id").alias("a_id"), none.cast(ids[1]).alias("b_id"), F.lit(True).alias("_a"))
+    y = b.select("contig", "kind", "start", "end", none.cast(ids[0]).alias("a_id"), F.col("id").alias("b_id"), F.lit(False).alias("_a"))
+    rows = islands(x.unionByName(y).where("start <= end"), ["contig", "kind"], "start", "end", 0, width)
 
-    kinds = (dict(x.dtypes)["id"] for x in (a, b))
-    return grouped(pairs, ["contig", "kind", "stretch"], kernel, "a_id {}, b_id {}".format(*kinds))
+    def kernel(g):
+        mine, other = (g[g["_a"] == side].sort_values(["start", name], kind="stable") for side, name in ((True, "a_id"), (False, "b_id")))
+        starts, ends, names = other["start"].tolist(), other["end"].tolist(), other["b_id"].tolist()
+        done, used, out, at = set(), set(), [], 0
+        for start, end, i in zip(mine["start"].tolist(), mine["end"].tolist(), mine["a_id"].tolist(), strict=True):
+            if i in done:
+                continue
+            while at < len(starts) and (ends[at] < start or names[at] in used):
+                at += 1
+            if at < len(starts) and starts[at] <= end:
+                done.add(i)
+                used.add(names[at])
+                out.append((i, names[at]))
+                at += 1
+        return pd.DataFrame({"a_id": pd.Series([i for i, _ in out], dtype=object), "b_id": pd.Series([j for _, j in out], dtype=object)})
+
+    return grouped(rows.select("contig", "kind", "_isle", "start", "end", "a_id", "b_id", "_a"), ["contig", "kind", "_isle"], kernel, "a_id {}, b_id {}".format(*ids))
 
 
 def stutter_loglik(observed: Column, allele: Column, no_stutter: float = NO_STUTTER, decay: float = DECAY) -> Column:

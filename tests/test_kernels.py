@@ -355,3 +355,51 @@ def test_switch_matrix_stays_with_the_distance():
     got = kernels.switch_matrix(np.array([0.0, 3.0]), 0.5, 3)
     assert np.allclose(got[0], np.eye(3)) and np.allclose(got.sum(2), 1)
     assert got[1][0][0] == pytest.approx(np.exp(-1.5)) and got[1][0][1] == pytest.approx((1 - np.exp(-1.5)) / 2)
+
+
+def test_a_side_is_right_beside_the_mean(spark):
+    values = [-1e-9, 0.0, 1e-9, 0.003]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    p = [r[0] for r in rows.select(ancestry.normal_percentile(F.col("v"), F.lit(0.0), F.lit(3000.0), F.lit(500))).collect()]
+    assert p[0] < 50 and p[1] == 50 and p[2] > 50 and p[3] > 50
+    t = type("T", (), {"customer": spark.createDataFrame([(1, 0, 0.0), (2, 0, 6000.0), (3, 0, 3000.001), (4, 0, 2999.999)], "c_custkey long, c_nationkey int, c_acctbal double")})()
+    from helixframe.plans import inference
+
+    side = {r.c_custkey: r.side for r in inference.normal_percentile_side(t).collect()}
+    assert side == {1: "below", 2: "above", 3: "above", 4: "below"}
+
+
+def test_a_panel_is_not_gathered(spark):
+    sites = spark.range(40).select(F.lit("1").alias("contig"), (F.col("id") * 100).alias("pos"), F.col("id").cast("double").alias("cm"), F.array(*(F.lit(0), F.lit(1)) * 3).alias("alleles"), F.array(*(F.lit("A"), F.lit("B")) * 3).alias("labels"))
+    d = spark.range(40).select(F.lit("s").alias("sample"), F.lit("1").alias("contig"), (F.col("id") * 100).alias("pos"), F.lit(1).alias("dosage"))
+    phased = kernels.phase_samples(d, sites, 4, 2)
+    assert not hasattr(kernels, "sent_panel")
+    assert {r.side0 + r.side1 for r in phased.collect()} == {1}
+
+
+def test_copying_over_blocks_equals_one_block(monkeypatch):
+    rng = np.random.default_rng(31)
+    panel, labels = rng.integers(0, 2, (8, 53)).astype(np.int8), np.array(list("ABABABCC"))
+    hap, cm = rng.integers(0, 2, 53), np.cumsum(rng.uniform(0, 3, 53))
+    whole = kernels.copying_posteriors(hap, panel, labels, cm)
+    monkeypatch.setattr(kernels, "BLOCK_SITES", 7)
+    assert np.array_equal(kernels.copying_posteriors(hap, panel, labels, cm), whole)
+    like = np.where(panel == hap, 0.99, 0.01).T
+    stay, f, b = np.exp(-0.05 * np.diff(cm)), [like[0] / like[0].sum()], [np.ones(8)]
+    for i in range(1, 53):
+        x = (stay[i - 1] * f[-1] + (1 - stay[i - 1]) / 8) * like[i]
+        f.append(x / x.sum())
+    for i in range(51, -1, -1):
+        x = like[i + 1] * b[-1]
+        b.append(stay[i] * x + (1 - stay[i]) * x.mean())
+        b[-1] = b[-1] / b[-1].max()
+    p = np.array(f) * np.array(b[::-1])
+    want = np.stack([p[:, labels == k].sum(1) * (labels == k).sum() ** -0.25 for k in "ABC"], 1)
+    assert np.allclose(whole, want / want.sum(1, keepdims=True))
+
+
+def test_greedy_overlaps_of_many_list_no_pairs(spark):
+    n = 3000
+    a = spark.range(n).select("id", F.lit("x").alias("contig"), F.lit("DEL").alias("kind"), F.lit(5).cast("long").alias("start"), F.lit(9).cast("long").alias("end"))
+    got = structural.merge_evidence(a, a, 64)
+    assert sorted((r.a_id, r.b_id) for r in got.collect()) == [(k, k) for k in range(n)]
