@@ -55,11 +55,34 @@ def read_region(table: DataFrame, contig: str, start: str, end: str, where: tupl
     return table.where((F.col(contig) == name) & may & overlaps(F.col(start), F.col(end), F.lit(lo), F.lit(hi)))
 
 
+#: Bits of the windows that rows and regions meet in, by a row's length, smallest first.
+WINDOWS = (13, 16, 18, 20, 22, 25, 28, 32, 38, 46, 62)
+
+
+def _touched(start: Column, end: Column, bits: int) -> Column:
+    """The windows of one size that an interval touches, as (bits, at)."""
+    a, b = F.least(start, end), F.greatest(start, end)
+    return F.transform(F.sequence(F.shiftright(a, bits), F.shiftright(b, bits)), lambda at: F.struct(F.lit(bits).alias("bits"), at.alias("at")))
+
+
 def rows_in_regions(rows: DataFrame, regions: DataFrame, contig: str, start: str, end: str) -> DataFrame:
-    """Every row with every region that it overlaps, each pair once. ``regions``: contig, region, lo, hi."""
-    x = rows.withColumn("_bin", bin_of(F.col(start), F.col(end)).cast("long")).alias("x")
-    y = regions.withColumn("_bin", F.explode(bins_over(F.col("lo"), F.col("hi")))).alias("y")
-    on = [F.col(f"x.{contig}") == F.col("y.contig"), F.col("x._bin") == F.col("y._bin"), overlaps(F.col(f"x.{start}"), F.col(f"x.{end}"), F.col("y.lo"), F.col("y.hi"))]
+    """Every row with every region that it overlaps, each pair once. ``regions``: contig, region, lo, hi.
+
+    A row lies in windows about as long as itself, two at most; a region in all that it touches, of every size. They meet
+    in the window of the later beginning alone, wherever on a contig that is.
+    """
+    s, e, lo, hi = (F.col(c).cast("long") for c in (start, end, "lo", "hi"))
+    size = F.abs(e - s)
+    own = F.when(size < 1 << WINDOWS[0], _touched(s, e, WINDOWS[0]))
+    for bits in WINDOWS[1:-1]:
+        own = own.when(size < 1 << bits, _touched(s, e, bits))
+    own = own.otherwise(_touched(s, e, WINDOWS[-1]))
+    met = lambda d, windows: d.withColumn("_w", F.explode(windows)).select("*", F.col("_w.bits").alias("_bits"), F.col("_w.at").alias("_at")).drop("_w")
+    x = met(rows, own).alias("x")
+    y = met(regions, F.concat(*(_touched(lo, hi, bits) for bits in WINDOWS))).alias("y")
+    a, b = F.col(f"x.{start}"), F.col(f"x.{end}")
+    late = F.expr(f"shiftright(greatest(cast(x.`{start}` as bigint), cast(y.lo as bigint)), x._bits) = x._at")
+    on = [F.col(f"x.{contig}") == F.col("y.contig"), F.col("x._bits") == F.col("y._bits"), F.col("x._at") == F.col("y._at"), overlaps(a, b, F.col("y.lo"), F.col("y.hi")), late]
     return x.join(y, on).select(*(F.col(f"x.{c}") for c in rows.columns), "y.region", "y.lo", "y.hi")
 
 

@@ -225,3 +225,13 @@ def test_canonical_json_equals_sorted_json(spark):
     assert digests.table_digest(df.repartition(5)).collect() == digests.table_digest(turned.coalesce(1)).collect()
     assert digests.table_digest(df.union(df.limit(1))).first().digest != digests.table_digest(df).first().digest
     assert digests.table_digest(df.limit(0)).first().rows == 0
+
+
+def test_regions_far_along_meet_few_rows(spark):
+    far = 1 << 32
+    df = spark.range(4000).select(F.col("id"), F.lit("X").alias("contig"), (F.col("id") * 20_000 + far).alias("s"), (F.col("id") * 20_000 + far + 500).alias("e"))
+    reg = spark.range(4000).select(F.lit("X").alias("contig"), F.col("id").alias("region"), (F.col("id") * 20_000 + far + 500).alias("lo"), (F.col("id") * 20_000 + far + 600).alias("hi"))
+    assert sorted((r.region, r.id) for r in regions.rows_in_regions(df, reg, "contig", "s", "e").collect()) == [(k, k) for k in range(4000)]
+    # Rows that meet a region: those of two windows, not all that lie far along.
+    plan = regions.rows_in_regions(df, reg, "contig", "s", "e")
+    assert "_bin" not in plan._jdf.queryExecution().optimizedPlan().toString()
