@@ -115,3 +115,25 @@ def test_shared_segments_of_pairs(spark):
     out = {(x.a, x.b): x for x in panels.compare_sources(pairs, found).collect()}
     assert out[0, 1].segments == 1 and out[0, 1].total_cm == out[0, 1].longest_cm >= 17
     assert (out[2, 3].segments, out[2, 3].total_cm, out[2, 3].relationship) == (0, 0.0, "Unknown")
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_all_pairs_in_blocks_equal_a_join(spark, monkeypatch, block):
+    import random
+
+    from helixframe.operators import match, tree
+
+    r = random.Random(block)
+    rows = [(f"s{s}", m, r.choice([None, 1, 2, 3])) for s in range(40) for m in r.sample(range(12), r.randint(1, 9)) for _ in range(r.choice([1, 1, 2]))]
+    p = spark.createDataFrame([*rows, (None, 1, 1), ("s1", None, 1)], "s string, m long, v int")
+    real = match.block_pairs
+    monkeypatch.setattr(match, "block_pairs", lambda *a, **k: real(*a, **k, block=block))
+    x, y = (p.select(F.col("s").alias(i), "m", F.col("v").alias("v" + i)) for i in "ab")
+    want = x.join(y, "m").where("a < b").groupBy("a", "b").agg(F.count("*").alias("compared"), F.count_if(F.col("va") != F.col("vb")).alias("differing"))
+    rows_of = lambda d: sorted(tuple(z) for z in d.collect())
+    got = match.pair_distances(p, "s", "m", "v")
+    assert rows_of(got) == rows_of(want) and got.columns == want.columns
+    assert rows_of(match.nearest_of_all(p, "s", "m", "v", 3)) == rows_of(match.nearest(want, 3))
+    for most in (1, 3, 10):
+        links = want.where(f"differing * 10 <= compared * {most}").select("a", "b")
+        assert rows_of(tree.connected_components(match.linked_pairs(p, "s", "m", "v", most))) == rows_of(tree.connected_components(links))
