@@ -45,16 +45,19 @@ def ranked_matches(queries: DataFrame, profiles: DataFrame, snps: DataFrame, mar
     ``profiles``: subject, name, lineage; ``snps``: subject, snp; ``markers``: subject, marker, value. Only subjects
     that share a SNP or a marker meet; the first ``most`` are the report. Years follow from private SNPs and markers.
     """
-    from helixframe.operators.match import snp_tmrca, str_tmrca
+    from helixframe.operators.match import block_pairs, query_pairs, snp_tmrca, str_tmrca
     from helixframe.operators.tree import common_prefix
 
     q = queries.select(F.col("subject").alias("query")).distinct()
     size = snps.groupBy("subject").agg(F.count_distinct("snp").alias("n"))
-    mine = q.join(snps.select(F.col("subject").alias("query"), "snp").distinct(), "query")
-    shared = mine.join(snps.distinct(), "snp").where("query <> subject").groupBy("query", "subject").agg(F.count("*").alias("shared"))
-    own = q.join(markers.select(F.col("subject").alias("query"), F.upper("marker").alias("m"), F.col("value").alias("v")), "query")
-    str_ = own.join(markers.select("subject", F.upper("marker").alias("m"), F.col("value").alias("w")), "m").where("query <> subject")
-    str_ = str_.groupBy("query", "subject").agg(F.count("*").alias("compared"), F.count_if(F.col("v") != F.col("w")).alias("distance"))
+    # What a query shares with each subject is a product of matrices of two blocks: no row for a SNP or marker of a pair.
+    asked = q.withColumn("_q", F.lit(True))
+    mark = lambda d: d.join(asked, d.subject == F.col("query"), "left").select("subject", *(c for c in d.columns if c != "subject"), "_q")
+    one = mark(snps.select("subject", "snp").distinct())
+    shared = block_pairs(one.withColumn("_v", F.lit(1)), "subject", "snp", "_v", query_pairs, "query SUBJECT, subject SUBJECT, compared long, differing long", "_q")
+    shared = shared.select("query", "subject", F.col("compared").alias("shared"))
+    own = mark(markers.select("subject", F.upper("marker").alias("m"), "value"))
+    str_ = block_pairs(own, "subject", "m", "value", query_pairs, "query SUBJECT, subject SUBJECT, compared long, differing long", "_q").withColumnRenamed("differing", "distance")
     # Two subjects with SNPs are comparable even if none is shared.
     with_snp = size.select("subject", F.col("n").alias("theirs"))
     both = shared.join(str_, ["query", "subject"], "full_outer").join(with_snp, "subject", "left").join(size.select(F.col("subject").alias("query"), F.col("n").alias("mine")), "query", "left")

@@ -137,3 +137,28 @@ def test_all_pairs_in_blocks_equal_a_join(spark, monkeypatch, block):
     for most in (1, 3, 10):
         links = want.where(f"differing * 10 <= compared * {most}").select("a", "b")
         assert rows_of(tree.connected_components(match.linked_pairs(p, "s", "m", "v", most))) == rows_of(tree.connected_components(links))
+
+
+@pytest.mark.parametrize("block", [6, 1000])
+def test_queries_against_all_equal_a_join(spark, block):
+    from helixframe.operators import match
+
+    r = random.Random(block)
+    rows = [(s, f"m{m}", r.choice([None, 1, 2])) for s in range(50) for m in r.sample(range(10), r.randint(1, 5))]
+    p = spark.createDataFrame(rows, "s long, m string, v int")
+    asked = p.withColumn("q", F.when(F.col("s") % 7 == 1, True))
+    got = match.block_pairs(asked, "s", "m", "v", match.query_pairs, "query SUBJECT, subject SUBJECT, compared long, differing long", "q", block=block)
+    x, y = p.where("s % 7 = 1").select(F.col("s").alias("query"), "m", F.col("v").alias("a")), p.select(F.col("s").alias("subject"), "m", F.col("v").alias("b"))
+    want = x.join(y, "m").where("query <> subject").groupBy("query", "subject").agg(F.count("*").alias("compared"), F.count_if(F.col("a") != F.col("b")).alias("differing"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+
+
+def test_targets_without_an_event_meet_no_reads(spark):
+    from helixframe.operators import denovo
+
+    targets = spark.range(200).select(F.lit("1").alias("contig"), F.col("id").alias("pos"), (F.col("id") + 1).alias("anchor"), F.lit("D").alias("kind"), F.lit(2).alias("length"), F.lit(None).cast("string").alias("bases"))
+    spans = spark.range(6).select(F.col("id").alias("read"), F.lit("1").alias("contig"), F.lit(1).cast("long").alias("start"), F.lit(199).cast("long").alias("end"))
+    events = spark.range(6).where("id < 4").select(F.col("id").alias("read"), F.lit("1").alias("contig"), F.lit(51).cast("long").alias("anchor"), F.lit("D").alias("kind"), F.lit(2).alias("length"), F.lit(None).cast("string").alias("bases"))
+    got = denovo.confirm_indels(targets, spans, events, 1)
+    assert [tuple(r) for r in got.collect()] == [("1", 50, 4, 2)]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
