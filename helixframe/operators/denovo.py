@@ -149,7 +149,11 @@ def confirm_indels(targets: DataFrame, spans: DataFrame, events: DataFrame, min_
     """
     from helixframe.operators.intervals import point_in_interval
 
-    near = point_in_interval(targets, spans, ["contig"], "pos", "start", "end", 512)
+    # A target needs one read with its own event, so the others can't be confirmed, whatever covers them.
+    signs = events.select(*(F.col(c).alias(f"_{c}") for c in ("contig", "anchor", "kind", "length", "bases"))).distinct()
+    own = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "bases" else F.col(c) == F.col(f"_{c}") for c in ("contig", "anchor", "kind", "length", "bases")]
+    targets = targets.join(signs, own, "left_semi")
+    near = point_in_interval(targets, spans, ["contig"], "pos", "start", "end", 64)
     at = events.groupBy("read", "contig", "anchor").agg(F.collect_list(F.struct("kind", "length", "bases")).alias("seen"))
     j = near.join(at, ["read", "contig", "anchor"], "left")
     hit = F.exists("seen", lambda s: (s["kind"] == F.col("kind")) & (s["length"] == F.col("length")) & s["bases"].eqNullSafe(F.col("bases")))

@@ -101,8 +101,10 @@ g AS (SELECT contig, pos, count(*) FILTER (hit) AS matched, count(*) FILTER (NOT
 def indel_confirm(t: Tables) -> DataFrame:
     ev = dn.indel_events(_reads(t).withColumn("contig", F.concat(F.lit("k"), (F.expr("read div 10000000000") % 500).cast("string"))))
     spans = ev.select("read", "contig", F.col("pos").alias("start"), (F.col("anchor") + F.when(F.col("kind") == "D", F.col("length")).otherwise(0) + 5).alias("end"))
-    p = F.col("p_partkey")
-    targets = t.part.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(499)), lambda c: F.concat(F.lit("k"), c.cast("string")))).alias("contig"), p.alias("pos"), (p + 1).alias("anchor"), F.lit("D").alias("kind"), (1 + F.col("p_size") % 3).alias("length"), F.lit(None).cast("string").alias("bases"))
+    # A part is a target on each of 500 contigs; those with an event at their anchor alone can be confirmed, so sites meet
+    # parts before contigs are named: not every part is written out 500 times.
+    p, sites = F.col("p_partkey"), ev.where("kind = 'D'").select("contig", F.col("anchor").alias("anchor")).distinct()
+    targets = sites.join(t.part, p + 1 == F.col("anchor")).select("contig", p.alias("pos"), "anchor", F.lit("D").alias("kind"), (1 + F.col("p_size") % 3).alias("length"), F.lit(None).cast("string").alias("bases"))
     return dn.confirm_indels(targets, spans, ev.select("read", "contig", "anchor", "kind", "length", "bases"), 1)
 
 
