@@ -162,3 +162,12 @@ def test_targets_without_an_event_meet_no_reads(spark):
     got = denovo.confirm_indels(targets, spans, events, 1)
     assert [tuple(r) for r in got.collect()] == [("1", 50, 4, 2)]
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_one_nation_is_not_one_task(spark):
+    from helixframe.plans import structure
+
+    t = type("T", (), {"customer": spark.range(200).select(F.col("id").alias("c_custkey"), (F.col("id") % 1 + 3).alias("c_nationkey"), F.lit("A").alias("c_mktsegment"), F.col("id").cast("double").alias("c_acctbal"))})()
+    got = structure.fuzzy_kit_match(t)
+    assert got.count() == got.select("a", "b").distinct().count() == 199 * 100
+    assert got.select(F.spark_partition_id()).distinct().count() > 8
