@@ -6,16 +6,20 @@ Tallies are rows ``contig, pos, base, n``; the reference is rows ``contig, pos,
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.operators.batched import align_batch, batches_of_cells, hmm_batch
+from helixframe.operators.batched import HMM_CELLS, align_batch, batches_of_cells, hmm_batch
 from helixframe.operators.calls import BASES, haploid_call, top_two
 from helixframe.operators.intervals import merge_intervals
 from helixframe.operators.kernels import grouped
 from helixframe.operators.pileup import cigar_ops
+from helixframe.session import ensure_importable
 
 #: Quality that a counted base stands for, and the reads that an alternate needs: fixed values.
 COUNT_QUALITY, MIN_ALT_READS = 30, 2
@@ -169,26 +173,41 @@ def active_windows(evidence: DataFrame, min_reads: int = 2, pad: int = 10) -> Da
     return merge_intervals(w, ["contig"], "start", "end", 1).select("contig", "start", "end")
 
 
-def realign(pieces: DataFrame) -> DataFrame:
-    """(read, contig, ref_pos, base, quality) of pieces of reads aligned anew to the reference of their window.
+def align_pieces(pieces: DataFrame, keep: list[str]) -> DataFrame:
+    """(``keep``, places, queries), one row a piece of a read that has aligned bases: their places on the reference,
+    ascending, and in the piece from 0.
 
-    ``pieces``: read, contig, start, ref (the window's bases), bases, quals (array). A batch of pieces is aligned at once,
-    along the diagonals of all their tables.
+    ``pieces``: contig, start, ref (the window's bases), bases and those of ``keep``. A batch of pieces is aligned at
+    once, along the diagonals of all their tables.
     """
 
-    def run(frames):
-        for f in frames:
-            for part in batches_of_cells(f["bases"].str.len().to_numpy(), f["ref"].str.len().to_numpy()):
-                g = f.iloc[part]
-                _, piece, query, target = align_batch(g["bases"].tolist(), g["ref"].tolist())
-                ends = np.cumsum([len(x) for x in g["quals"]])
-                place = (ends - [len(x) for x in g["quals"]])[piece] + query
-                bases = np.array(list("".join(g["bases"])), dtype=object)
-                quals = np.concatenate([np.asarray(x, np.int64) for x in g["quals"]] or [np.zeros(0, np.int64)])
-                out = {c: g[c].to_numpy()[piece] for c in ("read", "contig")}
-                yield pd.DataFrame({**out, "ref_pos": g["start"].to_numpy()[piece] + target, "base": bases[place], "quality": quals[place]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bases, refs = b.column("bases").to_pylist(), b.column("ref").to_pylist()
+            starts, kept = b.column("start").to_numpy(), b.select(keep)
+            for part in batches_of_cells(np.array([len(x) for x in bases], np.int64), np.array([len(x) for x in refs], np.int64)):
+                _, piece, query, target = align_batch([bases[k] for k in part], [refs[k] for k in part])
+                n = np.bincount(piece, minlength=len(part))
+                ends = pa.array(np.concatenate(([0], np.cumsum(n[n > 0]))), pa.int32())
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (starts[part][piece] + target, query.astype(np.int32)))
+                own = kept.take(pa.array(part[n > 0]))
+                yield pa.RecordBatch.from_arrays([*own.columns, *lists], names=[*keep, "places", "queries"])
 
-    return pieces.select("read", "contig", "start", "ref", "bases", "quals").mapInPandas(run, "read string, contig string, ref_pos long, base string, quality int")
+    ensure_importable(pieces.sparkSession)
+    kinds = dict(pieces.dtypes)
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "places array<long>", "queries array<int>"])
+    return pieces.select(*dict.fromkeys(["start", "ref", "bases", *keep])).withColumn("start", F.col("start").cast("long")).mapInArrow(run, schema)
+
+
+def realign(pieces: DataFrame) -> DataFrame:
+    """(read, contig, ref_pos, base, quality) of pieces of reads aligned anew to the reference of their window.
+
+    ``pieces``: read, contig, start, ref (the window's bases), bases, quals (array).
+    """
+    whole = align_pieces(pieces, ["read", "contig", "bases", "quals"])
+    each = whole.select("read", "contig", "bases", "quals", F.explode(F.arrays_zip("places", "queries")).alias("x"))
+    base, quality = F.substring("bases", F.col("x.queries") + 1, F.lit(1)), F.get("quals", F.col("x.queries"))
+    return each.select(F.col("read").cast("string").alias("read"), "contig", F.col("x.places").alias("ref_pos"), base.alias("base"), quality.cast("int").alias("quality"))
 
 
 def rescue(candidates: DataFrame, reads: DataFrame, min_odds: float = RESCUE_ODDS, min_fragments: int = RESCUE_FRAGMENTS, min_loglik: float = -30.0) -> DataFrame:
@@ -205,12 +224,13 @@ def rescue(candidates: DataFrame, reads: DataFrame, min_odds: float = RESCUE_ODD
     def run(frames):
         for f in frames:
             n, m = f["bases"].str.len().to_numpy(), f["ref"].str.len().to_numpy()
-            for part in batches_of_cells(n, m):
+            for part in batches_of_cells(n, m, HMM_CELLS):
                 g = f.iloc[part]
                 other = [h[:o] + x + h[o + 1 :] for h, x, o in zip(g["ref"], g["alt"], g["off"], strict=True)]
                 a, b = (hmm_batch(g["bases"].tolist(), g["quals"].tolist(), list(h)) * np.log(10) for h in (g["ref"], other))
                 yield pd.DataFrame({"contig": g["contig"], "pos": g["pos"], "a": a, "b": b})
 
+    ensure_importable(j.sparkSession)
     scored = j.mapInPandas(run, "contig string, pos long, a double, b double")
     fits = F.greatest("a", "b") >= min_loglik
     odds, alt = F.sum(F.when(fits, F.col("b") - F.col("a")).otherwise(0.0)), F.count_if(fits & (F.col("b") > F.col("a")))

@@ -271,3 +271,27 @@ def test_components_on_a_basis_equal_a_plain_fit(spark):
     c = {x.group: (x.n, x.mean1, x.var2) for x in components.centroids(f.coordinates, spark.createDataFrame([(int(i), int(group[i])) for i in range(n)], "sample long, group int"), k).collect()}
     for g in range(3):
         assert c[g][0] == (group == g).sum() and c[g][1] == pytest.approx(want[group == g, 0].mean(), abs=1e-3) and c[g][2] == pytest.approx(want[group == g, 1].var(ddof=1), abs=1e-2)
+
+
+def test_tables_of_a_batch_stay_narrow_and_equal_by_any_weights(monkeypatch):
+    r = random.Random(6)
+    pairs = pieces(r, 40)
+    made = []
+    empty = np.empty
+    monkeypatch.setattr(batched.np, "empty", lambda shape, kind: made.append(np.dtype(kind)) or empty(shape, kind))
+    scores, *_ = batched.align_batch([a for a, _ in pairs], [b for _, b in pairs])
+    assert made == [np.int16]
+    wide, *_ = batched.align_batch([a for a, _ in pairs], [b for _, b in pairs], 2000, -4000, -3000)
+    assert made[1:] == [np.int32] and (wide == scores * 1000).all()
+
+
+def test_a_read_is_one_row_of_places(spark):
+    from helixframe.operators import denovo
+
+    rows = [("a", "1", 100, "ACGTACGT", "ACGACGT"), ("b", "1", 200, "AAAA", "AAAA"), ("c", "1", 300, "ACGT", "")]
+    got = denovo.align_pieces(spark.createDataFrame(rows, "read string, contig string, start long, ref string, bases string"), ["read"])
+    assert {x.read: (x.places, x.queries) for x in got.collect()} == {"a": ([100, 101, 102, 104, 105, 106, 107], [0, 1, 2, 3, 4, 5, 6]), "b": ([200, 201, 202, 203], [0, 1, 2, 3])}
+
+
+def test_likelihoods_are_summed_in_small_batches():
+    assert batched.HMM_CELLS < batched.CELLS
