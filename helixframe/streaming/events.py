@@ -34,6 +34,25 @@ def folders_stream(spark: SparkSession, folders: list[str]) -> DataFrame:
     return s.withColumn("ts", F.expr("timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz)))"))
 
 
+#: Rows of one file of a batch, about, and files of a batch at most.
+FILE_ROWS, BATCH_FILES = 500_000, 256
+
+
+def batches_stream(rows: DataFrame, batch: str, folder: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """``rows`` as a stream that takes the rows of one ``batch`` (a few numbers) after the other, written to ``folder``.
+
+    All batches are written in as many files, by as many tasks, and a trigger takes that many.
+    """
+    sizes = {r[0]: r[1] for r in rows.groupBy(batch).count().collect()}
+    files = max(1, min(BATCH_FILES, max(sizes.values(), default=0) // file_rows, min(sizes.values(), default=0)))
+    for b in sorted(sizes):
+        own = rows.where(F.col(batch) == b)
+        # A task deals its rows to the files in turn; a small batch comes from one task, so that no file is without rows.
+        own = own if sizes[b] > file_rows and files > 1 else own.coalesce(1)
+        (own.repartition(files) if files > 1 else own).write.parquet(f"{folder}/{b}")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", True).parquet(folder)
+
+
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("n"))
 

@@ -295,3 +295,19 @@ def test_a_read_is_one_row_of_places(spark):
 
 def test_likelihoods_are_summed_in_small_batches():
     assert batched.HMM_CELLS < batched.CELLS
+
+
+def test_batches_of_several_files_stream_one_after_the_other(spark, tmp_path):
+    import glob
+
+    from helixframe.streaming import events as st
+
+    r = random.Random(8)
+    rows = [(100 * b + r.randrange(150), b) for b in range(5) for _ in range(40 if b == 2 else 9)]
+    df = spark.createDataFrame(rows, "place long, batch long")
+    s = st.batches_stream(df, "batch", f"{tmp_path}/in", file_rows=8)
+    assert [len(glob.glob(f"{tmp_path}/in/{b}/*.parquet")) for b in range(5)] == [5] * 5
+    got = st.drain(spark, st.first_of_place(s, "place", ["place"], 30), "append", "several").collect()
+    batches = [df.where(F.col("batch") == b) for b in range(5)]
+    want = st.first_of_place_in_batches([x.dropDuplicates(["place"]) for x in batches], "place", ["place"], 30).select("place")
+    assert sorted(x.place for x in got) == sorted(x.place for x in want.collect())
