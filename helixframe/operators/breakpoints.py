@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from helixframe.operators.scan import islands
 from helixframe.operators.structural import call_quality, merge_evidence
-from helixframe.session import ensure_importable
+from helixframe.session import ensure_importable, materialize
 
 #: Greatest distance from a cluster's first position, least support in all, by pairs and by split reads, and support of a
 #: homozygous call: fixed values.
@@ -71,7 +71,9 @@ def breakpoint_calls(pairs: DataFrame, splits: DataFrame, distance: int = DISTAN
     evidence = evidence.withColumn("other", F.when(across, F.col("mate_contig")).otherwise(F.lit("")))
     key = ["contig", "other"]
     starts = cluster_starts(evidence, key, "pos", distance)
-    e = evidence.join(starts, [*key, "pos"]).groupBy(*key, "first")
+    # Written once: calls and the mates' places both come from it.
+    clustered = materialize(evidence.join(starts, [*key, "pos"]), "clustered")
+    e = clustered.groupBy(*key, "first")
     pair = F.col("pair")
     of = lambda value, when: F.when(when, value)
     place = F.floor(F.sum("pos") / F.count("*"))
@@ -81,7 +83,7 @@ def breakpoint_calls(pairs: DataFrame, splits: DataFrame, distance: int = DISTAN
         F.min_by("insert_size", of(F.struct("pos", "id"), pair)).alias("insert_first"), F.sum(of(F.col("mate_pos"), pair)).alias("mate_sum"),
     )
     # Mates that stand at the cluster's own position don't count towards its length.
-    mates = evidence.where(pair).join(starts, [*key, "pos"]).join(g.select(*key, "first", "start"), [*key, "first"]).where(F.col("mate_pos") != F.col("start"))
+    mates = clustered.where(pair).join(g.select(*key, "first", "start"), [*key, "first"]).where(F.col("mate_pos") != F.col("start"))
     mates = mates.groupBy(*key, "first").agg(F.floor(F.sum("mate_pos") / F.count("*")).alias("far"))
     c = g.join(mates, [*key, "first"], "left")
     bnd, support = F.col("other") != "", F.col("pe") + F.col("sr")
@@ -106,6 +108,7 @@ def with_depth(calls: DataFrame, depth: DataFrame) -> DataFrame:
     """``calls`` (id, contig, kind, start, end and more) with ``relative_depth`` of the depth call of its kind that it
     overlaps, each used once; depth calls that none used are rows of their own. ``depth``: id, contig, kind, start, end,
     relative_depth."""
+    calls = materialize(calls, "calls")
     plain = ("id", "contig", "kind", "start", "end")
     used = merge_evidence(calls.select(*plain), depth.select(*plain))
     own = depth.select(F.col("id").alias("b_id"), "relative_depth").join(used, "b_id").select(F.col("a_id").alias("id"), "relative_depth")
