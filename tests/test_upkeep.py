@@ -273,6 +273,23 @@ def test_components_on_a_basis_equal_a_plain_fit(spark):
         assert c[g][0] == (group == g).sum() and c[g][1] == pytest.approx(want[group == g, 0].mean(), abs=1e-3) and c[g][2] == pytest.approx(want[group == g, 1].var(ddof=1), abs=1e-2)
 
 
+def test_close_components_settle_in_few_rounds(spark, monkeypatch):
+    from helixframe.operators import components
+
+    monkeypatch.setattr(components, "SPARE", 5)
+    monkeypatch.setattr(components, "ROUNDS", 8)
+    r = np.random.default_rng(4)
+    n, m = 60, 900  # noise alone: the greatest values lie close together
+    x = r.integers(0, 3, (n, m))
+    df = spark.createDataFrame([(j, i, int(x[i, j])) for i in range(n) for j in range(m)], "site long, sample long, dosage int").repartition(2)
+    f = components.fit(df, spark.createDataFrame([(i,) for i in range(n)], "sample long"), 2)
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(f.values, s[:2] ** 2, rtol=1e-7)
+    got = {c.sample: (c.pc1, c.pc2) for c in f.coordinates.collect()}
+    assert np.allclose(np.abs([got[i] for i in range(n)]), np.abs(u[:, :2] * s[:2]), atol=1e-3)
+
+
+
 def test_tables_of_a_batch_stay_narrow_and_equal_by_any_weights(monkeypatch):
     r = random.Random(6)
     pairs = pieces(r, 40)
