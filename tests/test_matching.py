@@ -39,6 +39,20 @@ def test_near_profiles_lose_none(spark, least, per_100):
     assert whose.count() == sum(1 for x in held.values() if x)
 
 
+def test_copies_of_a_profile_meet_without_the_index(spark, monkeypatch):
+    monkeypatch.setattr(markers, "BLOCK", 4)
+    base = {f"m{k}": "12" for k in range(25)}
+    kinds = [base, base | {"m0": "13"}, base | {f"m{k}": "30" for k in range(9)}, {"m0": "12"}]
+    held = {s: kinds[s % 4 if s < 40 else 0] for s in range(50)}
+    values = spark.createDataFrame([(s, m, v) for s, x in held.items() for m, v in x.items()], "subject long, marker string, value string")
+    seen, index = [], markers.near_profiles
+    monkeypatch.setattr(markers, "near_profiles", lambda h, *a: (seen.append(h.count()), index(h, *a))[1])
+    got = sorted(tuple(x) for x in markers.near_subjects(values).collect())
+    big = [s for s in held if len(held[s]) > 1]
+    differ = lambda a, b: sum(held[a][m] != held[b][m] for m in base)
+    assert got == [(a, b, 25, differ(a, b)) for a, b in itertools.combinations(big, 2) if differ(a, b) <= 2] and seen == [4]
+
+
 def test_clusters_suggest_the_nearest_placed(spark):
     a = {f"m{k}": "12" for k in range(25)}
     rows = {1: a, 2: a | {"m0": "13"}, 3: a | {"m0": "13", "m1": "14"}, 4: {f"m{k}": "30" for k in range(25)}, 5: {"m1": "12"}, 6: dict(a), 7: a | {"m5": None}}
@@ -51,6 +65,17 @@ def test_clusters_suggest_the_nearest_placed(spark):
     assert got[1].suggested is None and got[4].suggested is None and got[5].suggested is None and got[7].markers == 24
 
 
+def test_values_are_dealt_by_rows_to_tasks(spark, monkeypatch):
+    monkeypatch.setattr(markers, "ROWS", 50)
+    ids = spark.range(100).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(4)))).coalesce(1)
+    values = ids.select(F.col("id").alias("subject"), F.concat(F.lit("m"), F.col("k").cast("string")).alias("marker"), (F.col("id") % 3).cast("string").alias("value"))
+    seen, write = [], markers.materialize
+    monkeypatch.setattr(markers, "materialize", lambda df, name: (seen.append(df.rdd.getNumPartitions()), write(df, name))[1])
+    whose, held = markers.profiles(values)
+    assert seen[0] == 10 and sorted((x.profile, len(x.held)) for x in held.collect()) == [(0, 5), (1, 5), (2, 5)]
+    assert all(x.subject % 3 == x.profile for x in whose.collect())
+
+
 def test_cluster_starts_are_anchored(spark):
     r = random.Random(3)
     points = [(c, r.randrange(60_000)) for c in ("1", "2", "3") for _ in range(900)] + [("4", 5), ("4", 505), ("4", 506)]
