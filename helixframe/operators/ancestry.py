@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.operators.kernels import grouped
+from helixframe.operators.kernels import sited
 from helixframe.operators.scan import WIDTH, Running, position_block, running
 
 BLOCK = 5_000_000
@@ -34,15 +34,22 @@ def roll_up(shares: DataFrame, sample: str, super_pop: str, share: str, sites: C
     return g.withColumn("ci_width", ci).withColumn("place", rank)
 
 
-def admixture(x: np.ndarray, p: np.ndarray, most: int = 500, stop: float = 1e-7) -> np.ndarray:
-    """Ancestry shares of one sample by expectation-maximisation over allele copies."""
-    p = np.clip(p, 0.001, 0.999)
+#: Sites whose shares are held at once.
+BLOCK_SITES = 65_536
+
+
+def admixture(x: np.ndarray, p: np.ndarray, most: int = 500, stop: float = 1e-7, times: np.ndarray | None = None) -> np.ndarray:
+    """Ancestry shares of one sample by expectation-maximisation over allele copies; a site may count several times."""
     q = np.full(p.shape[1], 1 / p.shape[1])
+    total = len(x) if times is None else times.sum()
     for _ in range(most):
-        alt, ref = p * q, (1 - p) * q
-        alt /= alt.sum(1, keepdims=True)
-        ref /= ref.sum(1, keepdims=True)
-        new = (x[:, None] * alt + (2 - x)[:, None] * ref).sum(0) / (2 * len(x))
+        new = np.zeros(len(q))
+        for a in range(0, len(x), BLOCK_SITES):
+            own, f = x[a : a + BLOCK_SITES], np.clip(p[a : a + BLOCK_SITES], 0.001, 0.999)
+            n = 1 if times is None else times[a : a + BLOCK_SITES]
+            alt, ref = f * q, (1 - f) * q
+            new += (n * own / alt.sum(1)) @ alt + (n * (2 - own) / ref.sum(1)) @ ref
+        new /= 2 * total
         if np.abs(new - q).max() < stop:
             return new
         q = new
@@ -50,17 +57,19 @@ def admixture(x: np.ndarray, p: np.ndarray, most: int = 500, stop: float = 1e-7)
 
 
 def admixture_shares(joined: DataFrame, sample: str, pops: list[str], min_sites: int = 1) -> DataFrame:
-    """(sample, pop, share, sites); rows need ``dosage`` and ``freqs``, an array in the order of ``pops``."""
+    """(sample, pop, share, sites); rows need ``dosage`` and ``freqs``, an array in the order of ``pops``.
+
+    A sample's equal rows are one, with their number.
+    """
+    n = joined.where(F.col("dosage") >= 0).groupBy(sample, "dosage", "freqs").agg(F.count("*").alias("n"))
 
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g[g["dosage"] >= 0]
-        if len(g) < max(min_sites, 1):
-            return pd.DataFrame({sample: [], "pop": [], "share": [], "sites": []})
-        q = admixture(g["dosage"].to_numpy(float), np.stack(g["freqs"].to_numpy()))
-        return pd.DataFrame({sample: [g[sample].iloc[0]] * len(pops), "pop": pops, "share": q, "sites": [len(g)] * len(pops)})
+    def kernel(g: dict[str, np.ndarray]) -> pd.DataFrame:
+        sites = int(g["n"].sum())
+        if sites < max(min_sites, 1):
+            return pd.DataFrame()
+        return pd.DataFrame({"pop": pops, "share": admixture(g["dosage"], g["freqs"], times=g["n"]), "sites": sites})
 
-    kind = dict(joined.dtypes)[sample]
-    return grouped(joined, [sample], kernel, f"{sample} {kind}, pop string, share double, sites long")
+    return sited(n, [sample], {"dosage": float, "freqs": float, "n": float}, kernel, "pop string, share double, sites long")
 
 
 def f4_jackknife(sites: DataFrame, a: str, b: str, c: str, d: str, block: list[Column]) -> DataFrame:

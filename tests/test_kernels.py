@@ -403,3 +403,51 @@ def test_greedy_overlaps_of_many_list_no_pairs(spark):
     a = spark.range(n).select("id", F.lit("x").alias("contig"), F.lit("DEL").alias("kind"), F.lit(5).cast("long").alias("start"), F.lit(9).cast("long").alias("end"))
     got = structural.merge_evidence(a, a, 64)
     assert sorted((r.a_id, r.b_id) for r in got.collect()) == [(k, k) for k in range(n)]
+
+
+def test_kernels_hold_few_bytes_a_site():
+    import tracemalloc
+
+    rng = np.random.default_rng(31)
+    n = 30_000
+    freqs, het, cm = rng.uniform(0, 1, (n, 3)), rng.random(n) < 0.3, np.cumsum(rng.uniform(0.1, 9, n))
+    dosage, pos = rng.integers(0, 3, n), np.cumsum(rng.integers(1, 9000, n))
+    for run in (lambda: kernels.paint(dosage, freqs, pos, 1e-5), lambda: kernels.roh_states(freqs[:, 0], het, cm), lambda: kernels.match_posterior(het, het.sum(), n, pos)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 200 * n
+
+
+def test_blocks_of_sites_change_nothing(monkeypatch):
+    rng = np.random.default_rng(32)
+    n = 40
+    freqs, het, cm = rng.uniform(0, 1, (n, 3)), rng.random(n) < 0.3, np.cumsum(rng.uniform(0.1, 40, n))
+    dosage, pos = rng.integers(0, 3, n), np.cumsum(rng.integers(1, 90_000, n))
+    run = lambda: [kernels.paint(dosage, freqs, pos, 1e-5), *kernels.roh_states(freqs[:, 0], het, cm), kernels.match_posterior(het, het.sum(), n, pos)]
+    whole = run()
+    for size in (1, 7, 20):
+        monkeypatch.setattr(kernels, "BLOCK_SITES", size)
+        assert all(np.array_equal(x, y) for x, y in zip(run(), whole, strict=True))
+
+
+def test_groups_go_on_over_batches(spark):
+    rows = [(s, k * 1000, k * 0.5, 0.5, False) for s in ("a", "b", None) for k in range(40)]
+    df = spark.createDataFrame(rows, "sample string, pos long, cm double, freq double, het boolean").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = kernels.roh_segments(df, ["sample"], 5).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.sample or "", r.start, r.end, r.sites) for r in got)) == [("", 0, 39_000, 40), ("a", 0, 39_000, 40), ("b", 0, 39_000, 40)]
+
+
+def test_equal_sites_count_as_often_as_they_come(spark, monkeypatch):
+    rows = [(s, d, [0.9, 0.1] if k % 3 else [0.2, 0.7]) for s in (1, 2) for k, d in enumerate([2, 0, 1, 2, -1] * 20)]
+    seen, run = [], ancestry.sited
+    monkeypatch.setattr(ancestry, "sited", lambda df, *a: (seen.append(df.count()), run(df, *a))[1])
+    got = {(r.sample, r.pop): (r.share, r.sites) for r in ancestry.admixture_shares(spark.createDataFrame(rows, "sample int, dosage int, freqs array<double>"), "sample", ["x", "y"]).collect()}
+    own = [(d, f) for s, d, f in rows if s == 1 and d >= 0]
+    q = ancestry.admixture(np.array([d for d, _ in own], float), np.array([f for _, f in own]))
+    assert seen == [12] and len(got) == 4 and all(got[s, p][0] == pytest.approx(q[i], abs=1e-9) and got[s, p][1] == 80 for s in (1, 2) for i, p in enumerate("xy"))
