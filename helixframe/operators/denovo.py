@@ -27,6 +27,10 @@ COUNT_QUALITY, MIN_ALT_READS = 30, 2
 RESCUE_ODDS, RESCUE_FRAGMENTS, RESCUE_WINDOW = 2.0, 2, 60
 
 
+#: Observations of a task that genotypes a panel: a fixed value.
+PANEL_ROWS = 1_000_000
+
+
 def haploid_variants(tally: DataFrame, reference: DataFrame, min_depth: int = 4, min_share: float = 0.5, paralog_reads: int = 2, paralog_share: float = 0.2) -> DataFrame:
     """(contig, pos, ref, alt, depth, alt_depth, af) where a clear consensus differs from a known reference base."""
     called = haploid_call(top_two(tally, ["contig", "pos"]), min_depth, min_share, paralog_reads, paralog_share).where(F.col("call").isNotNull())
@@ -254,7 +258,12 @@ def panel_genotypes(panel: DataFrame, obs: DataFrame, min_depth: int = 4) -> Dat
     """Genotype of every panel site, all contigs at once; ``obs``: contig, pos, base, baseq. Thin sites are no calls (-1)."""
     from helixframe.operators.calls import error_rate, genotype_likelihoods, genotypes
 
-    j = panel.join(obs, ["contig", "pos"])
+    # Sites are summed where their rows meet, in as many tasks as the rows ask for; partial sums of all sites in each task
+    # would be nearly as many as the rows.
+    tasks = -(-obs.count() // PANEL_ROWS) or 1
+    dealt = lambda d: d.repartition(tasks, "contig", "pos")
+    panel = dealt(panel)
+    j = dealt(obs).join(panel.hint("merge"), ["contig", "pos"])
     g = genotypes(genotype_likelihoods(j, ["contig", "pos"], F.col("base") == F.col("alt"), error_rate(F.col("baseq")), F.col("base") == F.col("ref")))
     out = panel.join(g, ["contig", "pos"], "left")
     deep = F.coalesce(F.col("depth"), F.lit(0)) >= min_depth

@@ -451,3 +451,12 @@ def test_equal_sites_count_as_often_as_they_come(spark, monkeypatch):
     own = [(d, f) for s, d, f in rows if s == 1 and d >= 0]
     q = ancestry.admixture(np.array([d for d, _ in own], float), np.array([f for _, f in own]))
     assert seen == [12] and len(got) == 4 and all(got[s, p][0] == pytest.approx(q[i], abs=1e-9) and got[s, p][1] == 80 for s in (1, 2) for i, p in enumerate("xy"))
+
+
+def test_panel_rows_decide_the_tasks(spark, monkeypatch):
+    monkeypatch.setattr(denovo, "PANEL_ROWS", 10)
+    panel = spark.createDataFrame([("1", p, "A", "C") for p in range(30)], "contig string, pos long, ref string, alt string")
+    obs = spark.createDataFrame([("1", p, "C", 30) for p in range(20) for _ in range(5)], "contig string, pos long, base string, baseq int")
+    got = denovo.panel_genotypes(panel, obs)
+    assert got.rdd.getNumPartitions() == 10
+    assert sorted((r.pos, r.dosage, r.depth) for r in got.collect()) == [(p, 2, 5) if p < 20 else (p, -1, 0) for p in range(30)]
