@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.ancestry import chi2_survival
-from helixframe.operators.intervals import point_in_interval
+from helixframe.operators.intervals import point_in_interval, point_in_many
 from helixframe.operators.kernels import grouped
 
 #: Concordance that a segment needs, and the sites from which it is judged: fixed values.
@@ -44,10 +44,13 @@ def segment_concordance(segments: DataFrame, panel: DataFrame, carried: DataFram
     segment, sample, contig, start, end; ``panel``: contig, pos, calls (copies by genome, null where not called).
     """
     genomes = panel.select("contig", "pos", F.posexplode("calls").alias("genome", "n")).where("n > 0")
-    inside = point_in_interval(genomes.select("contig", "pos", "genome"), segments, ["contig"], "pos", "start", "end", width)
-    has = carried.where("carries").select("sample", "contig", "pos").distinct().withColumn("has", F.lit(1))
-    j = inside.join(has, ["sample", "contig", "pos"], "left")
-    g = j.groupBy("segment", "genome").agg(F.count("*").alias("sites"), F.sum(F.coalesce("has", F.lit(0))).alias("hits")).where(F.col("sites") >= least)
+    genomes = genomes.select("contig", "pos", "genome")
+    # Sites and hits are counted apart: pairs of site and segment needn't meet the calls.
+    sites = point_in_many(genomes, segments, ["contig"], "pos", "start", "end", width)
+    has = carried.where("carries").select("sample", "contig", "pos").distinct().join(segments.select("sample").distinct(), "sample", "left_semi")
+    hits = point_in_many(has.join(genomes, ["contig", "pos"]), segments, ["sample", "contig"], "pos", "start", "end", width)
+    both = sites.select("segment", "genome", F.lit(1).alias("site"), F.lit(0).alias("hit")).union(hits.select("segment", "genome", F.lit(0), F.lit(1)))
+    g = both.groupBy("segment", "genome").agg(F.sum("site").alias("sites"), F.sum("hit").alias("hits")).where(F.col("sites") >= least)
     best = g.groupBy("segment").agg(F.max(F.col("hits") / F.col("sites")).alias("concordance"))
     return segments.join(best, "segment", "left").select("segment", "concordance", (F.col("concordance").isNull() | (F.col("concordance") >= share)).alias("kept"))
 

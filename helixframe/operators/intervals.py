@@ -10,6 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.operators.scan import WIDTH, islands
+from helixframe.session import materialize
+
+#: Intervals of a bin that are met at once.
+MOST = 100_000
+
 
 def point_in_interval(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
     """Points with every closed interval that holds them; ``how``: inner, left, left_semi or left_anti."""
@@ -24,6 +29,20 @@ def point_in_interval(points: DataFrame, intervals: DataFrame, key: list[str], p
     return j.select(*(F.col(f"p.{c}") for c in points.columns), *rest)
 
 
+def point_in_many(points: DataFrame, intervals: DataFrame, key: list[str], pos: str, start: str, end: str, width: int, most: int = MOST) -> DataFrame:
+    """As the inner ``point_in_interval``, where very many intervals may share a bin: those are dealt to parts of ``most``
+    or so, and the bin's points meet each part. Such bins are as few as the intervals allow."""
+    i = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    hot = i.groupBy(*key, "_bin").agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    hot = F.broadcast(materialize(hot.select(*key, "_bin", F.ceil(F.col("_n") / most).alias("_parts")), "hot-bins"))
+    parts = F.coalesce("_parts", F.lit(1))
+    dealt = i.join(hot, [*key, "_bin"], "left").withColumn("_part", F.pmod(F.xxhash64(*intervals.columns), parts)).drop("_parts")
+    p = points.withColumn("_bin", F.floor(F.col(pos) / width)).join(hot, [*key, "_bin"], "left")
+    p = p.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    found = p.join(dealt, [*key, "_bin", "_part"]).where(F.col(pos).between(F.col(start), F.col(end)))
+    return found.select(*points.columns, *(c for c in intervals.columns if c not in key))
+
+
 def overlapping_pairs(a: DataFrame, b: DataFrame, key: list[str], start: str, end: str, width: int) -> DataFrame:
     """Pairs of closed intervals that overlap, each once: it is taken in the bin of the later start."""
     bins = lambda d: d.withColumn("_bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))

@@ -453,6 +453,17 @@ def test_equal_sites_count_as_often_as_they_come(spark, monkeypatch):
     assert seen == [12] and len(got) == 4 and all(got[s, p][0] == pytest.approx(q[i], abs=1e-9) and got[s, p][1] == 80 for s in (1, 2) for i, p in enumerate("xy"))
 
 
+def test_intervals_of_a_full_bin_are_dealt(spark):
+    from helixframe.operators import intervals
+
+    points = [(c, p) for c in ("1", "2") for p in range(0, 400, 7)]
+    held = [(k, "1" if k % 5 else "2", (k * 13) % 300, (k * 13) % 300 + 40) for k in range(200)]
+    got = intervals.point_in_many(spark.createDataFrame(points, "contig string, pos long"), spark.createDataFrame(held, "k long, contig string, start long, end long"), ["contig"], "pos", "start", "end", 100, most=10)
+    want = sorted((c, p, k) for c, p in points for k, d, a, b in held if c == d and a <= p <= b)
+    assert sorted((r.contig, r.pos, r.k) for r in got.collect()) == want
+    assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_panel_rows_decide_the_tasks(spark, monkeypatch):
     monkeypatch.setattr(denovo, "PANEL_ROWS", 10)
     panel = spark.createDataFrame([("1", p, "A", "C") for p in range(30)], "contig string, pos long, ref string, alt string")
