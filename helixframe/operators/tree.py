@@ -6,10 +6,18 @@ logarithm of the depth. Rounds go on until nothing is new; each is written out,
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.session import materialize
+from helixframe.session import ensure_importable, materialize
+
+#: Calls of one block of samples, positions of one block of paths, and cells of one batch's tables.
+BLOCK_CALLS, BLOCK_PATHS, CELLS = 100_000, 1_000_000, 1 << 20
 
 
 def closure(edges: DataFrame, node: str = "node", parent: str = "parent", depth_hint: int | None = None) -> DataFrame:
@@ -59,7 +67,74 @@ def induced_subtree(closed: DataFrame, terminals: DataFrame) -> DataFrame:
     return closed.join(terminals.select("node"), "node", "left_semi").select(F.col("ancestor").alias("node")).distinct()
 
 
-def placement_scores(closed: DataFrame, defining: DataFrame, calls: DataFrame) -> DataFrame:
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(items, ends) of a column of lists: those of row k end before ``ends[k + 1]``."""
+    return pc.list_flatten(column).to_numpy(), np.concatenate(([0], np.cumsum(pc.list_value_length(column).to_numpy(), dtype=np.int64)))
+
+
+def _ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``n`` of each."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
+def _first_of(s: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of each run of equal ``s``, the first row with the greatest keys."""
+    rows = np.arange(len(s))
+    for k in keys:
+        runs = np.flatnonzero(np.diff(s[rows], prepend=-1))
+        rows = rows[k[rows] == np.repeat(np.maximum.reduceat(k[rows], runs), np.diff(runs, append=len(rows)))]
+    return rows[np.flatnonzero(np.diff(s[rows], prepend=-1))]
+
+
+def _candidates(best: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block of samples (sample, _calls) against a block of paths (node, _set, _new), some samples at a time."""
+
+    def meet(mine: pa.Table, paths: pa.Table) -> pa.Table:
+        schema = pa.schema([("sample", mine["sample"].type), ("node", paths["node"].type), ("matched", pa.int64()), ("expected", pa.int32()), ("found", pa.int32()), ("score", pa.float64())])
+        empty = schema.empty_table()
+        if not len(mine) or not len(paths):
+            return empty
+        paths = paths.take(pc.sort_indices(paths["node"], null_placement="at_start"))
+        (held, ends), (own, own_ends), (calls, call_ends) = _lists(paths["_set"]), _lists(paths["_new"]), _lists(mine["_calls"])
+        known, held = np.unique(held, return_inverse=True)
+        size, found = np.diff(ends), np.diff(call_ends)
+        if not len(known):
+            return empty
+        # Paths by the positions that they bring.
+        own = np.searchsorted(known, own)
+        by_pos = np.repeat(np.arange(len(paths)), np.diff(own_ends))[np.argsort(own, kind="stable")]
+        start = np.concatenate(([0], np.cumsum(np.bincount(own, minlength=len(known)))))
+        code = np.minimum(np.searchsorted(known, calls), len(known) - 1)
+        here = known[code] == calls
+        of, step, out = np.repeat(np.arange(len(mine)), found), max(1, CELLS // max(len(paths), len(known), len(own))), [empty]
+        for lo in range(0, len(mine), step):
+            part = slice(call_ends[lo], call_ends[min(lo + step, len(mine))])
+            c, x = code[part][here[part]], of[part][here[part]] - lo
+            called = np.zeros((step, len(known)), bool)
+            called[x, c] = True
+            n = start[c + 1] - start[c]
+            touched = np.zeros((step, len(paths)), bool)
+            touched[np.repeat(x, n), by_pos[_ranges(start[c], n)]] = True
+            x, p = np.nonzero(touched)
+            if not len(x):
+                continue
+            matched, to = [], np.cumsum(size[p])
+            cuts = np.unique(np.concatenate(([0], np.searchsorted(to, np.arange(4 * CELLS, to[-1], 4 * CELLS)), [len(p)])))
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                n = size[p[i:j]]
+                hit = called.ravel()[np.repeat(x[i:j] * len(known), n) + held[_ranges(ends[p[i:j]], n)]]
+                matched.append(np.add.reduceat(hit, np.cumsum(n) - n, dtype=np.int64))
+            m = np.concatenate(matched)
+            score = (m / size[p] + m / found[x + lo]) / 2
+            keep = _first_of(x, np.floor(score * 1e9 + 0.5), m) if best else slice(None)
+            x, p = x[keep] + lo, p[keep]
+            out.append(pa.table([mine["sample"].take(pa.array(x)), paths["node"].take(pa.array(p)), m[keep], size[p].astype(np.int32), found[x].astype(np.int32), score[keep]], schema=schema))
+        return pa.concat_tables(out)
+
+    return meet
+
+
+def placement_scores(closed: DataFrame, defining: DataFrame, calls: DataFrame, best: bool = False) -> DataFrame:
     """Scores of each sample's candidates: the mean of recall and precision of the path's positions.
 
     ``defining``: node, pos; ``calls``: sample, pos of derived calls. A path's positions are those of all its nodes.
@@ -67,19 +142,31 @@ def placement_scores(closed: DataFrame, defining: DataFrame, calls: DataFrame) -
     matches the same calls and expects no fewer positions. Of nodes with equal paths the smallest stands for all.
     So no node that could be ``best_nodes``' first is left out, for paths of up to 20,000 positions (scores are compared
     in billionths), and samples don't meet all nodes below those that they touch.
+
+    Samples and paths are dealt into blocks by hash, and a task takes some pairs of blocks, so that no row is made or
+    moved for a candidate. With ``best``, a block of paths gives only the node that ``best_nodes`` would place first.
     """
+    spark = closed.sparkSession
+    ensure_importable(spark)
     at = defining.select(F.col("node").alias("ancestor"), "pos")
     on_path = closed.join(at, "ancestor").groupBy("node", "pos").agg(F.max("steps").alias("steps"))
     sets = on_path.groupBy("node").agg(F.sort_array(F.collect_set("pos")).alias("_set"), F.array_sort(F.collect_set(F.when(F.col("steps") == 0, F.col("pos")))).alias("_new"))
     # Equal paths differ in where their positions come from; a candidate is one whichever of its nodes brings the call.
     path = sets.groupBy("_set").agg(F.min("node").alias("node"), F.array_distinct(F.flatten(F.collect_set("_new"))).alias("_new"))
-    mine = calls.select("sample", "pos").distinct()
-    relevant = mine.join(defining.select("pos").distinct(), "pos", "left_semi")
-    found = relevant.groupBy("sample").agg(F.collect_set("pos").alias("_calls"))
-    touched = relevant.join(path.select("node", F.explode("_new").alias("pos")), "pos").select("sample", "node").distinct()
-    s = touched.join(path.select("node", "_set"), "node").join(found, "sample")
-    s = s.withColumn("matched", F.size(F.array_intersect("_set", "_calls")).cast("long")).withColumn("expected", F.size("_set")).withColumn("found", F.size("_calls"))
-    return s.select("sample", "node", "matched", "expected", "found", ((F.col("matched") / F.col("expected") + F.col("matched") / F.col("found")) / 2).alias("score"))
+    path = materialize(path, "paths")
+    relevant = calls.where("sample is not null").select("sample", "pos").join(defining.select("pos").distinct(), "pos", "left_semi")
+    mine = materialize(relevant.groupBy("sample").agg(F.collect_set("pos").alias("_calls")), "calls")
+    across = max(1, -(-(path.agg(F.sum(F.size("_set"))).first()[0] or 0) // BLOCK_PATHS))
+    down = max(1, -(-(mine.agg(F.sum(F.size("_calls"))).first()[0] or 0) // BLOCK_CALLS))
+    deal = lambda c, k: F.pmod(F.xxhash64(c), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    left = mine.select("sample", "_calls", deal("sample", down).alias("i"), every(across).alias("j"))
+    right = path.select("node", "_set", "_new", every(down).alias("i"), deal("_set", across).alias("j"))
+    # So many parts that one holds few pairs of blocks; they are small in bytes, not in work.
+    parts = max(1, min(across * down, 4096))
+    schema = f"sample {dict(left.dtypes)['sample']}, node {dict(right.dtypes)['node']}, matched long, expected int, found int, score double"
+    met = left.repartition(parts, "i", "j").groupBy("i", "j").cogroup(right.repartition(parts, "i", "j").groupBy("i", "j"))
+    return met.applyInArrow(_candidates(best), schema)
 
 
 def best_nodes(scores: DataFrame, n: int = 1) -> DataFrame:

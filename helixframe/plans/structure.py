@@ -166,7 +166,7 @@ SELECT sample, node, matched, floor(score * 10000 + 0.5) / 10000 AS score FROM (
 def tree_score(t: Tables) -> DataFrame:
     e = _edges(t)
     d = e.select("node", (F.col("node") * 7 % 97).alias("pos")).union(e.select("node", ((F.col("node") * 13 + 5) % 97).alias("pos"))).distinct()
-    s = tree.placement_scores(_closed(t), d, t.orders.select(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 97).alias("pos")))
+    s = tree.placement_scores(_closed(t), d, t.orders.select(F.col("o_custkey").alias("sample"), (F.col("o_orderkey") % 97).alias("pos")), best=True)
     return tree.best_nodes(s).select("sample", "node", "matched", rounded(F.col("score")).alias("score"))
 
 
