@@ -6,11 +6,12 @@ doc_id and number of ids of each document. Ids are stored as ranks: the id found
 ids take one byte. ``ranks`` is stored beside the blocks. Decoding looks control bytes up in a 256-row table and
 gathers with numpy; no loop runs over ids.
 
-Texts are encoded once, by the tokenizers library. Its byte-level pre-tokenizer starts a new piece at every single
-space that stands between two non-space characters, so such texts are cut there and equal pieces are encoded once a
-worker: a word of Latin letters, one piece for sure, by the library's model, anything else by the whole library.
-Texts with any other run of white space, and all texts if the tokenizer isn't of that kind, go to the library whole.
-``encode_texts`` is tested against the library.
+Texts are encoded once, by the tokenizers library. Its byte-level pre-tokenizer always ends a piece where white space
+follows another character, and where an ASCII mark follows a letter or digit, and white space before a word is set by
+its own length: so texts are cut there, a batch of them at once as bytes (``piece_starts``). Equal pieces of a batch meet
+in Arrow's dictionary, a worker keeps the ids of those met before; of new ones, words of Latin letters, one piece for
+sure, go to the library's model, others to the whole library, a line each. Texts with other white space are cut at single spaces only, or not at all; texts with added tokens, and all texts if
+the tokenizer isn't of that kind, go to the library whole. ``encode`` is tested against the library.
 
 Edge cases: texts of any length are encoded whole; extra columns of any name are left out; null or empty texts give the end id alone; rows with equal doc_id are ordered by their ids, null
 doc_ids come first; an empty table gives no blocks.
@@ -39,12 +40,17 @@ END_ID = 2
 BLOCK_IDS = 1 << 20
 #: Distinct pieces of one generation; a worker keeps two, and what is met again moves to the younger.
 CACHE_PIECES = 200_000
-PARTITION_BYTES = 32 << 20
+#: Longer pieces seldom meet again and aren't kept.
+CACHE_CHARS = 64
 #: Letters below this code point are the same in every version of Unicode.
 LATIN = 0x250
-#: ASCII characters that are neither letters nor digits nor white space.
-MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-MARK_SET = frozenset(MARKS)
+#: New pieces that go to the library as one text, and bytes of the texts that are cut together.
+LINES, CHUNK_BYTES = 500, 4 << 20
+#: Pieces of a chunk that meet in one dictionary: a text beyond that has several.
+CHUNK_PIECES = 1 << 20
+PARTITION_BYTES = 32 << 20
+#: By byte: a space or line break, an ASCII letter or digit, an ASCII character that is none of these.
+WHITE, PLAIN, MARK = (np.array([b < 128 and f(chr(b)) for b in range(256)]) for f in (lambda c: c in " \n", str.isalnum, lambda c: 32 < ord(c) < 127 and not c.isalnum()))
 _NEAR_SPACE = re.compile(r"\s | \s| \Z")
 
 
@@ -54,27 +60,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_starts(raw: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where pieces begin in the bytes of texts that lie one after another, ``begins`` being the texts' own.
+
+    The texts aren't empty and their white space is spaces and line breaks. Of a run of white space before a word the
+    last character stands apart, a space with the word; letters of two bytes up to U+027F are known as such.
+    """
+    white = WHITE[raw]
+    cut = np.zeros(len(raw) + 1, bool)
+    cut[begins] = True
+    last = np.append(white[:-1] & ~white[1:] & ~cut[1:-1], False)
+    cut[1:-1] |= white[1:] & (~white[:-1] | last[1:])
+    cut[1:-1] |= ~white[1:] & (raw[:-1] == 10)
+    mark = np.flatnonzero(MARK[raw])
+    mark = mark[mark > 0]
+    one, two = raw[mark - 1], raw[np.maximum(mark - 2, 0)]
+    cut[mark[PLAIN[one] | ((two >= 0xC3) & (two <= 0xC9) & ((two != 0xC3) | ((one != 0x97) & (one != 0xB7))))]] = True
+    return np.flatnonzero(cut[:-1])
+
+
 def cut_text(t: str) -> list[str] | None:
-    """Pieces of a text at its spaces, and at its line breaks if it has no other white space; None if some space has
-    white space beside it or ends the text, so that cutting there isn't safe."""
-    if t.replace("\n", "").isprintable():  # then spaces and line breaks are the only white space
-        if "  " in t or " \n" in t or "\n " in t or t.endswith(" "):
-            return None
-        t = t.replace(" ", "\0 ")
-        if "\n" in t and "\n\n" not in t and t[0] != "\n" and t[-1] != "\n":
-            t = t.replace("\n", "\0\n\0")
-        return t.split("\0")
+    """Pieces of any text at its spaces; None if some space has white space beside it or ends the text, so that cutting
+    there isn't safe."""
     return None if "\0" in t or _NEAR_SPACE.search(t) else t.replace(" ", "\0 ").split("\0")
 
 
 class Pieces(dict):
-    """Ids of pieces, as bytes; a piece not met before is encoded by the library, by its parts."""
+    """Ids of pieces, as bytes; those not met before are encoded by the library, many at a time."""
 
     def __init__(self, tokenizer, code: str):
         self.tokenizer, self.code, self.older = tokenizer, code, {}
         self.model, as_bytes = tokenizer.model, tokenizer.pre_tokenizer.pre_tokenize_str
-        self.letters = {ord(c): as_bytes(c)[0][0] for c in map(chr, range(LATIN)) if c.isalpha()}
-        self.letters[ord(" ")] = as_bytes(" a")[0][0][:-1]
+        # The model's character for each byte of a word.
+        self.letters = np.zeros(256, "<u4")
+        for c in filter(str.isalpha, map(chr, range(LATIN))):
+            self.letters[list(c.encode())] = list(map(ord, as_bytes(c)[0][0]))
+        self.letters[ord(" ")], self.letters[10] = ord(as_bytes(" a")[0][0][0]), 10
+        line = tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else None
 
     def clear(self) -> None:
         super().clear()
@@ -83,35 +106,67 @@ class Pieces(dict):
     def library(self, text: str) -> bytes:
         return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def word(self, piece: str) -> bytes | None:
-        """Ids of a word of Latin letters, with or without a space before it; null for other pieces."""
-        body = piece[1:] if piece[:1] == " " else piece
-        if body.isalpha() and (body.isascii() or max(body) < chr(LATIN)):
-            return array(self.code, [t.id for t in self.model.tokenize(piece.translate(self.letters))]).tobytes()
-        return None
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE_PIECES:
+    def of(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece."""
+        found = list(map(self.get, pieces))
+        missed = [k for k, x in enumerate(found) if x is None]
+        new = []
+        for k in missed:
+            if (ids := self.older.get(pieces[k])) is None:
+                new.append(k)
+            else:
+                found[k] = ids
+        for k, ids in zip(new, self.encoded([pieces[k] for k in new]), strict=True):
+            found[k] = ids
+        if len(self) + len(missed) > CACHE_PIECES:
             older = self.copy()
             self.clear()
             self.older = older
-        if (ids := self.older.get(piece)) is None and (ids := self.word(piece)) is None and (ids := self.parts(piece)) is None:
-            ids = self.library(piece)
-        if "\n" not in piece or len(piece) == 1:  # words round a line break seldom meet again
-            self[piece] = ids
-        return ids
-
-    def parts(self, piece: str) -> bytes | None:
-        """Ids of a piece that the pre-tokenizer always cuts further: before the ASCII marks that end it after a letter
-        or digit, and round a line break between two characters that aren't white space; null for other pieces."""
-        if piece[-1:] in MARK_SET:
-            body = piece.rstrip(MARKS)
-            if body and body[-1].isalnum() and body[-1] < chr(LATIN):
-                return self[body] + self[piece[len(body) :]]
-        head, line, tail = piece.partition("\n")
-        if line and head and tail and "\n" not in tail and not head[-1].isspace() and not tail[0].isspace():
-            return self[head] + self[line] + self[tail]
-        return None
+        for k in missed[:CACHE_PIECES]:
+            if len(pieces[k]) <= CACHE_CHARS:
+                self[pieces[k]] = found[k]
+        return found
+
+    def encoded(self, pieces: list[str]) -> list[bytes]:
+        """Ids by the library, of each piece. Pieces without white space, but for a space before them, are lines of one
+        text, as a line break between them is a piece of its own; others go alone."""
+        out: list[bytes | None] = [None] * len(pieces)
+        words, lines = [], []
+        for k, p in enumerate(pieces):
+            body = p[1:] if p[:1] == " " else p
+            if body.isalpha() and (body.isascii() or max(body) < chr(LATIN)):
+                words.append(k)
+            elif self.line is not None and body and " " not in body and body.isprintable():
+                lines.append(k)
+        for k, ids in zip(words, self.words([pieces[k] for k in words]), strict=True):
+            out[k] = ids
+        for i in range(0, len(lines), LINES):
+            part = lines[i : i + LINES]
+            text = "".join([pieces[k] + "\n" for k in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.code)
+            ends = np.flatnonzero(ids == self.line)
+            if len(ends) == len(part):
+                for k, x in zip(part, _parts(ids, ends, 1), strict=True):
+                    out[k] = x
+        return [self.library(p) if x is None else x for p, x in zip(pieces, out, strict=True)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids by the library's model, of words of Latin letters with or without a space before them."""
+        if not words:
+            return []
+        text = self.letters[np.frombuffer("\n".join(words).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids, ends, tokenize = [], [], self.model.tokenize
+        for w in text.split("\n"):
+            ids += [x.id for x in tokenize(w)]
+            ends.append(len(ids))
+        return _parts(np.array(ids, self.code), np.array(ends), 0)
+
+
+def _parts(ids: np.ndarray, ends: np.ndarray, skip: int) -> list[bytes]:
+    """Bytes of the ids before each end; the next begin ``skip`` ids after it."""
+    raw, ends = ids.tobytes(), ends * ids.itemsize
+    begins = np.concatenate(([0], ends[:-1] + skip * ids.itemsize))
+    return [raw[i:j] for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
 
 
 class Encoder:
@@ -124,6 +179,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_file(path)
+        t.no_truncation()
+        t.no_padding()
         self.width = np.uint16 if t.get_vocab_size() <= 1 << 16 else np.uint32
         kind = json.loads(t.to_str())
         cut = kind["pre_tokenizer"] or {}
@@ -133,15 +190,50 @@ class Encoder:
         self.pieces = Pieces(t, "H" if self.width == np.uint16 else "I") if self.cuts else {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out = []
+        out = [np.zeros(0, self.width)] * len(texts)
         if not self.cuts:
             return [np.array(self.library.encode(t, add_special_tokens=False).ids, self.width) for t in texts]
-        for t in texts:
-            pieces = None if any(x in t for x in self.added) else cut_text(t)
-            ids = self.pieces.library(t) if pieces is None else b"".join(map(self.pieces.__getitem__, pieces))
-            out.append(np.frombuffer(ids, self.width))
+        chunk, held = [], 0
+        for k, t in enumerate(texts):
+            added = any(x in t for x in self.added)
+            if not t:
+                continue
+            if not added and t.replace("\n", "").isprintable():  # then spaces and line breaks are the only white space
+                chunk.append((k, t.encode()))
+                held += len(chunk[-1][1])
+                if held >= CHUNK_BYTES:
+                    self.encode_chunk(chunk, out)
+                    chunk, held = [], 0
+            else:
+                pieces = None if added else cut_text(t)
+                ids = self.pieces.library(t) if pieces is None else b"".join(self.pieces.of(pieces))
+                out[k] = np.frombuffer(ids, self.width)
+        if chunk:
+            self.encode_chunk(chunk, out)
         return out
 
+    def encode_chunk(self, chunk: list[tuple[int, bytes]], out: list[np.ndarray]) -> None:
+        """Texts that ``piece_starts`` cuts, to their places in ``out``."""
+        raw = b"".join([t for _, t in chunk])
+        begins = np.cumsum([0] + [len(t) for _, t in chunk])
+        starts = piece_starts(np.frombuffer(raw, np.uint8), begins[:-1])
+        offsets = np.append(starts, len(raw))
+        flat, ends = [], [np.zeros(1, np.int64)]
+        for i in range(0, len(starts), CHUNK_PIECES):
+            own = offsets[i : i + CHUNK_PIECES + 1]
+            met = pa.LargeStringArray.from_buffers(len(own) - 1, pa.py_buffer(own), pa.py_buffer(raw)).dictionary_encode()
+            ids = self.pieces.of(met.dictionary.to_numpy(zero_copy_only=False).tolist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // self.width().itemsize
+            which = met.indices.to_numpy()
+            n = size[which]
+            to = np.cumsum(n)
+            flat.append(np.frombuffer(b"".join(ids), self.width)[np.repeat((np.cumsum(size) - size)[which] - to + n, n) + np.arange(to[-1])])
+            ends.append(ends[-1][-1] + to)
+        flat, ends = np.concatenate(flat), np.concatenate(ends)
+        at = ends[np.searchsorted(offsets, begins)].tolist()
+        for (k, _), i, j in zip(chunk, at[:-1], at[1:], strict=True):
+            out[k] = flat[i:j]
+
 
 @cache
 def encoder(path: str) -> Encoder:

@@ -30,6 +30,36 @@ def test_encoder_equals_library():
         assert e.encode([x])[0].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_batches_of_texts_equal_library(monkeypatch):
+    """Texts of a batch are cut together: no cut, cache or dictionary may carry over from one to the next."""
+    from tokenizers import Tokenizer
+
+    path = tokens.default_tokenizer()
+    t, r = Tokenizer.from_file(path), random.Random(5)
+    bits = ["a", "Bé", "ß×", "÷", "É", " ", "  ", "\n", "\n\n", " \n", "\n ", ".", ",", "...", "'s", "'re", "'", "3.1", "_", "word", "😀", "²", "ー", "ɐ", "ɏ", "ʰ", "-", "(", "é.", "é's", "字.", "١.", " '", "ll", "\u0301"]
+    odd = ["\t", "\u00a0", "\0", "<|endoftext|>", "\r\n", "\u200b"]
+    for cache, lines, chunk, pieces in ((200_000, 500, 4 << 20, 1 << 20), (7, 3, 20, 5), (1, 1, 1, 1)):
+        for name, n in (("CACHE_PIECES", cache), ("LINES", lines), ("CHUNK_BYTES", chunk), ("CHUNK_PIECES", pieces)):
+            monkeypatch.setattr(tokens, name, n)
+        e = tokens.Encoder(path)
+        for _ in range(40):
+            texts = ["".join(r.choice(bits if r.random() < 0.97 else odd) for _ in range(r.randint(0, 14))) for _ in range(40)]
+            for x, ids in zip(texts, e.encode(texts), strict=True):
+                assert ids.tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
+        assert len(e.pieces) <= max(cache, 2) and len(e.pieces.older) <= max(cache, 2)
+
+
+def test_no_text_with_double_spaces_goes_to_the_library_whole(monkeypatch):
+    """A batch's equal words are looked up once, and runs of white space don't send their texts to the library."""
+    e, whole, asked = tokens.Encoder(tokens.default_tokenizer()), [], []
+    library, of = tokens.Pieces.library, tokens.Pieces.of
+    monkeypatch.setattr(tokens.Pieces, "library", lambda self, x: whole.append(x) or library(self, x))
+    monkeypatch.setattr(tokens.Pieces, "of", lambda self, x: asked.append(x) or of(self, x), raising=False)
+    got = e.encode(["word  other, word\n\nother " * 50, " word word"])
+    assert sum(map(len, whole)) < 10 and len(asked) == 1 and len(asked[0]) == len(set(asked[0])) < 10
+    assert got[1].tolist() == e.library.encode(" word word", add_special_tokens=False).ids
+
+
 def test_suffix_order_and_prefixes():
     r = random.Random(4)
     for _ in range(60):
