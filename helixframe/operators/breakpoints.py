@@ -110,7 +110,8 @@ def with_depth(calls: DataFrame, depth: DataFrame) -> DataFrame:
     relative_depth."""
     calls = materialize(calls, "calls")
     plain = ("id", "contig", "kind", "start", "end")
-    used = merge_evidence(calls.select(*plain), depth.select(*plain))
+    # Written once: both what calls take and what is left come from it.
+    used = materialize(merge_evidence(calls.select(*plain), depth.select(*plain)), "merged")
     own = depth.select(F.col("id").alias("b_id"), "relative_depth").join(used, "b_id").select(F.col("a_id").alias("id"), "relative_depth")
     rest = depth.join(used.select(F.col("b_id").alias("id")), "id", "left_anti")
     return calls.join(own, "id", "left").unionByName(rest, allowMissingColumns=True)

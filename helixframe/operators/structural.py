@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,38 +47,53 @@ def merge_evidence(a: DataFrame, b: DataFrame, width: int = 10_000) -> DataFrame
     """Each call of ``a`` (id, contig, kind, start, end) with the first overlapping call of ``b`` not taken by an earlier one.
 
     Calls that touch are one stretch, found by scans over blocks of positions; a choice in one stretch can't change
-    another. Within a stretch both sides run once, in the order of their starts: a call of ``b`` that is taken, or ends
-    before the present call of ``a`` begins, is never met again, so what is left of ``b`` always begins at one place.
-    No pair is listed: the work is in proportion to the calls, however many of them overlap.
+    another. A task runs over its stretches in the order of starts, both sides together: what waits is either calls of
+    ``a`` that no call of ``b`` has met yet, or calls of ``b`` that none of ``a`` has, never both. No pair is listed and
+    no stretch handled apart: the work is in proportion to the calls, however many of them overlap or stand alone.
     """
-    from helixframe.operators.kernels import grouped
     from helixframe.operators.scan import islands
 
-    import pandas as pd
-
     ids = [dict(x.dtypes)["id"] for x in (a, b)]
     none = F.lit(None)
     x = a.select("contig", "kind", "start", "end", F.col("id").alias("a_id"), none.cast(ids[1]).alias("b_id"), F.lit(True).alias("_a"))
     y = b.select("contig", "kind", "start", "end", none.cast(ids[0]).alias("a_id"), F.col("id").alias("b_id"), F.lit(False).alias("_a"))
     rows = islands(x.unionByName(y).where("start <= end"), ["contig", "kind"], "start", "end", 0, width)
-
-    def kernel(g):
-        mine, other = (g[g["_a"] == side].sort_values(["start", name], kind="stable") for side, name in ((True, "a_id"), (False, "b_id")))
-        starts, ends, names = other["start"].tolist(), other["end"].tolist(), other["b_id"].tolist()
-        done, used, out, at = set(), set(), [], 0
-        for start, end, i in zip(mine["start"].tolist(), mine["end"].tolist(), mine["a_id"].tolist(), strict=True):
-            if i in done:
-                continue
-            while at < len(starts) and (ends[at] < start or names[at] in used):
-                at += 1
-            if at < len(starts) and starts[at] <= end:
+    stretch = ["contig", "kind", "_isle"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, mine, other, done, used = None, deque(), deque(), set(), set()
+        for batch in batches:
+            found = []
+            for *own, start, end, i, j, left in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key:
+                    key, mine, other, done, used = own, deque(), deque(), set(), set()
+                if left:
+                    if i in done:
+                        continue
+                    while other and (other[0][0] < start or other[0][1] in used):
+                        other.popleft()
+                    if not other:
+                        mine.append((end, i))
+                        continue
+                    j = other.popleft()[1]
+                else:
+                    if j in used:
+                        continue
+                    while mine and (mine[0][0] < start or mine[0][1] in done):
+                        mine.popleft()
+                    if not mine:
+                        other.append((end, j))
+                        continue
+                    i = mine.popleft()[1]
                 done.add(i)
-                used.add(names[at])
-                out.append((i, names[at]))
-                at += 1
-        return pd.DataFrame({"a_id": pd.Series([i for i, _ in out], dtype=object), "b_id": pd.Series([j for _, j in out], dtype=object)})
-
-    return grouped(rows.select("contig", "kind", "_isle", "start", "end", "a_id", "b_id", "_a"), ["contig", "kind", "_isle"], kernel, "a_id {}, b_id {}".format(*ids))
+                used.add(j)
+                found.append((i, j))
+            kinds = (batch.schema.field(c).type for c in ("a_id", "b_id"))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=["a_id", "b_id"])
+
+    order = [*stretch, "start", F.asc_nulls_last("a_id"), F.asc_nulls_last("b_id")]
+    placed = rows.select(*stretch, "start", "end", "a_id", "b_id", "_a").repartition(*stretch).sortWithinPartitions(*order)
+    return placed.mapInArrow(run, "a_id {}, b_id {}".format(*ids))
 
 
 def stutter_loglik(observed: Column, allele: Column, no_stutter: float = NO_STUTTER, decay: float = DECAY) -> Column:
