@@ -69,7 +69,8 @@ def rows_in_regions(rows: DataFrame, regions: DataFrame, contig: str, start: str
     """Every row with every region that it overlaps, each pair once. ``regions``: contig, region, lo, hi.
 
     A row lies in windows about as long as itself, two at most; a region in all that it touches, of every size. They meet
-    in the window of the later beginning alone, wherever on a contig that is.
+    in the window of the later beginning alone, wherever on a contig that is. A region is many rows there, far more than
+    its table's size tells: they are dealt by window, and never sent whole.
     """
     s, e, lo, hi = (F.col(c).cast("long") for c in (start, end, "lo", "hi"))
     size = F.abs(e - s)
@@ -83,7 +84,7 @@ def rows_in_regions(rows: DataFrame, regions: DataFrame, contig: str, start: str
     a, b = F.col(f"x.{start}"), F.col(f"x.{end}")
     late = F.expr(f"shiftright(greatest(cast(x.`{start}` as bigint), cast(y.lo as bigint)), x._bits) = x._at")
     on = [F.col(f"x.{contig}") == F.col("y.contig"), F.col("x._bits") == F.col("y._bits"), F.col("x._at") == F.col("y._at"), overlaps(a, b, F.col("y.lo"), F.col("y.hi")), late]
-    return x.join(y, on).select(*(F.col(f"x.{c}") for c in rows.columns), "y.region", "y.lo", "y.hi")
+    return x.join(y.hint("merge"), on).select(*(F.col(f"x.{c}") for c in rows.columns), "y.region", "y.lo", "y.hi")
 
 
 def reference_length(cigar: Column) -> Column:
