@@ -1,5 +1,6 @@
 """Calls on a panel and comparisons of sources against plain versions."""
 
+import itertools
 import random
 from collections import Counter, defaultdict
 
@@ -171,3 +172,25 @@ def test_one_nation_is_not_one_task(spark):
     got = structure.fuzzy_kit_match(t)
     assert got.count() == got.select("a", "b").distinct().count() == 199 * 100
     assert got.select(F.spark_partition_id()).distinct().count() > 8
+
+
+def test_files_of_pairs_are_small(spark, tmp_path):
+    from helixframe.plans import structure
+
+    t = type("T", (), {"customer": spark.range(1600).select((F.col("id") * 7919 % 100_003).alias("c_custkey"), F.lit(3).cast("long").alias("c_nationkey"), F.lit("A").alias("c_mktsegment"), F.lit(1.0).alias("c_acctbal"))})()
+    structure.fuzzy_kit_match(t).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 1600 * 1599 // 2
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 1600 * 1599 // 2
+
+
+@pytest.mark.parametrize("written", [8, 2048])
+def test_pairs_of_blocks_equal_a_join(spark, monkeypatch, written):
+    from helixframe.operators import match
+
+    monkeypatch.setattr(match, "WRITTEN", written)
+    r = random.Random(written)
+    rows = [(r.choice([1, 1, 1, 2, None]), r.choice([None, *range(300)]), k) for k in range(400)] + [(9, 5, 1)]
+    df = spark.createDataFrame(rows, "g int, s long, v long")
+    got = match.pairs_in_groups(df, "g", "s").select("x.s", "x.v", "y.s", "y.v").collect()
+    want = [(a[1], a[2], b[1], b[2]) for a, b in itertools.product(rows, rows) if a[0] == b[0] and None not in (a[0], a[1], b[1]) and a[1] < b[1]]
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20_000
