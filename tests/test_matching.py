@@ -260,3 +260,17 @@ def test_regions_far_along_meet_few_rows(spark):
     # Rows that meet a region: those of two windows, not all that lie far along.
     plan = regions.rows_in_regions(df, reg, "contig", "s", "e")
     assert "_bin" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_near_pairs_come_as_runs_in_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(markers, "TASK_PAIRS", 10, raising=False)
+    n = 120
+    each = spark.range(n).select((F.col("id") * 7919 % 100_003).alias("subject"), (F.col("id") % 2).alias("kind"), F.explode(F.sequence(F.lit(0), F.lit(24))).alias("k"))
+    value = F.when((F.col("k") == 0) & (F.col("kind") == 1), 13).otherwise(12)
+    values = each.select("subject", F.concat(F.lit("m"), F.col("k").cast("string")).alias("marker"), value.alias("value"))
+    found = markers.near_subjects(values)
+    got = [r.a for r in found.collect()]
+    assert len(got) == found.where("a < b").distinct().count() == n * (n - 1) // 2
+    # A subject is the lower one in a run of its own for each profile that it meets.
+    assert sum(x != y for x, y in itertools.pairwise(got)) <= 2 * n
+    assert found.rdd.getNumPartitions() > 1000
