@@ -471,3 +471,18 @@ def test_panel_rows_decide_the_tasks(spark, monkeypatch):
     got = denovo.panel_genotypes(panel, obs)
     assert got.rdd.getNumPartitions() == 10
     assert sorted((r.pos, r.dosage, r.depth) for r in got.collect()) == [(p, 2, 5) if p < 20 else (p, -1, 0) for p in range(30)]
+
+
+def test_a_site_is_a_few_steps_over_arrays(monkeypatch):
+    r = np.random.default_rng(5)
+    panel = r.integers(0, 2, (10, 90)).astype(np.int8)
+    g = (panel[0] + panel[3]).astype(int)
+    seen, sort = [], np.sort
+    monkeypatch.setattr(np, "sort", lambda *a, **k: (seen.append(1), sort(*a, **k))[1])
+    side = kernels.phase(g, panel, 8, 4)
+    monkeypatch.undo()
+    assert len(seen) <= 90 and set(np.unique(g - side)) <= {0, 1}
+    labels, cm = np.array(list("AABBBCCCAA")), np.arange(90) / 7
+    both = kernels.copying_posteriors(np.stack([side, g - side]), panel, labels, cm)
+    for k, hap in enumerate((side, g - side)):
+        assert np.array_equal(both[k], kernels.copying_posteriors(hap, panel, labels, cm))
