@@ -289,6 +289,36 @@ def test_close_components_settle_in_few_rounds(spark, monkeypatch):
     assert np.allclose(np.abs([got[i] for i in range(n)]), np.abs(u[:, :2] * s[:2]), atol=1e-3)
 
 
+@pytest.mark.parametrize("block", [50, 1 << 15])
+def test_a_product_is_one_pass_over_blocks(spark, monkeypatch, block):
+    from helixframe.operators import components
+
+    monkeypatch.setattr(components, "BLOCK_ENTRIES", block, raising=False)
+    monkeypatch.setattr(components, "STRETCH", 7, raising=False)
+    r = np.random.default_rng(6)
+    n, m = 40, 90
+    x = r.binomial(2, r.uniform(0.1, 0.9, (2, m))[np.arange(n) % 2])
+    df = spark.createDataFrame([(f"s{j}", f"n{i}", int(x[i, j])) for i in range(n) for j in range(m)], "site string, sample string, dosage int").repartition(3)
+    written, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda d, name, *a: (written.append(name), write(d, name, *a))[1])
+    f = components.fit(df, spark.createDataFrame([(f"n{i}",) for i in range(n)], "sample string"), 2)
+    u, s, _ = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert np.allclose(f.values, s[:2] ** 2, rtol=1e-7) and len(written) < 12
+    got = {c.sample: (c.pc1, c.pc2) for c in f.coordinates.collect()}
+    assert np.allclose(np.abs([got[f"n{i}"] for i in range(n)]), np.abs(u[:, :2] * s[:2]), atol=1e-3)
+
+
+def test_long_factors_stay_tables(spark, monkeypatch):
+    from helixframe.operators import components
+
+    monkeypatch.setattr(components, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(components, "SPARE", 3)
+    r = np.random.default_rng(7)
+    x = r.binomial(2, r.uniform(0.1, 0.9, (2, 40))[np.arange(12) % 2])
+    df = spark.createDataFrame([(j, i, int(x[i, j])) for i in range(12) for j in range(40)], "site long, sample long, dosage int").repartition(2)
+    f = components.fit(df, spark.createDataFrame([(i,) for i in range(12)], "sample long"), 1)
+    assert np.allclose(f.values, np.linalg.svd(x - x.mean(0))[1][:1] ** 2, rtol=1e-7)
+
 
 def test_tables_of_a_batch_stay_narrow_and_equal_by_any_weights(monkeypatch):
     r = random.Random(6)
