@@ -194,3 +194,13 @@ def test_pairs_of_blocks_equal_a_join(spark, monkeypatch, written):
     got = match.pairs_in_groups(df, "g", "s").select("x.s", "x.v", "y.s", "y.v").collect()
     want = [(a[1], a[2], b[1], b[2]) for a, b in itertools.product(rows, rows) if a[0] == b[0] and None not in (a[0], a[1], b[1]) and a[1] < b[1]]
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 20_000
+
+
+def test_pairs_of_two_blocks_come_as_runs(spark, monkeypatch):
+    from helixframe.operators import match
+
+    real = match.block_pairs
+    monkeypatch.setattr(match, "block_pairs", lambda *a, **k: real(*a, **k, block=8))
+    rows = spark.range(64).select((F.col("id") * 7919 % 1009).alias("s"), F.lit(1).alias("m"), (F.col("id") % 3).alias("v"))
+    got = [r.a for r in match.pair_distances(rows, "s", "m", "v").collect()]
+    assert len(got) == 64 * 63 // 2 and sum(x != y for x, y in itertools.pairwise(got)) < 64 * 8
